@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, chat, merkle
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
+    "op2_chat_format": chat.op2,
+    "op4_merkle": merkle.op4,
 }
 ORACLE_SQL: dict[str, str] = {}
