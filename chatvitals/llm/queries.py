@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, merkle
+from . import bpe, chat, merkle, packing, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
     "op2_chat_format": chat.op2,
     "op4_merkle": merkle.op4,
+    "op5_packing": packing.op5,
+    "op8_warc": warc.op8,
 }
 ORACLE_SQL: dict[str, str] = {}
