@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, merkle, packing, warc
+from . import bpe, chat, merkle, packing, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_merkle": merkle.op4,
     "op5_packing": packing.op5,
     "op8_warc": warc.op8,
+    "op10_toxicity": toxicity.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
