@@ -2,11 +2,13 @@
 
 The merges (given as ranks) define for every byte string one sequence of tokens.  That sequence is
 the only one in which each token is reached by its own merges and each two neighbours stay apart
-when their joint bytes are merged.  So a non-deterministic transducer that reads bytes, holds the last
-token and the bytes since then, and may emit a token whenever those two conditions hold, has one
-accepting run per string.  `Transducer` determinises it on demand: a state is the set of live runs
-with the outputs not yet common to all of them; what is common is emitted.  A run dies at the latest after
-the longest token's length, which bounds the lookahead.
+when their joint bytes are merged.  So a non-deterministic transducer that reads bytes, holds the bytes since
+its last token, and may emit a token whenever those two conditions hold, has one accepting run per
+string.  `Transducer` determinises it on demand: a state is the set of unfinished tokens that live runs
+hold, made by subset construction when it is first reached, with the tokens that may end there.
+A register of the last token of each run (one per byte, no further back than the longest token) decides which of
+them does.  Tokens that all live runs share are settled and emitted; a run dies at the latest after the longest
+token's length, which bounds the lookahead.
 
 Rows: null text counts as empty (no ids).  Repeated rows give repeated results; other columns pass
 through `encode` and `decode` untouched, and only the named output column is added (a column
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 #: The Unicode White_Space characters (fixed values).
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-MOST_STATES, MOST_CHUNKS, MOST_PIECES = 100_000, 250_000, 150_000
+MOST_STATES, MOST_PAIRS, MOST_CHUNKS, MOST_PIECES = 100_000, 600_000, 250_000, 150_000
 
 
 class Transducer:
@@ -39,14 +41,17 @@ class Transducer:
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.own: dict[bytes, tuple | None] = {}
         self._reset()
 
     def _reset(self):
-        self.items, self.item_numbers, self.item_moves = [], {}, []
-        self.states, self.numbers, self.rows = [], {}, []
-        self._numbered((self._item(-1, b""),))
+        self.states: dict[tuple, tuple[dict, tuple]] = {}
+        self.start = self._state((b"",))
+
+    def _state(self, live: tuple[bytes, ...]) -> tuple[dict, tuple]:
+        """Moves by byte, and the live runs' unfinished bytes."""
+        return self.states.setdefault(live, ({}, live))
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a short piece, straight from the definition: lowest rank first, leftmost on ties."""
@@ -88,110 +93,76 @@ class Transducer:
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether no merge joins bytes of two neighbouring tokens."""
-        if a < 0:
-            return True
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) > 300_000:
-                self.apart.clear()
-            (_, right, up), (left, _, too) = self._spines(self.tokens[a]), self._spines(self.tokens[b])
-            if up and too:
-                # a pair that stands side by side at some time, and whose merge comes before either is merged elsewhere
-                get = self.ranks.get
-                known = True
-                for x, x_came, x_goes in right:
-                    for y, y_came, y_goes in left:
-                        if x_came <= y_goes and y_came < x_goes and (rank := get(x + y)) is not None and rank < x_goes and rank <= y_goes:
-                            known = False
-                            break
-                    if not known:
+        (_, right, up), (left, _, too) = self._spines(self.tokens[a]), self._spines(self.tokens[b])
+        known = True
+        if up and too:
+            # a pair that stands side by side at some time, and whose merge comes before either is merged elsewhere
+            get = self.ranks.get
+            for x, x_came, x_goes in right:
+                for y, y_came, y_goes in left:
+                    if x_came <= y_goes and y_came < x_goes and (rank := get(x + y)) is not None and rank < x_goes and rank <= y_goes:
+                        known = False
                         break
-            else:
-                known = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
-            self.apart[a, b] = known
+                if not known:
+                    break
+        else:
+            known = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        if len(self.apart) > MOST_PAIRS:
+            self.apart.clear()
+        self.apart[a << 32 | b] = known
         return known
 
-    def _moved(self, item: int, byte: int) -> tuple[int, int]:
-        """One run's moves on a byte: the run that goes on without emitting (or -1), and the token it may emit (or -1)."""
-        last, part = self.items[item]
-        longer = part + bytes((byte,))
-        on = self._item(last, longer) if longer in self.prefixes else -1
-        token = self.ranks.get(longer, -1)
-        if token >= 0 and (self._spines(longer) is None or not self._apart(last, token)):
-            token = -1
-        move = self.item_moves[item][byte] = on, token
+    def _move(self, state: tuple[dict, tuple], byte: int) -> tuple[tuple[dict, tuple], tuple]:
+        """The state after a byte, and the tokens (with lengths, longest first) that may end with it."""
+        add = bytes((byte,))
+        longer = [part + add for part in state[1]]
+        ending = tuple((self.ranks[x], len(x)) for x in longer if x in self.ranks and self._spines(x) is not None)
+        if len(self.states) > MOST_STATES:
+            self._reset()
+        move = state[0][byte] = self._state((*(x for x in longer if x in self.prefixes), b"")), ending
         return move
 
-    def _item(self, last: int, part: bytes) -> int:
-        number = self.item_numbers.get((last, part))
-        if number is None:
-            number = self.item_numbers[last, part] = len(self.items)
-            self.items.append((last, part))
-            self.item_moves.append({})
-        return number
-
-    def _step(self, state: tuple, byte: int) -> tuple[int, tuple]:
-        live, done, item_moves = [], -1, self.item_moves
-        for item in state:
-            move = item_moves[item].get(byte) or self._moved(item, byte)
-            if move[0] >= 0:
-                live.append(move[0])
-            if move[1] >= 0:
-                done = move[1]
-        live.append(self._item(done, b""))
-        return done, tuple(live)
-
     def ids(self, piece: bytes) -> list[int]:
-        """Each move names the token that ends at this byte in the one run that has no unfinished token; the runs
-        left open are at most a token long, so what is older than that is settled and leaves the buffer."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         out: list[int] = []
-        ends: list[int] = []
-        number = 0
-        rows, size = self.rows, self.size
+        ends: list[int] = []  # the token that ends at each byte, in the one run that has nothing unfinished there
+        apart, state, n = self.apart, self.start, 0
         for byte in piece:
-            move = rows[number].get(byte)
+            move = state[0].get(byte)
             if move is None:
-                move = self._made(number, byte)
-                rows = self.rows
-            token, number = move
+                move = self._move(state, byte)
+            state, ending = move
+            for token, size in ending:
+                if size > n:
+                    if not out:
+                        break
+                    last = out[-1]
+                else:
+                    last = ends[n - size]
+                fits = apart.get(last << 32 | token)
+                if fits is None:
+                    fits = self._apart(last, token)
+                if fits:
+                    break
             ends.append(token)
-            if len(ends) > 4096:
-                self._settle(ends, out, self.states[number])
+            n += 1
+            if n > 4096:
+                self._settle(ends, out, state[1])
+                n = len(ends)
         tail: list[int] = []
-        at = len(ends)
-        while at > 0:
-            tail.append(ends[at - 1])
-            at -= size[ends[at - 1]]
-        out.extend(reversed(tail))
-        return out
-
-    def _made(self, number: int, byte: int) -> tuple[int, int]:
-        token, state = self._step(self.states[number], byte)
-        to = self.numbers.get(state)
-        if to is None:
-            if len(self.states) > MOST_STATES:
-                runs = [self.items[item] for item in state]
-                self._reset()
-                return token, self._numbered(tuple(self._item(*run) for run in runs))
-            to = self._numbered(state)
-        self.rows[number][byte] = move = token, to
-        return move
-
-    def _numbered(self, state: tuple) -> int:
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
-            self.states.append(state)
-            self.rows.append({})
-        return self.numbers[state]
+        while n > 0:
+            tail.append(ends[n - 1])
+            n -= self.size[ends[n - 1]]
+        tail.reverse()
+        return out + tail if out else tail
 
-    def _settle(self, ends: list[int], out: list[int], state: tuple) -> None:
+    def _settle(self, ends: list[int], out: list[int], live: tuple[bytes, ...]) -> None:
         """Emits the tokens that all live runs share and keeps the rest of the buffer."""
         paths = []
-        for item in state:
-            path, at = [], len(ends) - len(self.items[item][1])
+        for part in live:
+            path, at = [], len(ends) - len(part)
             while at > 0:
                 path.append((at, ends[at - 1]))
                 at -= self.size[ends[at - 1]]
@@ -220,7 +191,12 @@ class Encoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         parts, known = [], self.known
-        for piece in self.pieces.findall(chunk):
+        word = chunk.rstrip(",.;:!?")
+        if (word[1:] if word[:1] == " " else word).isalpha():  # letters and marks: what the pattern gives, without the pattern
+            pieces = (word, chunk[len(word) :]) if len(word) < len(chunk) else (word,)
+        else:
+            pieces = self.pieces.findall(chunk)
+        for piece in pieces:
             packed = known.get(piece)
             if packed is None:
                 packed = array("I", self.machine.ids(piece.encode())).tobytes()

@@ -92,13 +92,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes and the bounds of the words in them."""
-    low = _LOWER[blob]
-    solid = np.zeros(len(blob) + 2, np.int8)
-    solid[1:-1] = ~_SPACE[blob]
-    edge = np.diff(solid)
-    return low, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def words(blob: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes and the bounds of the words in them; no word spans two texts."""
+    solid = np.zeros(len(blob) + 2, bool)
+    np.logical_not(_SPACE[blob], out=solid[1:-1])
+    cut = np.zeros(len(blob) + 1, bool)  # before each byte, and at the end
+    cut[bounds] = True
+    before, after = solid[:-1], solid[1:]
+    return _LOWER[blob], np.flatnonzero(after & (cut | ~before)), np.flatnonzero(before & (cut | ~after))
 
 
 def text_slices(column):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, merkle, packing, toxicity, warc
+from . import bpe, chat, merkle, packing, suffix_lm, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
     "op2_chat_format": chat.op2,
+    "op3_suffix_lm": suffix_lm.op3,
     "op4_merkle": merkle.op4,
     "op5_packing": packing.op5,
     "op8_warc": warc.op8,
