@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, merkle, packing, suffix_dedup, suffix_lm, toxicity, warc
+from . import bpe, chat, merkle, packing, rotated_codes, suffix_dedup, suffix_lm, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_lm": suffix_lm.op3,
     "op4_merkle": merkle.op4,
     "op5_packing": packing.op5,
+    "op6_rotated_codes": rotated_codes.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_warc": warc.op8,
     "op10_toxicity": toxicity.op10,
