@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, merkle, packing, rotated_codes, suffix_dedup, suffix_lm, toxicity, warc
+from . import bpe, chat, jaccard, merkle, packing, rotated_codes, suffix_dedup, suffix_lm, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_rotated_codes": rotated_codes.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_warc": warc.op8,
+    "op9_jaccard": jaccard.op9,
     "op10_toxicity": toxicity.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
