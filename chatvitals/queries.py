@@ -144,7 +144,8 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.group_metrics(messages, _chat_now(), messages.select("group_key", "group_id").distinct())
 
 
-_g = F.col("group_key").alias("g")
+def _g():
+    return F.col("group_key").alias("g")
 
 
 # ---- queries -------------------------------------------------------------------------------------------------------
@@ -169,17 +170,17 @@ def parse_status(spark, sf_dir):
 def staff_membership(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     staff = raw.filter("role = 'staff'").select(F.col("sender").alias("staff")).distinct()
-    return raw.join(staff, F.col("sender") == F.col("staff"), "left").select(_g, "seq", F.when(F.col("staff").isNull(), "customer").otherwise("staff").alias("role"))
+    return raw.join(staff, F.col("sender") == F.col("staff"), "left").select(_g(), "seq", F.when(F.col("staff").isNull(), "customer").otherwise("staff").alias("role"))
 
 
 @query(f"WITH RECURSIVE {_MERGED} SELECT g, seq, msg_id, sender, role, ts, text, is_sticker, is_image FROM mm")
 def merge_messages(spark, sf_dir):
-    return merge_fragments(_raw(spark, sf_dir)).select(_g, "seq", "msg_id", "sender", "role", "ts", "text", "is_sticker", "is_image")
+    return merge_fragments(_raw(spark, sf_dir)).select(_g(), "seq", "msg_id", "sender", "role", "ts", "text", "is_sticker", "is_image")
 
 
 @query(f"WITH {_CHAT}, {_enriched('m')} SELECT g, seq, act AS dialogue_act, round(sentiment, 6) AS sentiment, esc AS is_escalation_marker FROM e")
 def enrich_messages(spark, sf_dir):
-    return enrich(_raw(spark, sf_dir)).select(_g, "seq", "dialogue_act", r6("sentiment").alias("sentiment"), "is_escalation_marker")
+    return enrich(_raw(spark, sf_dir)).select(_g(), "seq", "dialogue_act", r6("sentiment").alias("sentiment"), "is_escalation_marker")
 
 
 @query(f"""WITH p AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
@@ -192,47 +193,47 @@ def service_time(spark, sf_dir):
 
 @query(f"{_E}, {_i1(_NOW)} SELECT g, i1_open_questions, i1_oldest_age_min, round(i1_severity, 6)::DOUBLE AS i1_severity FROM one")
 def i1_unanswered(spark, sf_dir):
-    return indicators.i1(_merged(spark, sf_dir), _chat_now()).select(_g, F.col("i1_open_questions").cast("long").alias("i1_open_questions"), "i1_oldest_age_min", r6("i1_severity").alias("i1_severity"))
+    return indicators.i1(_merged(spark, sf_dir), _chat_now()).select(_g(), F.col("i1_open_questions").cast("long").alias("i1_open_questions"), "i1_oldest_age_min", r6("i1_severity").alias("i1_severity"))
 
 
 @query(f"{_EVENTS}, {_i1(_EVENT_NOW)} SELECT g, i1_open_questions, i1_oldest_age_min, round(i1_severity, 6)::DOUBLE AS i1_severity FROM one")
 def i1_unanswered_events(spark, sf_dir):
-    return indicators.i1(adapters.event_messages(spark, sf_dir), _event_now()).select(_g, F.col("i1_open_questions").cast("long").alias("i1_open_questions"), "i1_oldest_age_min", r6("i1_severity").alias("i1_severity"))
+    return indicators.i1(adapters.event_messages(spark, sf_dir), _event_now()).select(_g(), F.col("i1_open_questions").cast("long").alias("i1_open_questions"), "i1_oldest_age_min", r6("i1_severity").alias("i1_severity"))
 
 
 @query(f"{_E}, {_PAIRS} SELECT g, seq, rseq AS reply_seq, rts AS reply_ts, lat AS latency_min FROM capped")
 def i2_first_reply(spark, sf_dir):
-    return indicators.latencies(_merged(spark, sf_dir)).select(_g, "seq", "reply_seq", "reply_ts", "latency_min")
+    return indicators.latencies(_merged(spark, sf_dir)).select(_g(), "seq", "reply_seq", "reply_ts", "latency_min")
 
 
 @query(f"{_E}, {_PAIRS}, {_I2} SELECT g, i2_p90_min, replies, round({_severity('i2_p90_min', 120.0, 480.0)}, 6)::DOUBLE AS i2_severity FROM two")
 def i2_latency_p90(spark, sf_dir):
-    return indicators.i2(_merged(spark, sf_dir)).select(_g, "i2_p90_min", F.col("i2_replies").cast("long").alias("replies"), r6("i2_severity").alias("i2_severity"))
+    return indicators.i2(_merged(spark, sf_dir)).select(_g(), "i2_p90_min", F.col("i2_replies").cast("long").alias("replies"), r6("i2_severity").alias("i2_severity"))
 
 
 @query(f"{_EVENTS}, {_PAIRS_EVENTS}, {_I2} SELECT g, i2_p90_min, replies, round({_severity('i2_p90_min', 120.0, 480.0)}, 6)::DOUBLE AS i2_severity FROM two")
 def i2_latency_p90_events(spark, sf_dir):
-    return indicators.i2(adapters.event_messages(spark, sf_dir)).select(_g, "i2_p90_min", F.col("i2_replies").cast("long").alias("replies"), r6("i2_severity").alias("i2_severity"))
+    return indicators.i2(adapters.event_messages(spark, sf_dir)).select(_g(), "i2_p90_min", F.col("i2_replies").cast("long").alias("replies"), r6("i2_severity").alias("i2_severity"))
 
 
 @query(f"{_E}, {_PAIRS} SELECT g, ts, substring(text, 1, 80) AS text, rts AS reply_ts, substring(rtext, 1, 80) AS reply_text, floor((epoch_us(rts) - epoch_us(ts)) / 60000000)::BIGINT AS minutes FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY seq) AS k FROM pairs) WHERE k = 1")
 def latency_example(spark, sf_dir):
-    return indicators.latency_example(_merged(spark, sf_dir)).select(_g, "ts", "text", "reply_ts", "reply_text", "minutes")
+    return indicators.latency_example(_merged(spark, sf_dir)).select(_g(), "ts", "text", "reply_ts", "reply_text", "minutes")
 
 
 @query(f"{_E} SELECT g, k AS ord, ts, substring(text, 1, 80) AS text FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY seq) AS k FROM e WHERE role = 'customer' AND sentiment < -0.1 AND NOT is_sticker) WHERE k <= 3")
 def negative_examples(spark, sf_dir):
-    return indicators.negative_examples(_merged(spark, sf_dir)).select(_g, F.col("ord").cast("long").alias("ord"), "ts", "text")
+    return indicators.negative_examples(_merged(spark, sf_dir)).select(_g(), F.col("ord").cast("long").alias("ord"), "ts", "text")
 
 
 @query(f"{_E} SELECT g, round(avg((sentiment < -0.1)::INT), 6) AS i4_neg_ratio, round(least(1.0, greatest(0.0, (avg((sentiment < -0.1)::INT) - 0.1) / 0.5)), 6) AS i4_severity FROM e WHERE role = 'customer' AND ts >= {_NOW} - INTERVAL 72 HOUR AND NOT is_sticker GROUP BY g")
 def i4_negative_ratio(spark, sf_dir):
-    return indicators.i4(_merged(spark, sf_dir), _chat_now()).select(_g, r6("i4_neg_ratio").alias("i4_neg_ratio"), r6("i4_severity").alias("i4_severity"))
+    return indicators.i4(_merged(spark, sf_dir), _chat_now()).select(_g(), r6("i4_neg_ratio").alias("i4_neg_ratio"), r6("i4_severity").alias("i4_severity"))
 
 
 @query(f"{_E} SELECT g, count(*) FILTER (ts >= {_NOW} - INTERVAL 24 HOUR) AS i5_msg_count_24h FROM e GROUP BY g")
 def i5_volume(spark, sf_dir):
-    return indicators.i5(_merged(spark, sf_dir), _chat_now()).select(_g, F.col("i5_msg_count_24h").cast("long").alias("i5_msg_count_24h"))
+    return indicators.i5(_merged(spark, sf_dir), _chat_now()).select(_g(), F.col("i5_msg_count_24h").cast("long").alias("i5_msg_count_24h"))
 
 
 @query(f"""{_E}, {_i1(_NOW)}, r AS (SELECT g, seq, '升級詞觸發 (msg_id=' || msg_id || '): ' || substring(text, 1, 30) AS reason FROM e WHERE esc
@@ -240,7 +241,7 @@ def i5_volume(spark, sf_dir):
 def tripwire_reasons(spark, sf_dir):
     messages = _merged(spark, sf_dir)
     found = analysis.tripwire_reasons(messages, indicators.i1(messages, _chat_now()))
-    return found.select(_g, F.posexplode("tripwire_reasons").alias("ord", "reason")).select("g", (F.col("ord") + 1).cast("long").alias("ord"), "reason")
+    return found.select(_g(), F.posexplode("tripwire_reasons").alias("ord", "reason")).select("g", (F.col("ord") + 1).cast("long").alias("ord"), "reason")
 
 
 @query("SELECT gram AS bigram, count(*) AS n FROM (SELECT substring(text, k::INT, 2) AS gram FROM (SELECT text, unnest(range(1, length(text))) AS k FROM documents WHERE text IS NOT NULL)) GROUP BY gram")
@@ -256,23 +257,23 @@ def bigram_entropy(spark, sf_dir):
 
 @query(f"{_E}, {_SERIES} SELECT g, pos, ts, round(entropy, 6) + 0.0 AS entropy FROM series")
 def entropy_series(spark, sf_dir):
-    return entropy.entropy_series(_merged(spark, sf_dir)).select(_g, F.col("pos").cast("long").alias("pos"), "ts", r6("entropy").alias("entropy"))
+    return entropy.entropy_series(_merged(spark, sf_dir)).select(_g(), F.col("pos").cast("long").alias("pos"), "ts", r6("entropy").alias("entropy"))
 
 
 @query(f"{_E}, {_SERIES} SELECT g, round(mean, 6) + 0.0 AS mean_entropy, round(slope, 6) + 0.0 AS slope, round(peak, 6) + 0.0 AS peak_frac, n AS points FROM six")
 def entropy_stats(spark, sf_dir):
     found = entropy.i6(entropy.entropy_series(_merged(spark, sf_dir)))
-    return found.select(_g, r6("i6_mean_entropy").alias("mean_entropy"), r6("i6_entropy_slope").alias("slope"), r6("i6_peak_entropy_frac").alias("peak_frac"), F.col("i6_points").cast("long").alias("points"))
+    return found.select(_g(), r6("i6_mean_entropy").alias("mean_entropy"), r6("i6_entropy_slope").alias("slope"), r6("i6_peak_entropy_frac").alias("peak_frac"), F.col("i6_points").cast("long").alias("points"))
 
 
 @query(f"{_E}, {_SERIES} SELECT g, pos, round(pos / (n - 1), 6) + 0.0 AS frac FROM t WHERE esc AND n > 1")
 def escalation_fracs(spark, sf_dir):
-    return entropy.escalation_fracs(_merged(spark, sf_dir)).select(_g, F.col("pos").cast("long").alias("pos"), r6("frac").alias("frac"))
+    return entropy.escalation_fracs(_merged(spark, sf_dir)).select(_g(), F.col("pos").cast("long").alias("pos"), r6("frac").alias("frac"))
 
 
 @query(f"{_E}, {_SERIES} SELECT g, pos, round(pos / (n - 1), 6) + 0.0 AS x, round((entropy - min(entropy) OVER (PARTITION BY g)) / greatest(max(entropy) OVER (PARTITION BY g) - min(entropy) OVER (PARTITION BY g), 0.5), 5) + 0.0 AS y FROM series")
 def chart_points(spark, sf_dir):
-    return entropy.chart_points(entropy.entropy_series(_merged(spark, sf_dir))).select(_g, F.col("pos").cast("long").alias("pos"), r6("x").alias("x"), (F.round("y", 5) + 0.0).alias("y"))
+    return entropy.chart_points(entropy.entropy_series(_merged(spark, sf_dir))).select(_g(), F.col("pos").cast("long").alias("pos"), r6("x").alias("x"), (F.round("y", 5) + 0.0).alias("y"))
 
 
 @query(f"""{_METRICS} SELECT g, round(s1, 6)::DOUBLE AS i1_severity, open1 AS i1_open_questions, age1 AS i1_oldest_age_min, round(s2, 6)::DOUBLE AS i2_severity, p90 AS i2_p90_min, round(r4, 6)::DOUBLE AS i4_neg_ratio, round(s4, 6)::DOUBLE AS i4_severity, i5 AS i5_msg_count_24h,
@@ -280,13 +281,13 @@ def chart_points(spark, sf_dir):
 def compute_metrics(spark, sf_dir):
     double = ("i1_severity", "i2_severity", "i4_neg_ratio", "i4_severity", "i6_mean_entropy", "i6_entropy_slope", "i6_peak_entropy_frac", "composite")
     long = ("i1_open_questions", "i5_msg_count_24h")
-    return _metrics(spark, sf_dir).select(_g, "tripwire", "i1_oldest_age_min", "i2_p90_min", *(r6(c).alias(c) for c in double), *(F.col(c).cast("long").alias(c) for c in long))
+    return _metrics(spark, sf_dir).select(_g(), "tripwire", "i1_oldest_age_min", "i2_p90_min", *(r6(c).alias(c) for c in double), *(F.col(c).cast("long").alias(c) for c in long))
 
 
 @query(f"{_METRICS} SELECT row_number() OVER (ORDER BY trip DESC, score DESC, g) AS rank, g, round(score, 6)::DOUBLE AS composite, CASE WHEN trip THEN '紅旗' WHEN score >= 0.15 THEN '關注' ELSE '正常' END AS status FROM metrics")
 def rank_groups(spark, sf_dir):
     out = analysis.ranked(_metrics(spark, sf_dir))
-    return out.select(F.col("rank").cast("long").alias("rank"), _g, r6("composite").alias("composite"), labels.status(F.col("tripwire"), F.col("composite")).alias("status"))
+    return out.select(F.col("rank").cast("long").alias("rank"), _g(), r6("composite").alias("composite"), labels.status(F.col("tripwire"), F.col("composite")).alias("status"))
 
 
 @query(f"""{_METRICS} SELECT g, CASE WHEN r4 >= 0.5 THEN '情緒極度異常' WHEN r4 >= 0.3 THEN '情緒明顯負面' WHEN r4 >= 0.1 THEN '情緒略顯不穩' ELSE '正常' END AS mood,
@@ -295,7 +296,7 @@ def rank_groups(spark, sf_dir):
  coalesce(nullif(concat_ws('、', CASE WHEN s2 >= 0.5 THEN 'I2' END, CASE WHEN s1 >= 0.3 THEN 'I1' END, CASE WHEN s4 >= 0.3 THEN 'I4' END), ''), 'composite') AS follow_up FROM metrics""")
 def group_labels(spark, sf_dir):
     out = report.labelled(_metrics(spark, sf_dir))
-    return out.select(_g, "mood", "slope_label", "color", F.col("peak_pct").cast("long").alias("peak_pct"), "follow_up")
+    return out.select(_g(), "mood", "slope_label", "color", F.col("peak_pct").cast("long").alias("peak_pct"), "follow_up")
 
 
 @query(f"{_METRICS} SELECT count(*) AS total, count(*) FILTER (trip) AS red, count(*) FILTER (NOT trip AND score >= 0.15) AS watch, count(*) FILTER (NOT trip AND score < 0.15) AS ok FROM metrics")
@@ -311,7 +312,7 @@ def overview_names(spark, sf_dir):
 
 @query(f"{_METRICS} SELECT g FROM metrics WHERE trip OR score >= 0.3")
 def llm_gate(spark, sf_dir):
-    return issues.gate(_metrics(spark, sf_dir)).select(_g)
+    return issues.gate(_metrics(spark, sf_dir)).select(_g())
 
 
 _BODY = "CASE WHEN is_sticker THEN '[貼圖]' ELSE text END"
@@ -319,7 +320,7 @@ _BODY = "CASE WHEN is_sticker THEN '[貼圖]' ELSE text END"
 
 @query(f"{_E} SELECT g, string_agg('[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || role || '] [' || msg_id || '] ' || sender || ': ' || {_BODY}, chr(10) ORDER BY seq) AS transcript FROM e GROUP BY g")
 def transcripts(spark, sf_dir):
-    return issues.transcripts(_merged(spark, sf_dir)).select(_g, "transcript")
+    return issues.transcripts(_merged(spark, sf_dir)).select(_g(), "transcript")
 
 
 _ISSUES = f"""WITH {_CHAT}, k AS (SELECT DISTINCT g FROM m WHERE g % 7 IN (0, 1, 6)),
@@ -332,20 +333,20 @@ def i3_issues(spark, sf_dir):
     found, _ = issues.parse_replies(adapters.canned_replies(_raw(spark, sf_dir)))
     out = issues.issue_order(found).withColumn("shown", F.row_number().over(Window.partitionBy("group_key").orderBy("shown_ord", "issue_ord")))
     s = F.col("status")
-    return out.select(_g, F.col("issue_ord").cast("long").alias("issue_ord"), "issue_id", "status", issues.raised(F.col("raised_at")).alias("raised"), labels.issue_icon(s).alias("icon"), labels.issue_tag(s).alias("tag"), labels.issue_type(F.col("type")).alias("kind"), F.col("shown").cast("long").alias("shown"))
+    return out.select(_g(), F.col("issue_ord").cast("long").alias("issue_ord"), "issue_id", "status", issues.raised(F.col("raised_at")).alias("raised"), labels.issue_icon(s).alias("icon"), labels.issue_tag(s).alias("tag"), labels.issue_type(F.col("type")).alias("kind"), F.col("shown").cast("long").alias("shown"))
 
 
 @query(f"""{_ISSUES}, a AS (SELECT g, greatest(0.0, max((epoch_us({_NOW}) - epoch_us(raised)) / 60000000.0) FILTER (status <> 'resolved')) AS age, count(*) FILTER (status <> 'resolved') AS n FROM issues GROUP BY g)
 SELECT g, age::DOUBLE AS oldest_age_min, n AS open_issues, round(CASE WHEN age <= 0 THEN 0.0 ELSE {_severity('age', 60.0, 480.0)} END, 6)::DOUBLE AS severity FROM a""")
 def i3_oldest_open(spark, sf_dir):
     found, _ = issues.parse_replies(adapters.canned_replies(_raw(spark, sf_dir)))
-    return issues.i3(found, _chat_now()).select(_g, F.col("i3_oldest_age_min").alias("oldest_age_min"), F.col("i3_open_issues").cast("long").alias("open_issues"), r6("i3_severity").alias("severity"))
+    return issues.i3(found, _chat_now()).select(_g(), F.col("i3_oldest_age_min").alias("oldest_age_min"), F.col("i3_open_issues").cast("long").alias("open_issues"), r6("i3_severity").alias("severity"))
 
 
 @query(f"WITH {_CHAT} SELECT DISTINCT g, CASE WHEN g % 7 IN (3, 4) THEN 'unusable reply' END AS error FROM m")
 def i3_reply_status(spark, sf_dir):
     _, status = issues.parse_replies(adapters.canned_replies(_raw(spark, sf_dir)))
-    return status.select(_g, F.col("error").cast("string").alias("error"))
+    return status.select(_g(), F.col("error").cast("string").alias("error"))
 
 
 @query()
