@@ -30,7 +30,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chatvitals_path = path
     return out
@@ -43,6 +43,16 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Hash buckets of near_rows: bounds what it broadcasts to as many 64-bit numbers.
+BUCKETS = 1 << 20
+
+
+def near_rows(df: DataFrame, wanted: DataFrame, column: str, kind: str = "left_semi") -> DataFrame:
+    """Rows of df whose column may be among wanted's (left_semi; few others pass too) or surely is not (left_anti), without a shuffle of df."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    return df.join(F.broadcast(wanted.select(bucket(F.col(column)).alias("_bucket")).distinct()), bucket(df[column]) == F.col("_bucket"), kind)
+
+
 def crc_mod(column: str, divisor: int):
     """crc32 of the column's text, modulo divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)

@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, mix, powers, prefix_hash, range_hash, text_blocks, written
+from .common import drop_written, mix, near_rows, powers, prefix_hash, range_hash, text_blocks, written
 
-BUCKETS = 1 << 20
 RUNS = "uid long, first long, last long, gram long, span long"
 
 
@@ -77,7 +76,7 @@ def _suffixes(docs: DataFrame, k: int, length: int, asked: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             uid = batch.column("uid").to_numpy()
-            for row, blob, bounds in text_blocks(batch.column("text"), 4 << 20):
+            for row, blob, bounds in text_blocks(batch.column("text"), 1 << 20):
                 wanted = _starts(bounds, length) if bounds[-1] else np.zeros(0, bool)
                 if asked:
                     steps = np.zeros(len(wanted) + 1, np.int32)
@@ -162,12 +161,6 @@ def compared(table: DataFrame) -> DataFrame:
     return inner.unionByName(table.sparkSession.createDataFrame(edges, "uid long, first long, last long, state int")) if edges else inner
 
 
-def _near(docs: DataFrame, uids: DataFrame, kind: str) -> DataFrame:
-    """Rows of docs whose uid may be among uids (left_semi) or surely is not (left_anti), by a table of at most BUCKETS hash buckets, which bounds the broadcast."""
-    bucket = F.pmod(F.col("uid"), F.lit(BUCKETS)).alias("bucket")
-    return docs.join(F.broadcast(uids.select(bucket).distinct()), F.pmod(docs["uid"], F.lit(BUCKETS)) == F.col("bucket"), kind)
-
-
 def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with n_bytes, spans (removed runs: start and end in bytes) and kept (the bytes left); all other columns stay, columns of those names are replaced."""
     cols = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", "uid", "_found")]
@@ -179,7 +172,7 @@ def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
         source = slim
         if asked is not None:
             ranges = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
-            source = _near(slim, asked, "left_semi").join(ranges, "uid")
+            source = near_rows(slim, asked, "uid").join(ranges, "uid")
         table = written(_suffixes(source, k, length, asked is not None), "suffixes")
         found = compared(table)
         drop_written(table)
@@ -189,13 +182,13 @@ def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
     covered = covered.select("uid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     ranges = covered.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
     span = "array<struct<start:long,end:long>>"
-    clean = _near(docs, covered, "left_anti").select(*cols, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
-    hit = _near(docs, covered, "left_semi").join(ranges, "uid", "left").select(*cols, F.col("_found"))
+    clean = near_rows(docs, covered, "uid", "left_anti").select(*cols, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
+    hit = near_rows(docs, covered, "uid").join(ranges, "uid", "left").select(*cols, F.col("_found"))
     schema = T.StructType([*(df.schema[c] for c in cols), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T._parse_datatype_string(span)), T.StructField("kept", T.BinaryType())])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             sizes, spans, kept = [], [], []
             for t, found in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist()):
                 data, mine, left, at = (t or "").encode(), [], [], 0
