@@ -5,15 +5,15 @@ Equal sets are one node.  Linked sets of size n share one at least of the first
 order (n-grams that are frequent in a bounded sample come last in ours, which only saves work), so nodes meet at
 those elements, their keys.  Keys that one node has alone are dropped.  Then:
 
-1. Each node goes to its first shared keys, one key a round, with its whole set.  A signature tree over the nodes at
-   a key (leaves and inner nodes hold OR-combined bitmaps and size ranges) is traversed against itself; node pairs
-   are pruned by their largest possible overlap, and where union-find has connected all already.  Exact
-   overlaps decide.  This connects groups of copies in nearly as many comparisons as nodes.
-2. At all keys where more than one group still meets, trees over the bitmaps alone give the pairs that may yet link;
-   each such pair is decided by its whole sets.
-3. Components come from the links by label propagation with shortcuts, in tables.
+1. A signature tree over the bitmaps of the nodes at a key (leaves and inner nodes hold OR-combined bitmaps and size ranges) is
+   traversed against itself; node pairs are pruned by their largest possible overlap, and where union-find has
+   connected all already.  Pairs that may link connect their nodes to a cluster.  First every node at one key,
+   then all keys where more than one cluster still meets; clusters come out as stars, so output is no larger than input.
+2. Each cluster's texts meet once.  A tree over finer bitmaps gives the pairs, exact overlaps decide, and union-find again
+   leaves out what is connected: groups of copies take nearly as many comparisons as nodes.
+3. Components come from the stars by label propagation with shortcuts, in tables.
 
-A key with more nodes than `crowd` is dealt in blocks, each pair of blocks a task: no group is gathered whole.
+A key or cluster with more nodes than `crowd` is dealt in blocks, each pair of blocks a task: no group is gathered whole.
 
 Words are runs of bytes other than space and \\t to \\r, A-Z lower-cased; fewer than n words are one n-gram, no words an
 empty set that links with nothing.  Null text counts as empty.  Null ids keep their rows (component: null if
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, MIX2, mix, prefix_hash, range_hash, text_blocks, words, written
+from .common import BASE, MIX2, drop_written, mix, near_rows, prefix_hash, range_hash, text_blocks, words, written
 
 LEAF, FAN = 16, 8
 
 
 def shingle_sets(column, n: int):
     """For runs of rows: first row, sorted distinct hashes (signed) of all rows one after another, and their bounds."""
-    for first, blob, bounds in text_blocks(column, 2 << 20):
+    for first, blob, bounds in text_blocks(column, 1 << 20):
         rows = len(bounds) - 1
         if len(blob):
             low, start, end = words(blob, bounds)
@@ -67,18 +67,19 @@ def shingle_sets(column, n: int):
         yield first, values, np.searchsorted(of, np.arange(rows + 1))
 
 
-def bits_for(n):
-    """Bits of a set's bitmap: the power of two from twice its size on."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
-
-
-def bitmap(values: np.ndarray) -> np.ndarray:
-    m = bits_for(len(values))
+def bitmap(values: np.ndarray, per: int = 2) -> np.ndarray:
+    """A set's bitmap, as long as the power of two from `per` times its size on."""
+    m = max(64, 1 << int(per * len(values) - 1).bit_length())
     flags = np.zeros(m, bool)
     flags[values & (m - 1)] = True
     return np.packbits(flags)
 
 
+def own_sets(column, n: int) -> list[np.ndarray]:
+    """The set of each text."""
+    return [values[bounds[i] : bounds[i + 1]] for _, values, bounds in shingle_sets(column, n) for i in range(len(bounds) - 1)]
+
+
 def node_id(values: np.ndarray) -> int:
     """A set's name: a hash of its elements, whatever their order; 0 for the empty set."""
     if not len(values):
@@ -206,6 +207,15 @@ def _dealt(rows: DataFrame, crowd: int) -> DataFrame:
     return rows.withColumn("s", F.least("mine", "other")).withColumn("t", F.greatest("mine", "other")).drop("mine", "other").repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "node")
 
 
+def stars(links: Links, nodes: np.ndarray) -> pa.RecordBatch:
+    """Each connected part as links to its smallest node."""
+    roots = np.array([links.root(i) for i in range(len(nodes))])
+    center = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(center, roots, nodes)
+    apart = center[roots] != nodes
+    return pa.RecordBatch.from_arrays([pa.array(center[roots][apart]), pa.array(nodes[apart])], schema=_LINKS)
+
+
 LINKS = "a long, b long"
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -226,9 +236,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, sample: int = 20_000, crowd: int = 2048, rounds: int = 3):
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, sample: int = 5_000, crowd: int = 2048):
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        self.n, self.num, self.den, self.sample, self.crowd, self.rounds = n, num, den, sample, crowd, rounds
+        self.n, self.num, self.den, self.sample, self.crowd = n, num, den, sample, crowd
 
     def frequent(self) -> np.ndarray:
         """N-grams in at least 1 of 1000 rows of a sample of about `sample` rows (picked by a hash): bounded by the sample's size."""
@@ -241,115 +251,100 @@ class Join:
                     keys, count = np.unique(values, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count)], ["key", "c"])
 
-        least = max(20, min(total, self.sample) // 1000)
+        least = max(5, min(total, self.sample) // 1000)
         found = picked.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
         return np.sort(found.select("key").toPandas()["key"].to_numpy(np.int64))
 
-    def sets(self, docs: DataFrame, last: np.ndarray | None) -> DataFrame:
-        """doc_id, node, size and either keys and bitmap (last: n-grams that come last) or the whole set."""
+    def sets(self, last: np.ndarray) -> DataFrame:
+        """doc_id, node, size, keys and bitmap of every document; last: n-grams that come last in the order of keys."""
         n, num, den = self.n, self.num, self.den
 
         def run(batches):
             for batch in batches:
                 ids = batch.column("doc_id")
                 for first, values, bounds in shingle_sets(batch.column("text"), n):
-                    rows, whole, keys, maps, names = len(bounds) - 1, [], [], [], []
-                    late = np.isin(values, last) if last is not None else None
+                    rows, keys, maps, names = len(bounds) - 1, [], [], []
+                    late = np.isin(values, last)
                     for i in range(rows):
-                        v = values[bounds[i] : bounds[i + 1]]
-                        names.append(node_id(v))
-                        if last is None:
-                            whole.append(v.tobytes())
-                            continue
+                        v, l = values[bounds[i] : bounds[i + 1]], late[bounds[i] : bounds[i + 1]]
                         size = len(v) - -(-len(v) * num // den) + 1 if len(v) else 0
-                        rare = v[~late[bounds[i] : bounds[i + 1]]]
-                        if len(rare) < size:
-                            rare = np.concatenate([rare, v[late[bounds[i] : bounds[i + 1]]]])
-                        keys.append(rare[:size])
+                        rare = v[~l][:size]
+                        keys.append(rare if len(rare) == size else np.concatenate([rare, v[l][: size - len(rare)]]))
                         maps.append(bitmap(v).tobytes())
-                    columns = [ids.slice(first, rows), pa.array(names, pa.int64()), pa.array(np.diff(bounds))]
-                    if last is None:
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(whole, pa.large_binary())], ["doc_id", "node", "size", "whole"])
-                    else:
-                        offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-                        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-                        yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(maps, pa.large_binary())], ["doc_id", "node", "size", "keys", "map"])
-
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, size long, " + ("whole binary" if last is None else "keys array<long>, map binary"))
-
-    def fetched(self, wanted: DataFrame) -> DataFrame:
-        """(node, whole) of wanted nodes (node, doc_id of one that has it)."""
-        ids = wanted.select("doc_id").distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi")
-        found = self.sets(texts, None).select("node", "whole")
-        return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+                        names.append(node_id(v))
+                    offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(names, pa.int64()), pa.array(np.diff(bounds)), lists, pa.array(maps, pa.large_binary())], ["doc_id", "node", "size", "keys", "map"])
+
+        return self.docs.mapInArrow(run, "doc_id long, node long, size long, keys array<long>, map binary")
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """wanted (with doc_id) and the texts of those ids: only documents that may be among them are shuffled."""
+        return near_rows(self.docs, wanted, "doc_id").join(wanted, "doc_id")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
-        num, den, crowd = self.num, self.den, self.crowd
-        table = written(self.sets(self.docs, self.frequent()), "sets")
+        table = written(self.sets(self.frequent()), "sets")
+        slim = written(table.select("doc_id", "node", "size"), "slim")
         nodes = written(table.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.min(F.struct("keys", "map")).alias("x")).select("node", "doc_id", "size", "x.keys", "x.map"), "nodes")
-        keys = nodes.select("node", "doc_id", "size", F.posexplode("keys").alias("pos", "key"))
+        drop_written(table)
+        keys = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
         shared = keys.withColumn("meet", F.count("*").over(Window.partitionBy("key"))).filter("meet > 1")
         shared = written(shared, "shared")
-        turn = Window.partitionBy("node").orderBy("pos")
-        labels, links = None, None
-        for k in range(self.rounds):
-            here = shared.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") == k + 1).select("node", "doc_id", "key") if k else shared.groupBy("node", "doc_id").agg(F.min_by("key", "pos").alias("key"))
-            here = self._apart(here, labels)
-            here = written(here, "round")
-            sets = here.join(self.fetched(here), "node")
-
-            def connect(batches):
-                for t in _tables(batches, ["key", "s", "t"]):
-                    nodes_ = t.column("node").to_numpy()
-                    whole = [np.frombuffer(x.as_py(), np.int64) for x in t.column("whole").chunk(0)]
-                    links_ = Links(t.column("label").to_numpy().tolist())
-                    out = []
-                    for i, j in meetings([bitmap(v) for v in whole], np.array([len(v) for v in whole]), num, den, links_):
-                        if linked(whole[i], whole[j], num, den) and links_.join(i, j):
-                            out.append((nodes_[i], nodes_[j]))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[k_] for x in out], pa.int64()) for k_ in (0, 1)], schema=_LINKS)
-
-            found = written(_dealt(sets, crowd).select("key", "s", "t", "node", "label", "whole").mapInArrow(connect, LINKS), "links")
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        rest = self._apart(shared.select("node", "doc_id", "key", "size", "pos"), labels)
-        rest = _dealt(rest.join(nodes.select("node", "map"), "node"), crowd)
-
-        def maybe(batches):
+        maps = nodes.select("node", "map")
+        home = self._apart(shared.groupBy("node", "size").agg(F.min("pos").alias("pos"), F.min_by("key", "pos").alias("key")), None)
+        stars = written(self.candidates(home.join(maps, "node")), "stars")
+        labels = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+        rest = self._apart(shared.select("node", "size", "pos", "key"), labels)
+        more = written(self.candidates(rest.join(maps, "node")), "stars")
+        clusters = components(stars.unionByName(more))
+        met = clusters.withColumn("meet", F.count("*").over(Window.partitionBy("label"))).withColumnRenamed("label", "key").join(nodes.select("node", "doc_id"), "node")
+        labels = components(self.connected(self.texts(met)))
+        # a label is a node; its documents' smallest id names the component
+        of = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        names = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        named = of.join(names, "label").select("node", "component_id")
+        found = slim.filter("size > 0").select("doc_id", "node", F.col("size").alias("n_shingles")).join(named, "node").select("doc_id", "n_shingles", "component_id")
+        return found.unionByName(slim.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """Stars (a, b) of nodes that may link, or are tied by nodes that may; rows: key, node, label, size, pos, map, meet."""
+        num, den = self.num, self.den
+
+        def run(batches):
             for batch in _small(batches, num, den):
                 for t in _tables([batch], ["key", "s", "t"]):
-                    nodes_ = t.column("node").to_numpy()
                     sizes, pos = t.column("size").to_numpy(), t.column("pos").to_numpy()
                     maps = [np.frombuffer(x.as_py(), np.uint8) for x in t.column("map").chunk(0)]
-                    links_ = Links(t.column("label").to_numpy().tolist())
-                    out = []
-                    for i, j in meetings(maps, sizes, num, den, links_):
-                        most = min(pos[i], pos[j]) + 1 + min(sizes[i] - pos[i], sizes[j] - pos[j]) - 1
-                        if (num + den) * most >= num * (sizes[i] + sizes[j]):
-                            out.append((min(nodes_[i], nodes_[j]), max(nodes_[i], nodes_[j])))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[k_] for x in out], pa.int64()) for k_ in (0, 1)], schema=_LINKS)
-
-        pairs = written(rest.select("key", "s", "t", "node", "label", "size", "pos", "map").mapInArrow(maybe, LINKS).distinct(), "pairs")
-        both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-        sets = written(self.fetched(both), "pair-sets")
-
-        def decide(batches):
-            for batch in batches:
-                ok = [linked(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), num, den) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], schema=_LINKS)
+                    links = Links(t.column("label").to_numpy().tolist())
+                    new = False
+                    for i, j in meetings(maps, sizes, num, den, links):
+                        # what stands before the key in both, the key, and what stands behind it in both
+                        if (num + den) * (min(pos[i], pos[j]) + min(sizes[i] - pos[i], sizes[j] - pos[j])) >= num * (sizes[i] + sizes[j]):
+                            new |= links.join(i, j)
+                    if new:
+                        yield stars(links, t.column("node").to_numpy())
+
+        return _dealt(rows, self.crowd).select("key", "s", "t", "node", "label", "size", "pos", "map").mapInArrow(run, LINKS)
+
+    def connected(self, rows: DataFrame) -> DataFrame:
+        """Stars (a, b) of nodes that links connect; rows: key (the cluster), node, text, meet."""
+        n, num, den = self.n, self.num, self.den
 
-        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
-        labels = components(links.unionByName(met.select("a", "b", "x", "y").mapInArrow(decide, LINKS)))
-        # a label is a node; its documents' smallest id names the component
-        of = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        names = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = of.join(names, "label").select("node", "component_id")
-        found = table.filter("size > 0").select("doc_id", "node", F.col("size").alias("n_shingles")).join(named, "node").select("doc_id", "n_shingles", "component_id")
-        return found.unionByName(table.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        def run(batches):
+            for t in _tables(batches, ["key", "s", "t"]):
+                nodes, sets = t.column("node").to_numpy(), own_sets(t.column("text"), n)
+                mine = [node_id(v) == x for v, x in zip(sets, nodes.tolist())]  # a repeated id may have another text
+                nodes, sets = nodes[np.array(mine, bool)], [v for v, m in zip(sets, mine) if m]
+                links = Links(nodes.tolist())
+                new = False
+                for i, j in meetings([bitmap(v, 8) for v in sets], np.array([len(v) for v in sets]), num, den, links):
+                    if linked(sets[i], sets[j], num, den):
+                        new |= links.join(i, j)
+                if new:
+                    yield stars(links, nodes)
+
+        return _dealt(rows, self.crowd).select("key", "s", "t", "node", "text").mapInArrow(run, LINKS)
 
     def _apart(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         """rows (node, key) with their labels and counts, at keys where several labels meet."""
