@@ -67,7 +67,7 @@ def shingle_sets(column, n: int):
         yield first, values, np.searchsorted(of, np.arange(rows + 1))
 
 
-def bitmap(values: np.ndarray, per: int = 2) -> np.ndarray:
+def bitmap(values: np.ndarray, per: int = 1) -> np.ndarray:
     """A set's bitmap, as long as the power of two from `per` times its size on."""
     m = max(64, 1 << int(per * len(values) - 1).bit_length())
     flags = np.zeros(m, bool)
@@ -350,6 +350,10 @@ class Join:
         """rows (node, key) with their labels and counts, at keys where several labels meet."""
         rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else rows.withColumn("label", F.col("node"))
         w = Window.partitionBy("key")
+        # a set without any other of a fitting size at its key has no partner there
+        by_size, size = w.orderBy("size"), F.col("size")
+        fits = (F.lag("size").over(by_size) * self.den >= size * self.num) | (F.lead("size").over(by_size) * self.num <= size * self.den)
+        rows = rows.withColumn("_fits", F.coalesce(fits, F.lit(False))).filter("_fits").drop("_fits")
         return rows.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).withColumn("meet", F.count("*").over(w)).filter("low <> high").drop("low", "high")
 
 
