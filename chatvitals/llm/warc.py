@@ -119,9 +119,11 @@ def write_archives(df: DataFrame, page_id: str = "page_id", url: str = "url", ht
     return index.withColumn("file", F.concat(F.lit(folder + "/"), "file"))
 
 
-def read_records(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, stretch: int = 64 << 20) -> DataFrame:
+def read_records(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, stretch: int = 16 << 20) -> DataFrame:
     """The records of the given index rows.  Files are dealt in stretches; in each, ranges at most `gap` apart become one read of up to `most` bytes."""
-    placed = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / stretch)).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # a fixed number of partitions: index rows are small, what they stand for is not, so they must not be put together by size
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / stretch)).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(batches):
         from pyarrow.fs import FileSystem
