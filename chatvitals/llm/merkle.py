@@ -140,9 +140,11 @@ def fingerprints(df: DataFrame, text: str = "text", target: str = "fingerprint")
 COMPARED = T.StructType(
     [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))]
 )
-_EDGES = T.StructType([*COMPARED.fields, T.StructField("place", T.LongType()), T.StructField("side", T.LongType()), T.StructField("text", T.StringType())])
+#: both fingerprints in one column, so that what they share is stored once
+_HELD = T.StructType([f for f in COMPARED.fields if "fingerprint" not in f.name] + [T.StructField("both", T.StringType())])
+_EDGES = T.StructType([*_HELD.fields, T.StructField("place", T.LongType()), T.StructField("side", T.LongType()), T.StructField("text", T.StringType())])
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_ARROW_EDGES = pa.schema([*_ARROW, ("place", pa.int64()), ("side", pa.int64()), ("text", pa.large_string())])
+_ARROW_EDGES = pa.schema([*(f for f in _ARROW if "fingerprint" not in f.name), ("both", pa.large_string()), ("place", pa.int64()), ("side", pa.int64()), ("text", pa.large_string())])
 
 
 def compare(doc_id, text: str, mark: str, following: str, following_mark: str) -> dict:
@@ -161,7 +163,7 @@ def against_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     from .common import written
 
     ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(F.desc_nulls_last("doc_id"), F.desc("text")).sortWithinPartitions(F.desc_nulls_last("doc_id"), F.desc("text"))
+    ordered = ordered.repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), F.desc("text"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -175,14 +177,16 @@ def against_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     if before is None:
                         out.append({"doc_id": d, "place": place, "side": 0, "text": t})
                     else:
-                        out.append(compare(*before, t, mark))
+                        row = compare(*before, t, mark)
+                        out.append(row | {"both": f"{row.pop('fingerprint')}|{row.pop('edited_fingerprint')}"})
                     before = d, t, mark
                 yield pa.RecordBatch.from_pylist(out, _ARROW_EDGES)
         if before is not None:
             yield pa.RecordBatch.from_pylist([{"doc_id": before[0], "place": place, "side": 1, "text": before[1]}], _ARROW_EDGES)
 
     whole = written(ordered.mapInArrow(run, _EDGES), "merkle")
-    done = whole.filter("place is null").select(*COMPARED.fieldNames())
+    parts = {"fingerprint": F.split_part("both", F.lit("|"), F.lit(1)), "edited_fingerprint": F.split_part("both", F.lit("|"), F.lit(2))}
+    done = whole.filter("place is null").withColumns(parts).select(*COMPARED.fieldNames())
     firsts = whole.filter("side = 0").select("place", F.col("text").alias("following"))
     lasts = whole.filter("side = 1").select("place", "doc_id", "text")
     # two rows a partition: the partitions in use, each with the one after it, the last with the first
