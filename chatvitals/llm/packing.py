@@ -38,7 +38,7 @@ CHUNK = re.compile(f"[^{WHITE}]+")
 MOST_CHUNKS = 500_000
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Packed ids of texts; white space splits before every merge, so ids of the stretches between are kept and joined."""
 
     def __init__(self, path: str):
@@ -49,14 +49,15 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[str, bytes] = {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         chunks = [CHUNK.findall(t) for t in texts]
-        if len(self) > MOST_CHUNKS:
-            self.clear()
-        known = self.keys()
+        known = self.known
+        if len(known) > MOST_CHUNKS:
+            known.clear()
         words, other, made = set(), [], []
-        for c in {c for x in chunks for c in x if c not in known}:
+        for c in set().union(*chunks).difference(known):
             # a Latin word and the marks after it are never merged; case is folded before the merges
             word = c.rstrip(",.;:!?").lower()
             if word.isalpha() and max(word) < "\u0250":
@@ -71,10 +72,10 @@ class WordEncoder(dict):
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+                known[c] = np.array(e.ids, "<u4").tobytes()
         for c, word, marks in made:
-            self[c] = self[word] + (self[marks] if marks else b"")
-        return [b"".join(map(self.__getitem__, x)) for x in chunks]
+            known[c] = known[word] + (known[marks] if marks else b"")
+        return [b"".join(map(known.__getitem__, x)) for x in chunks]
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters only, many in one call: the tokenizer tells which word each id belongs to."""
@@ -87,7 +88,7 @@ class WordEncoder(dict):
                 raise ValueError("a word of letters gave several")
             start = 0
             for word, end in zip(part, ends.tolist()):
-                self[word] = ids[start:end].tobytes()
+                self.known[word] = ids[start:end].tobytes()
                 start = end
 
 
@@ -103,8 +104,8 @@ def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     def run(batches):
         encoder = _encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), []
+            for at in range(0, whole.num_rows, 512):
+                batch, out = whole.slice(at, 512), []
                 for d, ids in zip(batch.column("doc_id").to_pylist(), encoder.packed([t or "" for t in batch.column("text").to_pylist()])):
                     ids += last
                     for k in range(0, len(ids), step):
