@@ -1,35 +1,38 @@
 """LM scoring by a probabilistic suffix tree.
 
 The root's next-symbol distribution is add-one over the words of the training rows, one unknown word and the end.
-Contexts of one and two words are candidates if their words are frequent enough (shares `context_share` and
-`pair_share` of all tokens, which bounds their number), and a next symbol is kept at a context if the pair makes up
-`edge_share` of all tokens and its probability there diverges from that at the context's suffix by `ratio`.  A context is
-retained if the divergence of its kept symbols, in nats over all its occurrences, exceeds `gain` per symbol.
+Every word is a candidate context, and every retained context of k words is extended to all of k + 1, until none is
+retained.  A next symbol is counted at a context if the two occur together at least `least` times, and kept if its
+probability there diverges from that at the context's suffix by `ratio`.  A context is retained if the divergence of its kept
+symbols, in nats over all its occurrences, exceeds `gain` per symbol.
 Symbols that are not kept get the suffix's probability times a factor that makes the distribution sum to 1.
 A token is scored at the longest retained suffix of what stands before it; documents begin after an end.
 
-All counts are over all training rows: blocks are counted in the tasks, sums are shuffled.  What is
-broadcast is bounded by the shares (at most 1 / share rows), not by the corpus.  Counts of words below
-`head_share` meet the texts in a shuffled join, per document and distinct word.
+All counts are over all training rows and all tests run in Spark: blocks are counted in the tasks, sums are shuffled.
+As suffixes of retained contexts are retained, a token's logarithm is the root's plus one term for each retained context
+before it (its factor) and one for each kept symbol (what it differs from suffix and factor).  Terms are a table; the most
+frequent 1 / edge_share are broadcast, the others meet the texts in a shuffled join, as counts of words below
+`head_share` do, per document and distinct key.  Bitmaps of fixed size leave out what surely is not in a table.
 
-Words are 64-bit hashes of their lower-cased (A-Z) bytes.  Null text counts as empty: an end alone.  Repeated rows are
-each scored and each counted.  Without training rows every word is unknown.
+Words are 64-bit hashes of their lower-cased (A-Z) bytes, contexts and their symbols 64-bit hashes of those.  Null text
+counts as empty: an end alone.  Repeated rows are each scored and each counted.  Without training rows every word is unknown.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, range_hash, text_blocks, words, written
+from .common import BASE, MIX2, drop_written, mix, prefix_hash, range_hash, text_blocks, words, written
 
 END = np.uint64(0x0123456789ABCDEF)
-WIDE = np.int64(1 << 22)  # room for a next symbol's number in a key
+BITS = 1 << 26  # of a bitmap
+BUFFER = 1_000_000  # tokens counted at once
 BLOCK = 1 << 20
 
 
@@ -88,20 +91,115 @@ def _summed(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more word before it."""
+    return mix(context * BASE + word)
+
+
+def edge(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of a symbol behind a context."""
+    return mix((context ^ MIX2) * BASE + mix(symbol))
+
+
+class Bitmap:
+    """What may be among the keys of a table: few others pass, none of them is missed.  Its size is fixed."""
+
+    def __init__(self):
+        self.bytes = np.zeros(BITS // 8, np.uint8)
+
+    def add(self, keys: DataFrame) -> None:
+        x = keys.select((F.col(keys.columns[0]).bitwiseAND(BITS - 1) + 1).alias("x"))
+        segments = x.groupBy(F.bitmap_bucket_number("x").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toArrow()
+        for at, bits in zip(segments.column("at").to_pylist(), segments.column("bits").to_pylist()):
+            self.bytes[(at - 1) * len(bits) : at * len(bits)] |= np.frombuffer(bits, np.uint8)
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys & np.uint64(BITS - 1)
+        return self.bytes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def before(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token (an end before a text's first), and how many stand before it in its text with that end."""
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = row[1:] != row[:-1]
+    start = np.flatnonzero(fresh)
+    place = np.arange(len(row)) - start[np.cumsum(fresh) - 1] + 1
+    return np.where(fresh, END, np.concatenate([hashes[:1], hashes[:-1]])), place
+
+
+def _counted(train: DataFrame, depth: int, contexts: Bitmap, often: Bitmap) -> DataFrame:
+    """(a, b, n): how often each symbol at a context of depth - 1 words (a) has the word b before them; below depth 2 a is the
+    symbol.  With b null, from depth 3 on, occurrences of the context a of depth words.  Counts that surely are 1 may be left out."""
+
+    def rows_of(hashes, row):
+        word, place = before(hashes, row)
+        at = np.arange(len(row))
+        at = at[often.may(hashes[at]) & often.may(word[at])] if depth == 1 else at
+        if depth == 1:
+            return hashes[at], word[at], np.zeros(0, np.uint64)
+        context, first = word, at
+        for k in range(1, depth):
+            ok = contexts.may(context) & (place[at] > k)
+            at, context = at[ok], context[ok]
+            if k < depth - 1:
+                context = longer(context, word[at - k])
+        more = word[at - k]
+        under = edge(context, hashes[at])
+        pair = often.may(edge(more, hashes[at - k]))  # a context is at most as frequent as its first two words
+        two, whole = pair & often.may(under), longer(context, more)
+        return under[two], more[two], whole[pair] if depth > 2 else whole[:0]  # contexts of two are all counted as symbols of one
+
+    def given(a, b, c):
+        a, b, c = (np.concatenate(x) for x in (a, b, c))
+        _, at, n = np.unique(mix(a * BASE + b), return_index=True, return_counts=True)
+        whole, m = np.unique(c, return_counts=True)
+        word = pa.array(np.concatenate([b[at].view(np.int64), np.zeros(len(whole), np.int64)]), mask=np.r_[np.zeros(len(at), bool), np.ones(len(whole), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[at], whole]).view(np.int64)), word, pa.array(np.concatenate([n, m]))], ["a", "b", "n"])
+
+    def run(batches):
+        waiting, many = [], 0
+        for batch in batches:
+            for _, hashes, row in tokens(batch.column(0)):
+                waiting.append(rows_of(hashes, row))
+                many += len(hashes)
+                if many >= BUFFER:
+                    yield given(*zip(*waiting))
+                    waiting, many = [], 0
+        if waiting:
+            yield given(*zip(*waiting))
+
+    return train.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _named(edges: DataFrame, depth: int) -> DataFrame:
+    """(key, context, symbol, n, below, whole) of rows (shorter, symbol, b, n, below); whole: context and symbol as a context (depth 1)."""
+
+    def run(batches):
+        for batch in batches:
+            shorter, symbol, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("shorter", "symbol", "b"))
+            context = b if depth == 1 else longer(shorter, b)
+            yield pa.RecordBatch.from_arrays([pa.array(edge(context, symbol).view(np.int64)), pa.array(context.view(np.int64)), batch.column("symbol"), batch.column("n"), batch.column("below"), pa.array(longer(symbol, b).view(np.int64))], ["key", "context", "symbol", "n", "below", "whole"])
+
+    return edges.select("shorter", "symbol", "b", "n", "below").mapInArrow(run, "key long, context long, symbol long, n long, below double, whole long")
+
+
 @dataclass
 class Model:
     total: int
     distinct: int
     head: np.ndarray  # sorted hashes of frequent words
     head_counts: np.ndarray
-    context: np.ndarray  # number of a head word as context of one, or -1
-    pair: np.ndarray  # number of a head word in contexts of two, or -1
-    pairs: int
-    context_counts: np.ndarray = None
-    edge_keys: np.ndarray = None  # sorted: (context of one, next) and, after them, (context of two, next)
+    depth: int = 0  # of the longest retained context
+    terms: DataFrame = None  # (key, value): contexts and kept symbols of all depths that are not broadcast
+    contexts: Bitmap = None
+    kept: Bitmap = None
+    hot: np.ndarray = None  # sorted keys of the terms that are broadcast
+    hot_values: np.ndarray = None
+    context: np.ndarray = None  # hashes of the most frequent words, contexts of one
+    factor: np.ndarray = None  # log10 of what the frequent kept symbols leave to each of them; nan: not retained
+    pair_factor: np.ndarray = None  # the same of frequent contexts of two
+    edge_keys: np.ndarray = None  # sorted: frequent kept symbols
     edge_logs: np.ndarray = None
-    factor: np.ndarray = None  # log10 of each context's factor; nan: not retained
-    pair_factor: np.ndarray = None
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word among the frequent ones, or -1."""
@@ -110,133 +208,162 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
         return np.where(self.head[at] == hashes, at, -1)
 
-    def before(self, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts (of one word, of two words) of each token, or -1.  Before a text stands an end."""
-        end = self.numbers(np.array([END]))[0]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = row[1:] != row[:-1]
-        one = np.where(fresh, end, np.concatenate([[-1], number[:-1]]))
-        two = np.where(fresh, -1, np.concatenate([[-1], one[:-1]]))
-        none = lambda table, x: np.where(x >= 0, table[x], -1) if len(table) else np.full(len(x), -1)
-        a, b = none(self.pair, two), none(self.pair, one)
-        return none(self.context, one), np.where((a >= 0) & (b >= 0), a * self.pairs + b, -1)
-
     def root(self, number: np.ndarray) -> np.ndarray:
         """log10 of (count + 1) for frequent words, 0 for others, whose counts come by the join."""
         return np.where(number >= 0, np.log10(self.head_counts[number] + 1.0), 0.0) if len(self.head) else np.zeros(len(number))
 
+    def added(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the broadcast terms add to each token's logarithm, and other keys that may be terms, with the token of each."""
+        out = np.zeros(len(row))
+        word, place = before(hashes, row)
+        at, context, keys, tokens_of = np.arange(len(row)), word, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k in range(1, self.depth + 1):
+            held = self.contexts.may(context)
+            at, context = at[held], context[held]
+            symbols = edge(context, hashes[at])
+            kept = self.kept.may(symbols)
+            for key, where in ((context, at), (symbols[kept], at[kept])):
+                slot = np.minimum(np.searchsorted(self.hot, key), max(len(self.hot) - 1, 0))
+                hit = self.hot[slot] == key if len(self.hot) else np.zeros(len(key), bool)
+                out[where[hit]] += self.hot_values[slot[hit]]
+                keys.append(key[~hit])
+                tokens_of.append(where[~hit])
+            on = place[at] > k
+            at, context = at[on], context[on]
+            context = longer(context, word[at - k])
+        return out, np.concatenate(keys), np.concatenate(tokens_of)
+
     def edges(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """log10 of the kept probability, nan where the symbol is not kept."""
+        """log10 of the probability of frequent kept symbols (frequent words) at contexts of one, nan for others."""
         if not len(self.edge_keys):
             return np.full(len(number), np.nan)
-        keys = np.where((context >= 0) & (number >= 0), context * WIDE + number, -1)
+        keys = edge(self.context[context], self.head[number])
         at = np.minimum(np.searchsorted(self.edge_keys, keys), len(self.edge_keys) - 1)
         return np.where(self.edge_keys[at] == keys, self.edge_logs[at], np.nan)
 
-    def logs(self, number: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability, short of log10(count + 1) where a rare word ends at the root."""
-        one, two = self.before(number, row)
-        norm = math.log10(self.total + self.distinct + 1)
-        out = self.root(number) - norm
-        for context, table, shift in ((one, self.factor, 0), (two, self.pair_factor, len(self.context_counts))):
-            if not len(table):
-                continue
-            factor = np.where(context >= 0, table[context], np.nan)
-            held = ~np.isnan(factor)
-            at = self.edges(np.where(held, context + shift, -1), number)
-            out = np.where(held, np.where(np.isnan(at), out + np.nan_to_num(factor), at), out)
-        return out
-
 
-def fit(train: DataFrame, head_share: float = 5e-7, context_share: float = 2e-4, pair_share: float = 2e-3, edge_share: float = 1e-6, ratio: float = 1.1, gain: float = 2.0, prior: float = 20.0) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (key, n).  train: one column of texts."""
+def fit(train: DataFrame, head_share: float = 5e-7, context_share: float = 2e-4, pair_share: float = 2e-3, edge_share: float = 1e-6, ratio: float = 1.1, gain: float = 2.0, prior: float = 20.0, least: int = 2) -> tuple[Model, DataFrame]:
+    """The model, and the table of all counts (key, n).  train: one column of texts.  The shares say what is held in memory: they
+    leave no context and no symbol out."""
     counts = written(_summed(train, lambda hashes, row: hashes.view(np.int64)), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, head_share * total)
     end_key = int(END.view(np.int64))
-    top = counts.filter((F.col("n") >= least) | (F.col("key") == end_key)).toPandas()  # at most 1 / head_share rows and one
-    hashes, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = counts.filter((F.col("n") >= max(1.0, head_share * total)) | (F.col("key") == end_key)).toArrow()  # at most 1 / head_share rows and one
+    hashes, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(hashes)
-    head, n = hashes[order], n[order]
-    numbered = lambda share: np.where(n >= max(share * total, 1), np.cumsum(n >= max(share * total, 1)) - 1, -1)
-    context, pair = numbered(context_share), numbered(pair_share)
-    model = Model(int(total), int(distinct), head, n, context, pair, int(pair.max(initial=-1)) + 1)
-    model.context_counts = n[context >= 0].astype(float)
-    singles = len(model.context_counts)
-    floor = max(2.0, edge_share * total)
-    often = n >= floor
-    none = int(WIDE - 1)  # next symbol of a key that counts the context itself
-
-    def keys_of(hashes, row):
-        number = model.numbers(hashes)
-        one, two = model.before(number, row)
-        ok = np.where(number >= 0, often[number], False) if len(often) else np.zeros(len(number), bool)
-        first, second = ok & (one >= 0), ok & (two >= 0)
-        return np.concatenate([one[first] * WIDE + number[first], (two[second] + singles) * WIDE + number[second], (two[two >= 0] + singles) * WIDE + none])
-
-    model.edge_keys = np.zeros(0, np.int64)
-    if total and len(head):
-        kept = _summed(train, keys_of).filter((F.col("n") >= floor)).toPandas()  # at most 1 / edge_share rows a depth
-        _learn(model, kept["key"].to_numpy(np.int64), kept["n"].to_numpy(float), singles, none, ratio, gain, prior)
-    else:
-        model.factor, model.pair_factor, model.edge_logs = np.full(singles, np.nan), np.zeros(0), np.zeros(0)
+    model = Model(int(total), int(distinct), hashes[order], n[order])
+    model.context = model.head[model.head_counts >= max(context_share * total, 1)]
+    made = _grow(model, train, counts, least, ratio, gain, prior)
+    _hold(model, edge_share, pair_share)
+    for df in made:
+        drop_written(df)
     return model, counts
 
 
-def _learn(model: Model, keys: np.ndarray, n: np.ndarray, singles: int, none: int, ratio: float, gain: float, prior: float) -> None:
-    """Divergence tests and smoothing, contexts of one word first."""
-    context, symbol = keys // WIDE, keys % WIDE
-    depth_two = context >= singles
-    own = depth_two & (symbol == none)
-    pair_counts = np.zeros(model.pairs**2)
-    pair_counts[context[own] - singles] = n[own]
-    base = (model.head_counts + 1.0) / (model.total + model.distinct + 1)
-    out_keys, out_logs = [], []
-
-    def level(rows, slots, occurrences, suffix):
-        """Keeps symbols of contexts; suffix gives their probability one word shorter."""
-        c, s, m = rows
-        p_suffix = suffix(c, s)
-        p = (m + prior * p_suffix) / (occurrences[c] + prior)
-        apart = (p >= ratio * p_suffix) | (p * ratio <= p_suffix)
-        divergence = np.bincount(c[apart], (m * np.log(p / p_suffix))[apart], slots)
-        number = np.bincount(c[apart], minlength=slots)
-        held = (number > 0) & (divergence > gain * number)
-        keep = apart & held[c]
-        factor = np.full(slots, np.nan)
-        left = 1 - np.bincount(c[keep], p[keep], slots)
-        rest = 1 - np.bincount(c[keep], p_suffix[keep], slots)
-        factor[held] = np.log10(np.maximum(left[held], 1e-9) / np.maximum(rest[held], 1e-9))
-        return factor, c[keep], s[keep], np.log10(p[keep])
-
-    first = ~depth_two
-    model.factor, c, s, logs = level((context[first], symbol[first], n[first]), singles, model.context_counts, lambda c, s: base[s])
-    out_keys.append(c * WIDE + s)
-    out_logs.append(logs)
-    order = np.argsort(out_keys[0])
-    model.edge_keys, model.edge_logs = out_keys[0][order], out_logs[0][order]
-    # the last word of a context of two, as a context of one
-    words_of_pair = np.flatnonzero(model.pair >= 0)
-    short = model.context[words_of_pair] if len(words_of_pair) else np.zeros(0, np.int64)
-
-    def suffix(c, s):
-        one = short[c % model.pairs]
-        factor = np.where(one >= 0, model.factor[one], np.nan)
-        at = model.edges(np.where(np.isnan(factor), -1, one), s)
-        return np.where(np.isnan(factor), base[s], np.where(np.isnan(at), base[s] * 10 ** np.nan_to_num(factor), 10 ** np.nan_to_num(at)))
-
-    second = depth_two & (symbol != none)
-    second &= pair_counts[np.where(second, context - singles, 0)] > 0
-    model.pair_factor, c, s, logs = level((context[second] - singles, symbol[second], n[second]), model.pairs**2, pair_counts, suffix)
-    keys = np.concatenate([model.edge_keys, (c + singles) * WIDE + s])
-    logs = np.concatenate([model.edge_logs, logs])
+def _free(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done: it does so when the driver collects garbage."""
+    df.sparkSession._jvm.System.gc()
+
+
+def _grow(model: Model, train: DataFrame, counts: DataFrame, least: int, ratio: float, gain: float, prior: float) -> list[DataFrame]:
+    """Contexts of one word, of two, and so on while any is retained.  Returns the tables that the terms are read from."""
+    often, norm = Bitmap(), math.log10(model.total + model.distinct + 1)
+    model.contexts, model.kept = Bitmap(), Bitmap()
+    often.add(counts.filter(F.col("n") >= least).select("key"))
+    below = counts.select(F.col("key").alias("a"), F.lit(0).cast("long").alias("shorter"), F.col("key").alias("symbol"), (F.log10(F.col("n") + 1) - norm).alias("below"))
+    terms, made = [], []
+    while model.total:
+        depth = model.depth + 1
+        found = written(_counted(train, depth, model.contexts, often).filter(F.col("n") >= least), "grams")
+        _free(found)
+        if depth == 1:
+            occurrences = counts.select(F.col("key").alias("context"), F.col("n").alias("all"))
+        elif depth > 2:
+            occurrences = found.filter("b is null").select(F.col("a").alias("context"), F.col("n").alias("all"))
+        edges = _named(found.filter("b is not null").join(below, "a"), depth)
+        edges = written((edges if depth == 1 else edges.drop("whole")).join(occurrences, "context"), "edges")
+        _free(edges)
+        if depth == 1:
+            occurrences = written(edges.select(F.col("whole").alias("context"), F.col("n").alias("all")), "pairs")
+            made.append(occurrences)
+        p, suffix = (F.col("n") + prior * F.col("ps")) / (F.col("all") + prior), F.col("ps")
+        tested = edges.withColumn("ps", F.pow(F.lit(10.0), "below")).withColumn("p", p).withColumn("apart", (F.col("p") >= ratio * suffix) | (F.col("p") * ratio <= suffix))
+        sums = tested.filter("apart").groupBy("context").agg(F.max("all").alias("all"), F.count("*").alias("number"), F.sum(F.col("n") * F.log(F.col("p") / suffix)).alias("divergence"), F.sum("p").alias("left"), F.sum("ps").alias("rest"))
+        factor = F.log10(F.greatest(1 - F.col("left"), F.lit(1e-9)) / F.greatest(1 - F.col("rest"), F.lit(1e-9)))
+        held = written(sums.filter(F.col("divergence") > gain * F.col("number")).select("context", "all", factor.alias("factor")), "contexts")
+        made.append(held)
+        if not held.limit(1).count():
+            made += [edges, found]
+            break
+        log = F.when(F.col("apart"), F.log10("p")).otherwise(F.col("below") + F.col("factor"))
+        value = F.when(F.col("apart"), F.log10("p") - F.col("below") - F.col("factor"))
+        here = written(tested.join(held.select("context", "factor"), "context").select("key", "context", "symbol", "n", log.alias("log"), value.alias("value")), "symbols")
+        made.append(here)
+        kept = here.filter("value is not null")
+        model.contexts.add(held.select("context"))
+        model.kept.add(kept.select("key"))
+        often.add((edges if depth == 1 else here).select("key"))
+        drop_written(edges)
+        drop_written(found)
+        _free(here)
+        none = F.lit(None).cast("double")
+        terms.append(held.select(F.col("context").alias("key"), F.col("all").alias("n"), "context", F.col("factor").alias("value"), none.alias("log"), F.lit(depth).alias("depth")))
+        terms.append(kept.select("key", "n", "context", "value", "log", F.lit(depth).alias("depth")))
+        model.depth = depth
+        below = here.select(F.col("key").alias("a"), F.col("context").alias("shorter"), "symbol", F.col("log").alias("below"))
+    for t in terms:
+        model.terms = t if model.terms is None else model.terms.unionByName(t)
+    return made
+
+
+def _hold(model: Model, edge_share: float, pair_share: float) -> None:
+    """The most frequent terms, at most 1 / edge_share and those of one count more, for broadcast."""
+    model.hot, model.hot_values, model.factor, model.pair_factor = np.zeros(0, np.uint64), np.zeros(0), np.full(len(model.context), np.nan), np.zeros(0)
+    model.edge_keys, model.edge_logs = np.zeros(0, np.uint64), np.zeros(0)
+    if model.terms is None:
+        return
+    many = int(1 / edge_share)
+    # few distinct counts: rising in steps of 1 / 16 of a power of two
+    step = F.floor(F.log2("n") * 16)
+    steps = sorted(((r["step"], r["m"]) for r in model.terms.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    above, lowest = 0, math.inf
+    for s, m in steps:
+        above += m
+        if above > many:
+            break
+        lowest = s
+    rows = model.terms.filter(step >= F.lit(lowest)).toArrow()
+    get = lambda c: rows.column(c).to_numpy()
+    keys, of, n, value, log, depth = get("key").view(np.uint64), get("context").view(np.uint64), get("n"), get("value"), get("log").astype(float), get("depth")
+    model.terms = written(model.terms.filter(step < F.lit(lowest)).select("key", "value"), "terms")
+    _free(model.terms)
     order = np.argsort(keys)
-    model.edge_keys, model.edge_logs = keys[order], logs[order]
+    model.hot, model.hot_values = keys[order], value[order]
+    symbol = ~np.isnan(log) & (n >= max(2.0, edge_share * model.total))
+    order = np.flatnonzero(symbol)[np.argsort(keys[symbol])]
+    model.edge_keys, model.edge_logs = keys[order], log[order]
+    context = np.isnan(log)
+    names, factors = keys[context], value[context]
+    if not len(names):
+        return
+    order = np.argsort(names)
+    names, factors, depths, times = names[order], factors[order], depth[context][order], n[context][order]
+    at = np.minimum(np.searchsorted(names, of), len(names) - 1)
+    symbol &= names[at] == of
+    at = at[symbol]
+    left = 1 - np.bincount(at, 10 ** log[symbol], len(names))
+    rest = 1 - np.bincount(at, 10 ** (log[symbol] - value[symbol] - factors[at]), len(names))
+    own = np.log10(np.maximum(left, 1e-9) / np.maximum(rest, 1e-9))
+    at = np.minimum(np.searchsorted(names, model.context), len(names) - 1)
+    if len(at):
+        model.factor = np.where((names[at] == model.context) & (depths[at] == 1), own[at], np.nan)
+    model.pair_factor = own[(depths == 2) & (times >= pair_share * model.total)]
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score to docs; text is dropped."""
     kept = [c for c in docs.columns if c != text]
+    terms, model = model.terms, replace(model, terms=None)  # the tasks get the arrays alone
     norm = math.log10(model.total + model.distinct + 1)
     names = ["uid", "n_tokens", "known", "base", "part", "rare", "times"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -249,16 +376,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
             for first, hashes, row in tokens(batch.column(text)):
                 rows = int(row[-1]) + 1
                 number = model.numbers(hashes)
-                logs, root = model.logs(number, row), model.root(number) - norm
+                root = model.root(number) - norm
+                logs, keys, of = model.added(hashes, row)
+                logs += root
                 add = lambda x: np.bincount(row, x, rows)
                 rare = number < 0
-                pairs = np.rec.fromarrays([row[rare], hashes[rare]])
-                order = np.lexsort((pairs.f1, pairs.f0))
-                r, h = pairs.f0[order], pairs.f1[order]
+                r, h, term = np.concatenate([row[rare], row[of]]), np.concatenate([hashes[rare], keys]), np.repeat([False, True], [rare.sum(), len(keys)])
+                order = np.lexsort((h, term, r))
+                r, h, term = r[order], h[order], term[order]
                 new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (term[1:] != term[:-1])
                 at = np.flatnonzero(new)
-                times = np.diff(np.r_[at, len(r)]).astype(np.int32)
+                times = (np.diff(np.r_[at, len(r)]) * np.where(term[at], -1, 1)).astype(np.int32)  # of terms: below zero
                 offsets = np.searchsorted(r[at], np.arange(rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
                 part = batch.slice(first, rows)
@@ -271,15 +400,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))))])
     scored = written(docs.mapInArrow(run, schema), "scored")
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("uid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    known = rare.join(counts.filter(F.col("key") != int(END.view(np.int64))), "key").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("rare_known"))
-    more = F.coalesce("more", F.lit(0.0))
+    rare = rare.select("uid", "key", F.abs("times").alias("times"), (F.col("times") < 0).alias("term"))
+    table = counts.filter(F.col("key") != int(END.view(np.int64))).select("key", F.lit(False).alias("term"), F.log10(F.col("n") + 1).alias("value"))
+    if terms is not None:
+        table = table.unionByName(terms.select("key", F.lit(True).alias("term"), "value"))
+    word, value = ~F.col("term"), F.col("times") * F.col("value")
+    known = rare.join(table, ["key", "term"]).groupBy("uid").agg(F.sum(F.when(word, value)).alias("more"), F.sum(value).alias("all"), F.sum(F.when(word, F.col("times"))).alias("rare_known"))
+    more, all = F.coalesce("more", F.lit(0.0)), F.coalesce("all", F.lit(0.0))
     return scored.drop("rare", "times").join(known, "uid", "left").select(
         *kept,
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("part") + more).alias("score"),
+        (F.col("part") + all).alias("score"),
     )
 
 

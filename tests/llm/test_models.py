@@ -94,6 +94,68 @@ def test_suffix_lm(spark):
         assert held.sum() + (1 - base[~np.isnan(at)].sum()) * 10 ** model.factor[s] == pytest.approx(1)
 
 
+def _suffix_scores(train, texts, ratio=1.1, gain=2.0, prior=20.0, least=2):
+    """Base and full log10 scores, by dictionaries."""
+    rows = [[None, *_tokens(x)] for x in train]  # a document begins after an end
+    c = Counter(t for w in rows for t in w[1:])
+    total, v = sum(c.values()), len(c)
+    trees, k = [], 0
+
+    def p(context, s):
+        for tree in reversed(trees[: len(context)]):
+            d = len(context) and context[-tree[0] :]
+            if d in tree[1]:
+                kept, factor = tree[1][d]
+                return kept[s] if s in kept else p(context[-tree[0] + 1 :] if tree[0] > 1 else (), s) * factor
+        return (c[s] + 1) / (total + v + 1)
+
+    while True:
+        k += 1
+        grams, whole = Counter(), Counter()
+        for w in rows:
+            for i in range(k, len(w)):
+                context = tuple(w[i - k : i])
+                if k == 1 or context[1:] in trees[-1][1]:
+                    grams[context, w[i]] += 1
+                    whole[context] += 1
+        found = {}
+        for (context, s), m in grams.items():
+            if m >= least:
+                below = p(context[1:], s)
+                q = (m + prior * below) / (whole[context] + prior)
+                if q >= ratio * below or q * ratio <= below:
+                    found.setdefault(context, {})[s] = (m, q, below)
+        held = {}
+        for context, kept in found.items():
+            if sum(m * math.log(q / b) for m, q, b in kept.values()) > gain * len(kept):
+                held[context] = {s: q for s, (_, q, _) in kept.items()}, max(1 - sum(q for _, q, _ in kept.values()), 1e-9) / max(1 - sum(b for _, _, b in kept.values()), 1e-9)
+        if not held:
+            break
+        trees.append((k, held))
+    out = []
+    for x in texts:
+        w = [None, *_tokens(x)]
+        out.append((sum(math.log10((c[t] + 1) / (total + v + 1)) for t in w[1:]), sum(math.log10(p(tuple(w[max(0, i - len(trees)) : i]), w[i])) for i in range(1, len(w)))))
+    return out, len(trees)
+
+
+@pytest.mark.parametrize("edge_share", [1e-6, 1e-1])
+def test_suffix_lm_is_the_whole_tree(spark, edge_share):
+    rnd = random.Random(8)
+    common = [f"w{i}" for i in range(40)]
+    phrases = [[f"{x}{i}" for i in range(7)] for x in "pqr"] + [["a", "b", "c", x, "b", "c", y] for x, y in ("de", "ed", "ff")]
+    texts = [" ".join(t for _ in range(rnd.randrange(1, 25)) for t in ([rnd.choice(common)] if rnd.random() < 0.8 else rnd.choice(phrases))) for _ in range(400)]
+    texts += ["once seen rare words", "here once seen rare words", None, "", "unseen p1 p2 p3 words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [x for i, x in enumerate(texts) if i % 5 or i > 399]
+    want, depth = _suffix_scores(train[:-1], texts)
+    model, counts = suffix_lm.fit(df.filter("(doc_id % 5 > 0 or doc_id > 399) and doc_id < 404").select("text"), head_share=1e-2, context_share=0.5, pair_share=0.5, edge_share=edge_share)
+    assert model.depth == depth > 2
+    got = {r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_lm.score(df, model, counts).collect()}
+    for i, (base, score) in enumerate(want):
+        assert got[i] == (pytest.approx(base), pytest.approx(score))
+
+
 def test_suffix_lm_without_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model, counts = suffix_lm.fit(df.filter("false").select("text"))
