@@ -235,9 +235,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def row_key(doc_id: str, text: str):
+    """A hash of id and text: rows that share it are copies in both."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
 class Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, sample: int = 5_000, crowd: int = 2048):
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), row_key(doc_id, text).alias("row"))
         self.n, self.num, self.den, self.sample, self.crowd = n, num, den, sample, crowd
 
     def frequent(self) -> np.ndarray:
@@ -256,12 +261,12 @@ class Join:
         return np.sort(found.select("key").toPandas()["key"].to_numpy(np.int64))
 
     def sets(self, last: np.ndarray) -> DataFrame:
-        """doc_id, node, size, keys and bitmap of every document; last: n-grams that come last in the order of keys."""
+        """doc_id, row key, node, size, keys and bitmap of every document; last: n-grams that come last in the order of keys."""
         n, num, den = self.n, self.num, self.den
 
         def run(batches):
             for batch in batches:
-                ids = batch.column("doc_id")
+                ids, marks = batch.column("doc_id"), batch.column("row")
                 for first, values, bounds in shingle_sets(batch.column("text"), n):
                     rows, keys, maps, names = len(bounds) - 1, [], [], []
                     late = np.isin(values, last)
@@ -274,19 +279,19 @@ class Join:
                         names.append(node_id(v))
                     offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                     lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-                    yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(names, pa.int64()), pa.array(np.diff(bounds)), lists, pa.array(maps, pa.large_binary())], ["doc_id", "node", "size", "keys", "map"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, rows), marks.slice(first, rows), pa.array(names, pa.int64()), pa.array(np.diff(bounds)), lists, pa.array(maps, pa.large_binary())], ["doc_id", "row", "node", "size", "keys", "map"])
 
-        return self.docs.mapInArrow(run, "doc_id long, node long, size long, keys array<long>, map binary")
+        return self.docs.mapInArrow(run, "doc_id long, row long, node long, size long, keys array<long>, map binary")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """wanted (with doc_id) and the texts of those ids: only documents that may be among them are shuffled."""
-        return near_rows(self.docs, wanted, "doc_id").join(wanted, "doc_id")
+        """wanted (with row) and the text of each: only documents that may be among them are shuffled, and of equal rows one."""
+        return near_rows(self.docs.select("row", "text"), wanted, "row").groupBy("row").agg(F.first("text").alias("text")).join(wanted, "row")
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+    def run(self, labels_too: bool = False) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row; with row keys and labels (components by name, 0 of those without words) if asked."""
         table = written(self.sets(self.frequent()), "sets")
-        slim = written(table.select("doc_id", "node", "size"), "slim")
-        nodes = written(table.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.min(F.struct("keys", "map")).alias("x")).select("node", "doc_id", "size", "x.keys", "x.map"), "nodes")
+        slim = written(table.select("doc_id", "row", "node", "size"), "slim")
+        nodes = written(table.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.max("size").alias("size"), F.min(F.struct("keys", "map")).alias("x")).select("node", "doc_id", "row", "size", "x.keys", "x.map"), "nodes")
         drop_written(table)
         keys = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
         shared = keys.withColumn("meet", F.count("*").over(Window.partitionBy("key"))).filter("meet > 1")
@@ -298,14 +303,16 @@ class Join:
         rest = self._apart(shared.select("node", "size", "pos", "key"), labels)
         more = written(self.candidates(rest.join(maps, "node")), "stars")
         clusters = components(stars.unionByName(more))
-        met = clusters.withColumn("meet", F.count("*").over(Window.partitionBy("label"))).withColumnRenamed("label", "key").join(nodes.select("node", "doc_id"), "node")
+        met = clusters.withColumn("meet", F.count("*").over(Window.partitionBy("label"))).withColumnRenamed("label", "key").join(nodes.select("node", "row"), "node")
         labels = components(self.connected(self.texts(met)))
         # a label is a node; its documents' smallest id names the component
         of = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         names = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = of.join(names, "label").select("node", "component_id")
-        found = slim.filter("size > 0").select("doc_id", "node", F.col("size").alias("n_shingles")).join(named, "node").select("doc_id", "n_shingles", "component_id")
-        return found.unionByName(slim.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        named = of.join(names, "label").select("node", "label", "component_id")
+        found = slim.filter("size > 0").withColumnRenamed("size", "n_shingles").join(named, "node")
+        rest = slim.filter("size = 0").withColumnRenamed("size", "n_shingles").withColumn("label", F.lit(0).cast("long")).withColumn("component_id", F.col("doc_id"))
+        columns = ["doc_id", "n_shingles", "component_id", *(["row", "label"] if labels_too else [])]
+        return found.select(*columns).unionByName(rest.select(*columns))
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """Stars (a, b) of nodes that may link, or are tied by nodes that may; rows: key, node, label, size, pos, map, meet."""
@@ -334,7 +341,7 @@ class Join:
         def run(batches):
             for t in _tables(batches, ["key", "s", "t"]):
                 nodes, sets = t.column("node").to_numpy(), own_sets(t.column("text"), n)
-                mine = [node_id(v) == x for v, x in zip(sets, nodes.tolist())]  # a repeated id may have another text
+                mine = [node_id(v) == x for v, x in zip(sets, nodes.tolist())]  # row keys are hashes
                 nodes, sets = nodes[np.array(mine, bool)], [v for v, m in zip(sets, mine) if m]
                 links = Links(nodes.tolist())
                 new = False
@@ -395,9 +402,10 @@ def _runs(batches):
         yield pa.Table.from_batches(waiting).combine_chunks()
 
 
-def groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id that links reach) for every row of docs; links: similarity of num / den or more on n words."""
-    return Join(docs, n, num, den, doc_id, text, **more).run()
+def groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text", labels_too: bool = False, **more) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id that links reach) for every row of docs; links: similarity of num / den or more on n words.
+    labels_too adds row (row_key) and label, which tells components without an id apart."""
+    return Join(docs, n, num, den, doc_id, text, **more).run(labels_too)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,23 @@ def test_jaccard_small_tables(spark):
     assert jaccard.groups(df.filter("false")).count() == 0
 
 
+def _words(tag, n=100, **changed):
+    return " ".join(changed.get(f"{tag}{i}", f"{tag}{i}") for i in range(n))
+
+
+def test_jaccard_null_ids_in_a_chain(spark):
+    link, far = _words("a", a10="x"), _words("a", a10="x", a60="y")
+    rows = [(7, _words("a")), (None, link), (9, far), (None, link), (None, _words("b")), (None, _words("b", b20="z")), (8, _words("c")), (8, _words("d")), (3, _words("d", d5="q"))]
+    sets = {t: {tuple(t.split()[i : i + 4]) for i in range(97)} for _, t in rows}
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert like(rows[0][1], far) < 0.9 < min(like(rows[0][1], link), like(link, far))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard.groups(df, 4, 90, 100).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 7), (-1, 7), (3, 3), (7, 7), (8, 3), (8, 8), (9, 7)]
+    labels = jaccard.groups(df, 4, 90, 100, labels_too=True).filter("component_id is null").select("label").distinct()
+    assert labels.count() == 1
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
