@@ -24,11 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 0.8 or more on five words connect, the document with the smallest doc_id stays (of repeated rows of it, one)."""
-    kept = jaccard.groups(docs.select("doc_id", "text")).filter("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    wordless = docs.filter(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return stay.unionByName(wordless.join(kept, "doc_id", "left_anti").select(*docs.columns))
+    """Of each group that links of 0.8 or more on five words connect, the document with the smallest doc_id stays (null is the largest; of
+    rows that share it the one with the smallest row key, of repeated rows one).  Documents without words all stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = jaccard.groups(docs.select("doc_id", "text"), labels_too=True).filter("n_shingles > 0").groupBy("label").agg(first).select(F.col("first.row").alias("_row"))
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    stay = docs.filter(~wordless).withColumn("_row", jaccard.row_key("doc_id", "text")).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return stay.select(*docs.columns).unionByName(docs.filter(wordless))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

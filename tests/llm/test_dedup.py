@@ -120,6 +120,16 @@ def test_jaccard_null_ids_in_a_chain(spark):
     assert labels.count() == 1
 
 
+def test_near_copies_of_null_and_repeated_ids(spark, sf):
+    rows = [(1, _words("a")), (5, _words("a", a3="x")), (5, _words("b")), (None, _words("c")), (None, _words("d")), (None, _words("d", d9="x")), (None, _words("a", a7="x")), (6, _words("e")), (6, _words("e")), (6, " "), (7, None), (None, ""), (1, "\t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, sf).collect()]
+    d = [r for r in got if r in (rows[4], rows[5])]
+    assert len(d) == 1
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(got, key=key) == sorted([rows[0], rows[2], rows[3], *d, rows[7], *rows[9:]], key=key)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
