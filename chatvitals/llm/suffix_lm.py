@@ -1,21 +1,27 @@
 """LM scoring by a probabilistic suffix tree.
 
-The root's next-symbol distribution is add-one over the words of the training rows, one unknown word and the end.
-Every word is a candidate context, and every retained context of k words is extended to all of k + 1, until none is
-retained.  A next symbol is counted at a context if the two occur together at least `least` times, and kept if its
-probability there diverges from that at the context's suffix by `ratio`.  A context is retained if the divergence of its kept
-symbols, in nats over all its occurrences, exceeds `gain` per symbol.
-Symbols that are not kept get the suffix's probability times a factor that makes the distribution sum to 1.
-A token is scored at the longest retained suffix of what stands before it; documents begin after an end.
-
-All counts are over all training rows and all tests run in Spark: blocks are counted in the tasks, sums are shuffled.
-As suffixes of retained contexts are retained, a token's logarithm is the root's plus one term for each retained context
-before it (its factor) and one for each kept symbol (what it differs from suffix and factor).  Terms are a table; the most
-frequent 1 / edge_share are broadcast, the others meet the texts in a shuffled join, as counts of words below
-`head_share` do, per document and distinct key.  Bitmaps of fixed size leave out what surely is not in a table.
-
-Words are 64-bit hashes of their lower-cased (A-Z) bytes, contexts and their symbols 64-bit hashes of those.  Null text
-counts as empty: an end alone.  Repeated rows are each scored and each counted.  Without training rows every word is unknown.
+Texts are sequences of words between two ends; the first end is only a context.  Of all runs of 2 to `depth` + 1 words those that
+occur `least` times are counted (`_grams`), so what the model gathers follows the corpus.  A run is a symbol (its last word) behind a context:
+
+* p(symbol | context) = (n + kinds * below) / (all + kinds): n occurrences of the run, `all` of the context; below is the probability
+  behind the context's suffix; kinds is the number of counted symbols and of all occurrences of others (as if each were another symbol).
+* A symbol is kept at a context if p and below are apart by `ratio`.  A context is retained if its suffix is and the divergence of its
+  kept symbols, in nats over all its occurrences, exceeds `gain` per symbol.  So contexts have as many words as the data support,
+  up to `depth`.
+* Symbols that are not kept get below times a factor that makes the distribution sum to 1.
+* The root is add-one over the words of the training rows, one unknown word and the end.
+
+A token is scored at the longest retained suffix of what stands before it.  As suffixes of retained contexts are retained, its
+logarithm is the root's plus one term for each retained context before it (the factor) and one for each kept symbol.
+
+Work in Spark: tasks count in blocks, blocks are packed by key range and meet in a shuffle (a hot run is one entry a block); runs of two
+come first, so that longer ones are only counted where all their pairs are frequent.  The tests are joins and sums of tables.
+Terms and word counts are tables too: the most frequent (`held` of each at most) are broadcast, the others meet
+the texts in a shuffled join, per document and distinct key.  Bloom filters of fixed size leave out what surely is not in a table.
+
+Words are 64-bit hashes of their lower-cased (A-Z) bytes, runs 64-bit hashes of those.  Null text counts as empty: an end alone.
+Repeated rows are each scored and each counted.  Without training rows every word is unknown.  Empty tables give no rows.  Columns of the
+input stay; n_tokens, n_known, train_tokens, base_score and score are added and replace columns of those names.
 """
 
 from __future__ import annotations
@@ -27,17 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BASE, MIX2, drop_written, mix, prefix_hash, range_hash, text_blocks, words, written
+from .common import BASE, MIX2, drop_written, free_names, mix, prefix_hash, range_hash, text_blocks, words, written
 
 END = np.uint64(0x0123456789ABCDEF)
-BITS = 1 << 26  # of a bitmap
-BUFFER = 1_000_000  # tokens counted at once
+BITS = 1 << 27  # of a Bloom filter
+PROBES = (0, 18, 37)
+BUFFER = 2_000_000  # entries counted at once
 BLOCK = 1 << 20
+PART = 2_000_000  # tokens for each part of a shuffle of counts
 
 
 def tokens(column):
-    """For runs of rows: first row, hash of each word (texts end with END), and the row of each, counted from the first."""
+    """For runs of rows: first row, hash of each word between two ENDs a text, the row of each, counted from the first, and its place in its text (0: the first END)."""
     for first, blob, bounds in text_blocks(column, BLOCK):
         rows = len(bounds) - 1
         if len(blob):
@@ -45,14 +54,18 @@ def tokens(column):
             hashes = range_hash(prefix_hash(low), start, end)
         else:
             start, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        row = np.searchsorted(bounds[1:], start, "right")
-        counts = np.bincount(row, minlength=rows)
-        ends = np.cumsum(counts + 1) - 1
-        out = np.empty(len(hashes) + rows, np.uint64)
-        is_end = np.zeros(len(out), bool)
-        is_end[ends] = True
-        out[is_end], out[~is_end] = END, hashes
-        yield first, out, np.repeat(np.arange(rows), counts + 1)
+        lengths = np.bincount(np.searchsorted(bounds[1:], start, "right"), minlength=rows) + 2
+        after = np.cumsum(lengths)
+        out, inner = np.full(int(after[-1]), END), np.ones(int(after[-1]), bool)
+        inner[after - 1] = inner[after - lengths] = False
+        out[inner] = hashes
+        row = np.repeat(np.arange(rows), lengths)
+        yield first, out, row, np.arange(len(out)) - (after - lengths)[row]
+
+
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of a run of words from those of the runs without its last and without its first word."""
+    return mix(prefix * BASE + suffix)
 
 
 class Sums:
@@ -75,14 +88,14 @@ class Sums:
         return out
 
 
-def _summed(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, n) summed over all rows; keys_of gives arrays of keys for tokens and their rows."""
+def _words(texts: DataFrame) -> DataFrame:
+    """(key, n) of words and ends."""
 
     def run(batches):
         sums = Sums()
         for batch in batches:
-            for _, hashes, row in tokens(batch.column(0)):
-                keys, n = np.unique(keys_of(hashes, row), return_counts=True)
+            for _, hashes, _, place in tokens(batch.column(0)):
+                keys, n = np.unique(hashes[place > 0].view(np.int64), return_counts=True)
                 sums.add(keys, n)
                 if sums.full():
                     yield sums.given()
@@ -91,173 +104,206 @@ def _summed(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a context with one more word before it."""
-    return mix(context * BASE + word)
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and where each distinct one begins in it."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+
+
+def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
+    """(size, prefix, suffix, key, n) of runs that occur `least` times.  runs_of gives (size, prefixes, suffixes) for tokens and places.
+
+    Blocks of distinct runs with their counts are packed for each part of the key space and sorted by part, so a reducer holds one part."""
+
+    def packed(size, prefix, suffix):
+        prefix, suffix = np.concatenate(prefix), np.concatenate(suffix)
+        key = joined(prefix, suffix)
+        order, start = _ordered(key)
+        n = np.diff(np.r_[start, len(key)]).astype("<u4")
+        at = order[start]
+        key, prefix, suffix = key[at], prefix[at], suffix[at]
+        part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+        blocks = [prefix[a:b].tobytes() + suffix[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), size, np.int32)), pa.array(part[bounds[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], ["size", "part", "block"])
 
+    def run(batches):
+        waiting, many = {}, 0
+        for batch in batches:
+            for _, hashes, _, place in tokens(batch.column(0)):
+                for size, prefix, suffix in runs_of(hashes, place):
+                    mine = waiting.setdefault(size, ([], []))
+                    mine[0].append(prefix)
+                    mine[1].append(suffix)
+                    many += len(prefix)
+                if many >= BUFFER:
+                    yield from (packed(size, *x) for size, x in waiting.items())
+                    waiting, many = {}, 0
+        yield from (packed(size, *x) for size, x in waiting.items())
+
+    def summed(size, blocks):
+        many = [len(b) // 20 for b in blocks]
+        get = lambda dtype, at, width: np.concatenate([np.frombuffer(b, dtype, m, at * m) for b, m in zip(blocks, many)]) if width else None
+        prefix, suffix, n = get(np.uint64, 0, 8), get(np.uint64, 8, 8), get("<u4", 16, 4)
+        key = joined(prefix, suffix)
+        order, start = _ordered(key)
+        n = np.add.reduceat(n[order].astype(np.int64), start)
+        often = n >= least
+        at = order[start[often]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), *(pa.array(x[at].view(np.int64)) for x in (prefix, suffix, key)), pa.array(n[often])], ["size", "prefix", "suffix", "key", "n"])
+
+    def merge(batches):
+        waiting, at = [], None
+        for batch in batches:
+            for size, part, block in zip(batch.column("size").to_pylist(), batch.column("part").to_pylist(), batch.column("block")):
+                if waiting and at != (size, part):
+                    yield summed(at[0], waiting)
+                    waiting = []
+                at = size, part
+                waiting.append(block.as_py())
+        if waiting:
+            yield summed(at[0], waiting)
 
-def edge(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Hash of a symbol behind a context."""
-    return mix((context ^ MIX2) * BASE + mix(symbol))
+    blocks = texts.mapInArrow(run, "size int, part long, block binary")
+    dealt = blocks.repartition(min(parts, 20_000), "size", "part").sortWithinPartitions("size", "part")
+    return dealt.mapInArrow(merge, "size int, prefix long, suffix long, key long, n long")
 
 
-class Bitmap:
+class Bloom:
     """What may be among the keys of a table: few others pass, none of them is missed.  Its size is fixed."""
 
     def __init__(self):
         self.bytes = np.zeros(BITS // 8, np.uint8)
 
     def add(self, keys: DataFrame) -> None:
-        x = keys.select((F.col(keys.columns[0]).bitwiseAND(BITS - 1) + 1).alias("x"))
+        bits = F.array(*(F.shiftrightunsigned(F.col(keys.columns[0]), s).bitwiseAND(BITS - 1) + 1 for s in PROBES))
+        x = keys.select(F.explode(bits).alias("x"))
         segments = x.groupBy(F.bitmap_bucket_number("x").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toArrow()
         for at, bits in zip(segments.column("at").to_pylist(), segments.column("bits").to_pylist()):
             self.bytes[(at - 1) * len(bits) : at * len(bits)] |= np.frombuffer(bits, np.uint8)
 
     def may(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys & np.uint64(BITS - 1)
-        return self.bytes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
-
-
-def before(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token (an end before a text's first), and how many stand before it in its text with that end."""
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = row[1:] != row[:-1]
-    start = np.flatnonzero(fresh)
-    place = np.arange(len(row)) - start[np.cumsum(fresh) - 1] + 1
-    return np.where(fresh, END, np.concatenate([hashes[:1], hashes[:-1]])), place
-
-
-def _counted(train: DataFrame, depth: int, contexts: Bitmap, often: Bitmap) -> DataFrame:
-    """(a, b, n): how often each symbol at a context of depth - 1 words (a) has the word b before them; below depth 2 a is the
-    symbol.  With b null, from depth 3 on, occurrences of the context a of depth words.  Counts that surely are 1 may be left out."""
-
-    def rows_of(hashes, row):
-        word, place = before(hashes, row)
-        at = np.arange(len(row))
-        at = at[often.may(hashes[at]) & often.may(word[at])] if depth == 1 else at
-        if depth == 1:
-            return hashes[at], word[at], np.zeros(0, np.uint64)
-        context, first = word, at
-        for k in range(1, depth):
-            ok = contexts.may(context) & (place[at] > k)
-            at, context = at[ok], context[ok]
-            if k < depth - 1:
-                context = longer(context, word[at - k])
-        more = word[at - k]
-        under = edge(context, hashes[at])
-        pair = often.may(edge(more, hashes[at - k]))  # a context is at most as frequent as its first two words
-        two, whole = pair & often.may(under), longer(context, more)
-        return under[two], more[two], whole[pair] if depth > 2 else whole[:0]  # contexts of two are all counted as symbols of one
-
-    def given(a, b, c):
-        a, b, c = (np.concatenate(x) for x in (a, b, c))
-        _, at, n = np.unique(mix(a * BASE + b), return_index=True, return_counts=True)
-        whole, m = np.unique(c, return_counts=True)
-        word = pa.array(np.concatenate([b[at].view(np.int64), np.zeros(len(whole), np.int64)]), mask=np.r_[np.zeros(len(at), bool), np.ones(len(whole), bool)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[at], whole]).view(np.int64)), word, pa.array(np.concatenate([n, m]))], ["a", "b", "n"])
-
-    def run(batches):
-        waiting, many = [], 0
-        for batch in batches:
-            for _, hashes, row in tokens(batch.column(0)):
-                waiting.append(rows_of(hashes, row))
-                many += len(hashes)
-                if many >= BUFFER:
-                    yield given(*zip(*waiting))
-                    waiting, many = [], 0
-        if waiting:
-            yield given(*zip(*waiting))
-
-    return train.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
+        out = np.ones(len(keys), bool)
+        at = np.arange(len(keys))
+        for s in PROBES:
+            bit = (keys[at] >> np.uint64(s)) & np.uint64(BITS - 1)
+            ok = self.bytes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+            out[at[~ok]] = False
+            at = at[ok]
+        return out
 
-def _named(edges: DataFrame, depth: int) -> DataFrame:
-    """(key, context, symbol, n, below, whole) of rows (shorter, symbol, b, n, below); whole: context and symbol as a context (depth 1)."""
 
-    def run(batches):
-        for batch in batches:
-            shorter, symbol, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("shorter", "symbol", "b"))
-            context = b if depth == 1 else longer(shorter, b)
-            yield pa.RecordBatch.from_arrays([pa.array(edge(context, symbol).view(np.int64)), pa.array(context.view(np.int64)), batch.column("symbol"), batch.column("n"), batch.column("below"), pa.array(longer(symbol, b).view(np.int64))], ["key", "context", "symbol", "n", "below", "whole"])
-
-    return edges.select("shorter", "symbol", "b", "n", "below").mapInArrow(run, "key long, context long, symbol long, n long, below double, whole long")
+class Lookup:
+    """Values by 64-bit key in an open hash table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = max(16, 1 << int(2 * len(keys)).bit_length())
+        self.slots, self.full, self.values = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size)
+        at, left = keys & np.uint64(size - 1), np.arange(len(keys))
+        while len(left):
+            open_ = ~self.full[at]
+            slot, first = np.unique(at[open_], return_index=True)
+            put = left[open_][first]
+            self.slots[slot], self.values[slot], self.full[slot] = keys[put], values[put], True
+            again = np.ones(len(left), bool)
+            again[np.flatnonzero(open_)[first]] = False
+            at, left = (at[again] + np.uint64(1)) & np.uint64(size - 1), left[again]
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value or 0."""
+        mask = np.uint64(len(self.slots) - 1)
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+        at, left = keys & mask, np.arange(len(keys))
+        while len(left):
+            full = self.full[at]
+            same = full & (self.slots[at] == keys[left])
+            found = left[same]
+            hit[found], out[found] = True, self.values[at[same]]
+            on = full & ~same
+            at, left = (at[on] + np.uint64(1)) & mask, left[on]
+        return hit, out
+
+
+#: Contexts are runs as well; as terms they have keys of their own.
+CONTEXT = np.uint64(MIX2)
 
 
 @dataclass
 class Model:
     total: int
     distinct: int
-    head: np.ndarray  # sorted hashes of frequent words
-    head_counts: np.ndarray
+    words: Lookup  # log10 of (count + 1) of the most frequent words
     depth: int = 0  # of the longest retained context
-    terms: DataFrame = None  # (key, value): contexts and kept symbols of all depths that are not broadcast
-    contexts: Bitmap = None
-    kept: Bitmap = None
-    hot: np.ndarray = None  # sorted keys of the terms that are broadcast
-    hot_values: np.ndarray = None
-    context: np.ndarray = None  # hashes of the most frequent words, contexts of one
-    factor: np.ndarray = None  # log10 of what the frequent kept symbols leave to each of them; nan: not retained
-    pair_factor: np.ndarray = None  # the same of frequent contexts of two
-    edge_keys: np.ndarray = None  # sorted: frequent kept symbols
-    edge_logs: np.ndarray = None
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word among the frequent ones, or -1."""
-        if not len(self.head):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, at, -1)
-
-    def root(self, number: np.ndarray) -> np.ndarray:
-        """log10 of (count + 1) for frequent words, 0 for others, whose counts come by the join."""
-        return np.where(number >= 0, np.log10(self.head_counts[number] + 1.0), 0.0) if len(self.head) else np.zeros(len(number))
-
-    def added(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the broadcast terms add to each token's logarithm, and other keys that may be terms, with the token of each."""
-        out = np.zeros(len(row))
-        word, place = before(hashes, row)
-        at, context, keys, tokens_of = np.arange(len(row)), word, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    terms: Lookup = None  # the most frequent terms
+    contexts: Bloom = None  # all contexts
+    kept: Bloom = None  # all kept symbols
+    rest: DataFrame = None  # (key, known, value) of words and terms that are not held
+
+    def added(self, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the held terms add to each token's logarithm, and other keys that may be terms, with the token of each."""
+        out, keys, of = np.zeros(len(hashes)), [], []
+        context, at = hashes, np.flatnonzero(place > 0)  # tokens whose context of k words may be retained
         for k in range(1, self.depth + 1):
-            held = self.contexts.may(context)
-            at, context = at[held], context[held]
-            symbols = edge(context, hashes[at])
-            kept = self.kept.may(symbols)
-            for key, where in ((context, at), (symbols[kept], at[kept])):
-                slot = np.minimum(np.searchsorted(self.hot, key), max(len(self.hot) - 1, 0))
-                hit = self.hot[slot] == key if len(self.hot) else np.zeros(len(key), bool)
-                out[where[hit]] += self.hot_values[slot[hit]]
-                keys.append(key[~hit])
-                tokens_of.append(where[~hit])
-            on = place[at] > k
-            at, context = at[on], context[on]
-            context = longer(context, word[at - k])
-        return out, np.concatenate(keys), np.concatenate(tokens_of)
-
-    def edges(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """log10 of the probability of frequent kept symbols (frequent words) at contexts of one, nan for others."""
-        if not len(self.edge_keys):
-            return np.full(len(number), np.nan)
-        keys = edge(self.context[context], self.head[number])
-        at = np.minimum(np.searchsorted(self.edge_keys, keys), len(self.edge_keys) - 1)
-        return np.where(self.edge_keys[at] == keys, self.edge_logs[at], np.nan)
-
-
-def fit(train: DataFrame, head_share: float = 5e-7, context_share: float = 2e-4, pair_share: float = 2e-3, edge_share: float = 1e-6, ratio: float = 1.1, gain: float = 2.0, prior: float = 20.0, least: int = 2) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (key, n).  train: one column of texts.  The shares say what is held in memory: they
-    leave no context and no symbol out."""
-    counts = written(_summed(train, lambda hashes, row: hashes.view(np.int64)), "counts")
+            run = np.zeros(len(hashes), np.uint64)
+            run[1:] = joined(context[:-1], context[1:])
+            before = context[at - 1]
+            hit, value = self.terms.get(before ^ CONTEXT)
+            out[at] += value
+            may = hit.copy()
+            may[~hit] = self.contexts.may(before[~hit])
+            ask = may & ~hit
+            keys.append(before[ask] ^ CONTEXT)
+            of.append(at[ask])
+            at = at[may]
+            symbol = run[at]
+            hit, value = self.terms.get(symbol)
+            out[at] += value
+            ask = ~hit
+            ask[ask] = self.kept.may(symbol[ask])
+            keys.append(symbol[ask])
+            of.append(at[ask])
+            at, context = at[place[at] > k], run
+        return out, np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *of])
+
+
+def fit(train: DataFrame, depth: int = 3, least: int = 3, ratio: float = 1.1, gain: float = 2.0, held: int = 1_000_000) -> Model:
+    """train: one column of texts.  depth: words of the longest context; held: how many words and terms are broadcast (it changes the work, not the result)."""
+    counts = written(_words(train), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end_key = int(END.view(np.int64))
-    top = counts.filter((F.col("n") >= max(1.0, head_share * total)) | (F.col("key") == end_key)).toArrow()  # at most 1 / head_share rows and one
-    hashes, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(hashes)
-    model = Model(int(total), int(distinct), hashes[order], n[order])
-    model.context = model.head[model.head_counts >= max(context_share * total, 1)]
-    made = _grow(model, train, counts, least, ratio, gain, prior)
-    _hold(model, edge_share, pair_share)
-    for df in made:
+    rows, rest = _split(counts.select("key", "n", F.log10(F.col("n") + 1).alias("value")), held)
+    model = Model(int(total), int(distinct), Lookup(*rows))
+    model.rest = rest.select("key", F.lit(True).alias("known"), "value")
+    if not total:
+        return model
+    terms, made = _grow(model, train, counts, depth, least, ratio, gain)
+    rows, rest = _split(_union(terms), held)
+    model.terms = Lookup(*rows)
+    model.rest = written(model.rest.unionByName(rest.select("key", F.lit(False).alias("known"), "value")), "rest")
+    for df in (*made, counts):
         drop_written(df)
-    return model, counts
+    return model
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _split(table: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """Keys and values of the most frequent rows (key, n, value), `most` at most, and the table of the others."""
+    step = F.floor(F.log2("n") * 16)  # few distinct ones, so the border is found from a histogram
+    steps = sorted(((r["step"], r["m"]) for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    above, lowest = 0, math.inf
+    for s, m in steps:
+        above += m
+        if above > most:
+            break
+        lowest = s
+    rows = table.filter(step >= F.lit(lowest)).select("key", "value").toArrow()
+    return (rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()), table.filter(step < F.lit(lowest))
 
 
 def _free(df: DataFrame) -> None:
@@ -265,107 +311,84 @@ def _free(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def _grow(model: Model, train: DataFrame, counts: DataFrame, least: int, ratio: float, gain: float, prior: float) -> list[DataFrame]:
-    """Contexts of one word, of two, and so on while any is retained.  Returns the tables that the terms are read from."""
-    often, norm = Bitmap(), math.log10(model.total + model.distinct + 1)
-    model.contexts, model.kept = Bitmap(), Bitmap()
-    often.add(counts.filter(F.col("n") >= least).select("key"))
-    below = counts.select(F.col("key").alias("a"), F.lit(0).cast("long").alias("shorter"), F.col("key").alias("symbol"), (F.log10(F.col("n") + 1) - norm).alias("below"))
-    terms, made = [], []
-    while model.total:
-        depth = model.depth + 1
-        found = written(_counted(train, depth, model.contexts, often).filter(F.col("n") >= least), "grams")
-        _free(found)
-        if depth == 1:
-            occurrences = counts.select(F.col("key").alias("context"), F.col("n").alias("all"))
-        elif depth > 2:
-            occurrences = found.filter("b is null").select(F.col("a").alias("context"), F.col("n").alias("all"))
-        edges = _named(found.filter("b is not null").join(below, "a"), depth)
-        edges = written((edges if depth == 1 else edges.drop("whole")).join(occurrences, "context"), "edges")
-        _free(edges)
-        if depth == 1:
-            occurrences = written(edges.select(F.col("whole").alias("context"), F.col("n").alias("all")), "pairs")
-            made.append(occurrences)
-        p, suffix = (F.col("n") + prior * F.col("ps")) / (F.col("all") + prior), F.col("ps")
-        tested = edges.withColumn("ps", F.pow(F.lit(10.0), "below")).withColumn("p", p).withColumn("apart", (F.col("p") >= ratio * suffix) | (F.col("p") * ratio <= suffix))
-        sums = tested.filter("apart").groupBy("context").agg(F.max("all").alias("all"), F.count("*").alias("number"), F.sum(F.col("n") * F.log(F.col("p") / suffix)).alias("divergence"), F.sum("p").alias("left"), F.sum("ps").alias("rest"))
+def _grams(train: DataFrame, depth: int, least: int, total: int) -> list[DataFrame]:
+    """(size, prefix, suffix, key, n) of runs of two and of runs of 3 to depth + 1 words that occur `least` times."""
+    parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
+
+    def pairs_of(hashes, place):
+        at = np.flatnonzero(place > 0)
+        yield 2, hashes[at - 1], hashes[at]
+
+    often, pairs = written(_counted(train, pairs_of, parts, least), "pairs"), Bloom()
+    pairs.add(often.select("key"))
+    _free(often)
+
+    def longer_of(hashes, place):
+        at, run = np.flatnonzero(place > 0), hashes
+        for size in range(2, depth + 2):
+            prefix, suffix = run[at - 1], run[at]
+            made = joined(prefix, suffix)
+            if size == 2:
+                ok = pairs.may(made)
+                at, made = at[ok], made[ok]
+            else:
+                yield size, prefix, suffix
+            next_, good = np.zeros(len(run), np.uint64), np.zeros(len(run), bool)
+            next_[at], good[at] = made, True
+            # one word more: the run that ends here and the one that ends a word before
+            at, run = at[good[at - 1] & (place[at] >= size)], next_
+
+    longer = written(_counted(train, longer_of, parts, least), "grams")
+    _free(longer)
+    return [often, longer]
+
+
+def _grow(model: Model, train: DataFrame, counts: DataFrame, depth: int, least: int, ratio: float, gain: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tests contexts of one word, of two, and so on, while any is retained.  Returns terms (key, n, value) and the written tables that they come from."""
+    counted, norm = _grams(train, depth, least, model.total), math.log10(model.total + model.distinct + 1)
+    grams = _union(counted)
+    _free(grams)
+    model.contexts, model.kept = Bloom(), Bloom()
+    below = counts.select(F.col("key").alias("suffix"), (F.log10(F.col("n") + 1) - norm).alias("below"))
+    occurrences = counts.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
+    terms, made = [], [*counted]
+    for k in range(1, depth + 1):
+        here = grams.filter(F.col("size") == k + 1).select("prefix", "suffix", "key", "n")
+        contexts = here.groupBy("prefix").agg(F.sum("n").alias("of"), F.count("*").alias("kinds")).join(occurrences, "prefix").select("prefix", "all", (F.col("kinds") + F.col("all") - F.col("of")).alias("kinds"))
+        edges = here.join(below, "suffix").join(contexts, "prefix").withColumn("ps", F.pow(F.lit(10.0), "below"))
+        edges = edges.withColumn("p", (F.col("n") + F.col("kinds") * F.col("ps")) / (F.col("all") + F.col("kinds")))
+        edges = written(edges.select("prefix", "key", "n", "all", "below", "ps", "p", ((F.col("p") >= ratio * F.col("ps")) | (F.col("p") * ratio <= F.col("ps"))).alias("apart")), "edges")
+        sums = edges.filter("apart").groupBy("prefix").agg(F.max("all").alias("n"), F.count("*").alias("number"), F.sum(F.col("n") * F.log(F.col("p") / F.col("ps"))).alias("divergence"), F.sum("p").alias("left"), F.sum("ps").alias("rest"))
         factor = F.log10(F.greatest(1 - F.col("left"), F.lit(1e-9)) / F.greatest(1 - F.col("rest"), F.lit(1e-9)))
-        held = written(sums.filter(F.col("divergence") > gain * F.col("number")).select("context", "all", factor.alias("factor")), "contexts")
+        held = written(sums.filter(F.col("divergence") > gain * F.col("number")).select(F.col("prefix").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64)))).alias("key"), "n", factor.alias("value"), "prefix"), "contexts")
         made.append(held)
         if not held.limit(1).count():
-            made += [edges, found]
+            drop_written(edges)
             break
         log = F.when(F.col("apart"), F.log10("p")).otherwise(F.col("below") + F.col("factor"))
         value = F.when(F.col("apart"), F.log10("p") - F.col("below") - F.col("factor"))
-        here = written(tested.join(held.select("context", "factor"), "context").select("key", "context", "symbol", "n", log.alias("log"), value.alias("value")), "symbols")
-        made.append(here)
-        kept = here.filter("value is not null")
-        model.contexts.add(held.select("context"))
-        model.kept.add(kept.select("key"))
-        often.add((edges if depth == 1 else here).select("key"))
+        tested = written(edges.join(held.select("prefix", F.col("value").alias("factor")), "prefix").select("key", "n", log.alias("log"), value.alias("value")), "symbols")
+        made.append(tested)
+        terms += [held.select("key", "n", "value"), tested.filter("value is not null").select("key", "n", "value")]
+        model.contexts.add(held.select("prefix"))
+        model.kept.add(terms[-1].select("key"))
+        model.depth = k
         drop_written(edges)
-        drop_written(found)
-        _free(here)
-        none = F.lit(None).cast("double")
-        terms.append(held.select(F.col("context").alias("key"), F.col("all").alias("n"), "context", F.col("factor").alias("value"), none.alias("log"), F.lit(depth).alias("depth")))
-        terms.append(kept.select("key", "n", "context", "value", "log", F.lit(depth).alias("depth")))
-        model.depth = depth
-        below = here.select(F.col("key").alias("a"), F.col("context").alias("shorter"), "symbol", F.col("log").alias("below"))
-    for t in terms:
-        model.terms = t if model.terms is None else model.terms.unionByName(t)
-    return made
-
-
-def _hold(model: Model, edge_share: float, pair_share: float) -> None:
-    """The most frequent terms, at most 1 / edge_share and those of one count more, for broadcast."""
-    model.hot, model.hot_values, model.factor, model.pair_factor = np.zeros(0, np.uint64), np.zeros(0), np.full(len(model.context), np.nan), np.zeros(0)
-    model.edge_keys, model.edge_logs = np.zeros(0, np.uint64), np.zeros(0)
-    if model.terms is None:
-        return
-    many = int(1 / edge_share)
-    # few distinct counts: rising in steps of 1 / 16 of a power of two
-    step = F.floor(F.log2("n") * 16)
-    steps = sorted(((r["step"], r["m"]) for r in model.terms.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()), reverse=True)
-    above, lowest = 0, math.inf
-    for s, m in steps:
-        above += m
-        if above > many:
-            break
-        lowest = s
-    rows = model.terms.filter(step >= F.lit(lowest)).toArrow()
-    get = lambda c: rows.column(c).to_numpy()
-    keys, of, n, value, log, depth = get("key").view(np.uint64), get("context").view(np.uint64), get("n"), get("value"), get("log").astype(float), get("depth")
-    model.terms = written(model.terms.filter(step < F.lit(lowest)).select("key", "value"), "terms")
-    _free(model.terms)
-    order = np.argsort(keys)
-    model.hot, model.hot_values = keys[order], value[order]
-    symbol = ~np.isnan(log) & (n >= max(2.0, edge_share * model.total))
-    order = np.flatnonzero(symbol)[np.argsort(keys[symbol])]
-    model.edge_keys, model.edge_logs = keys[order], log[order]
-    context = np.isnan(log)
-    names, factors = keys[context], value[context]
-    if not len(names):
-        return
-    order = np.argsort(names)
-    names, factors, depths, times = names[order], factors[order], depth[context][order], n[context][order]
-    at = np.minimum(np.searchsorted(names, of), len(names) - 1)
-    symbol &= names[at] == of
-    at = at[symbol]
-    left = 1 - np.bincount(at, 10 ** log[symbol], len(names))
-    rest = 1 - np.bincount(at, 10 ** (log[symbol] - value[symbol] - factors[at]), len(names))
-    own = np.log10(np.maximum(left, 1e-9) / np.maximum(rest, 1e-9))
-    at = np.minimum(np.searchsorted(names, model.context), len(names) - 1)
-    if len(at):
-        model.factor = np.where((names[at] == model.context) & (depths[at] == 1), own[at], np.nan)
-    model.pair_factor = own[(depths == 2) & (times >= pair_share * model.total)]
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
+        _free(tested)
+        below = tested.select(F.col("key").alias("suffix"), F.col("log").alias("below"))
+        occurrences = here.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
+    return terms or [grams.select("key", "n", F.lit(0.0).alias("value")).limit(0)], made
+
+
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score to docs; text is dropped."""
-    kept = [c for c in docs.columns if c != text]
-    terms, model = model.terms, replace(model, terms=None)  # the tasks get the arrays alone
+    kept = [c for c in docs.columns if c != text and c not in RESULTS]
+    rest, model = model.rest, replace(model, rest=None)  # the tasks get the arrays alone
     norm = math.log10(model.total + model.distinct + 1)
-    names = ["uid", "n_tokens", "known", "base", "part", "rare", "times"]
+    names = free_names(kept, "uid", "tokens", "known", "base", "part", "asked", "times")
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches):
@@ -373,47 +396,41 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
 
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, hashes, row in tokens(batch.column(text)):
+            for first, hashes, row, place in tokens(batch.column(text)):
                 rows = int(row[-1]) + 1
-                number = model.numbers(hashes)
-                root = model.root(number) - norm
-                logs, keys, of = model.added(hashes, row)
+                hit, root = model.words.get(hashes)
+                inside = place > 0
+                hit, root = hit & inside, np.where(inside, root - norm, 0.0)
+                logs, keys, of = model.added(hashes, place)
                 logs += root
                 add = lambda x: np.bincount(row, x, rows)
-                rare = number < 0
-                r, h, term = np.concatenate([row[rare], row[of]]), np.concatenate([hashes[rare], keys]), np.repeat([False, True], [rare.sum(), len(keys)])
-                order = np.lexsort((h, term, r))
-                r, h, term = r[order], h[order], term[order]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (term[1:] != term[:-1])
-                at = np.flatnonzero(new)
-                times = (np.diff(np.r_[at, len(r)]) * np.where(term[at], -1, 1)).astype(np.int32)  # of terms: below zero
+                rare = inside & ~hit
+                r, h = np.concatenate([row[rare], row[of]]), np.concatenate([hashes[rare], keys])
+                order = np.lexsort((h, r))
+                r, h = r[order], h[order]
+                at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[at, len(r)]).astype(np.int32)
                 offsets = np.searchsorted(r[at], np.arange(rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
                 part = batch.slice(first, rows)
-                values = [np.arange(uid, uid + rows), np.bincount(row, minlength=rows), add(number >= 0).astype(np.int64), add(root), add(logs)]
+                values = [np.arange(uid, uid + rows), np.bincount(row, inside, rows).astype(np.int64), add(hit).astype(np.int64), add(root), add(logs)]
                 uid += rows
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, t) for v, t in zip(values, types)), *lists], [*kept, *names])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))))])
     scored = written(docs.mapInArrow(run, schema), "scored")
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("uid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    rare = rare.select("uid", "key", F.abs("times").alias("times"), (F.col("times") < 0).alias("term"))
-    table = counts.filter(F.col("key") != int(END.view(np.int64))).select("key", F.lit(False).alias("term"), F.log10(F.col("n") + 1).alias("value"))
-    if terms is not None:
-        table = table.unionByName(terms.select("key", F.lit(True).alias("term"), "value"))
-    word, value = ~F.col("term"), F.col("times") * F.col("value")
-    known = rare.join(table, ["key", "term"]).groupBy("uid").agg(F.sum(F.when(word, value)).alias("more"), F.sum(value).alias("all"), F.sum(F.when(word, F.col("times"))).alias("rare_known"))
-    more, all = F.coalesce("more", F.lit(0.0)), F.coalesce("all", F.lit(0.0))
-    return scored.drop("rare", "times").join(known, "uid", "left").select(
-        *kept,
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+    uid, n_tokens, known, base, part, asked, times = names
+    pairs = scored.select(F.col(uid).alias("uid"), F.explode(F.arrays_zip(F.col(asked).alias("key"), F.col(times).alias("times"))).alias("w")).select("uid", "w.key", "w.times")
+    value = F.col("times") * F.col("value")
+    found = pairs.join(rest, "key").groupBy("uid").agg(F.sum(F.when(F.col("known"), value)).alias("more"), F.sum(value).alias("all"), F.sum(F.when(F.col("known"), F.col("times"))).alias("words"))
+    left = scored.drop(asked, times).select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), F.col(uid).alias("uid"), *(F.col(c).alias(f"_{i}") for i, c in enumerate((n_tokens, known, base, part))))
+    return left.join(found, "uid", "left").select(
+        *(F.col("row")[c].alias(c) for c in kept),
+        F.col("_0").alias("n_tokens"),
+        (F.col("_1") + F.coalesce("words", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("part") + all).alias("score"),
+        (F.col("_2") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("_3") + F.coalesce("all", F.lit(0.0))).alias("score"),
     )
 
 
@@ -421,5 +438,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     from .common import crc_mod, read
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"))
-    model, counts = fit(docs.filter(~F.col("held_out")).select("text"))
-    return score(docs, model, counts).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = fit(docs.filter(~F.col("held_out")).select("text"))
+    return score(docs, model).select("doc_id", "held_out", *RESULTS)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -71,102 +72,123 @@ def _tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
 
-def test_suffix_lm(spark):
-    rnd = random.Random(6)
-    texts = ["the cat sat on the mat " * rnd.randrange(1, 9) + "".join(rnd.choice("ab \n") for _ in range(30)) for _ in range(300)] + [None, "", "UNSEEN word", "x" * 70000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = df.filter("doc_id < 300").select("text")
-    model, counts = suffix_lm.fit(train, head_share=1e-3, context_share=1e-2, pair_share=3e-2, edge_share=1e-3)
-    assert np.isfinite(model.factor).any() and np.isfinite(model.pair_factor).any()
-    c = Counter(t for x in texts[:300] for t in _tokens(x))
-    total, v = sum(c.values()), len(c)
-    got = {r["doc_id"]: r for r in suffix_lm.score(df, model, counts).collect()}
-    for i, x in enumerate(texts):
-        w = _tokens(x)
-        assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(c[t] > 0 for t in w) and got[i]["train_tokens"] == total
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[t] + 1) / (total + v + 1)) for t in w))
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
-    # after every retained context, the probabilities of all symbols and of an unknown one sum to 1
-    base = (model.head_counts + 1) / (total + v + 1)
-    for s in np.flatnonzero(np.isfinite(model.factor)):
-        at = model.edges(np.full(len(base), s), np.arange(len(base)))
-        held = 10 ** at[~np.isnan(at)]
-        assert held.sum() + (1 - base[~np.isnan(at)].sum()) * 10 ** model.factor[s] == pytest.approx(1)
-
-
-def _suffix_scores(train, texts, ratio=1.1, gain=2.0, prior=20.0, least=2):
-    """Base and full log10 scores, by dictionaries."""
+def _suffix_scores(train, texts, depth=3, ratio=1.1, gain=2.0, least=3):
+    """Base and full log10 scores and the longest retained context, by dictionaries."""
     rows = [[None, *_tokens(x)] for x in train]  # a document begins after an end
+    grams = [Counter(tuple(w[i : i + m]) for w in rows for i in range(len(w) - m + 1)) for m in range(1, depth + 2)]
     c = Counter(t for w in rows for t in w[1:])
     total, v = sum(c.values()), len(c)
-    trees, k = [], 0
+    trees: list[dict] = []
 
     def p(context, s):
-        for tree in reversed(trees[: len(context)]):
-            d = len(context) and context[-tree[0] :]
-            if d in tree[1]:
-                kept, factor = tree[1][d]
-                return kept[s] if s in kept else p(context[-tree[0] + 1 :] if tree[0] > 1 else (), s) * factor
+        for k in range(min(len(trees), len(context)), 0, -1):
+            if context[-k:] in trees[k - 1]:
+                kept, factor = trees[k - 1][context[-k:]]
+                return kept[s] if s in kept else p(context[-k:][1:], s) * factor
         return (c[s] + 1) / (total + v + 1)
 
-    while True:
-        k += 1
-        grams, whole = Counter(), Counter()
-        for w in rows:
-            for i in range(k, len(w)):
-                context = tuple(w[i - k : i])
-                if k == 1 or context[1:] in trees[-1][1]:
-                    grams[context, w[i]] += 1
-                    whole[context] += 1
-        found = {}
-        for (context, s), m in grams.items():
-            if m >= least:
+    for k in range(1, depth + 1):
+        behind = {}
+        for g, n in grams[k].items():
+            if n >= least:
+                behind.setdefault(g[:-1], []).append((g[-1], n))
+        held = {}
+        for context, found in behind.items():
+            if k > 1 and context[1:] not in trees[-1]:
+                continue
+            all_ = c[context[0]] if k == 1 else grams[k - 1][context]
+            kinds = len(found) + all_ - sum(n for _, n in found)
+            kept = {}
+            for s, n in found:
                 below = p(context[1:], s)
-                q = (m + prior * below) / (whole[context] + prior)
+                q = (n + kinds * below) / (all_ + kinds)
                 if q >= ratio * below or q * ratio <= below:
-                    found.setdefault(context, {})[s] = (m, q, below)
-        held = {}
-        for context, kept in found.items():
-            if sum(m * math.log(q / b) for m, q, b in kept.values()) > gain * len(kept):
+                    kept[s] = n, q, below
+            if sum(n * math.log(q / b) for n, q, b in kept.values()) > gain * len(kept):
                 held[context] = {s: q for s, (_, q, _) in kept.items()}, max(1 - sum(q for _, q, _ in kept.values()), 1e-9) / max(1 - sum(b for _, _, b in kept.values()), 1e-9)
         if not held:
             break
-        trees.append((k, held))
+        trees.append(held)
+    # behind every retained context the probabilities of all words and of an unknown one sum to 1
+    for held in trees:
+        for context in list(held)[:20]:
+            assert sum(p(context, s) for s in [*c, "never seen"]) == pytest.approx(1)
     out = []
     for x in texts:
         w = [None, *_tokens(x)]
-        out.append((sum(math.log10((c[t] + 1) / (total + v + 1)) for t in w[1:]), sum(math.log10(p(tuple(w[max(0, i - len(trees)) : i]), w[i])) for i in range(1, len(w)))))
+        out.append((sum(math.log10((c[t] + 1) / (total + v + 1)) for t in w[1:]), sum(math.log10(p(tuple(w[max(0, i - depth) : i]), w[i])) for i in range(1, len(w)))))
     return out, len(trees)
 
 
-@pytest.mark.parametrize("edge_share", [1e-6, 1e-1])
-def test_suffix_lm_is_the_whole_tree(spark, edge_share):
+@pytest.mark.parametrize("depth,held", [(3, 1_000_000), (3, 10), (1, 10), (5, 300)])
+def test_suffix_lm_is_the_whole_tree(spark, depth, held):
     rnd = random.Random(8)
     common = [f"w{i}" for i in range(40)]
     phrases = [[f"{x}{i}" for i in range(7)] for x in "pqr"] + [["a", "b", "c", x, "b", "c", y] for x, y in ("de", "ed", "ff")]
+    phrases += [["s1", "u", "v", "e1"], ["s2", "u", "v", "e2"], ["s3", "u", "m", "v", "e3"], ["s4", "u", "m", "v", "e4"]]
     texts = [" ".join(t for _ in range(rnd.randrange(1, 25)) for t in ([rnd.choice(common)] if rnd.random() < 0.8 else rnd.choice(phrases))) for _ in range(400)]
-    texts += ["once seen rare words", "here once seen rare words", None, "", "unseen p1 p2 p3 words"]
+    texts += ["once seen rare words", "here once seen rare words", None, "", "unseen p1 p2 p3 words", "P1 \x0b\u00c4\u00a0x p2", "x" * 70000, "w1 w2 " * 20000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    train = [x for i, x in enumerate(texts) if i % 5 or i > 399]
-    want, depth = _suffix_scores(train[:-1], texts)
-    model, counts = suffix_lm.fit(df.filter("(doc_id % 5 > 0 or doc_id > 399) and doc_id < 404").select("text"), head_share=1e-2, context_share=0.5, pair_share=0.5, edge_share=edge_share)
-    assert model.depth == depth > 2
-    got = {r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_lm.score(df, model, counts).collect()}
+    train = [x for i, x in enumerate(texts) if (i % 5 or i > 399) and i < 404]
+    want, longest = _suffix_scores(train, texts, depth)
+    model = suffix_lm.fit(df.filter("(doc_id % 5 > 0 or doc_id > 399) and doc_id < 404").select("text"), depth=depth, held=held)
+    assert model.depth == longest >= min(depth, 3)
+    c = Counter(t for x in train for t in _tokens(x))
+    got = {r["doc_id"]: r for r in suffix_lm.score(df, model).collect()}
     for i, (base, score) in enumerate(want):
-        assert got[i] == (pytest.approx(base), pytest.approx(score))
-
-
-def test_suffix_lm_without_training(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    model, counts = suffix_lm.fit(df.filter("false").select("text"))
-    assert {r["doc_id"]: (r["n_tokens"], r["n_known"], r["score"]) for r in suffix_lm.score(df, model, counts).collect()} == {1: (3, 0, 0.0), 2: (1, 0, 0.0)}
+        w, r = _tokens(texts[i]), got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[t] > 0 for t in w), sum(c.values()))
+        assert (r["base_score"], r["score"]) == (pytest.approx(base), pytest.approx(score))
+
+
+def test_suffix_lm_query(spark, sf):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    want, _ = _suffix_scores([t for i, t in rows.items() if i not in held], list(rows.values()))
+    got = {r["doc_id"]: r for r in suffix_lm.op3(spark, sf).collect()}
+    assert got.keys() == rows.keys()
+    for i, (base, score) in zip(rows, want):
+        r = got[i]
+        assert r["held_out"] == (i in held) and (r["base_score"], r["score"]) == (pytest.approx(base), pytest.approx(score))
+    gain = lambda ids: sum(got[i]["score"] - got[i]["base_score"] for i in ids) / sum(got[i]["n_tokens"] for i in ids)
+    assert gain(held) > 0.02 and gain(set(rows) - held) > gain(held)
+
+
+def test_suffix_lm_grows_with_its_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("c"))
+    held = docs.filter("c % 7 = 2").select("text")
+    gains = []
+    for part in ("c % 7 > 4", "c % 7 <> 2"):
+        model = suffix_lm.fit(docs.filter(part).select("text"))
+        r = suffix_lm.score(held, model).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gains.append((r[0] - r[1]) / r[2])
+    assert 0.05 < gains[0] < gains[1]
+
+
+def test_suffix_lm_odd_tables(spark):
+    df = spark.createDataFrame([(1, "a b", 1, "x"), (2, None, 2, "y"), (2, None, 2, "y")], "doc_id long, text string, uid int, score string").selectExpr("*", "1 as known", "2 as base", "3 as part", "4 as times", "5 as row", "6 as `all`")
+    model = suffix_lm.fit(df.filter("false").select("text"))
+    out = suffix_lm.score(df, model)
+    assert out.columns == ["doc_id", "uid", "known", "base", "part", "times", "row", "all", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["score"], r["uid"], r["times"]) for r in out.collect()) == [(1, 3, 0, 0.0, 1, 4), (2, 1, 0, 0.0, 2, 4), (2, 1, 0, 0.0, 2, 4)]
+    model = suffix_lm.fit(df.select("text"))
+    assert suffix_lm.score(df.filter("false"), model).count() == 0
 
 
 def test_words_do_not_span_texts():
     import pyarrow as pa
 
-    (first, hashes, row), = suffix_lm.tokens(pa.array(["ab", "cd e", None, "", "ab"]))
-    assert first == 0 and row.tolist() == [0, 0, 1, 1, 1, 2, 3, 4, 4] and hashes[0] == hashes[7] != hashes[2]
+    (first, hashes, row, place), = suffix_lm.tokens(pa.array(["ab", "cd e", None, "", "ab"]))
+    assert first == 0 and row.tolist() == [0, 0, 0, 1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 4] and place.tolist() == [0, 1, 2, 0, 1, 2, 3, 0, 1, 0, 1, 0, 1, 2]
+    assert hashes[1] == hashes[12] != hashes[4] and (hashes[[0, 2, 7, 8]] == suffix_lm.END).all()
+
+
+def test_lookup():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(8))  # many begin at the same slot
+    t = suffix_lm.Lookup(keys, np.arange(len(keys)) + 1.0)
+    hit, value = t.get(np.concatenate([keys, keys + np.uint64(1)]))
+    assert hit.tolist() == [True] * len(keys) + [False] * len(keys) and value.tolist() == [*range(1, len(keys) + 1), *[0] * len(keys)]
 
 
 def test_nearest(spark):
