@@ -15,13 +15,12 @@ A piece finds its place by its rank among the pieces of its length.  Ranks come
 pass over slim rows and the row counts per partition, so one frequent length is no hot key.
 
 Null text counts as empty: a document of the end token alone.  Repeated documents are packed once per
-row.  Empty tables give no rows.  Other columns are dropped.
+row.  Empty tables give no rows.  `pieces` drops other columns, `pack` keeps them but for sequence_id and offset, which it makes.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -30,16 +29,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import WHITE
+from .common import free_names, prefix_hash, range_hash, text_blocks, words, written
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.large_binary())])
-CHUNK = re.compile(f"[^{WHITE}]+")
-MOST_CHUNKS = 500_000
+MOST_STRETCHES = 750_000
+BLOCK = 4 << 20
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b",.;:!?")] = True
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 
 
 class WordEncoder:
-    """Packed ids of texts; white space splits before every merge, so ids of the stretches between are kept and joined."""
+    """Ids of texts.  White space splits before every merge, and so does the place between an ASCII letter or digit and the marks after
+    it, so ids of the stretches between are found once, kept by hash, and joined.  Case is folded before the merges, but not in special
+    tokens: their strings in a text are those tokens, as the tokenizer has it."""
 
     def __init__(self, path: str):
         import os
@@ -48,48 +51,77 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        chunks = [CHUNK.findall(t) for t in texts]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def ids(self, blob: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block one after another, and how many each has."""
+        rows = len(bounds) - 1
+        if not len(blob):
+            return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
+        low, start, end = words(blob, bounds)
+        low = blob if (blob == 0x3C).any() else low
+        cut = end.copy()
+        while True:
+            more = (cut - 1 > start) & _MARK[low[cut - 1]]
+            if not more.any():
+                break
+            cut -= more
+        cut = np.where(_PLAIN[low[cut - 1]], cut, end)
+        tail = cut < end  # marks of their own
+        at = np.arange(len(start)) + np.cumsum(tail) - tail
+        first, last = np.empty(len(start) + int(tail.sum()), np.int64), np.empty(len(start) + int(tail.sum()), np.int64)
+        first[at], last[at] = start, cut
+        first[at[tail] + 1], last[at[tail] + 1] = cut[tail], end[tail]
+        hashes, some, of = np.unique(range_hash(prefix_hash(low), first, last), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > MOST_STRETCHES:
+            self._clear()
         known = self.known
-        if len(known) > MOST_CHUNKS:
-            known.clear()
-        words, other, made = set(), [], []
-        for c in set().union(*chunks).difference(known):
-            # a Latin word and the marks after it are never merged; case is folded before the merges
-            word = c.rstrip(",.;:!?").lower()
-            if word.isalpha() and max(word) < "\u0250":
-                if word != c:
-                    made.append((c, word, c[len(word) :]))
-                words.add(word)
-                other.append(c[len(word) :])
-            else:
-                other.append(c)
-        self._learn([w for w in words if w not in known])
-        other = list({c for c in other if c and c not in known})
-        for i in range(0, len(other), 4096):
-            part = other[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, word, marks in made:
-            known[c] = known[word] + (known[marks] if marks else b"")
-        return [b"".join(map(known.__getitem__, x)) for x in chunks]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words of letters only, many in one call: the tokenizer tells which word each id belongs to."""
-        for i in range(0, len(words), 1024):
-            part = words[i : i + 1024]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            ends = np.r_[np.flatnonzero(np.diff(of)) + 1, len(of)]
+        names = hashes.tolist()
+        new = [i for i, h in enumerate(names) if h not in known]
+        if new:
+            data = low.tobytes()
+            self._learn([names[i] for i in new], [data[a:b].decode() for a, b in zip(first[some[new]].tolist(), last[some[new]].tolist())])
+        number = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[of]
+        sizes = self.sizes[number]
+        before = np.cumsum(sizes) - sizes
+        where = np.repeat(self.starts[number] - before, sizes) + np.arange(int(sizes.sum()))
+        counts = np.bincount(np.searchsorted(bounds[1:], first, "right"), sizes, rows).astype(np.int64)
+        return self.flat[where], counts
+
+    def _learn(self, hashes: list[int], stretches: list[str]) -> None:
+        plain, other = [], []
+        for i, s in enumerate(stretches):  # of letters only, where each is one word for the tokenizer
+            t = s.lower()
+            (plain if t.isalpha() and max(t) < "\u0250" else other).append(i)
+        found: list = [None] * len(stretches)
+        for at in range(0, len(plain), 1024):  # many in one call: the tokenizer tells which word each id belongs to
+            part = plain[at : at + 1024]
+            e = self.tokenizer.encode(" ".join([stretches[i] for i in part]), add_special_tokens=False)
+            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids)
+            ends = np.r_[np.flatnonzero(np.diff(of)) + 1, len(of)].tolist()
             if len(ends) != len(part):
                 raise ValueError("a word of letters gave several")
-            start = 0
-            for word, end in zip(part, ends.tolist()):
-                self.known[word] = ids[start:end].tobytes()
-                start = end
+            for i, a, b in zip(part, [0, *ends], ends):
+                found[i] = ids[a:b]
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([stretches[i] for i in part], add_special_tokens=False)):
+                found[i] = np.array(e.ids, np.uint32)
+        sizes, n = np.array([len(x) for x in found], np.int64), len(self.known)
+        ids = np.concatenate(found)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(found) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + len(found)], self.sizes[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(n, n + len(found))))
 
 
 @functools.lru_cache(2)
@@ -99,19 +131,26 @@ def _encoder(path: str) -> WordEncoder:
 
 def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end: int = 0) -> DataFrame:
     """Documents as tokens with an end token, cut into pieces of `size` tokens; ids little-endian unsigned 32-bit."""
-    step, last = 4 * size, np.array([end], "<u4").tobytes()
 
     def run(batches):
         encoder = _encoder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, out = whole.slice(at, 512), []
-                for d, ids in zip(batch.column("doc_id").to_pylist(), encoder.packed([t or "" for t in batch.column("text").to_pylist()])):
-                    ids += last
-                    for k in range(0, len(ids), step):
-                        part = ids[k : k + step]
-                        out.append((d, k // step, k // 4, len(part) // 4, part))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+        for batch in batches:
+            for row, blob, bounds in text_blocks(batch.column("text"), BLOCK):
+                ids, counts = encoder.ids(blob, bounds)
+                rows, counts = len(counts), counts + 1
+                after = np.cumsum(counts)
+                out = np.full(int(after[-1]), end, "<u4")
+                inner = np.ones(len(out), bool)
+                inner[after - 1] = False
+                out[inner] = ids
+                many = -(-counts // size)
+                of = np.repeat(np.arange(rows), many)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                length = np.minimum(size, counts[of] - piece * size)
+                offsets = np.r_[0, np.cumsum(4 * length)].astype(np.int64)
+                binary = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+                names = batch.column("doc_id").slice(row, rows).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([names, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), binary], PIECES.fieldNames())
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
@@ -234,41 +273,40 @@ def plan(histogram: dict[int, int], size: int, groups: int = 1024) -> list[tuple
 
 def pack(table: DataFrame, size: int = 2048, groups: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (doc_id, piece, length and more).  The table is read several times: pass a written one."""
-    from .common import written
-
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     runs = sorted(plan(counts, size, groups))
     keys = np.array([(r[0] << 44) + r[1] for r in runs], np.int64)
     cells = np.array(runs, np.int64).reshape(-1, 6)
-    names = table.columns
-    ranked_schema = T.StructType([*table.schema.fields, T.StructField("place", T.LongType()), T.StructField("within", T.LongType())])
+    names = [c for c in table.columns if c not in ("sequence_id", "offset")]
+    place, within, before = free_names(names, "place", "within", "before")
+    fields = [table.schema[c] for c in names]
 
     def ranks(batches):
         from pyspark import TaskContext
 
-        place, length, seen = TaskContext.get().partitionId(), -1, 0
+        own, length, seen = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = batch.column("length").to_numpy()
             starts = np.flatnonzero(np.r_[True, lengths[1:] != lengths[:-1]])
-            within = np.arange(len(lengths)) - np.repeat(starts, np.diff(np.r_[starts, len(lengths)]))
+            ranks = np.arange(len(lengths)) - np.repeat(starts, np.diff(np.r_[starts, len(lengths)]))
             if lengths[0] == length:
-                within[: starts[1] if len(starts) > 1 else len(lengths)] += seen
-            length, seen = lengths[-1], within[-1] + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), place)), pa.array(within)], [*names, "place", "within"])
+                ranks[: starts[1] if len(starts) > 1 else len(lengths)] += seen
+            length, seen = lengths[-1], ranks[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), own)), pa.array(ranks)], [*names, place, within])
 
-    ordered = table.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-    ranked = written(ordered.mapInArrow(ranks, ranked_schema), "ranked")
+    ordered = table.select(*names).repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
+    ranked = written(ordered.mapInArrow(ranks, T.StructType([*fields, T.StructField(place, T.LongType()), T.StructField(within, T.LongType())])), "ranked")
     # a length spans neighbouring partitions: as many rows as partitions and lengths together
-    before = Window.partitionBy("length").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranked.groupBy("length", "place").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "place", "before")
-    placed = ranked.join(offsets, ["length", "place"]).select(*names, (F.col("before") + F.col("within")).alias("rank"))
-    schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    above = Window.partitionBy("length").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranked.groupBy("length", place).agg(F.count("*").alias(before)).withColumn(before, F.coalesce(F.sum(before).over(above), F.lit(0)))
+    placed = ranked.join(offsets, ["length", place]).select(*names, (F.col(before) + F.col(within)).alias(within))
+    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def assign(batches):
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column(within).to_numpy()
             row = cells[np.searchsorted(keys, (length << 44) + rank, "right") - 1] if len(cells) else np.zeros((len(rank), 6), np.int64)
             k = rank - row[:, 1]
             per = np.maximum(row[:, 3], 1)
@@ -281,8 +319,6 @@ def op5_on(docs: DataFrame) -> DataFrame:
     """Packs the texts of `docs` as the query does."""
     import public_tokenizers
 
-    from .common import written
-
     cut = pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pack(written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
 

@@ -241,11 +241,14 @@ def test_pack(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [None, "", "Hello, world! Ünï don't 12 <|endoftext|>", "a b " * 900, "x" * 3000, "İI ΣΑΣ é é"] + ["word " * n for n in range(1, 60)] * 3
+    rnd = random.Random(2)
+    texts = [None, "", "Hello, world! Ünï don't 12 <|endoftext|>", "x<|startoftext|>Ab.<|ENDOFTEXT|> a\u00a0b\u2003c", "They'll say \"no\".) 3.14, é. É! ... ?! It's: İ. \u0130x ΣΑΣ. e\u0301, ſ \x1c a\x0bb", "a b " * 900, "x" * 3000, "İI ΣΑΣ é é"] + ["word " * n for n in range(1, 60)] * 3 + ["".join(rnd.choice("aBc.,:;!?'<|> \n19éΣ-\u0301") for _ in range(60)) for _ in range(200)]
     df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, length int").repartition(3)
-    cut = packing.pieces(df, path, size=256)
-    got = packing.pack(cut.cache(), 256).collect()
+    cut = packing.pieces(df, path, size=256).withColumns({c: F.lit("kept") for c in ("place", "within", "before", "offset")}).cache()
+    got = packing.pack(cut, 256)
+    assert got.columns == [*(c for c in cut.columns if c != "offset"), "sequence_id", "offset"]
+    got = got.collect()
+    assert {(r["place"], r["within"], r["before"]) for r in got} == {("kept",) * 3}
     by, seq = {}, {}
     for r in got:
         by.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], bytes(r["ids"])))
@@ -261,3 +264,19 @@ def test_pack(spark):
             at += length
         assert at <= 256
     assert packing.pack(packing.pieces(df.filter("false"), path), 2048).count() == 0
+
+
+def test_packing_query(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = {r["doc_id"]: np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got, by, seq = packing.op5(spark, sf).collect(), {}, {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {i: sorted(x) for i, x in by.items()} == {i: [(k // 2048, k, len(p := ids[k : k + 2048]), zlib.crc32(p.tobytes())) for k in range(0, len(ids), 2048)] for i, ids in rows.items()}
+    for spots in seq.values():
+        assert [a for a, _ in sorted(spots)] == np.cumsum([0, *(n for _, n in sorted(spots))])[:-1].tolist() and sum(n for _, n in spots) <= 2048
+    assert len(seq) <= -(-sum(map(len, rows.values())) // 2048) + 1
