@@ -17,7 +17,7 @@ logarithm is the root's plus one term for each retained context before it (the f
 Work in Spark: tasks count in blocks, blocks are packed by key range and meet in a shuffle (a hot run is one entry a block); runs of two
 come first, so that longer ones are only counted where all their pairs are frequent.  The tests are joins and sums of tables.
 Terms and word counts are tables too: the most frequent (`held` of each at most) are broadcast, the others meet
-the texts in a shuffled join, per document and distinct key.  Bloom filters of fixed size leave out what surely is not in a table.
+what the texts ask for in a shuffle, per document and distinct key, packed in the same way.  Bloom filters of fixed size leave out what surely is not in a table.
 
 Words are 64-bit hashes of their lower-cased (A-Z) bytes, runs 64-bit hashes of those.  Null text counts as empty: an end alone.
 Repeated rows are each scored and each counted.  Without training rows every word is unknown.  Empty tables give no rows.  Columns of the
@@ -26,6 +26,7 @@ input stay; n_tokens, n_known, train_tokens, base_score and score are added and
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass, replace
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, MIX2, drop_written, free_names, mix, prefix_hash, range_hash, text_blocks, words, written
+from .common import BASE, MIX2, drop_written, mix, prefix_hash, range_hash, text_blocks, words, written
 
 END = np.uint64(0x0123456789ABCDEF)
 BITS = 1 << 27  # of a Bloom filter
@@ -111,6 +112,23 @@ def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
 
+def _blocks(part: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Columns of entries ordered by part, packed for each part."""
+    if not len(part):
+        return [], []
+    bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    return part[bounds[:-1]].tolist(), [b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _unpacked(block: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(block) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.frombuffer(block, kind, n, at))
+        at += n * size
+    return out
+
+
 def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
     """(size, prefix, suffix, key, n) of runs that occur `least` times.  runs_of gives (size, prefixes, suffixes) for tokens and places.
 
@@ -123,10 +141,8 @@ def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
         n = np.diff(np.r_[start, len(key)]).astype("<u4")
         at = order[start]
         key, prefix, suffix = key[at], prefix[at], suffix[at]
-        part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-        blocks = [prefix[a:b].tobytes() + suffix[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), size, np.int32)), pa.array(part[bounds[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], ["size", "part", "block"])
+        part, blocks = _blocks(((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), prefix, suffix, n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), size, np.int32)), pa.array(part, pa.int64()), pa.array(blocks, pa.binary())], ["size", "part", "block"])
 
     def run(batches):
         waiting, many = {}, 0
@@ -143,9 +159,7 @@ def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
         yield from (packed(size, *x) for size, x in waiting.items())
 
     def summed(size, blocks):
-        many = [len(b) // 20 for b in blocks]
-        get = lambda dtype, at, width: np.concatenate([np.frombuffer(b, dtype, m, at * m) for b, m in zip(blocks, many)]) if width else None
-        prefix, suffix, n = get(np.uint64, 0, 8), get(np.uint64, 8, 8), get("<u4", 16, 4)
+        prefix, suffix, n = (np.concatenate(x) for x in zip(*(_unpacked(b, "<u8", "<u8", "<u4") for b in blocks)))
         key = joined(prefix, suffix)
         order, start = _ordered(key)
         n = np.add.reduceat(n[order].astype(np.int64), start)
@@ -308,6 +322,7 @@ def _split(table: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray],
 
 def _free(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of jobs that are done: it does so when the driver collects garbage."""
+    gc.collect()
     df.sparkSession._jvm.System.gc()
 
 
@@ -381,57 +396,138 @@ def _grow(model: Model, train: DataFrame, counts: DataFrame, depth: int, least:
 
 
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+TERMS, ASKED, ROWS, ANSWERS = range(4)  # kinds of rows that the scoring shuffles hold, in the order in which a part needs them
+
+
+_TERM, _ASKED, _ANSWER = ("<u8", "<f8", "?"), ("<u8", "<u4", "<u4"), ("<u4", "<f8", "<f8", "<u4")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens, base_score and score to docs; text is dropped."""
+    """Adds n_tokens, n_known, train_tokens, base_score and score to docs; text is dropped.
+
+    Tasks score with what is held and ask for the rest: keys, packed for each part of the key space, meet the packed terms of that
+    part in one shuffle; the answers, summed per document, meet the rows of the task that asked in another."""
     kept = [c for c in docs.columns if c != text and c not in RESULTS]
     rest, model = model.rest, replace(model, rest=None)  # the tasks get the arrays alone
-    norm = math.log10(model.total + model.distinct + 1)
-    names = free_names(kept, "uid", "tokens", "known", "base", "part", "asked", "times")
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    norm, spark = math.log10(model.total + model.distinct + 1), docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.total // PART)
+    row_type = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)] or [T.StructField("none", T.BooleanType())])
+    numbers = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known", T.LongType), ("base_score", T.DoubleType), ("score", T.DoubleType))]
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("source", T.LongType()), T.StructField("block", T.BinaryType()), T.StructField("number", T.LongType()), T.StructField("row", row_type), *numbers])
+    names, packed = schema.fieldNames(), ("kind", "part", "source", "block")
+    part_of = lambda key: ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    def shared(kind, source, part, blocks, row=None):
+        """Packed rows; with the other columns if their types are given."""
+        n = len(part)
+        out = [pa.array(np.full(n, kind, np.int32)), pa.array(part, pa.int64()), pa.array(np.full(n, source, np.int64)), pa.array(blocks, pa.binary())]
+        if row is None:
+            return pa.RecordBatch.from_arrays(out, packed)
+        return pa.RecordBatch.from_arrays([*out, pa.nulls(n, pa.int64()), pa.nulls(n, row), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names)
+
+    def terms(batches):
+        for batch in batches:
+            key = batch.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            yield shared(TERMS, 0, *_blocks(part_of(key), key, batch.column("value").to_numpy()[order], batch.column("known").to_numpy(zero_copy_only=False)[order]))
 
-    def run(batches):
+    def ask(batches):
         from pyspark import TaskContext
 
-        uid = TaskContext.get().partitionId() << 40
+        own, seen, turn, waiting, many, row = TaskContext.get().partitionId(), 0, 0, [], 0, None
+
+        def asked():
+            key, number = (np.concatenate(x) for x in zip(*waiting))
+            order = np.argsort(key, kind="stable")
+            key, number = key[order], number[order]
+            at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (number[1:] != number[:-1])]) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[at, len(key)]).astype("<u4")
+            return shared(ASKED, source, *_blocks(part_of(key[at]), key[at], number[at].astype("<u4"), times), row)
+
         for batch in batches:
-            for first, hashes, row, place in tokens(batch.column(text)):
-                rows = int(row[-1]) + 1
-                hit, root = model.words.get(hashes)
+            row = batch.schema.field("row").type
+            for first, hashes, of_row, place in tokens(batch.column("text")):
+                source, rows = (own << 24) + turn, int(of_row[-1]) + 1
                 inside = place > 0
+                hit, root = model.words.get(hashes)
                 hit, root = hit & inside, np.where(inside, root - norm, 0.0)
                 logs, keys, of = model.added(hashes, place)
                 logs += root
-                add = lambda x: np.bincount(row, x, rows)
                 rare = inside & ~hit
-                r, h = np.concatenate([row[rare], row[of]]), np.concatenate([hashes[rare], keys])
-                order = np.lexsort((h, r))
-                r, h = r[order], h[order]
-                at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[at, len(r)]).astype(np.int32)
-                offsets = np.searchsorted(r[at], np.arange(rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
-                part = batch.slice(first, rows)
-                values = [np.arange(uid, uid + rows), np.bincount(row, inside, rows).astype(np.int64), add(hit).astype(np.int64), add(root), add(logs)]
-                uid += rows
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, t) for v, t in zip(values, types)), *lists], [*kept, *names])
-
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))))])
-    scored = written(docs.mapInArrow(run, schema), "scored")
-    uid, n_tokens, known, base, part, asked, times = names
-    pairs = scored.select(F.col(uid).alias("uid"), F.explode(F.arrays_zip(F.col(asked).alias("key"), F.col(times).alias("times"))).alias("w")).select("uid", "w.key", "w.times")
-    value = F.col("times") * F.col("value")
-    found = pairs.join(rest, "key").groupBy("uid").agg(F.sum(F.when(F.col("known"), value)).alias("more"), F.sum(value).alias("all"), F.sum(F.when(F.col("known"), F.col("times"))).alias("words"))
-    left = scored.drop(asked, times).select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), F.col(uid).alias("uid"), *(F.col(c).alias(f"_{i}") for i, c in enumerate((n_tokens, known, base, part))))
-    return left.join(found, "uid", "left").select(
-        *(F.col("row")[c].alias(c) for c in kept),
-        F.col("_0").alias("n_tokens"),
-        (F.col("_1") + F.coalesce("words", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("_2") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("_3") + F.coalesce("all", F.lit(0.0))).alias("score"),
-    )
+                key, number = np.concatenate([hashes[rare], keys]), np.concatenate([of_row[rare], of_row[of]])
+                order = np.argsort(number, kind="stable")
+                waiting.append((key[order], number[order] + seen))
+                many += len(key)
+                values = [pa.array(np.bincount(of_row, x, rows).astype(t)) for x, t in ((inside, np.int64), (hit, np.int64), (root, float), (logs, float))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, ROWS, np.int32)), pa.array(np.full(rows, own % parts)), pa.array(np.full(rows, source)), pa.nulls(rows, pa.binary()), pa.array(np.arange(seen, seen + rows)), batch.column("row").slice(first, rows), *values], names)
+                seen += rows
+                if many >= BUFFER:
+                    yield asked()
+                    waiting, many, turn = [], 0, turn + 1
+        if waiting:
+            yield asked()
+
+    def answer(batches):
+        at, held, table = None, [], None
+        for batch in batches:
+            kinds, row = batch.column("kind").to_numpy(), batch.schema.field("row").type
+            whole = np.flatnonzero(kinds == ROWS)
+            if len(whole):
+                yield batch.take(pa.array(whole))
+            few = batch.take(pa.array(np.flatnonzero(kinds != ROWS)))
+            for kind, part, source, block in zip(*(few.column(c).to_pylist() for c in packed)):
+                if part != at:
+                    at, held, table = part, [], None
+                if kind == TERMS:
+                    held.append(_unpacked(block, *_TERM))
+                    continue
+                if not held:
+                    continue
+                if table is None:
+                    key, value, known = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(key)
+                    table = key[order], value[order], known[order]
+                key, number, times = _unpacked(block, *_ASKED)
+                slot = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+                hit = table[0][slot] == key
+                slot, number, times = slot[hit], number[hit], times[hit]
+                if not len(number):
+                    continue
+                value, word = table[1][slot] * times, table[2][slot]
+                low = int(number.min())
+                sums = [np.bincount(number - low, x) for x in (value, value * word, times * word, np.ones(len(number)))]
+                some = np.flatnonzero(sums[3])
+                yield shared(ANSWERS, source, [part], [b"".join([(some + low).astype("<u4").tobytes(), sums[0][some].tobytes(), sums[1][some].tobytes(), sums[2][some].astype("<u4").tobytes()])], row)
+
+    def add(batches):
+        at, more = None, []
+        for batch in batches:
+            sources, kinds = batch.column("source").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (sources[1:] != sources[:-1]) | (kinds[1:] != kinds[:-1]), True]) if len(kinds) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if sources[a] != at:
+                    at, more = sources[a], []
+                part = batch.slice(a, b - a)
+                if kinds[a] == ANSWERS:
+                    more += [_unpacked(x, *_ANSWER) for x in part.column("block").to_pylist()]
+                    continue
+                number = part.column("number").to_numpy()
+                got = [part.column(f.name).to_numpy() for f in numbers]
+                if more:
+                    of, *sums = (np.concatenate(x) for x in zip(*more))
+                    mine = np.flatnonzero((of >= number.min()) & (of <= number.max()))
+                    low = int(number.min())
+                    all_, base, words_ = (np.bincount(of[mine] - low, x[mine], int(number.max()) - low + 1)[number - low] for x in sums)
+                    got = [got[0], got[1] + words_.astype(np.int64), got[2] + base, got[3] + all_]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, got)], ["row", *(f.name for f in numbers)])
+
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept))) if kept else F.struct(F.lit(None).cast("boolean").alias("none"))
+    asking = docs.select(row.alias("row"), F.col(text).alias("text")).mapInArrow(ask, schema)
+    held = rest.mapInArrow(terms, "kind int, part long, source long, block binary")
+    met = asking.unionByName(held, allowMissingColumns=True).repartition(min(parts, 20_000), "part").sortWithinPartitions("part", "kind").mapInArrow(answer, schema)
+    done = met.repartition(min(parts, 20_000), "source").sortWithinPartitions("source", F.desc("kind"), "number").mapInArrow(add, T.StructType([T.StructField("row", row_type), *numbers]))
+    return done.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
