@@ -1,15 +1,19 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
 
-A section ends at a blank line; paragraphs are its lines; leaves are a paragraph's sentences, long ones cut
-after words that a hash picks, so that an edit moves the bounds near it only.  Inner nodes digest their
-children's digests (sections those of paragraphs, the root those of sections).
+Paragraphs are a text's lines with their line feeds; a section ends with the blank lines after it.  Leaves are a paragraph's sentences,
+long ones cut after words that a hash picks, so that an edit moves the bounds near it only; together they are the text.  Inner
+nodes digest their children's digests.
 
-The fingerprint is text: the root's digest, then the tree (`/` before sections, `,` before paragraphs, eight
-hex digits per leaf with its length as a base-36 number after `.`).  Equal texts have equal fingerprints; roots test equality
-(128 bits), and `differing` descends only into branches whose digests differ and names the edited leaves.
-`likeness` is the share of leaf characters that both trees hold, wherever they stand (0 to 1; two empty texts: 1).
+The fingerprint is text: the root's digest, then the tree: `/` before a section and `,` before a paragraph, each with eight
+hex digits of its digest and `=` if it has several children (else it goes by its child's), and for each leaf eight hex digits, `.`, its length as a
+base-36 number and `;`.  Equal texts have equal fingerprints; roots test equality (128 bits).
 
-Null text counts as empty.  Rows are not merged; ties and repeated rows give equal fingerprints.
+`differing` walks both trees down branches whose digests differ, aligned by digest, and names the leaves that only one has.
+`likeness` is twice the characters of leaves that both trees hold, wherever they stand, over all characters (0 to 1; two empty texts: 1): branches
+with equal digests count whole, and only what is left of the others is entered.
+
+Null text counts as empty, the tree without sections.  Rows are not merged; ties and repeated rows give equal fingerprints.  Empty tables
+give no rows.  Columns of the input stay in `fingerprints`, but for one of the target's name; `against_next` drops others.
 """
 
 from __future__ import annotations
@@ -17,13 +21,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+\s*|$)", re.S)
+SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+\s*|\Z)", re.S)
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
 LONG = 160
 
 
@@ -61,68 +68,128 @@ def _base36(n: int) -> str:
             return out
 
 
-def fingerprint(text: str) -> str:
-    sections, shown, here = [], [], []
+class Node(NamedTuple):
+    """A branch or leaf: first eight hex digits of its digest, characters, children."""
 
-    def close():
-        if here:
-            sections.append(_digest(b"".join(here)))
-            here.clear()
+    digest: str
+    size: int
+    below: tuple
+
+
+def _inner(children: list[Node], digests: list[bytes]) -> tuple[Node, bytes]:
+    whole = _digest(b"".join(digests)) if len(children) > 1 else digests[0]
+    return Node(whole[:4].hex(), sum(c.size for c in children), tuple(children)), whole
+
+
+def build(text: str) -> tuple[str, tuple[Node, ...]]:
+    """Fingerprint and sections of a text."""
+    sections, roots, here, digests, blank = [], [], [], [], False
 
-    shown.append("/")
-    for line in text.split("\n"):
-        if not line.strip():
+    def close():
+        node, whole = _inner(here, digests)
+        sections.append(node)
+        roots.append(whole)
+        here.clear()
+        digests.clear()
+
+    for line in LINE.findall(text):
+        if blank and here and not line.isspace():
             close()
-            here.append(_digest(b"blank" + line.encode()))
-            shown.append("/" + _base36(len(line)))
-            continue
-        below = []
-        shown.append(",")
+        blank = line.isspace()
+        below, found = [], []
         for leaf in leaves(line):
             d = _digest(leaf.encode())
-            below.append(d)
-            shown.append(f"{d[:4].hex()}.{_base36(len(leaf))};")
-        here.append(_digest(b"".join(below)))
-    close()
-    return _digest(b"".join(sections)).hex() + ":" + "".join(shown)
+            found.append(d)
+            below.append(Node(d[:4].hex(), len(leaf), ()))
+        node, whole = _inner(below, found)
+        here.append(node)
+        digests.append(whole)
+    if here:
+        close()
+    return _digest(b"".join(roots)).hex() + ":" + "".join(map(_shown, sections)), tuple(sections)
+
+
+def _shown(section: Node) -> str:
+    inner = lambda node: node.digest + "=" if len(node.below) > 1 else ""
+    return "/" + inner(section) + "".join("," + inner(p) + "".join([f"{x.digest}.{_base36(x.size)};" for x in p.below]) for p in section.below)
+
+
+def fingerprint(text: str) -> str:
+    return build(text)[0]
 
 
 _LEAF = re.compile(r"([0-9a-f]{8})\.([0-9a-z]+);")
 
 
-def tree(mark: str) -> list[list[list[tuple[str, int]]]]:
-    """Sections of paragraphs of (leaf digest, length)."""
-    return [[[(d, int(n, 36)) for d, n in _LEAF.findall(p)] for p in s.split(",")[1:]] for s in mark.partition(":")[2].split("/")[1:]]
+def tree(mark: str) -> tuple[Node, ...]:
+    """The sections that a fingerprint holds."""
+
+    def branch(shown: str, children: list[Node]) -> Node:
+        return Node(shown[:8] if shown[8:9] == "=" else children[0].digest, sum(c.size for c in children), tuple(children))
+
+    def paragraph(shown: str) -> Node:
+        return branch(shown, [Node(d, int(n, 36), ()) for d, n in _LEAF.findall(shown)])
+
+    return tuple(branch(s, [paragraph(p) for p in s.split(",")[1:]]) for s in mark.partition(":")[2].split("/")[1:])
+
+
+def shared(left: list[Node], right: list[Node], depth: int = 3) -> int:
+    """Characters of the leaves that both lists of branches hold; depth: 3 for sections, 2 for paragraphs, 1 for leaves."""
+    name = lambda x: (x.digest, x.size)
+    both = Counter(map(name, left)) & Counter(map(name, right))
+    total = sum(size * n for (_, size), n in both.items())
+    if depth == 1 or not left or not right:
+        return total
+
+    def rest(nodes):
+        spent, out = dict(both), []
+        for x in nodes:
+            if spent.get(name(x)):
+                spent[name(x)] -= 1
+            else:
+                out += x.below
+        return out
+
+    return total + shared(rest(left), rest(right), depth - 1)
+
+
+def alike(left: tuple[Node, ...], right: tuple[Node, ...]) -> float:
+    total = sum(x.size for x in left) + sum(x.size for x in right)
+    return 2 * shared(left, right) / total if total else 1.0
 
 
 def likeness(a: str, b: str) -> float:
     """Twice the characters of shared leaves over all characters; a leaf counts as often as both hold it."""
-    if a == b:
-        return 1.0
-    left, right = _LEAF.findall(a.partition(":")[2]), _LEAF.findall(b.partition(":")[2])
-    size = {x: int(x[1], 36) for x in {*left, *right}}
-    total = sum(size[x] for x in left) + sum(size[x] for x in right)
-    if not total:
-        return 0.0
-    right_count = Counter(right)
-    return 2 * sum(size[x] * min(n, right_count[x]) for x, n in Counter(left).items()) / total
-
-
-def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) of a's leaves that b does not hold at the same place; equal branches are not entered."""
+    return 1.0 if a == b else alike(tree(a), tree(b))
+
+
+def differing(a: str, b: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(section, paragraph, leaf) of the leaves that only a has, and of those that only b has; equal branches are not entered."""
+    found: tuple[list, list] = [], []
     if a.partition(":")[0] == b.partition(":")[0]:
-        return []
-    out = []
-    left, right = tree(a), tree(b)
-    for i, section in enumerate(left):
-        other = right[i] if i < len(right) else []
-        if section == other:
-            continue
-        for j, paragraph in enumerate(section):
-            beside = other[j] if j < len(other) else []
-            if paragraph != beside:
-                out += [(i, j, k) for k, x in enumerate(paragraph) if k >= len(beside) or beside[k] != x]
-    return out
+        return found
+
+    def whole(side: int, node: Node, at: tuple) -> None:
+        if not node.below:
+            found[side].append(at)
+        for k, x in enumerate(node.below):
+            whole(side, x, (*at, k))
+
+    def walk(left: tuple, right: tuple, at: tuple, beside: tuple) -> None:
+        names = [[(x.digest, x.size) for x in side] for side in (left, right)]
+        for kind, i, i2, j, j2 in SequenceMatcher(None, *names, autojunk=False).get_opcodes():
+            if kind == "equal":
+                continue
+            many = min(i2 - i, j2 - j) if left[i:i2] and right[j:j2] and left[i].below else 0
+            for k in range(many):  # changed in place
+                walk(left[i + k].below, right[j + k].below, (*at, i + k), (*beside, j + k))
+            for k in range(i + many, i2):
+                whole(0, left[k], (*at, k))
+            for k in range(j + many, j2):
+                whole(1, right[k], (*beside, k))
+
+    walk(tree(a), tree(b), (), ())
+    return found
 
 
 def fingerprints(df: DataFrame, text: str = "text", target: str = "fingerprint") -> DataFrame:
@@ -130,7 +197,7 @@ def fingerprints(df: DataFrame, text: str = "text", target: str = "fingerprint")
     kept = [c for c in df.columns if c != target]
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             marks = [fingerprint(t or "") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(marks, pa.large_string())], [*kept, target])
 
@@ -147,12 +214,12 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 _ARROW_EDGES = pa.schema([*(f for f in _ARROW if "fingerprint" not in f.name), ("both", pa.large_string()), ("place", pa.int64()), ("side", pa.int64()), ("text", pa.large_string())])
 
 
-def compare(doc_id, text: str, mark: str, following: str, following_mark: str) -> dict:
+def compare(doc_id, text: str, built: tuple, following: str, following_tree: tuple) -> dict:
     n = len(text)
     half = n // 2
     edited = text[: n - half] + following[:half]
-    edited_mark = fingerprint(edited)
-    return {"doc_id": doc_id, "n_chars": n, "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": mark, "edited_fingerprint": edited_mark, "near_edited": likeness(mark, edited_mark), "near_next": likeness(mark, following_mark)}
+    edited_mark, edited_tree = build(edited)
+    return {"doc_id": doc_id, "n_chars": n, "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": built[0], "edited_fingerprint": edited_mark, "near_edited": alike(built[1], edited_tree), "near_next": alike(built[1], following_tree)}
 
 
 def against_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,13 +240,13 @@ def against_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             for at in range(0, whole.num_rows, 512):
                 batch, out = whole.slice(at, 512), []
                 for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    mark = fingerprint(t)
+                    built = build(t)
                     if before is None:
                         out.append({"doc_id": d, "place": place, "side": 0, "text": t})
                     else:
-                        row = compare(*before, t, mark)
+                        row = compare(*before, t, built[1])
                         out.append(row | {"both": f"{row.pop('fingerprint')}|{row.pop('edited_fingerprint')}"})
-                    before = d, t, mark
+                    before = d, t, built
                 yield pa.RecordBatch.from_pylist(out, _ARROW_EDGES)
         if before is not None:
             yield pa.RecordBatch.from_pylist([{"doc_id": before[0], "place": place, "side": 1, "text": before[1]}], _ARROW_EDGES)
@@ -198,8 +265,9 @@ def against_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def pair(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pylist([compare(r["doc_id"], r["text"], fingerprint(r["text"]), r["following"], fingerprint(r["following"])) for r in rows], _ARROW)
+            for row in (batch.slice(at, 1) for at in range(batch.num_rows)):  # texts of any length
+                r = row.to_pylist()[0]
+                yield pa.RecordBatch.from_pylist([compare(r["doc_id"], r["text"], build(r["text"]), r["following"], build(r["following"])[1])], _ARROW)
 
     return done.unionByName(edges.mapInArrow(pair, COMPARED))
 

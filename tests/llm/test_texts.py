@@ -2,7 +2,8 @@
 
 import base64
 import hashlib
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -57,7 +58,7 @@ def _edited(text, following):
 
 def test_merkle_against_next(spark):
     texts = {i: " ".join(f"Word{i}x{k} is here." for k in range(i % 9 * 3)) + ("\n\nsame end." if i % 2 else "") for i in range(40)}
-    texts[7], texts[8] = None, texts[6]
+    texts[7], texts[8], texts[9] = None, texts[6], "one long text " * 20000
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r for r in merkle.against_next(df).collect()}
     assert len(got) == 40
@@ -71,11 +72,45 @@ def test_merkle_against_next(spark):
 
 
 def test_merkle_locates_edits():
-    a = "One. Two.\nThree. Four.\n\nFive."
-    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1.0
-    assert merkle.differing(merkle.fingerprint(a), merkle.fingerprint(a.replace("Four", "4"))) == [(0, 1, 1)]
-    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint("x")) == 0.0
-    assert merkle.fingerprint("a\n\nb") != merkle.fingerprint("a\nb")
+    a = "One. Two.\nThree. Four.\n\nFive.\nSix."
+    mark, differing = merkle.fingerprint, merkle.differing
+    assert merkle.likeness(mark(a), mark(a)) == 1.0 and differing(mark(a), mark(a)) == ([], [])
+    assert differing(mark(a), mark(a.replace("Four", "4"))) == ([(0, 1, 1)], [(0, 1, 1)])
+    assert differing(mark(a), mark(a + "\n\nMore.")) == ([(1, 1, 0)], [(1, 1, 0), (1, 2, 0), (2, 0, 0)])  # the end of "Six." now has a line feed
+    assert differing(mark(a), mark("Before. All.\n\n" + a)) == ([], [(0, 0, 0), (0, 0, 1), (0, 1, 0)])
+    assert differing(mark(a), mark(a.replace("Three", "New. Three"))) == ([], [(0, 1, 0)])
+    assert differing(mark(a), mark(a.replace("Five.\n", ""))) == ([(1, 0, 0)], [])
+    assert differing(mark(a), mark(a.replace("\n\n", "\n\n\n"))) == ([], [(0, 3, 0)])
+    assert merkle.likeness(mark(a), mark(a.replace("\n\n", "\n\n\n"))) < 1
+    assert merkle.likeness(mark(a), mark("x")) == merkle.likeness(mark(a), mark("")) == 0.0
+    assert mark("a\n\nb") != mark("a\nb") and mark("") == mark("")
+
+
+@given(st.lists(st.text(alphabet="ab.\n ", max_size=40), min_size=2, max_size=2))
+def test_merkle_walk_is_a_count_of_leaves(texts):
+    a, b = texts
+    flat = [[x for s in merkle.build(t)[1] for p in s.below for x in p.below] for t in texts]
+    assert [sum(x.size for x in f) for f in flat] == [len(a), len(b)]
+    both = Counter((x.digest, x.size) for x in flat[0]) & Counter((x.digest, x.size) for x in flat[1])
+    want = 2 * sum(size * n for (_, size), n in both.items()) / (len(a) + len(b)) if a or b else 1.0
+    marks = [merkle.fingerprint(t) for t in texts]
+    assert merkle.likeness(*marks) == want and [merkle.tree(m) for m in marks] == [merkle.build(t)[1] for t in texts]
+    only = merkle.differing(*marks)
+    assert (not any(only)) == (a == b) and [len(o) for o in only] >= [len(f) - sum(both.values()) for f in flat]
+
+
+def test_merkle_query(spark, sf):
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids, got = sorted(rows, reverse=True), {r["doc_id"]: r for r in merkle.op4(spark, sf).collect()}
+    assert got.keys() == rows.keys()
+    leaves = {i: Counter(x for line in re.findall(r"[^\n]*\n|[^\n]+", t) for x in merkle.leaves(line)) for i, t in rows.items()}
+    for i, following in zip(ids, ids[1:] + ids[:1]):
+        r, edited = got[i], _edited(rows[i], rows[following])
+        assert (r["n_chars"], r["edited_sha256"]) == (len(rows[i]), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (rows[i] == edited)
+        both = sum(len(x) * n for x, n in (leaves[i] & leaves[following]).items())
+        total = len(rows[i]) + len(rows[following])
+        assert abs(r["near_next"] - (2 * both / total if total else 1.0)) < 1e-9
 
 
 def test_merkle_small_tables(spark):
