@@ -1,22 +1,29 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Vectors are scaled to unit length and turned by one random rotation; a code keeps the sign of each coordinate in one bit, with two
-correction scalars: the vector's length, and the inner product of the turned unit vector with its own code.  The code's
-inner product with a turned query, divided by the second scalar, estimates the true one without bias, within an error
-of about sqrt((1 - s*s) / (s*s * (d - 1))) times `sureness` with high probability.  Candidates whose upper bound falls
-below the k-th largest lower bound are left out; the others are ranked by the exact inner product.
-
-Vectors stand in blocks of packed codes (every row is indexed, nothing is fitted); queries come in blocks, and each block of
-queries meets each block of vectors once in a task of bounded size.  Each meeting gives the k best per query, and the
-k best of those are kept, so no more than k rows a query and block are shuffled.  A frequent vector fills blocks like any other.
-
-Vectors that are null, of zero length, of other dimension than the most frequent one, or holding null or non-finite
-components take no part.  Ties go to the smaller id; repeated rows of an id are separate candidates (none is a
-candidate of its own id's query), and a repeated query id is answered once, from the first of its vectors in order of components.
+Vectors are scaled to unit length, padded with zeros to `bits` dimensions and turned by a random rotation; a code keeps the sign of each
+coordinate in one bit, with two correction scalars: the vector's length, and s, the inner product of the turned unit vector with its
+own code.  The code's inner product with a turned query, divided by s, estimates the true one without bias; the error's
+deviation is sqrt((1 - s*s) / (s*s * (bits - 1))) of the lengths at most, and the bound is `sureness` deviations.
+
+1. Every row is indexed (nothing is fitted): packed codes and scalars, written once.
+2. Blocks of codes meet blocks of queries; each gives the k rows of largest estimate per query.  The exact inner products of
+   the k best of those are a floor: the k-th nearest has no smaller one.
+3. Blocks meet again, and only rows whose upper bound reaches their query's floor come out (`reranked` of them).  Their
+   vectors are fetched by row, the exact inner product in double precision ranks them.
+
+Only codes are copied for the meetings, in blocks of bounded size; vectors go where bounds send them.  A frequent vector fills
+blocks like any other.  Comparing codes of all queries with all rows is quadratic, as the stated query set asks.
+
+Vectors that are null, of zero length, or holding null or non-finite components take no part.  Vectors of another dimension are another
+space: a query's candidates are the rows of its own dimension.  Ties go to the smaller id; repeated rows of an id are separate
+candidates (none is a candidate of its own id's query), and a repeated query id is answered once, from the first of its vectors in order of
+components.  Empty tables give no rows.  Other columns are dropped.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,99 +32,143 @@ from pyspark.sql import functions as F
 from .common import written
 
 SEED = 20240229
+CHUNK = 8192
+
+
+@functools.lru_cache(4)
+def rotation(d: int, bits: int) -> np.ndarray:
+    """The first d rows of a random rotation of `bits` dimensions: what turns vectors padded with zeros."""
+    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:d]
 
 
-def rotation(d: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+def width(d: int, bits: int) -> int:
+    """Dimensions after padding."""
+    return max(bits, -(-d // 8) * 8)
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    vector = F.col(embedding).cast("array<double>")
-    found = df.select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
-    return found.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    """row, vec_id, v and d of the vectors that take part."""
+    v = F.col("v")
+    found = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
+    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    return found.filter(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("d"))
 
 
 def _matrix(column) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(float)
 
 
-def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, lengths, and inner products of the turned unit vectors with their codes."""
-    d = vectors.shape[1]
-    # components may be so large that squares overflow
+def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and the lengths (components may be so large that squares overflow)."""
     scale = np.abs(vectors).max(1, keepdims=True)
-    length = np.linalg.norm(vectors / scale, axis=1) * scale[:, 0]
-    turned = (vectors / scale) / np.linalg.norm(vectors / scale, axis=1)[:, None] @ rotation(d).T
-    return np.packbits(turned >= 0, axis=1), length, np.abs(turned).sum(1) / np.sqrt(d)
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, lengths: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, sureness: float):
-    """(query id, vec_id, score) of at least the k best of one block for each query."""
-    d = vectors.shape[1]
-    signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.sqrt(d)
-    turned = queries @ rotation(d).T
-    norm = np.linalg.norm(queries, axis=1)
-    error = sureness * np.sqrt(np.maximum(1 - own**2, 0) / (own**2 * max(d - 1, 1)))
-    out = []
-    for at in range(0, len(queries), 256):
-        part = slice(at, at + 256)
-        estimate = (turned[part].astype(np.float32) @ signs.T).astype(float) / own * lengths
-        bound = norm[part, None] * (error * lengths)[None, :] * (1 + 1e-5) + 1e-9 * np.abs(estimate)
-        for i in range(len(estimate)):
-            q = at + i
-            other = ids != query_ids[q]
-            low = np.where(other, estimate[i] - bound[i], -np.inf)
-            n = int(other.sum())
-            if not n:
-                continue
-            floor = np.partition(low, len(low) - min(k, n))[len(low) - min(k, n)]
-            near = np.flatnonzero(other & (estimate[i] + bound[i] >= floor))
-            exact = np.array([float(np.dot(vectors[j], queries[q])) for j in near]) if len(near) < 8 else vectors[near] @ queries[q]
-            best = np.lexsort((ids[near], -exact))[:k]
-            out.append((np.full(len(best), query_ids[q]), ids[near][best], exact[best]))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-
-def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", block: int = 16384, query_block: int = 2048, sureness: float = 4.0) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of largest inner product for every row that is_query (a condition on vec_id) picks."""
-    rows = written(usable(df, vec_id, embedding), "vectors")
-    first = rows.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if first is None:
-        return df.sparkSession.createDataFrame([], out)
-    d = first["d"]
-    rows = rows.filter(F.size("v") == d)
-    total = rows.count()
-    asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks, query_blocks = max(1, -(-total // block)), max(1, -(-asked.count() // query_block))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-
-    def index(batches):
+    small = vectors / scale
+    norm = np.linalg.norm(small, axis=1, keepdims=True)
+    return small / norm, (norm * scale)[:, 0]
+
+
+def encode(vectors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign bits, lengths, and inner products of the turned unit vectors with their codes."""
+    turned, length = unit(vectors)
+    turned = turned @ rotation(vectors.shape[1], bits)
+    return np.packbits(turned >= 0, axis=1), length, np.abs(turned).sum(1) / np.sqrt(bits)
+
+
+def index(rows: DataFrame, bits: int) -> DataFrame:
+    """row, vec_id, d, code, length and own of every row of `usable`."""
+
+    def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                codes, length, own = encode(_matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(own)], ["vec_id", "v", "code", "length", "own"])
-
-    indexed = rows.select("vec_id", "v").mapInArrow(index, "vec_id long, v array<double>, code binary, length double, own double")
-    vectors = indexed.withColumn("block", spread(blocks)).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = asked.withColumn("query_block", spread(query_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(key, left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        column = lambda t, c: t.column(c).combine_chunks()
-        codes = np.frombuffer(b"".join(column(right, "code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        found = search_block(_matrix(column(left, "v")), left.column("vec_id").to_numpy(), _matrix(column(right, "v")), codes, right.column("length").to_numpy(), right.column("own").to_numpy(), right.column("vec_id").to_numpy(), k, sureness)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
-
-    met = queries.groupBy("block", "query_block").cogroup(vectors.groupBy("block", "query_block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+            dims = batch.column("d").to_numpy()
+            for d in np.unique(dims):
+                part = batch.filter(pa.array(dims == d))
+                codes, length, own = encode(_matrix(part.column("v")), width(d, bits))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "vec_id", "d")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(own)], ["row", "vec_id", "d", "code", "length", "own"])
+
+    return rows.mapInArrow(run, "row long, vec_id long, d int, code binary, length double, own double")
+
+
+def estimates(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray):
+    """For chunks of codes: where they begin, estimated inner products with all queries, and the deviations of their errors for queries of length one."""
+    bits = 8 * codes.shape[1]
+    turned = (queries @ rotation(queries.shape[1], bits)).astype(np.float32)
+    for at in range(0, len(codes), CHUNK):
+        part = slice(at, at + CHUNK)
+        signs = (np.unpackbits(codes[part], axis=1) * np.float32(2) - 1) / np.float32(np.sqrt(bits))
+        yield at, (turned @ signs.T) * (length[part] / own[part]), length[part] * np.sqrt(np.maximum(1 - own[part] ** 2, 0) / (own[part] ** 2 * (bits - 1)))
+
+
+def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", bits: int = 512, block: int = 32_768, query_block: int = 4096, sureness: float = 1.9) -> DataFrame:
+    """(query_id, rank, vec_id, score, reranked): the k rows of largest inner product for every row that is_query (a condition on vec_id) picks;
+    reranked: how many rows the bounds left for the query."""
+    rows = written(usable(df, vec_id, embedding), "vectors")
+    coded = written(index(rows, bits), "codes")
+    asked = written(rows.filter(is_query).groupBy("vec_id", "d").agg(F.min("v").alias("v")).groupBy(F.col("vec_id").alias("query_id")).agg(F.min_by(F.struct("v", "d"), "v").alias("x")).select("query_id", "x.v", "x.d"), "queries")
+    total, cores = coded.count(), df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-total // block), min(2 * cores, -(-total // 512)), 1)
+    query_blocks = max(1, -(-asked.count() // query_block))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vectors = coded.withColumn("block", deal("row", blocks)).withColumn("query_block", every(query_blocks))
+    column = lambda t, c: t.column(c).combine_chunks()
+
+    def meet(queries: DataFrame, found_by):
+        """What found_by(queries, codes, ids that are no candidates) gives for the blocks of queries and codes that meet."""
+
+        def run(key, left, right):
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "estimate": pa.array([], pa.float64())})
+            turned, norm = unit(_matrix(column(left, "v")))
+            codes = np.frombuffer(b"".join(column(right, "code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            q, j, e = found_by(turned, left.column("floor").to_numpy() / norm, left.column("query_id").to_numpy(), codes, *(right.column(c).to_numpy() for c in ("length", "own", "vec_id")))
+            return pa.table({"query_id": left.column("query_id").to_numpy()[q], "row": right.column("row").to_numpy()[j], "estimate": e * norm[q]})
+
+        sides = queries.withColumn("query_block", deal("query_id", query_blocks)).withColumn("block", every(blocks))
+        keys = ["d", "block", "query_block"]
+        return sides.groupBy(keys).cogroup(vectors.groupBy(keys)).applyInArrow(run, "query_id long, row long, estimate double")
+
+    def largest(queries, floor, ids, codes, length, own, vec_ids):
+        """The k rows of largest estimate."""
+        out = [np.zeros(0, np.int64)] * 2, np.zeros(0)
+        (q, j), e = out
+        for at, estimate, _ in estimates(queries, codes, length, own):
+            estimate[ids[:, None] == vec_ids[None, at : at + CHUNK]] = -np.inf
+            n = min(k, estimate.shape[1])
+            top = np.argpartition(estimate, estimate.shape[1] - n, axis=1)[:, -n:]
+            q, j = np.concatenate([q, np.repeat(np.arange(len(queries)), n)]), np.concatenate([j, at + top.ravel()])
+            e = np.concatenate([e, np.take_along_axis(estimate, top, 1).ravel()])
+            order = np.lexsort((-e, q))
+            place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+            order = order[(place < k) & (e[order] > -np.inf)]
+            q, j, e = q[order], j[order], e[order]
+        return q, j, e
+
+    def reaching(queries, floor, ids, codes, length, own, vec_ids):
+        """Rows whose upper bound reaches the floor."""
+        found = []
+        for at, estimate, error in estimates(queries, codes, length, own):
+            upper = estimate + sureness * error * (1 + 1e-5)
+            i, j = np.nonzero((upper >= floor[:, None] - 1e-6 * length[at : at + CHUNK]) & (ids[:, None] != vec_ids[None, at : at + CHUNK]))
+            found.append((i, at + j, estimate[i, j].astype(float)))
+        return (np.concatenate(x) for x in zip(*found))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """pairs (query_id, row) with vec_id and score."""
+        product = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+        return pairs.join(rows.select("row", "vec_id", "v"), "row").join(asked.select("query_id", F.col("v").alias("w")), "query_id").select("query_id", "vec_id", product.alias("score"))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "row")
+    first = meet(asked.withColumn("floor", F.lit(0.0)), largest).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    floors = exact(first.select("query_id", "row")).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).select("query_id", F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    near = meet(asked.join(written(floors, "floors"), "query_id"), reaching)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = exact(written(near.select("query_id", "row"), "near")).withColumn("rank", F.row_number().over(order)).withColumn("reranked", F.count("*").over(Window.partitionBy("query_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "reranked")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+    found = nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")

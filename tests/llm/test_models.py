@@ -197,8 +197,9 @@ def test_nearest(spark):
     m[100:300] = m[0]  # ties
     rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(700, None), (720, [0.0] * 24), (740, [float("nan")] * 24), (760, [float("inf")] + [0.0] * 23), (780, [None] + [1.0] * 23), (800, [1.0]), (None, [1.0] * 24)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = rotated_codes.nearest(df, F.col("vec_id") % 20 == 0, 10, block=128, query_block=16).collect()
-    assert {r["query_id"] for r in out} == set(range(0, 600, 20))
+    found = rotated_codes.nearest(df, F.col("vec_id") % 20 == 0, 10, block=128, query_block=16).collect()
+    assert {r["query_id"] for r in found} == set(range(0, 600, 20))  # the vector of one dimension is alone in its space
+    out = [r for r in found if r["query_id"] < 600]
     hits = 0
     for q in range(0, 600, 20):
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
@@ -208,10 +209,34 @@ def test_nearest(spark):
         order = [int(i) for i in np.lexsort((np.arange(600), -np.round(scores, 9))) if i != q][:10]
         hits += len({i for _, i, _ in mine} & set(order))
     assert hits >= 0.9 * 300
+    two = df.unionByName(spark.createDataFrame([(820, [2.0]), (821, [3e200])], "vec_id long, embedding array<double>"))
+    alone = {(r["query_id"], r["vec_id"]): r["score"] for r in rotated_codes.nearest(two.filter("size(embedding) = 1"), F.col("vec_id") % 20 == 0).collect()}
+    assert alone == {(800, 820): 2.0, (800, 821): 3e200, (820, 800): 2.0, (820, 821): 6e200}
     assert rotated_codes.nearest(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert rotated_codes.nearest(df.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).count() == 2
 
 
+def test_nearest_query(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, m = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {}
+    for r in rotated_codes.op6(spark, sf).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got.keys() == {int(i) for i in ids if i % 20 == 0}
+    hits = 0
+    for q, found in got.items():
+        scores = m @ m[ids == q][0]
+        order = [int(ids[i]) for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21))
+        assert all(s == pytest.approx(scores[ids == i][0], abs=1e-12) for _, i, s in found)
+        hits += len({i for _, i, _ in found} & set(order))
+    assert hits >= 0.97 * 20 * len(got)
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    share = rotated_codes.nearest(table, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.max("reranked").alias("n")).agg(F.avg("n")).first()[0] / len(rows)
+    assert share < 0.1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rnd = random.Random(seed)
