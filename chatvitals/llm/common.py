@@ -62,8 +62,8 @@ BUCKETS = 1 << 20
 
 def near_rows(df: DataFrame, wanted: DataFrame, column: str, kind: str = "left_semi") -> DataFrame:
     """Rows of df whose column may be among wanted's (left_semi; few others pass too) or surely is not (left_anti), without a shuffle of df."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    return df.join(F.broadcast(wanted.select(bucket(F.col(column)).alias("_bucket")).distinct()), bucket(df[column]) == F.col("_bucket"), kind)
+    bucket, (name,) = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)), free_names(df.columns, "bucket")
+    return df.join(F.broadcast(wanted.select(bucket(F.col(column)).alias(name)).distinct()), bucket(df[column]) == F.col(name), kind)
 
 
 def crc_mod(column: str, divisor: int):
@@ -148,11 +148,12 @@ def text_slices(column):
     return blob, bounds
 
 
-def text_blocks(column, most: int = 8 << 20):
-    """(first row, blob, bounds) for runs of rows of about `most` bytes, so that work arrays stay small."""
-    blob, bounds = text_slices(column)
-    i, n = 0, len(bounds) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
-        yield i, blob[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-        i = j
+def text_blocks(column, most: int = 8 << 20, rows: int = 1024):
+    """(first row, blob, bounds) for runs of rows of about `most` bytes and `rows` rows at most, so that copies and work arrays stay small."""
+    for at in range(0, len(column), rows):
+        blob, bounds = text_slices(column.slice(at, rows))
+        i, n = 0, len(bounds) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
+            yield at + i, blob[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            i = j

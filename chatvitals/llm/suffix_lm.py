@@ -41,7 +41,7 @@ from .common import BASE, MIX2, drop_written, mix, prefix_hash, range_hash, text
 END = np.uint64(0x0123456789ABCDEF)
 BITS = 1 << 27  # of a Bloom filter
 PROBES = (0, 18, 37)
-BUFFER = 2_000_000  # entries counted at once
+BUFFER = 1_000_000  # entries counted at once
 BLOCK = 1 << 20
 PART = 2_000_000  # tokens for each part of a shuffle of counts
 
@@ -135,7 +135,10 @@ def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
     Blocks of distinct runs with their counts are packed for each part of the key space and sorted by part, so a reducer holds one part."""
 
     def packed(size, prefix, suffix):
-        prefix, suffix = np.concatenate(prefix), np.concatenate(suffix)
+        whole = np.concatenate(prefix), np.concatenate(suffix)
+        prefix.clear()
+        suffix.clear()
+        prefix, suffix = whole
         key = joined(prefix, suffix)
         order, start = _ordered(key)
         n = np.diff(np.r_[start, len(key)]).astype("<u4")
@@ -439,6 +442,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def asked():
             key, number = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
             order = np.argsort(key, kind="stable")
             key, number = key[order], number[order]
             at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (number[1:] != number[:-1])]) if len(key) else np.zeros(0, np.int64)
@@ -464,7 +468,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 seen += rows
                 if many >= BUFFER:
                     yield asked()
-                    waiting, many, turn = [], 0, turn + 1
+                    many, turn = 0, turn + 1
         if waiting:
             yield asked()
 
