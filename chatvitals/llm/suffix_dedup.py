@@ -2,20 +2,23 @@
 
 The suffixes that are sorted are sampled so that no repeat is missed.  Windows of `length` bytes are grouped into
 runs whose smallest k-gram (by hash) stands at one place; equal windows agree on that place, so only its suffix is needed.
-A suffix is held as two leading tokens: the hash of its k-gram and the hash of all bytes that its run's windows cover.
-Suffixes are range-partitioned by leading tokens, with splitters that Spark samples; a bucket is sorted
-by multikey quicksort, neighbours are compared, and the ends of buckets are compared across boundaries:
+A suffix is held by its leading token (eight bytes, in byte order), then by hashes in place of the bytes that follow: that of its k-gram,
+and that of all bytes that its run's windows cover.  Suffixes are range-partitioned by these tokens, with splitters that Spark
+samples; a bucket (of about `bucket` suffixes, whatever the input) is sorted by multikey quicksort, neighbours are compared, and the ends of
+buckets are compared across boundaries:
 
-* both tokens equal to a neighbour's: every window of the run starts elsewhere too;
-* the first equal, the second not: both runs are cut finer, by a longer k (half the length, then all but a fortieth, then
+* all tokens equal to a neighbour's: every window of the run starts elsewhere too;
+* the k-gram equal, the whole not: both runs are cut finer, by a longer k (half the length, then all but a fortieth, then
   all of it, where a run is one window); equal runs leave one of them at least for that;
 * neither: no window of the run repeats.
 
-Ties are broken by document and place, so a suffix that is very frequent spreads over buckets, and each
-row only looks at its neighbours: no group is ever gathered.  Tokens are 64-bit hashes (two must agree).
+So suffixes are in byte order by their first eight bytes only; beyond, equal strings stand together, which is all that a comparison of
+neighbours at a given length needs.  Ties are broken by document and place, so a suffix that is very frequent spreads over buckets, and each
+row only looks at its neighbours: no group is ever gathered.  Hashes have 64 bits (two must agree).
 
 Documents are known by a 64-bit hash of id and text.  Null text counts as empty.  Rows that repeat an id with
-the same text are separate occurrences (each is removed, if long enough).  Matches never cross documents.
+the same text are separate occurrences (each is removed, if long enough).  Matches never cross documents.  Empty tables give no rows.
+Columns of the input stay; n_bytes, spans, kept and kept_text are added and replace columns of those names.
 """
 
 from __future__ import annotations
@@ -26,20 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, mix, near_rows, powers, prefix_hash, range_hash, text_blocks, written
+from .common import drop_written, free_names, mix, near_rows, powers, prefix_hash, range_hash, text_blocks, written
 
-RUNS = "uid long, first long, last long, gram long, span long"
+RUNS = "uid long, first long, last long, lead long, gram long, span long"
+_NAMES = ["uid", "first", "last", "lead", "gram", "span"]
 
 
 def runs(blob: np.ndarray, wanted: np.ndarray, k: int, length: int):
-    """(first window, last window, k-gram hash, hash of the bytes of all windows) for maximal runs of wanted window starts with one smallest k-gram.
+    """(first window, last window, leading token, k-gram hash, hash of the bytes of all windows) for maximal runs of wanted window starts with one smallest k-gram.
 
     wanted: a flag for each byte; only starts whose window ends inside their text may be set."""
     n, w = len(blob), length - k + 1
     count = n - length + 1
     none = np.zeros(0, np.int64)
     if count <= 0 or not wanted.any():
-        return none, none, none, none
+        return none, none, none, none, none
     prefix = prefix_hash(blob)
     grams = n - k + 1
     hashes = mix((prefix[k:] - prefix[:-k]) * powers(grams))
@@ -58,7 +62,12 @@ def runs(blob: np.ndarray, wanted: np.ndarray, k: int, length: int):
     ends[:-1] = begins[1:] | ~wanted[1:]
     ends &= wanted
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    return first, last, hashes[place[first]].view(np.int64), range_hash(prefix, first, last + length).view(np.int64)
+    at = place[first]
+    lead = np.zeros(len(at), np.uint64)
+    for j in range(8):
+        lead = lead << np.uint64(8) | (blob[at + j].astype(np.uint64) if j < k else np.uint64(0))
+    lead ^= np.uint64(1 << 63)  # signed numbers in byte order
+    return first, last, lead.view(np.int64), hashes[at].view(np.int64), range_hash(prefix, first, last + length).view(np.int64)
 
 
 def _starts(bounds: np.ndarray, length: int) -> np.ndarray:
@@ -86,9 +95,9 @@ def _suffixes(docs: DataFrame, k: int, length: int, asked: bool) -> DataFrame:
                     np.add.at(steps, flat.field("first").to_numpy() + shift, 1)
                     np.add.at(steps, flat.field("last").to_numpy() + shift + 1, -1)
                     wanted &= np.cumsum(steps[:-1]) > 0
-                first, last, gram, span = runs(blob, wanted, k, length)
+                first, last, lead, gram, span = runs(blob, wanted, k, length)
                 of = np.searchsorted(bounds[1:], first, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(uid[row + of]), pa.array(first - bounds[of]), pa.array(last - bounds[of]), pa.array(gram), pa.array(span)], ["uid", "first", "last", "gram", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid[row + of]), pa.array(first - bounds[of]), pa.array(last - bounds[of]), pa.array(lead), pa.array(gram), pa.array(span)], _NAMES)
 
     return docs.mapInArrow(run, RUNS)
 
@@ -117,11 +126,11 @@ def multikey_quicksort(columns: list[np.ndarray], small: int = 2048) -> np.ndarr
 NEIGHBOURS = f"{RUNS}, state int, place long, edge int"
 
 
-def compared(table: DataFrame) -> DataFrame:
+def compared(table: DataFrame, bucket: int = 2_000_000) -> DataFrame:
     """(uid, first, last, state) of runs: bit 2 is set if a neighbour has both tokens, bit 1 if a neighbour has the first only; table: RUNS, written.
 
     Of equal runs, one at least gets bit 1 if their k-gram also stands in other surroundings, for the finer cut to meet it."""
-    names = ["uid", "first", "last", "gram", "span"]
+    buckets = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // bucket))
 
     def run(batches):
         from pyspark import TaskContext
@@ -130,10 +139,10 @@ def compared(table: DataFrame) -> DataFrame:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        uid, first, last, gram, span = (np.concatenate(x) for x in zip(*parts))
+        uid, first, last, lead, gram, span = (np.concatenate(x) for x in zip(*parts))
         del parts
-        order = multikey_quicksort([gram, span, uid, first])
-        uid, first, last, gram, span = (x[order] for x in (uid, first, last, gram, span))
+        order = multikey_quicksort([lead, gram, span, uid, first])
+        uid, first, last, lead, gram, span = (x[order] for x in (uid, first, last, lead, gram, span))
         same = gram[1:] == gram[:-1]
         whole = same & (span[1:] == span[:-1])
         bits = np.where(whole, 2, np.where(same, 1, 0)).astype(np.int32)
@@ -146,9 +155,9 @@ def compared(table: DataFrame) -> DataFrame:
         kept = np.flatnonzero((state > 0) | (edge > 0))
         for at in range(0, len(kept), 50_000):
             k = kept[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (uid, first, last, gram, span, state)), pa.array(np.full(len(k), place)), pa.array(edge[k])], [*names, "state", "place", "edge"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (uid, first, last, lead, gram, span, state)), pa.array(np.full(len(k), place)), pa.array(edge[k])], [*_NAMES, "state", "place", "edge"])
 
-    found = written(table.repartitionByRange("gram", "span", "uid", "first").mapInArrow(run, NEIGHBOURS), "neighbours")
+    found = written(table.repartitionByRange(buckets, "lead", "gram", "span", "uid", "first").mapInArrow(run, NEIGHBOURS), "neighbours")
     # the first and last row of each bucket, against the buckets beside it: two rows a bucket
     ends = [r.asDict() for r in found.filter("edge > 0").collect()]
     ends.sort(key=lambda r: (r["place"], r["edge"]))
@@ -162,10 +171,12 @@ def compared(table: DataFrame) -> DataFrame:
 
 
 def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with n_bytes, spans (removed runs: start and end in bytes) and kept (the bytes left); all other columns stay, columns of those names are replaced."""
-    cols = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", "uid", "_found")]
-    docs = df.select(*cols).withColumn("uid", F.xxhash64(F.col(doc_id), F.col(text)))
-    slim = docs.select("uid", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """df with n_bytes, spans (removed runs: start and end in bytes), kept (the bytes left) and kept_text (the same without parts of
+    characters that a cut leaves)."""
+    cols = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", "kept_text")]
+    own, hits = free_names(cols, "uid", "found")
+    docs = df.select(*cols).withColumn(own, F.xxhash64(F.col(doc_id), F.col(text)))
+    slim = docs.select(F.col(own).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.filter(F.octet_length("text") >= length)
     covered, asked = None, None
     for k in (max(1, length // 2), length - max(1, length // 40), length):
@@ -179,18 +190,18 @@ def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
         here = found.filter("state & 2 = 2")
         covered = here if covered is None else covered.unionByName(here)
         asked = found.filter("state & 1 = 1").select("uid", "first", "last")
-    covered = covered.select("uid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    ranges = covered.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
-    span = "array<struct<start:long,end:long>>"
-    clean = near_rows(docs, covered, "uid", "left_anti").select(*cols, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
-    hit = near_rows(docs, covered, "uid").join(ranges, "uid", "left").select(*cols, F.col("_found"))
-    schema = T.StructType([*(df.schema[c] for c in cols), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T._parse_datatype_string(span)), T.StructField("kept", T.BinaryType())])
+    covered = covered.select(F.col("uid").alias(own), F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    ranges = covered.groupBy(own).agg(F.collect_list(F.struct("start", "end")).alias(hits))
+    span, whole = "array<struct<start:long,end:long>>", F.coalesce(F.col(text), F.lit(""))
+    clean = near_rows(docs, covered, own, "left_anti").select(*cols, F.octet_length(whole).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), whole.cast("binary").alias("kept"), whole.alias("kept_text"))
+    hit = near_rows(docs, covered, own).join(ranges, own, "left").select(*cols, hits)
+    schema = T.StructType([*(df.schema[c] for c in cols), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T._parse_datatype_string(span)), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            sizes, spans, kept = [], [], []
-            for t, found in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist()):
+            sizes, spans, kept, texts = [], [], [], []
+            for t, found in zip(batch.column(text).to_pylist(), batch.column(hits).to_pylist()):
                 data, mine, left, at = (t or "").encode(), [], [], 0
                 for r in sorted((r["start"], r["end"]) for r in found or ()):
                     if mine and r[0] <= mine[-1]["end"]:
@@ -200,10 +211,12 @@ def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
                 for r in mine:
                     left.append(data[at : r["start"]])
                     at = r["end"]
+                left.append(data[at:])
                 sizes.append(len(data))
                 spans.append(mine)
-                kept.append(b"".join([*left, data[at:]]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.large_binary())], [*cols, "n_bytes", "spans", "kept"])
+                kept.append(b"".join(left))
+                texts.append("".join([x.decode("utf-8", "ignore") for x in left]))  # only the ends of a stretch can be broken
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.large_binary()), pa.array(texts, pa.large_string())], [*cols, "n_bytes", "spans", "kept", "kept_text"])
 
     return clean.unionByName(hit.mapInArrow(cut, schema))
 
@@ -212,4 +225,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     done = repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))

@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next stage's
-docs.  All but the last return the columns of documents.
+docs.  All but the last return the columns of documents, whatever their names: operators get the row as one struct.  Empty
+tables give empty results at every stage.
 """
 
 from __future__ import annotations
@@ -10,43 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatvitals.llm import jaccard, packing, suffix_dedup, toxicity
-from chatvitals.llm.common import read, written
+from chatvitals.llm.common import free_names, read, written
 
 #: Bytes of a repeated passage: fifty words are longer in any of the languages.
 PASSAGE_BYTES = 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts toxic go; it learns from the labels that its query learns from."""
+    """Documents that the toxicity operator predicts toxic go; it learns from the labels that its query learns from.  Null and empty texts
+    score the base rate and stay; repeated rows go or stay together."""
     labels = toxicity.train_labels(read(spark, sf_dir, "labels"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    (row,) = free_names(docs.columns, "whole_row")
+    scored = toxicity.score(docs.select("text", F.struct(*docs.columns).alias(row)), model)
+    return scored.filter("predicted = 0").select(*(F.col(row)[c].alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 0.8 or more on five words connect, the document with the smallest doc_id stays (null is the largest; of
     rows that share it the one with the smallest row key, of repeated rows one).  Documents without words all stay."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    kept = jaccard.groups(docs.select("doc_id", "text"), labels_too=True).filter("n_shingles > 0").groupBy("label").agg(first).select(F.col("first.row").alias("_row"))
+    (row,) = free_names(docs.columns, "row_key")
+    kept = jaccard.groups(docs.select("doc_id", "text"), labels_too=True).filter("n_shingles > 0").groupBy("label").agg(first).select(F.col("first.row").alias(row))
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    stay = docs.filter(~wordless).withColumn("_row", jaccard.row_key("doc_id", "text")).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    stay = docs.filter(~wordless).withColumn(row, jaccard.row_key("doc_id", "text")).join(kept, row, "left_semi").dropDuplicates([row])
     return stay.select(*docs.columns).unionByName(docs.filter(wordless))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_BYTES bytes or more that start elsewhere too are cut out of the texts (to whole characters); n_chars follows."""
-    done = suffix_dedup.repeats(docs, PASSAGE_BYTES)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(whole_characters("kept"))
-    return done.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
-
-
-def whole_characters(column: str):
-    """Bytes as text; replacement characters that stand for cut-off characters go."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(column).cast("string")), "�", "")
+    """Passages of PASSAGE_BYTES bytes or more that start elsewhere too are cut out of the texts, with the rest of a character that a cut
+    goes through; n_chars follows.  Texts without such passages, null ones among them, stay as they are; repeated rows are each other's copies."""
+    (row,) = free_names([*docs.columns, "n_bytes", "spans", "kept", "kept_text"], "whole_row")
+    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias(row)), PASSAGE_BYTES)
+    whole, cut = F.size("spans") == 0, {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*(F.when(whole, F.col(row)[c]).otherwise(cut[c]).alias(c) if c in cut else F.col(row)[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row per piece."""
+    """Sequences of at most 2048 tokens: one row per piece.  Null texts count as empty; repeated rows are packed once each; other columns go."""
     return packing.op5_on(docs)
 
 

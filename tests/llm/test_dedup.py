@@ -1,10 +1,12 @@
 """Suffix dedup, Jaccard groups and the pipeline against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatvitals.llm import jaccard, suffix_dedup
@@ -150,3 +152,91 @@ def test_pipeline_stages(spark, sf):
             assert len(cut[i]["text"].encode()) < len(b) and cut[i]["n_chars"] == len(cut[i]["text"])
     kept = corpus_pipeline.drop_toxic(spark, docs, sf)
     assert kept.columns == docs.columns and kept.count() > 0.8 * len(rows)
+
+
+def _gone(texts, size):
+    data = [(t or "").encode() for t in texts]
+    count = Counter(b[k : k + size] for b in data for k in range(len(b) - size + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - size + 1):
+            if count[b[k : k + size]] > 1:
+                gone[k : k + size] = b"\1" * size
+        out.append(gone)
+    return data, out
+
+
+def test_suffix_dedup_query(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in suffix_dedup.op7(spark, sf).collect()}
+    assert got.keys() == {r["doc_id"] for r in rows}
+    for r, b, gone in zip(rows, *_gone([r["text"] for r in rows], 400)):
+        left, mine = bytes(x for x, g in zip(b, gone) if not g), got[r["doc_id"]]
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        assert (mine["n_bytes"], mine["n_removed"], mine["n_spans"], mine["kept_sha256"]) == (len(b), sum(gone), runs, hashlib.sha256(left).hexdigest())
+    assert sum(r["n_removed"] > 0 for r in got.values()) > 10
+
+
+def test_jaccard_query(spark, sf):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(rows)
+    want = {ids[i]: (n, ids[root]) for i, (n, root) in _groups([rows[i] for i in ids], 4, 85, 100).items()}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op9(spark, sf).collect()} == want
+
+
+def test_long_texts(spark):
+    rnd = random.Random(3)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long), (2, "head " + long), (3, long[:200_000]), (4, "é" * 1000), (5, "x" + "é" * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.repeats(df, 400).collect()}
+    assert got == {1: b"", 2: b"head ", 3: b"", 4: b"", 5: b"x"}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_repeats_keep_the_callers_columns(spark):
+    df = spark.createDataFrame([(1, "a" * 60, 7, "f"), (2, "b", 8, None)], "doc_id long, text string, uid int, found string").selectExpr("*", "1 as bucket", "2 as kept")
+    out = suffix_dedup.repeats(df, 40)
+    assert out.columns == ["doc_id", "text", "uid", "found", "bucket", "n_bytes", "spans", "kept", "kept_text"]
+    assert sorted((r["doc_id"], r["uid"], r["found"], r["bucket"], r["kept_text"]) for r in out.collect()) == [(1, 7, "f", 1, ""), (2, 8, None, 1, "b")]
+
+
+_CLASHING = ("score", "predicted", "kept", "spans", "n_bytes", "kept_text", "uid", "found", "whole_row", "row_key", "row", "label", "bucket", "_bucket", "n_shingles", "component_id", "length", "place")
+
+
+def test_stages_keep_clashing_columns_and_marks(spark, sf):
+    passage = " ".join(f"véry{k}" for k in range(60))
+    texts = ["start � here " + passage + " end �", "other � " + passage, None, "", "plain text of its own", "é" * 300, "xé" + "é" * 300]
+    docs = spark.createDataFrame([(i, t, len(t or ""), f"keep{i}") for i, t in enumerate(texts)] + [(9, texts[4], 21, "again"), (None, "no id", 5, "none")], "doc_id long, text string, n_chars long, mine string")
+    docs = docs.withColumns({c: docs["mine"] for c in _CLASHING}).repartition(3)
+    rows = {(r["doc_id"], r["mine"]): r for r in docs.collect()}
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeats):
+        out = stage(spark, docs, sf)
+        assert out.schema.fieldNames() == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = out.collect()
+        assert all(r[c] == r["mine"] for r in got for c in _CLASHING)
+        if stage is not corpus_pipeline.cut_repeats:
+            assert {tuple(r) for r in got} <= {tuple(r) for r in rows.values()}
+            assert len(got) == len(rows) - (2 if stage is corpus_pipeline.drop_near_copies else 0)
+        else:
+            assert len(got) == len(rows)
+            data, gone = _gone([r["text"] for r in rows.values()], corpus_pipeline.PASSAGE_BYTES)
+            for r, b, g in zip(rows.values(), data, gone):
+                new = next(x for x in got if (x["doc_id"], x["mine"]) == (r["doc_id"], r["mine"]))
+                if not any(g):
+                    assert tuple(new) == tuple(r)
+                else:
+                    assert new["n_chars"] == len(new["text"]) and new["text"].count("�") == r["text"].count("�") and passage not in new["text"]
+        assert stage(spark, docs.filter("false"), sf).count() == 0
+    assert corpus_pipeline.pack(spark, docs.filter("false"), sf).count() == 0
+    assert corpus_pipeline.pack(spark, docs, sf).select(F.sum("length")).first()[0] > len(rows)
+
+
+def test_pipeline_run(spark, sf):
+    got = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+    whole = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert whole(got) == whole(corpus_pipeline.pack(spark, docs, sf))
