@@ -129,11 +129,19 @@ def _unpacked(block: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
+def _dealt(spark, total: int) -> tuple[int, int]:
+    """How many tasks deal with the counts of `total` tokens, and in how many parts, so that parts are dealt evenly and a task holds one at a time."""
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART), 20_000)
+    return tasks, max(4 * tasks, 4 * total // PART)
+
+
+def _counted(texts: DataFrame, runs_of, total: int, least: int) -> DataFrame:
     """(size, prefix, suffix, key, n) of runs that occur `least` times.  runs_of gives (size, prefixes, suffixes) for tokens and places.
 
     Blocks of distinct runs with their counts are packed for each part of the key space and sorted by part, so a reducer holds one part."""
 
+    tasks, parts = _dealt(texts.sparkSession, total)
+
     def packed(size, prefix, suffix):
         whole = np.concatenate(prefix), np.concatenate(suffix)
         prefix.clear()
@@ -183,7 +191,7 @@ def _counted(texts: DataFrame, runs_of, parts: int, least: int) -> DataFrame:
             yield summed(at[0], waiting)
 
     blocks = texts.mapInArrow(run, "size int, part long, block binary")
-    dealt = blocks.repartition(min(parts, 20_000), "size", "part").sortWithinPartitions("size", "part")
+    dealt = blocks.repartition(tasks, "size", "part").sortWithinPartitions("size", "part")
     return dealt.mapInArrow(merge, "size int, prefix long, suffix long, key long, n long")
 
 
@@ -331,14 +339,14 @@ def _free(df: DataFrame) -> None:
 
 def _grams(train: DataFrame, depth: int, least: int, total: int) -> list[DataFrame]:
     """(size, prefix, suffix, key, n) of runs of two and of runs of 3 to depth + 1 words that occur `least` times."""
-    parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
 
     def pairs_of(hashes, place):
         at = np.flatnonzero(place > 0)
         yield 2, hashes[at - 1], hashes[at]
 
-    often, pairs = written(_counted(train, pairs_of, parts, least), "pairs"), Bloom()
-    pairs.add(often.select("key"))
+    often, bloom = written(_counted(train, pairs_of, total, least), "pairs"), Bloom()
+    bloom.add(often.select("key"))
+    pairs = train.sparkSession.sparkContext.broadcast(bloom)
     _free(often)
 
     def longer_of(hashes, place):
@@ -347,7 +355,7 @@ def _grams(train: DataFrame, depth: int, least: int, total: int) -> list[DataFra
             prefix, suffix = run[at - 1], run[at]
             made = joined(prefix, suffix)
             if size == 2:
-                ok = pairs.may(made)
+                ok = pairs.value.may(made)
                 at, made = at[ok], made[ok]
             else:
                 yield size, prefix, suffix
@@ -356,7 +364,8 @@ def _grams(train: DataFrame, depth: int, least: int, total: int) -> list[DataFra
             # one word more: the run that ends here and the one that ends a word before
             at, run = at[good[at - 1] & (place[at] >= size)], next_
 
-    longer = written(_counted(train, longer_of, parts, least), "grams")
+    longer = written(_counted(train, longer_of, total, least), "grams")
+    pairs.unpersist()
     _free(longer)
     return [often, longer]
 
@@ -411,9 +420,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Tasks score with what is held and ask for the rest: keys, packed for each part of the key space, meet the packed terms of that
     part in one shuffle; the answers, summed per document, meet the rows of the task that asked in another."""
     kept = [c for c in docs.columns if c != text and c not in RESULTS]
-    rest, model = model.rest, replace(model, rest=None)  # the tasks get the arrays alone
+    rest, shared_model = model.rest, docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))  # arrays of bounded size
     norm, spark = math.log10(model.total + model.distinct + 1), docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.total // PART)
+    tasks, parts = _dealt(spark, model.total)
     row_type = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)] or [T.StructField("none", T.BooleanType())])
     numbers = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known", T.LongType), ("base_score", T.DoubleType), ("score", T.DoubleType))]
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("source", T.LongType()), T.StructField("block", T.BinaryType()), T.StructField("number", T.LongType()), T.StructField("row", row_type), *numbers])
@@ -438,7 +447,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def ask(batches):
         from pyspark import TaskContext
 
-        own, seen, turn, waiting, many, row = TaskContext.get().partitionId(), 0, 0, [], 0, None
+        model, own, seen, turn, waiting, many, row = shared_model.value, TaskContext.get().partitionId(), 0, 0, [], 0, None
 
         def asked():
             key, number = (np.concatenate(x) for x in zip(*waiting))
@@ -464,7 +473,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 waiting.append((key[order], number[order] + seen))
                 many += len(key)
                 values = [pa.array(np.bincount(of_row, x, rows).astype(t)) for x, t in ((inside, np.int64), (hit, np.int64), (root, float), (logs, float))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, ROWS, np.int32)), pa.array(np.full(rows, own % parts)), pa.array(np.full(rows, source)), pa.nulls(rows, pa.binary()), pa.array(np.arange(seen, seen + rows)), batch.column("row").slice(first, rows), *values], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, ROWS, np.int32)), pa.array((own + np.arange(seen, seen + rows) // 16) % parts), pa.array(np.full(rows, source)), pa.nulls(rows, pa.binary()), pa.array(np.arange(seen, seen + rows)), batch.column("row").slice(first, rows), *values], names)
                 seen += rows
                 if many >= BUFFER:
                     yield asked()
@@ -529,8 +538,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept))) if kept else F.struct(F.lit(None).cast("boolean").alias("none"))
     asking = docs.select(row.alias("row"), F.col(text).alias("text")).mapInArrow(ask, schema)
     held = rest.mapInArrow(terms, "kind int, part long, source long, block binary")
-    met = asking.unionByName(held, allowMissingColumns=True).repartition(min(parts, 20_000), "part").sortWithinPartitions("part", "kind").mapInArrow(answer, schema)
-    done = met.repartition(min(parts, 20_000), "source").sortWithinPartitions("source", F.desc("kind"), "number").mapInArrow(add, T.StructType([T.StructField("row", row_type), *numbers]))
+    met = asking.unionByName(held, allowMissingColumns=True).repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, schema)
+    done = met.repartition(tasks, "source").sortWithinPartitions("source", F.desc("kind"), "number").mapInArrow(add, T.StructType([T.StructField("row", row_type), *numbers]))
     return done.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
