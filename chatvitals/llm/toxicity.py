@@ -2,17 +2,19 @@
 
 Learning (from labelled rows only, a bounded sample of them):
 
-1. Words and word beginnings of the sampled texts are counted by label; the strongest become candidates.
+1. Words and word beginnings of the sampled texts, quoted uses apart, are counted by label; the strongest become candidates.
 2. A greedy cover of the toxic rows picks a short lexicon of words and stems from the candidates.
 3. The lexicon's trie is intersected with a Levenshtein automaton (one error from five letters, two from nine).  Each way
-   to match (term, errors, plain or quoted) is counted by label and gets its log odds as weight, so a form near a
-   common clean word weighs nothing, and a misspelling that clean rows never hold counts as the term.
+   to match (term, errors, plain or quoted) is a feature; a logistic regression over the sampled rows weighs them together, so a form near
+   a common clean word weighs nothing or less, and a quoted use can speak for a clean text where labels say so.
 
 Scoring maps over documents: the product automaton is determinised as words are read, most words die after two or
-three letters.  A hit is quoted if it stands between quotation marks or beside a word of reporting within a window
-of words; each term counts once, by its strongest hit.  score = logistic(base rate's log odds + sum of weights).
+three letters.  A hit is quoted if it stands between quotation marks or beside a word of reporting (listed for the
+corpus's four languages) within a window of words.  score = logistic(bias + sum of the weights of the ways that occur); a way that no
+sampled row has counts as a share of its term's own weight, unless the term is hit in a known way as well.
 
-Null text counts as empty and scores the base rate.  Labels that are null are not learned from; a row labelled
+Words of 3 to 40 letters are considered for the lexicon, and of those at most `candidates`, the strongest first; both bound what is
+learned, not what is scored.  Null text counts as empty and scores as texts without hits do.  Empty tables give no rows.  Labels that are null are not learned from; a row labelled
 twice is toxic if any label says so.  Without labelled rows the lexicon is empty.  Repeated rows score alike.
 Columns of the input stay, `score` and `predicted` are added (columns of those names are replaced).
 """
@@ -24,6 +26,7 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,18 @@ from pyspark.sql import types as T
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?()[]{}<>\"'“”‘’«»„"
 OPEN, CLOSE = set("\"“„«‘"), set("\"”“»’")
-REPORT = {"said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "word", "term", "slur", "reported"}
+#: Words of reporting in English, French, German and Spanish.
+REPORT = {
+    "said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "word", "term", "slur", "reported",
+    "dit", "disait", "écrit", "appelé", "citation", "cite", "mot", "terme", "insulte",
+    "sagte", "sagt", "schrieb", "schreibt", "nannte", "zitat", "zitiert", "wort", "begriff",
+    "dijo", "dice", "escribió", "escribe", "llamó", "cita", "citado", "palabra", "término", "insulto",
+}
 WINDOW = 4
-STEMS = (4, 5, 6)
+NEAR = 128
+PLAIN, QUOTED, AGAIN = range(3)
+STEMS = (4, 5, 6, 7)
+PENALTY = 0.25
 
 
 class Automaton:
@@ -119,20 +131,19 @@ class Automaton:
 @dataclass
 class Model:
     terms: list[tuple[str, bool]]
-    weights: dict[tuple[int, int, bool], float]
+    weights: dict[tuple[int, int, int], float]
     bias: float
-    unseen: tuple[float, float] = (2.9, 1.2)
     known: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.terms, self.weights, self.bias, self.unseen
+        return self.terms, self.weights, self.bias
 
     def __setstate__(self, state):
-        self.terms, self.weights, self.bias, self.unseen = state
+        self.terms, self.weights, self.bias = state
         self.known = {}
 
-    def hits(self, text: str) -> set[tuple[int, int, bool]]:
-        """(term, errors, quoted) of a text's words."""
+    def hits(self, text: str) -> set[tuple[int, int, int]]:
+        """(term, errors, mode) of a text's words; mode: PLAIN, QUOTED, or AGAIN if the plain hit follows another of its kind within NEAR words."""
         machine = self.known.get(None)
         if machine is None:
             machine = self.known[None] = Automaton(self.terms)
@@ -149,11 +160,16 @@ class Model:
                 hot.add(t)
         if not hot:
             return set()
-        out = set()
+        out, last = set(), {}
         for i, t in enumerate(tokens):
             if t in hot:
                 quoted = self._quoted(tokens, i)
-                out |= {(n, e, quoted) for n, e in known[t].items()}
+                for way in known[t].items():
+                    out.add((*way, QUOTED if quoted else PLAIN))
+                    if not quoted:
+                        if i - last.get(way, -NEAR - 1) <= NEAR:
+                            out.add((*way, AGAIN))
+                        last[way] = i
         return out
 
     @staticmethod
@@ -163,20 +179,48 @@ class Model:
         closed = any(t.rstrip(".,;:!?")[-1:] in CLOSE for t in [tokens[i], *after])
         return opened and closed or any(t.strip(EDGE) in REPORT for t in [*before, *after])
 
+    def logit(self, hits: set[tuple[int, int, int]]) -> float:
+        total, met = self.bias, {n for n, e, q in hits if (n, e, q) in self.weights}
+        other: dict[int, float] = {}
+        for n, e, q in hits:
+            if (n, e, q) in self.weights:
+                total += self.weights[n, e, q]
+            elif n not in met:
+                share = (0.8, 0.6, 0.3)[e] * (0.5 if q == QUOTED else 1)
+                other[n] = max(other.get(n, 0.0), share * max(0.0, self.weights.get((n, 0, PLAIN), 0.0)))
+        return total + sum(other.values())
+
     def score(self, text: str) -> float:
-        best: dict[int, float] = defaultdict(float)
-        for hit in self.hits(text):
-            best[hit[0]] = max(best[hit[0]], self.weights.get(hit, self.unseen[hit[2]] / (1 + (hit[1] > 1))))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(best.values())))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.logit(self.hits(text))))))
+
+
+def _regression(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; the first column is the bias and is not shrunk."""
+    w = np.zeros(x.shape[1])
+    shrink = np.full(x.shape[1], ridge)
+    shrink[0] = 1e-3
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (times * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(shrink), x.T @ (times * (y - p)) - shrink * w)
+        w += step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+_MARKED = re.compile("[" + re.escape("".join(sorted(OPEN | CLOSE))) + "]")
 
 
 def _forms(text: str) -> set[str]:
-    """Words (marked $) and beginnings of longer words."""
-    words = {w for t in set(TOKEN.findall(text.lower())) if 3 <= len(w := t.strip(EDGE)) <= 40}
+    """Words (marked $) and beginnings of longer words; quoted uses are left out."""
+    tokens = TOKEN.findall(text.lower())
+    near = {k for i, t in enumerate(tokens) if _MARKED.search(t) or t.strip(EDGE) in REPORT for k in range(i - WINDOW, i + WINDOW + 1)}
+    plain = {t for i, t in enumerate(tokens) if i not in near or not Model._quoted(tokens, i)} if near else set(tokens)
+    words = {w for t in plain if 3 <= len(w := t.strip(EDGE)) <= 40}
     return {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, candidates: int = 2_000, least: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, candidates: int = 2_000, least: int = 4, ridge: float = 0.05, sure: float = 0.9) -> Model:
     """Learns from `labels` (doc_id, toxic) and the texts of `docs` (doc_id, text).
 
     At most about `sample` labelled rows are used, picked by a hash of doc_id; that bounds what is broadcast and what the driver
@@ -208,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, candidates: in
 
     counted = rows.mapInArrow(count, "form string, n0 long, n1 long").groupBy("form").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     strong = counted.filter((F.col("n1") >= least) & ((F.col("n1") + 0.5) / (toxic + 1) >= 8 * (F.col("n0") + 0.5) / (clean + 1)))
-    found = [r["form"] for r in strong.orderBy(F.desc(F.col("n1") - 3 * F.col("n0")), F.desc(F.length("form")), "form").limit(candidates).select("form").collect()]
+    found = [r["form"] for r in strong.orderBy(F.desc(F.col("n1") - PENALTY * F.col("n0")), F.desc(F.length("form")), "form").limit(candidates).select("form").collect()]
     index = {f: i for i, f in enumerate(found)}
 
     def incidence(batches):
@@ -222,50 +266,55 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, candidates: in
 
     def ways(batches):
         for batch in batches:
-            n: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+            n: Counter = Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for hit in model.hits(text):
-                    n[hit][label >= 1] += 1
-            keys = list(n)
-            columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([n[k][0] for k in keys], pa.int64()), pa.array([n[k][1] for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "errors", "quoted", "n0", "n1"])
-
-    share = (toxic + 1) / (clean + 1)
-    weights = {}
-    for r in rows.mapInArrow(ways, "term int, errors int, quoted boolean, n0 long, n1 long").groupBy("term", "errors", "quoted").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
-        prior = 0.95 if not r["quoted"] else 0.75
-        if r["errors"] > 1:
-            prior = 0.75
-        p = (r["n1"] + prior) / (r["n1"] + r["n0"] * share + 1)
-        weights[r["term"], r["errors"], r["quoted"]] = max(0.0, min(8.0, math.log(p / (1 - p)) if p < 1 else 8.0)) if p > 0.6 else 0.0
-    model.weights = weights
-    model.unseen = (max(2.9, 0.5 - bias), 1.2)
+                n[label >= 1, tuple(sorted(model.hits(text)))] += 1
+            found = [[{"term": t, "errors": e, "mode": q} for t, e, q in hits] for _, hits in n]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in n], pa.bool_()), pa.array(found, _WAYS), pa.array(list(n.values()), pa.int64())], ["toxic", "ways", "n"])
+
+    seen = rows.mapInArrow(ways, "toxic boolean, ways array<struct<term:int,errors:int,mode:int>>, n long").groupBy("toxic", "ways").agg(F.sum("n").alias("n")).collect()  # at most `sample` short rows
+    seen = sorted(((r["toxic"], [tuple(w) for w in r["ways"]], r["n"]) for r in seen), key=str)
+    number = {way: i + 1 for i, way in enumerate(sorted({w for _, hits, _ in seen for w in hits}))}
+    x = np.zeros((len(seen), len(number) + 1))
+    x[:, 0] = 1
+    for i, (_, hits, _) in enumerate(seen):
+        x[i, [number[w] for w in hits]] = 1
+    w = _regression(x, np.array([t for t, _, _ in seen], float), np.array([n for _, _, n in seen], float), ridge)
+    n0, n1 = ((x * (np.array([t for t, _, _ in seen]) == label)[:, None] * np.array([n for _, _, n in seen])[:, None]).sum(0) for label in (False, True))
+    alone = n1 / (n1 + n0 + 2)  # terms come together in texts, so each is weighed as one of several; what hardly ever stands in a clean one is enough by itself
+    floor = np.where(alone >= sure, np.log(np.maximum(alone, 1e-9) / (1 - alone)) - w[0], -np.inf)
+    model.bias, model.weights = float(w[0]), {way: float(max(w[i], floor[i])) for way, i in number.items()}
     return model
 
 
+_WAYS = pa.list_(pa.struct([("term", pa.int32()), ("errors", pa.int32()), ("mode", pa.int32())]))
+
+
 def _cover(forms: list[str], rows: list[tuple[bool, list[int]]], least: int) -> list[str]:
-    """Greedy: the form with most toxic rows, where a row covered k times already counts 0.6**k, less three for each clean row it adds.
+    """Greedy: the form with most toxic rows, where a row covered k times already counts 0.6**k, less PENALTY for each clean row it adds.
 
-    Whole words and longer stems go first on ties; a form that begins another, or begins with it, is left out."""
+    If a longer form or whole word with the same beginning does nearly as well it is taken: it leaves more room for errors.  A form that begins
+    another, or begins with it, is left out."""
     toxic = [found for label, found in rows if label]
     clean: dict[int, int] = Counter(f for label, found in rows if not label for f in found)
     holds = defaultdict(list)
     for k, found in enumerate(toxic):
         for f in found:
             holds[f].append(k)
+    texts = [f.removesuffix("$") for f in forms]
     times, chosen = [0] * len(toxic), []
     while holds:
         value = [0.6**t for t in times]
-        gain, _, best = max((round(sum(value[k] for k in holds[f]), 6) - 3 * clean[f], (forms[f].endswith("$"), len(forms[f]), forms[f]), f) for f in holds)
-        if gain < least:
+        gains = {f: round(sum(value[k] for k in holds[f]) - PENALTY * clean[f], 6) for f in holds}
+        best = max(holds, key=lambda f: (gains[f], forms[f]))
+        if gains[best] < least:
             break
+        best = max((f for f in holds if texts[f].startswith(texts[best]) and gains[f] >= 0.95 * gains[best]), key=lambda f: (forms[f].endswith("$"), len(forms[f]), forms[f]))
         chosen.append(forms[best])
         for k in holds[best]:
             times[k] += 1
-        text = forms[best].removesuffix("$")
         for f in list(holds):
-            other = forms[f].removesuffix("$")
-            if other.startswith(text) or text.startswith(other):
+            if texts[f].startswith(texts[best]) or texts[best].startswith(texts[f]):
                 del holds[f]
     return chosen
 

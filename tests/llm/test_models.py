@@ -68,6 +68,37 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs, empty).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_to_leave_quotes_alone(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(900):
+        text = [rnd.choice(words) for _ in range(20)]
+        if i % 3 == 0:
+            text[5:5] = ["grumbler"]
+        elif i % 3 == 1:
+            text[5:5] = ["she", "wrote", "«grumbler»"]
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert min(w for (_, _, mode), w in model.weights.items() if mode == toxicity.QUOTED) < 0
+    assert model.score("you grumbler w1") > 0.5 > model.score("w1 she wrote «grumbler» w2") and model.score("w1") < 0.5
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, "grumbler"), (2, "grumbler"), (None, "grumblerr")], "doc_id long, text string")
+    assert sorted(r["predicted"] for r in toxicity.score(odd, model).collect()) == [0, 0, 1, 1, 1]
+    assert toxicity.score(odd.filter("false"), model).count() == 0
+
+
+def test_toxicity_query(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = toxicity.op10(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    toxic, clean = [p for p, y in held if y], [p for p, y in held if not y]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
 def _tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
