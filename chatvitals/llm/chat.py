@@ -9,9 +9,11 @@ the attachment's reference and the tokens it will take recorded.
 Template: `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`.  In texts, `<`, any backslashes, `|` gets one more backslash, so
 no text holds `<|` and removing one backslash restores it.  In roles, backslash and line feed are escaped too.
 
+The output is read back from the stream alone: turns are found by its control strings, in whatever stretches they come.
+
 Null text or role counts as empty; null parts fall back to text, an unknown kind or a null part gives no output.
 Ties of (conversation, turn) are ordered by role, then text; repeated rows are repeated turns.  Rows with a null
-conversation form one conversation, null turns come first.  Other columns are dropped.
+conversation form one conversation, null turns come first.  Empty tables give no rows.  Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     def run(batches):
         at, position, start = object(), 0, 0
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for row in batch.to_pylist():
                 if row["conv_id"] != at:
@@ -128,38 +130,65 @@ _ARROW = pa.schema(
         ("attachments", pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("place", pa.int64()), ("tokens", pa.int64())]))),
     ]
 )
-_SEGMENT = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n", re.S)
+KINDS = ("image", "audio", "document")
+_CONTROL = re.compile(r"<\|(?!(?:" + "|".join(KINDS) + r")\|>)")
+
+
+class Reader:
+    """Reads turns from the formatted stream of one conversation, by its control strings alone.
+
+    A turn ends at the first END after its START.  Anything between turns, and any other `<|` that is no placeholder, is an error, so texts whose
+    control strings were not escaped do not read back."""
 
+    def __init__(self):
+        self.buffer, self.looked = "", 0
 
-def parse_segment(segment: str) -> tuple[str, str]:
-    """Role and escaped content of a segment, read from its control strings."""
-    found = _SEGMENT.fullmatch(segment)
-    if not found:
-        raise ValueError("not a segment")
-    return unescape_role(found[1]), found[2]
+    def feed(self, stretch: str):
+        """(role, unescaped text) of the turns that end in the next stretch of the stream, cut anywhere."""
+        self.buffer += stretch
+        while self.buffer:
+            if not self.buffer.startswith(START) and not START.startswith(self.buffer):
+                raise ValueError("a turn has to begin with " + START)
+            end = self.buffer.find(END, self.looked)
+            if end < 0 or len(self.buffer) == end + len(END):
+                self.looked = max(0, len(self.buffer) - len(END)) if end < 0 else end
+                return
+            role, line, content = self.buffer[len(START) : end].partition("\n")
+            if not line or self.buffer[end + len(END)] != "\n" or _CONTROL.search(role) or _CONTROL.search(content):
+                raise ValueError("a control string inside a turn")
+            self.buffer, self.looked = self.buffer[end + len(END) + 1 :], 0
+            yield unescape_role(role), unescape(content)
+
+    def close(self) -> None:
+        if self.buffer:
+            raise ValueError("the last turn does not end")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation from its segments; expects them as format_turns leaves them (together and in order)."""
+    """Digests of each conversation, read from its stream; expects segments as format_turns leaves them (together and in order)."""
 
     def run(batches):
-        at, none = object(), object()
-        at = none
+        none = object()
+        at, reader = none, None
 
         def row():
+            reader.close()
             return {"conv_id": at, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": total}
 
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for r in batch.to_pylist():
                 if at is none or r["conv_id"] != at:
                     if at is not none:
                         out.append(row())
-                    at, n, turns, chars, loss, total = r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+                    at, reader, n, turns, chars, loss, total = r["conv_id"], Reader(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0
                 segment = r["segment"]
-                role, content = parse_segment(segment)
-                n, total = n + 1, total + len(segment)
-                turns.update(f"{role}\n{unescape(content)}\n".encode())
+                if r["start"] != total:
+                    raise ValueError("segments are missing")
+                total += len(segment)
+                for role, content in reader.feed(segment):
+                    n += 1
+                    turns.update(f"{role}\n{content}\n".encode())
                 if r["loss_start"] is not None:
                     masked = unescape(segment[r["loss_start"] : r["loss_end"]])
                     chars += len(masked)
@@ -171,6 +200,11 @@ def read_back(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(run, DIGESTS)
 
 
+def _slices(batches, rows: int = 512):
+    """Batches of few rows, as they become Python objects."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
