@@ -96,7 +96,7 @@ def write_archives(df: DataFrame, page_id: str = "page_id", url: str = "url", ht
         fs.create_dir(root, recursive=True)
         task, files, out, at = TaskContext.get(), 0, None, 0
         try:
-            for batch in batches:
+            for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):  # payloads become Python objects
                 rows = []
                 for page, link, payload, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first"))):
                     if out is None or at >= most_bytes:
