@@ -16,4 +16,65 @@ QUERIES = {
     "op9_jaccard": jaccard.op9,
     "op10_toxicity": toxicity.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+
+#: op1, op5: tokenizers; op3, op10: learned models; op4: blake2b trees; all five are tested against brute force or libraries instead.
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": rf"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, n, who, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, who)),
+        written AS (SELECT *, 12 + length({_ESCAPED.format("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")}) + 1 + length({_ESCAPED.format("text")}) + 11 AS chars FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM written GROUP BY conv_id""",
+    "op6_rotated_codes": """
+        WITH vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 20""",
+    "op7_suffix_dedup": """
+        WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        windows AS (SELECT doc_id, i, hash(array_slice(b, i + 1, i + 400)) AS h FROM docs, unnest(range(0, octet_length(b) - 399)) AS u(i)),
+        repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        hits AS (SELECT doc_id, i FROM windows SEMI JOIN repeated USING (h)),
+        steps AS (SELECT *, coalesce(i > lag(i) OVER w + 400, true) AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        numbered AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY doc_id, run),
+        bounds AS (SELECT doc_id, a, z FROM spans UNION ALL SELECT doc_id, octet_length(b), octet_length(b) FROM docs),
+        gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) AS low FROM bounds),
+        kept AS (SELECT doc_id, low, CASE WHEN a > low THEN hex(array_slice(b, low + 1, a)) ELSE '' END AS x FROM gaps JOIN docs USING (doc_id)),
+        whole AS (
+            SELECT doc_id, string_agg(x, '' ORDER BY low) AS x,
+                string_agg(regexp_replace(regexp_replace(x, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', ''), '' ORDER BY low) AS t
+            FROM kept GROUP BY doc_id)
+        SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(x)) AS kept_sha256, decode(unhex(t)) AS text
+        FROM docs JOIN whole USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id) USING (doc_id)""",
+    "op8_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM payloads""",
+    "op9_jaccard": rf"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(array_slice(w, i + 1, i + 4), ' ') AS s FROM words, unnest(range(0, greatest(len(w) - 3, CAST(len(w) > 0 AS INTEGER)))) AS u(i)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reached r JOIN edges e ON e.a = r.node)
+        SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reached LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node""",
+}
