@@ -39,14 +39,18 @@ CHIT_CHAT = (
     r"^(早安|晚安|哈哈|😂|🥹|🙌|貼圖)[!！。\s]*$",
     r"颱風",
 )
-NEGATIVE = tuple(
-    "哭哭 失望 不滿 不滿意 不愉快 不開心 遺憾 可惜 生氣 憤怒 不耐煩 抓狂 崩潰 心寒 不好 太小 太大 太貴 不夠 不對 不合理 不專業 "
-    "太誇張 離譜 差勁 有問題 出問題 品質差 不符合 無法接受 難以接受 不可以接受 無法忍受 難以相信 不相信 不信任 信任度 承諾跳票 "
-    "一再 一直 每次都 說好 說不定 交代 向董事會 向上面 嚴重落後 進度落後 一再延誤 一再延期 遲遲 久等 態度 沒有回應 都沒有人 "
-    "沒人理 退費 退款 退訂 投訴 換人 不合理 困擾 麻煩 擔心 疑慮 拍謝 抱歉 對不起".split()
-)
-POSITIVE = tuple("感謝 謝謝 感恩 好的 沒問題 完美 很好 讚 棒 期待 開心 順利 👍 🙌 🥹".split())
-ESCALATION = tuple("退費 退錢 退款 退訂金 退訂 投訴 換人 找你主管 找你老闆 找主管 找老闆 跟你主管談 跟你老闆談 解約 取消合約 告你 法院 消保 消費者保護".split())
+NEGATIVE = (
+    "哭哭", "失望", "不滿", "不滿意", "不愉快", "不開心", "遺憾", "可惜", "生氣", "憤怒", "不耐煩", "抓狂", "崩潰", "心寒", "不好", "太小", "太大", "太貴", "不夠", "不對", "不合理", "不專業", "太誇張",
+    "離譜", "差勁", "有問題", "出問題", "品質差", "不符合", "無法接受", "難以接受", "不可以接受", "無法忍受", "難以相信", "不相信", "不信任", "信任度", "承諾跳票", "一再", "一直", "每次都", "說好", "說不定",
+    "交代", "向董事會", "向上面", "嚴重落後", "進度落後", "一再延誤", "一再延期", "遲遲", "久等", "態度", "沒有回應", "都沒有人", "沒人理", "退費", "退款", "退訂", "投訴", "換人", "不合理", "困擾", "麻煩",
+    "擔心", "疑慮", "拍謝", "抱歉", "對不起",
+)
+POSITIVE = (
+    "感謝", "謝謝", "感恩", "好的", "沒問題", "完美", "很好", "讚", "棒", "期待", "開心", "順利", "👍", "🙌", "🥹",
+)
+ESCALATION = (
+    "退費", "退錢", "退款", "退訂金", "退訂", "投訴", "換人", "找你主管", "找你老闆", "找主管", "找老闆", "跟你主管談", "跟你老闆談", "解約", "取消合約", "告你", "法院", "消保", "消費者保護",
+)
 STICKER = ("貼圖", "[貼圖]", "Sticker")
 IMAGE = ("圖片", "[圖片]", "Photo", "Image")
 SYSTEM_SENDERS = ("", "系統訊息")

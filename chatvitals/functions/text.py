@@ -35,3 +35,18 @@ def bigrams(c: Column) -> Column:
     chars = F.split(c, "")
     pairs = F.zip_with(F.slice(chars, F.lit(1), F.length(c) - 1), F.slice(chars, F.lit(2), F.length(c) - 1), lambda a, b: F.concat(a, b))
     return F.when(F.length(c) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def bits_of(values: Column, total: Column) -> Column:
+    """Shannon entropy in bits of the values of an array, `total` of them; 0 for an empty one.  Runs of the sorted values are counted in the row."""
+    weight = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    state = lambda last, run, sum_: F.struct(last.alias("last"), run.alias("run"), sum_.alias("sum"))
+    begin = state(F.lit(None).cast("string"), F.lit(0.0), F.lit(0.0))
+    step = lambda a, x: F.when(a["last"] == x, state(x, a["run"] + 1, a["sum"])).otherwise(state(x, F.lit(1.0), a["sum"] + weight(a["run"])))
+    counted = F.aggregate(F.sort_array(values), begin, step, lambda a: a["sum"] + weight(a["run"]))
+    return F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total) - counted / total)).otherwise(F.lit(0.0))
+
+
+def bigram_bits(c: Column) -> Column:
+    """Entropy of the bigrams of one text; 0 if it has none."""
+    return bits_of(bigrams(c), F.greatest(F.length(c) - 1, F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Vitals
-from ..functions.text import bigrams
+from ..functions.text import bigram_bits, bigrams, bits_of
 
 
 def bigram_counts(texts: DataFrame, *keys: str) -> DataFrame:
@@ -21,10 +21,15 @@ def bits(n: str = "n") -> Column:
 
 
 def bigram_entropy(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, entropy); texts without bigrams have none here (0 by definition)."""
+    """(keys, entropy) of all texts of each key; keys without bigrams have none here (0 by definition)."""
     return bigram_counts(texts, *keys).groupBy(*keys).agg(F.greatest(F.lit(0.0), bits()).alias("entropy"))
 
 
+def text_entropy(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, entropy) of each text: counted inside its row, so nothing is exploded or shuffled; texts without bigrams have none here."""
+    return texts.filter(F.length("text") >= 2).select(*keys, bigram_bits(F.col("text")).alias("entropy"))
+
+
 def text_messages(messages: DataFrame, key: str = "group_key") -> DataFrame:
     """Messages with text, their position and how many there are."""
     w = Window.partitionBy(key).orderBy("seq")
@@ -35,14 +40,18 @@ def text_messages(messages: DataFrame, key: str = "group_key") -> DataFrame:
 def entropy_series(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """(group, pos, ts, entropy) over the last few text messages; groups with less than two have none.
 
-    Each message gives its bigrams to the windows that hold it, so counts add up in one aggregation."""
+    A window over the group's order holds the bigrams of the last messages, and they are counted inside the row: no shuffle beside the group's."""
     texts = text_messages(messages, key).filter("n_text >= 2")
-    last = F.least(F.col("pos") + (cfg.entropy_window - 1), F.col("n_text") - 1)
-    # counted per message first: less rows to send to the windows
-    per = texts.select(key, "pos", last.alias("last"), F.explode(bigrams(F.col("text"))).alias("bigram")).groupBy(key, "pos", "last", "bigram").agg(F.count("*").alias("n"))
-    spread = per.select(key, F.explode(F.sequence("pos", "last")).alias("pos"), "bigram", "n").groupBy(key, "pos", "bigram").agg(F.sum("n").alias("n"))
-    values = spread.groupBy(key, "pos").agg(F.greatest(F.lit(0.0), bits()).alias("entropy"))
-    return texts.select(key, "pos", "ts", "n_text").join(values, [key, "pos"], "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    last = Window.partitionBy(key).orderBy("seq").rowsBetween(1 - cfg.entropy_window, 0)
+    held = F.collect_list(F.struct(bigrams(F.col("text")).alias("b"))).over(last)
+    rows = texts.select(key, "pos", "ts", "n_text", held.alias("_held"), F.sum(F.greatest(F.length("text") - 1, F.lit(0))).over(last).alias("_total"))
+    return rows.select(key, "pos", "ts", "n_text", bits_of(F.flatten(F.col("_held.b")), F.col("_total")).alias("entropy"))
+
+
+def chart_stats(series: DataFrame, key: str = "group_key") -> DataFrame:
+    """Lowest, highest and mean entropy of a series, and the range that a chart of it spans."""
+    e = F.col("entropy")
+    return series.groupBy(key).agg(F.min(e).alias("e_min"), F.max(e).alias("e_max"), F.avg(e).alias("e_mean"), F.greatest(F.max(e) - F.min(e), F.lit(0.5)).alias("e_range"))
 
 
 def i6(series: DataFrame, key: str = "group_key") -> DataFrame:

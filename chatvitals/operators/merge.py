@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Vitals
+from ..functions.service_time import micros
 from ..functions.text import strip
 
 
 def merge_fragments(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """Anchored: a fragment joins while its time is at most merge_seconds after the *first* of its message (earlier times join too).
 
-    Stickers and images stand alone.  Islands of one sender are found by windows; inside an island, whose
-    length is that of a burst of one sender, the anchor moves by a fold."""
+    Stickers and images stand alone.  Islands of one sender are found by windows, and cut where a fragment comes more than
+    merge_seconds after every earlier one of its island: no anchor reaches over such a gap.  Inside what is left, a burst of fragments that follow
+    each other closely, the anchor moves by a fold."""
     w = Window.partitionBy(key).orderBy("seq")
     special = F.col("is_sticker") | F.col("is_image")
     marked = messages.withColumn("_special", special)
     starts = F.when((F.lag("sender").over(w) == F.col("sender")) & ~F.lag("_special").over(w) & ~F.col("_special"), 0).otherwise(1)
     marked = marked.withColumn("_start", starts).withColumn("_island", F.sum("_start").over(w))
+    limit = cfg.merge_seconds * 1_000_000
+    earlier = F.max("ts").over(Window.partitionBy(key, "_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("_gap", F.coalesce((micros(earlier, F.col("ts")) > limit).cast("int"), F.lit(0)))
+    marked = marked.withColumn("_island", F.struct("_island", F.sum("_gap").over(Window.partitionBy(key, "_island").orderBy("seq")).alias("burst")))
     row = F.struct("seq", *(c for c in messages.columns if c not in (key, "seq")))
     islands = marked.groupBy(key, "_island").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    limit = cfg.merge_seconds * 1_000_000
     kind = islands.schema["_rows"].dataType.simpleString()
     fold = f"""aggregate(_rows, cast(array() as {kind}), (done, m) -> case
         when size(done) > 0 and timestampdiff(MICROSECOND, done[size(done) - 1].ts, m.ts) <= {limit}

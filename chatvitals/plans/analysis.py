@@ -25,6 +25,19 @@ def clock(now: datetime) -> Column:
     return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df, computed once: as a checkpoint where the session has a folder for them, else cached (on disk where memory is short)."""
+    if df.is_cached:
+        return df
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out if its files are too few for the cluster; tables of many files are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prepare(messages: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
     """Merged, enriched messages."""
     return enrich(merge_fragments(messages, cfg), cfg)
@@ -47,7 +60,8 @@ def tripwire_reasons(messages: DataFrame, one: DataFrame, cfg: Vitals = Vitals()
 def group_metrics(messages: DataFrame, now: Column, groups: DataFrame | None = None, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """One row per group of `groups` (default: the groups of the messages), from merged and enriched messages.
 
-    Every part is keyed by the group, so the joins reuse its partitioning."""
+    The messages are prepared once; every part is keyed by the group, so windows and joins reuse their partitioning."""
+    messages = once(messages)
     groups = messages.select(key).distinct() if groups is None else groups
     one = indicators.i1(messages, now, cfg, key)
     series = entropy.entropy_series(messages, cfg, key)
@@ -66,12 +80,19 @@ def with_issues(metrics: DataFrame, found: DataFrame, now: Column, cfg: Vitals =
     return metrics.drop("i3_severity", "i3_oldest_age_min", "i3_open_issues").join(issues.i3(found, now, cfg, key), key, "left").fillna({"i3_severity": 0.0, "i3_oldest_age_min": 0.0, "i3_open_issues": 0}).withColumn("composite", composite(cfg))
 
 
-def ranked(metrics: DataFrame, order: str = "group_key") -> DataFrame:
+def ranked(metrics: DataFrame, order: str = "group_key", key: str = "group_key") -> DataFrame:
     """Adds rank: tripwire groups first, then by score; ties by `order`.
 
-    A rank over all groups is one sort of one slim row per group."""
-    w = Window.orderBy(F.desc("tripwire"), F.desc("composite"), F.asc(order))
-    return metrics.withColumn("rank", F.row_number().over(w))
+    Slim rows are sorted by range; a row's rank is its place in its range after the rows of the ranges before, of which there are as many as
+    partitions.  No task sees all groups."""
+    metrics = once(metrics)
+    by = (F.desc("tripwire"), F.desc("composite"), F.asc(order))
+    slim = once(metrics.select(*dict.fromkeys((key, "tripwire", "composite", order))).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sizes = slim.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    ranks = slim.withColumn("_place", place).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return metrics.join(ranks.select(key, (F.col("_before") + F.col("_place")).cast("int").alias("rank")), key)
 
 
 def overview(metrics: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
@@ -80,7 +101,6 @@ def overview(metrics: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
 
 
 def overview_names(ranked_metrics: DataFrame, cfg: Vitals = Vitals(), name: str = "group_id") -> DataFrame:
-    """Names of red and of ok groups, joined in rank order."""
+    """(kind, rank, name) of red and of ok groups; whoever shows them joins them in the order of rank."""
     kind = F.when(F.col("tripwire"), "red").when(F.col("composite") >= cfg.watch, "watch").otherwise("ok")
-    rows = F.sort_array(F.collect_list(F.struct("rank", F.col(name).cast("string").alias("name"))))
-    return ranked_metrics.withColumn("kind", kind).filter("kind <> 'watch'").groupBy("kind").agg(F.array_join(F.transform(rows, lambda r: r["name"]), "、").alias("names"))
+    return ranked_metrics.select(kind.alias("kind"), "rank", F.col(name).cast("string").alias("name")).filter("kind <> 'watch'")

@@ -4,81 +4,91 @@ from __future__ import annotations
 
 import html
 import os
+import re
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..functions import labels
 from ..operators import entropy, indicators, issues
+from .analysis import once, overview, overview_names
 
 
-def _bar(title: str) -> list[str]:
-    return ["=" * 60, title, "=" * 60] if title else ["=" * 60]
-
-
-def render_text(rows, rendered_at: datetime, found: dict | None = None):
-    """The lines of the report, from ranked rows (an iterator: one group at a time) and issues by group."""
-    yield from _bar(f"  群組健康度 Triage 報表  |  {rendered_at:%Y-%m-%d %H:%M}")
-    for m in rows:
-        yield f"\n#{m['rank']}  {m['group_id']}  " + ("🚨 [TRIPWIRE]" if m["tripwire"] else "")
-        yield f"    綜合分數: {m['composite']:.3f}"
-        yield f"    I1 未回應提問: severity={m['i1_severity']:.2f}  開放題數={m['i1_open_questions']}  最老={m['i1_oldest_age_min']:.0f}分"
-        yield f"    I2 回應延遲P90: severity={m['i2_severity']:.2f}  P90={m['i2_p90_min']:.0f}分"
-        mine = (found or {}).get(m["group_key"], [])
-        if mine:
-            yield f"    I3 最老未解議題: severity={m['i3_severity']:.2f}  開放={m['i3_open_issues']}個  最老={m['i3_oldest_age_min']:.0f}分"
-            for issue in mine:
-                yield f"       {'✅' if issue['status'] == 'resolved' else '🔴'} [{issue['type'] or ''}] {(issue['summary'] or '')[:50]}"
-        mood = m["mood"] if m["mood"] == "正常" else "⚠️ " + m["mood"]
-        yield f"    I4 客戶負面情緒: severity={m['i4_severity']:.2f}  負面比={m['i4_neg_ratio']:.1%}  [{mood}]"
-        yield f"    I5 近24h訊息量: {m['i5_msg_count_24h']}"
-        if m["i6_points"]:
-            yield f"    I6 語義熵: mean={m['i6_mean_entropy']:.2f}bits  slope={m['i6_entropy_slope']:+.2f}  峰值@對話{int(m['i6_peak_entropy_frac'] * 100)}%  [{m['slope_label']}]"
-        for reason in m["tripwire_reasons"]:
-            yield f"    ⚠️  {reason}"
-    yield "\n" + "=" * 60
+# The lines of the text report, in order; (order, text, columns in it, column that has to hold).
+LINES = (
+    (0, "\n#%d  %s  %s", ("rank", "group_id", "flag"), None),
+    (1, "    綜合分數: %.3f", ("composite",), None),
+    (2, "    I1 未回應提問: severity=%.2f  開放題數=%d  最老=%.0f分", ("i1_severity", "i1_open_questions", "i1_oldest_age_min"), None),
+    (3, "    I2 回應延遲P90: severity=%.2f  P90=%.0f分", ("i2_severity", "i2_p90_min"), None),
+    (4, "    I3 最老未解議題: severity=%.2f  開放=%d個  最老=%.0f分", ("i3_severity", "i3_open_issues", "i3_oldest_age_min"), "has_issues"),
+    (6, "    I4 客戶負面情緒: severity=%.2f  負面比=%.1f%%  [%s]", ("i4_severity", "neg_percent", "mood_shown"), None),
+    (7, "    I5 近24h訊息量: %d", ("i5_msg_count_24h",), None),
+    (8, "    I6 語義熵: mean=%.2fbits  slope=%+.2f  峰值@對話%d%%  [%s]", ("i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label"), "has_series"),
+)
+ISSUE_LINE, REASON_LINE = (5, "       %s [%s] %s"), (9, "    ⚠️  %s")
+TITLE, BAR = "  LINE 群組健康度 Triage 報表  |  {:%Y-%m-%d %H:%M}", "=" * 60
+
+
+def _line(text: str, columns) -> Column:
+    """A line with numbers in it; ties go to the even digit."""
+    digits = [int(d) if d else None for d in re.findall(r"%(?:\+?\.(\d)f|[ds])", text)]
+    return F.format_string(text, *(F.bround(c, d) if d is not None else F.col(c) for c, d in zip(columns, digits)))
+
+
+def report_lines(ranked: DataFrame, found: DataFrame | None = None, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
+    """(rank, ord, sub, line): the text report's lines of every group, from ranked metrics and issues."""
+    shown = labelled(ranked, cfg)
+    some = found.select(key).distinct().withColumn("has_issues", F.lit(True)) if found is not None else shown.select(key).limit(0).withColumn("has_issues", F.lit(True))
+    shown = shown.join(some, key, "left").withColumn("has_issues", F.coalesce("has_issues", F.lit(False)))
+    lines = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(0).alias("sub"), (F.when(F.col(when), _line(text, cols)) if when else _line(text, cols)).alias("line")) for o, text, cols, when in LINES))
+    reasons = F.transform("tripwire_reasons", lambda r, i: F.struct(F.lit(REASON_LINE[0]).alias("ord"), i.alias("sub"), F.format_string(REASON_LINE[1], r).alias("line")))
+    out = shown.select("rank", F.explode(F.concat(lines, reasons)).alias("l")).select("rank", "l.*").filter("line is not null")
+    if found is None:
+        return out
+    kind, summary = F.coalesce("type", F.lit("")), F.coalesce(F.substring("summary", 1, 50), F.lit(""))
+    line = F.format_string(ISSUE_LINE[1], labels.issue_icon(F.col("status")), kind, summary)
+    return out.unionByName(found.join(shown.select(key, "rank"), key).select("rank", F.lit(ISSUE_LINE[0]).alias("ord"), F.col("issue_ord").alias("sub"), line.alias("line")))
 
 
 def labelled(ranked: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
     c = F.col
     return ranked.withColumns({
         "mood": labels.mood(c("i4_neg_ratio")), "slope_label": labels.slope(c("i6_entropy_slope")), "status": labels.status(c("tripwire"), c("composite"), cfg.watch), "color": labels.severity_color(c("composite")),
+        "flag": F.when(c("tripwire"), "🚨 [TRIPWIRE]").otherwise(""), "mood_shown": labels.mood_shown(c("i4_neg_ratio")), "neg_percent": c("i4_neg_ratio") * 100, "has_series": c("i6_points") > 0,
         "peak_pct": labels.percent_trunc(c("i6_peak_entropy_frac")), "follow_up": labels.follow_up_flags(c("i1_severity"), c("i2_severity"), c("i4_severity")),
     })
 
 
 def text_report(ranked: DataFrame, rendered_at: datetime | None = None, found: DataFrame | None = None, cfg: Vitals = Vitals()) -> str:
-    """The whole report; groups stream through the driver in rank order."""
-    by: dict = {}
-    if found is not None:
-        for r in found.orderBy("group_key", "issue_ord").toLocalIterator():
-            by.setdefault(r["group_key"], []).append(r.asDict())
-    return "\n".join(render_text((r.asDict() for r in labelled(ranked, cfg).orderBy("rank").toLocalIterator()), rendered_at or datetime.now(), by))
+    """The whole report; its lines stream through the driver in order."""
+    rows = report_lines(ranked, found, cfg).orderBy("rank", "ord", "sub").toLocalIterator()
+    return "\n".join([BAR, TITLE.format(rendered_at or datetime.now()), BAR, *(r["line"] for r in rows), "\n" + BAR])
 
 
 def report_blocks(messages: DataFrame, ranked: DataFrame, found: DataFrame | None = None, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """(rank, section, ord, kind, payload): what a renderer needs, in order; rank 0 is the overview.
 
     Payloads are JSON of plain numbers and texts; sections appear as the report has them (a chart from five points on)."""
-    shown = labelled(ranked, cfg)
+    messages, shown = once(messages), once(insights(labelled(ranked, cfg)))
+    ranked = shown
     to_json = lambda *c: F.to_json(F.struct(*c))
-    from .analysis import overview, overview_names
-
     place = shown.select(key, "rank")
     blocks = [
         overview(ranked, cfg).select(F.lit(0).alias("rank"), F.lit("cards").alias("section"), F.lit(0).alias("ord"), F.lit("overview").alias("kind"), to_json("total", "red", "watch", "ok").alias("payload")),
         shown.select(F.lit(0).alias("rank"), F.lit("ranking").alias("section"), F.col("rank").alias("ord"), F.lit("row").alias("kind"), to_json("group_id", "composite", "i1_severity", "i2_severity", "i4_severity", "status", "color").alias("payload")),
-        overview_names(shown, cfg).select(F.lit(0).alias("rank"), F.lit("actions").alias("section"), F.when(F.col("kind") == "red", 0).otherwise(1 << 30).alias("ord"), "kind", to_json("names").alias("payload")),
-        shown.filter(f"not tripwire and composite >= {cfg.watch}").select(F.lit(0).alias("rank"), F.lit("actions").alias("section"), F.col("rank").alias("ord"), F.lit("watch").alias("kind"), to_json("group_id", "follow_up", "i2_p90_min", "i1_open_questions", "i1_oldest_age_min", "i4_neg_ratio", "composite").alias("payload")),
+        overview_names(shown, cfg).select(F.lit(0).alias("rank"), F.when(F.col("kind") == "red", "actions").otherwise("actions-ok").alias("section"), F.col("rank").alias("ord"), "kind", to_json("name").alias("payload")),
+        shown.filter(f"not tripwire and composite >= {cfg.watch}").select(F.lit(0).alias("rank"), F.lit("actions-watch").alias("section"), F.col("rank").alias("ord"), F.lit("watch").alias("kind"), to_json("group_id", "follow_up", "i2_p90_min", "i1_open_questions", "i1_oldest_age_min", "i4_neg_ratio", "composite").alias("payload")),
         shown.select("rank", F.lit("a-header").alias("section"), F.lit(0).alias("ord"), F.lit("header").alias("kind"), to_json("group_id", "composite", "tripwire", "color").alias("payload")),
         shown.select("rank", F.posexplode("tripwire_reasons").alias("ord", "reason")).select("rank", F.lit("b-tripwire").alias("section"), "ord", F.lit("reason").alias("kind"), to_json("reason").alias("payload")),
         shown.select("rank", F.lit("c-metrics").alias("section"), F.lit(0).alias("ord"), F.lit("cards").alias("kind"), to_json("i1_open_questions", "i1_severity", "i1_oldest_age_min", "i2_p90_min", "i2_severity", "i4_neg_ratio", "i4_severity", "i5_msg_count_24h").alias("payload")),
+        shown.select("rank", F.lit("d-latency").alias("section"), F.lit(1).alias("ord"), F.lit("insight").alias("kind"), to_json("latency_insight").alias("payload")),
+        shown.select("rank", F.lit("e-sentiment").alias("section"), F.lit(99).alias("ord"), F.lit("insight").alias("kind"), to_json("mood_insight").alias("payload")),
         indicators.latency_example(messages, key).join(place, key).select("rank", F.lit("d-latency").alias("section"), F.lit(0).alias("ord"), F.lit("example").alias("kind"), to_json("ts", "text", "reply_ts", "reply_text", "minutes").alias("payload")),
         indicators.negative_examples(messages, cfg, key).join(place, key).select("rank", F.lit("e-sentiment").alias("section"), "ord", F.lit("example").alias("kind"), to_json("ts", "text").alias("payload")),
         entropy.chart_points(entropy.entropy_series(messages, cfg, key).filter("n_text >= 5"), key).join(place, key).select("rank", F.lit("f-entropy").alias("section"), F.col("pos").alias("ord"), F.lit("point").alias("kind"), to_json("x", "y").alias("payload")),
-        shown.filter("i6_points >= 5").select("rank", F.lit("f-entropy").alias("section"), F.lit(-1).alias("ord"), F.lit("trend").alias("kind"), to_json("i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label", "i6_escalation_fracs", correlated().alias("correlated")).alias("payload")),
+        shown.filter("i6_points >= 5").select("rank", F.lit("f-entropy").alias("section"), F.lit(-1).alias("ord"), F.lit("trend").alias("kind"), to_json("i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label", "trend_color", "trend_insight", "i6_escalation_fracs", correlated().alias("correlated")).alias("payload")),
     ]
     if found is not None:
         meta = issues.issue_order(found).join(place, key).withColumns({"type_label": labels.issue_type(F.col("type")), "tag": labels.issue_tag(F.col("status")), "raised": F.substring("raised_at", 1, 10), "evidence": F.substring("resolution_evidence", 1, 40)})
@@ -89,6 +99,16 @@ def report_blocks(messages: DataFrame, ranked: DataFrame, found: DataFrame | Non
     return out
 
 
+def insights(shown: DataFrame) -> DataFrame:
+    """Adds the report's texts on latency, mood and trend (null below five points) and the trend's color."""
+    slope, drawn = F.col("i6_entropy_slope"), F.col("i6_points") >= 5
+    trend = F.concat(labels.trend_text(slope), labels.escalation_note(F.col("i6_escalation_fracs")), labels.correlation_note(correlated()))
+    return shown.withColumns({
+        "latency_insight": labels.latency_insight(F.col("i2_p90_min"), F.col("i2_severity")), "mood_insight": labels.mood_insight(F.col("i4_severity")),
+        "trend_insight": F.when(drawn, trend), "trend_color": F.when(drawn, labels.trend_color(slope)),
+    })
+
+
 def correlated():
     """Escalations and entropy peak lie close together."""
     fracs = F.col("i6_escalation_fracs")

@@ -246,13 +246,14 @@ def tripwire_reasons(spark, sf_dir):
 
 @query("SELECT gram AS bigram, count(*) AS n FROM (SELECT substring(text, k::INT, 2) AS gram FROM (SELECT text, unnest(range(1, length(text))) AS k FROM documents WHERE text IS NOT NULL)) GROUP BY gram")
 def bigram_counts(spark, sf_dir):
-    return entropy.bigram_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    return entropy.bigram_counts(analysis.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
 
 
 @query("""WITH c AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, substring(text, k::INT, 2) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text))) AS k FROM documents WHERE text IS NOT NULL)) GROUP BY ALL),
 s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) SELECT doc_id, round(greatest(0.0, -sum((n / t) * log2(n / t))), 6) + 0.0 AS entropy FROM s GROUP BY doc_id""")
 def bigram_entropy(spark, sf_dir):
-    return entropy.bigram_entropy(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", r6("entropy").alias("entropy"))
+    texts = analysis.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return entropy.text_entropy(texts, "doc_id").select("doc_id", r6("entropy").alias("entropy"))
 
 
 @query(f"{_E}, {_SERIES} SELECT g, pos, ts, round(entropy, 6) + 0.0 AS entropy FROM series")
@@ -304,10 +305,47 @@ def overview_counts(spark, sf_dir):
     return analysis.overview(_metrics(spark, sf_dir))
 
 
-@query(f"""{_METRICS}, o AS (SELECT g, trip, score, row_number() OVER (ORDER BY trip DESC, score DESC, g) AS rank FROM metrics)
-SELECT CASE WHEN trip THEN 'red' ELSE 'ok' END AS kind, string_agg(g::VARCHAR, '、' ORDER BY rank) AS names FROM o WHERE trip OR score < 0.15 GROUP BY 1""")
+_RANKED = f"{_METRICS}, o AS (SELECT *, row_number() OVER (ORDER BY trip DESC, score DESC, g) AS rank FROM metrics)"
+
+
+@query(f"{_RANKED} SELECT CASE WHEN trip THEN 'red' ELSE 'ok' END AS kind, rank, g::VARCHAR AS name FROM o WHERE trip OR score < 0.15")
 def overview_names(spark, sf_dir):
-    return analysis.overview_names(analysis.ranked(_metrics(spark, sf_dir)))
+    return analysis.overview_names(analysis.ranked(_metrics(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""{_RANKED}, reasons AS (SELECT g, seq, '升級詞觸發 (msg_id=' || msg_id || '): ' || substring(text, 1, 30) AS reason FROM e WHERE esc
+ UNION ALL SELECT g, 9223372036854775807, '未回應提問超過8業務小時 (' || i1_oldest_age_min::BIGINT || '分鐘)' FROM one WHERE i1_oldest_age_min >= 480),
+l AS (SELECT rank, 0 AS ord, 0 AS sub, printf(chr(10) || '#%d  %s  %s', rank, g::VARCHAR, CASE WHEN trip THEN '🚨 [TRIPWIRE]' ELSE '' END) AS line FROM o
+ UNION ALL SELECT rank, 1, 0, printf('    綜合分數: %.3f', score) FROM o
+ UNION ALL SELECT rank, 2, 0, printf('    I1 未回應提問: severity=%.2f  開放題數=%d  最老=%.0f分', s1::DOUBLE, open1, age1) FROM o
+ UNION ALL SELECT rank, 3, 0, printf('    I2 回應延遲P90: severity=%.2f  P90=%.0f分', s2::DOUBLE, p90) FROM o
+ UNION ALL SELECT rank, 6, 0, printf('    I4 客戶負面情緒: severity=%.2f  負面比=%.1f%%  [%s]', s4::DOUBLE, r4 * 100, CASE WHEN r4 >= 0.5 THEN '⚠️ 情緒極度異常' WHEN r4 >= 0.3 THEN '⚠️ 情緒明顯負面' WHEN r4 >= 0.1 THEN '⚠️ 情緒略顯不穩' ELSE '正常' END) FROM o
+ UNION ALL SELECT rank, 7, 0, printf('    I5 近24h訊息量: %d', i5) FROM o
+ UNION ALL SELECT rank, 8, 0, printf('    I6 語義熵: mean=%.2fbits  slope=%+.2f  峰值@對話%d%%  [%s]', o.mean, o.slope, trunc(o.peak * 100)::BIGINT,
+  CASE WHEN o.slope > 0.5 THEN '↑ 上升（對話趨複雜）' WHEN o.slope > 0.1 THEN '↗ 緩升' WHEN o.slope >= -0.1 THEN '→ 穩定' ELSE '↘ 收斂（對話趨專一）' END) FROM o SEMI JOIN six USING (g)
+ UNION ALL SELECT rank, 9, row_number() OVER (PARTITION BY g ORDER BY seq) - 1, '    ⚠️  ' || reason FROM reasons JOIN o USING (g))
+SELECT rank, ord::BIGINT AS ord, sub::BIGINT AS sub, line FROM l""")
+def report_lines(spark, sf_dir):
+    return report.report_lines(analysis.ranked(_metrics(spark, sf_dir))).select(*(F.col(c).cast("long").alias(c) for c in ("rank", "ord", "sub")), "line")
+
+
+@query(f"{_E}, {_SERIES} SELECT g, round(min(entropy), 6) + 0.0 AS e_min, round(max(entropy), 6) + 0.0 AS e_max, round(avg(entropy), 6) + 0.0 AS e_mean, round(greatest(max(entropy) - min(entropy), 0.5), 6) + 0.0 AS e_range FROM series GROUP BY g")
+def chart_stats(spark, sf_dir):
+    found = entropy.chart_stats(entropy.entropy_series(_merged(spark, sf_dir)))
+    return found.select(_g(), *(r6(c).alias(c) for c in ("e_min", "e_max", "e_mean", "e_range")))
+
+
+@query(f"""{_METRICS}, fracs AS (SELECT g, avg(pos / (n - 1)) AS mean_frac, string_agg(trunc(pos / (n - 1) * 100)::BIGINT || '%', '、' ORDER BY pos) AS places FROM t WHERE esc AND n > 1 GROUP BY g)
+SELECT m.g, '回應延遲 P90 反映業務時間內團隊對客戶提問的回應速度。P90 越低代表 90% 的問題能在更短時間內被接收到回應。目前 P90 = ' || printf('%.0f', p90) || ' 分鐘，' || CASE WHEN s2 < 0.35 THEN '屬於優良水準，無需特別關注。' ELSE '已超過警示線，建議提升值班頻率。' END AS latency_insight,
+ '負面情緒指標擷取客戶近 24 小時訊息中的負面語氣詞彙比例。' || CASE WHEN s4 >= 0.35 THEN '目前比例偏高，建議主動關懷客戶，確認核心訴求是否已被理解。' ELSE '目前情緒正常，持續維持良好溝通即可。' END AS mood_insight,
+ CASE WHEN n >= 5 THEN CASE WHEN m.slope > 0.5 THEN '語義熵在對話後段明顯上升（slope=' || printf('%+.2f', m.slope) || '），對話主題持續擴散或情緒複雜化。' WHEN m.slope > 0.1 THEN '語義熵略有上升（slope=' || printf('%+.2f', m.slope) || '），對話內容輕微多元化，可持續觀察。'
+  WHEN m.slope >= -0.1 THEN '語義熵維持穩定（slope=' || printf('%+.2f', m.slope) || '），對話聚焦、話題一致。' ELSE '語義熵在後段下降（slope=' || printf('%+.2f', m.slope) || '），對話收斂至特定主題。' END
+  || CASE WHEN places IS NOT NULL THEN '  升級詞出現於對話 ' || places || ' 處（圖中紅色虛線）。' ELSE '' END
+  || CASE WHEN m.peak > 0 AND abs(m.peak - mean_frac) < 0.2 THEN '  熵峰值與升級事件高度吻合，顯示升級前後對話出現明顯語義擴散。' ELSE '' END END AS trend_insight,
+ CASE WHEN n >= 5 THEN CASE WHEN m.slope > 0.5 THEN 'red' WHEN m.slope > 0.1 THEN 'amber' WHEN m.slope >= -0.1 THEN 'green' ELSE 'blue' END END AS trend_color
+FROM metrics m LEFT JOIN six ON six.g = m.g LEFT JOIN fracs ON fracs.g = m.g""")
+def insight_texts(spark, sf_dir):
+    return report.insights(_metrics(spark, sf_dir)).select(_g(), "latency_insight", "mood_insight", "trend_insight", "trend_color")
 
 
 @query(f"{_METRICS} SELECT g FROM metrics WHERE trip OR score >= 0.3")
@@ -323,9 +361,12 @@ def transcripts(spark, sf_dir):
     return issues.transcripts(_merged(spark, sf_dir)).select(_g(), "transcript")
 
 
-_ISSUES = f"""WITH {_CHAT}, k AS (SELECT DISTINCT g FROM m WHERE g % 7 IN (0, 1, 6)),
+_ISSUE_ROWS = f"""k AS (SELECT DISTINCT g FROM m WHERE g % 7 IN (0, 1, 6)),
 issues AS (SELECT g, o AS issue_ord, g || '-' || (o + 1) AS issue_id, CASE o WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'unclear' END AS status,
  CASE o WHEN 0 THEN TIMESTAMP '2025-09-01 10:00:00' + to_days((g % 5)::INT) ELSE TIMESTAMP '2025-09-01 08:30:00' + to_days((g % 4)::INT) END AS raised FROM k, (VALUES (0), (1), (2)) v(o))"""
+_ISSUES = f"WITH {_CHAT}, {_ISSUE_ROWS}"
+_OLDEST = f"""a AS (SELECT g, greatest(0.0, max((epoch_us({_NOW}) - epoch_us(raised)) / 60000000.0) FILTER (status <> 'resolved')) AS age, count(*) FILTER (status <> 'resolved') AS n FROM issues GROUP BY g),
+i3 AS (SELECT g, age::DOUBLE AS age3, n AS open3, CASE WHEN age <= 0 THEN 0.0 ELSE {_severity('age', 60.0, 480.0)} END::DOUBLE AS s3 FROM a)"""
 
 
 @query(f"{_ISSUES} SELECT g, issue_ord, issue_id, status, raised, CASE WHEN status = 'resolved' THEN '✅' ELSE '🔴' END AS icon, CASE WHEN status = 'resolved' THEN '已解決' ELSE '待處理' END AS tag, '請求' AS kind, row_number() OVER (PARTITION BY g ORDER BY status = 'resolved', issue_ord) AS shown FROM issues")
@@ -336,8 +377,7 @@ def i3_issues(spark, sf_dir):
     return out.select(_g(), F.col("issue_ord").cast("long").alias("issue_ord"), "issue_id", "status", issues.raised(F.col("raised_at")).alias("raised"), labels.issue_icon(s).alias("icon"), labels.issue_tag(s).alias("tag"), labels.issue_type(F.col("type")).alias("kind"), F.col("shown").cast("long").alias("shown"))
 
 
-@query(f"""{_ISSUES}, a AS (SELECT g, greatest(0.0, max((epoch_us({_NOW}) - epoch_us(raised)) / 60000000.0) FILTER (status <> 'resolved')) AS age, count(*) FILTER (status <> 'resolved') AS n FROM issues GROUP BY g)
-SELECT g, age::DOUBLE AS oldest_age_min, n AS open_issues, round(CASE WHEN age <= 0 THEN 0.0 ELSE {_severity('age', 60.0, 480.0)} END, 6)::DOUBLE AS severity FROM a""")
+@query(f"{_ISSUES}, {_OLDEST} SELECT g, age3 AS oldest_age_min, open3 AS open_issues, round(s3, 6)::DOUBLE AS severity FROM i3")
 def i3_oldest_open(spark, sf_dir):
     found, _ = issues.parse_replies(adapters.canned_replies(_raw(spark, sf_dir)))
     return issues.i3(found, _chat_now()).select(_g(), F.col("i3_oldest_age_min").alias("oldest_age_min"), F.col("i3_open_issues").cast("long").alias("open_issues"), r6("i3_severity").alias("severity"))
@@ -349,12 +389,45 @@ def i3_reply_status(spark, sf_dir):
     return status.select(_g(), F.col("error").cast("string").alias("error"))
 
 
+_FULL = f"""{_METRICS.replace(" metrics AS", " before_issues AS").replace("metrics AS (", "before_issues AS (")}, {_ISSUE_ROWS}, {_OLDEST},
+metrics AS (SELECT x.*, coalesce(s3, 0.0) AS s3, coalesce(age3, 0.0) AS age3, coalesce(open3, 0) AS open3,
+ CASE WHEN trip THEN greatest(0.35 * s1 + 0.2 * s2 + 0.15 * coalesce(s3, 0.0) + 0.3 * s4, 0.95) ELSE 0.35 * s1 + 0.2 * s2 + 0.15 * coalesce(s3, 0.0) + 0.3 * s4 END::DOUBLE AS score FROM x LEFT JOIN i3 ON i3.g = x.g),
+o AS (SELECT *, row_number() OVER (ORDER BY trip DESC, score DESC, g) AS rank FROM metrics)"""
+
+
+def _with_issues(spark, sf_dir):
+    """Messages, ranked metrics with I3, and the issues of canned replies."""
+    messages = analysis.once(_merged(spark, sf_dir))
+    found, _ = issues.parse_replies(adapters.canned_replies(messages))
+    metrics = analysis.group_metrics(messages, _chat_now(), messages.select("group_key", "group_id").distinct())
+    return messages, analysis.ranked(analysis.with_issues(metrics, found, _chat_now())), found
+
+
+@query(f"{_FULL} SELECT rank, g, round(s3, 6)::DOUBLE AS i3_severity, age3::DOUBLE AS i3_oldest_age_min, open3 AS i3_open_issues, round(score, 6)::DOUBLE AS composite FROM o")
+def metrics_with_issues(spark, sf_dir):
+    _, ranked, _ = _with_issues(spark, sf_dir)
+    return ranked.select(F.col("rank").cast("long").alias("rank"), _g(), r6("i3_severity").alias("i3_severity"), "i3_oldest_age_min", F.col("i3_open_issues").cast("long").alias("i3_open_issues"), r6("composite").alias("composite"))
+
+
+@query(f"""{_FULL}, one_each AS (SELECT rank, unnest([('a-header', 'header'), ('c-metrics', 'cards'), ('d-latency', 'insight'), ('e-sentiment', 'insight')]) AS b FROM o),
+reasons AS (SELECT g FROM e WHERE esc UNION ALL SELECT g FROM one WHERE i1_oldest_age_min >= 480),
+all_blocks AS (SELECT 0 AS rank, 'cards' AS section, 'overview' AS kind UNION ALL SELECT 0, 'ranking', 'row' FROM o
+ UNION ALL SELECT 0, CASE WHEN trip THEN 'actions' WHEN score < 0.15 THEN 'actions-ok' ELSE 'actions-watch' END, CASE WHEN trip THEN 'red' WHEN score < 0.15 THEN 'ok' ELSE 'watch' END FROM o
+ UNION ALL SELECT rank, b[1], b[2] FROM one_each UNION ALL SELECT rank, 'b-tripwire', 'reason' FROM reasons JOIN o USING (g)
+ UNION ALL SELECT rank, 'd-latency', 'example' FROM (SELECT DISTINCT g FROM pairs) JOIN o USING (g)
+ UNION ALL SELECT rank, 'e-sentiment', 'example' FROM (SELECT g, row_number() OVER (PARTITION BY g ORDER BY seq) AS k FROM e WHERE role = 'customer' AND sentiment < -0.1 AND NOT is_sticker) q JOIN o USING (g) WHERE k <= 3
+ UNION ALL SELECT rank, 'f-entropy', 'point' FROM series s JOIN o ON o.g = s.g WHERE s.n >= 5
+ UNION ALL SELECT rank, 'f-entropy', 'trend' FROM six JOIN o ON o.g = six.g WHERE six.n >= 5
+ UNION ALL SELECT rank, 'g-issues', 'issue' FROM issues JOIN o ON o.g = issues.g)
+SELECT rank, section, kind, count(*) AS n FROM all_blocks GROUP BY ALL""")
+def report_outline(spark, sf_dir):
+    """How many blocks of each kind every section of the report has."""
+    return report.report_blocks(*_with_issues(spark, sf_dir)).groupBy(F.col("rank").cast("long").alias("rank"), "section", "kind").agg(F.count("*").alias("n"))
+
+
 @query()
 def report_blocks(spark, sf_dir):
-    messages = _merged(spark, sf_dir)
-    found, _ = issues.parse_replies(adapters.canned_replies(messages))
-    metrics = analysis.with_issues(_metrics(spark, sf_dir), found, _chat_now())
-    return report.report_blocks(messages, analysis.ranked(metrics), found)
+    return report.report_blocks(*_with_issues(spark, sf_dir))
 
 
 def queries() -> dict:
