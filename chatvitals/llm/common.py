@@ -28,16 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of an Arrow batch while a table is written: rows may hold texts or blocks, and whole batches are copied a few times.
+BATCH = 1024
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}", spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._chatvitals_path = path
     return out
 
 
+def trim() -> None:
+    """Gives a worker's free memory back: workers are kept between tasks, and allocators keep what large arrays have left."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes a written table that nothing needs any more (what was made of it has been written itself)."""
     spark = df.sparkSession

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, MIX2, drop_written, mix, prefix_hash, range_hash, text_blocks, words, written
+from .common import BASE, MIX2, drop_written, mix, prefix_hash, range_hash, text_blocks, trim, words, written
 
 END = np.uint64(0x0123456789ABCDEF)
 BITS = 1 << 27  # of a Bloom filter
@@ -168,6 +168,8 @@ def _counted(texts: DataFrame, runs_of, total: int, least: int) -> DataFrame:
                     yield from (packed(size, *x) for size, x in waiting.items())
                     waiting, many = {}, 0
         yield from (packed(size, *x) for size, x in waiting.items())
+        waiting.clear()
+        trim()
 
     def summed(size, blocks):
         prefix, suffix, n = (np.concatenate(x) for x in zip(*(_unpacked(b, "<u8", "<u8", "<u4") for b in blocks)))
@@ -189,6 +191,8 @@ def _counted(texts: DataFrame, runs_of, total: int, least: int) -> DataFrame:
                 waiting.append(block.as_py())
         if waiting:
             yield summed(at[0], waiting)
+        waiting.clear()
+        trim()
 
     blocks = texts.mapInArrow(run, "size int, part long, block binary")
     dealt = blocks.repartition(tasks, "size", "part").sortWithinPartitions("size", "part")
@@ -438,11 +442,24 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([*out, pa.nulls(n, pa.int64()), pa.nulls(n, row), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names)
 
     def terms(batches):
-        for batch in batches:
-            key = batch.column("key").to_numpy().view(np.uint64)
+        waiting, many = [], 0
+
+        def held():
+            key, value, known = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
             order = np.argsort(key)
             key = key[order]
-            yield shared(TERMS, 0, *_blocks(part_of(key), key, batch.column("value").to_numpy()[order], batch.column("known").to_numpy(zero_copy_only=False)[order]))
+            return shared(TERMS, 0, *_blocks(part_of(key), key, value[order], known[order]))
+
+        for batch in batches:
+            waiting.append((batch.column("key").to_numpy().view(np.uint64), batch.column("value").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)))
+            many += batch.num_rows
+            if many >= BUFFER:
+                yield held()
+                many = 0
+        if waiting:
+            yield held()
+        trim()
 
     def ask(batches):
         from pyspark import TaskContext
@@ -480,6 +497,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     many, turn = 0, turn + 1
         if waiting:
             yield asked()
+        trim()
 
     def answer(batches):
         at, held, table = None, [], None
@@ -540,6 +558,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held = rest.mapInArrow(terms, "kind int, part long, source long, block binary")
     met = asking.unionByName(held, allowMissingColumns=True).repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, schema)
     done = met.repartition(tasks, "source").sortWithinPartitions("source", F.desc("kind"), "number").mapInArrow(add, T.StructType([T.StructField("row", row_type), *numbers]))
+    done = written(done, "scored")
     return done.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
