@@ -6,8 +6,8 @@ own code.  The code's inner product with a turned query, divided by s, estimates
 deviation is sqrt((1 - s*s) / (s*s * (bits - 1))) of the lengths at most, and the bound is `sureness` deviations.
 
 1. Every row is indexed (nothing is fitted): packed codes and scalars, written once.
-2. Blocks of codes meet blocks of queries; each gives the k rows of largest estimate per query.  The exact inner products of
-   the k best of those are a floor: the k-th nearest has no smaller one.
+2. Blocks of codes meet blocks of queries; each gives some rows of largest estimate per query.  Of the exact inner products of
+   the 4 k best of those, the k-th is a floor: the k-th nearest has no smaller one.
 3. Blocks meet again, and only rows whose upper bound reaches their query's floor come out (`reranked` of them).  Their
    vectors are fetched by row, the exact inner product in double precision ranks them.
 
@@ -110,6 +110,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedd
     query_blocks = max(1, -(-asked.count() // query_block))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    some = 4 * k // blocks + k // 4 + 1
     vectors = coded.withColumn("block", deal("row", blocks)).withColumn("query_block", every(query_blocks))
     column = lambda t, c: t.column(c).combine_chunks()
 
@@ -129,18 +130,18 @@ def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedd
         return sides.groupBy(keys).cogroup(vectors.groupBy(keys)).applyInArrow(run, "query_id long, row long, estimate double")
 
     def largest(queries, floor, ids, codes, length, own, vec_ids):
-        """The k rows of largest estimate."""
+        """The rows of largest estimate, some of each block."""
         out = [np.zeros(0, np.int64)] * 2, np.zeros(0)
         (q, j), e = out
         for at, estimate, _ in estimates(queries, codes, length, own):
             estimate[ids[:, None] == vec_ids[None, at : at + CHUNK]] = -np.inf
-            n = min(k, estimate.shape[1])
+            n = min(some, estimate.shape[1])
             top = np.argpartition(estimate, estimate.shape[1] - n, axis=1)[:, -n:]
             q, j = np.concatenate([q, np.repeat(np.arange(len(queries)), n)]), np.concatenate([j, at + top.ravel()])
             e = np.concatenate([e, np.take_along_axis(estimate, top, 1).ravel()])
             order = np.lexsort((-e, q))
             place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
-            order = order[(place < k) & (e[order] > -np.inf)]
+            order = order[(place < some) & (e[order] > -np.inf)]
             q, j, e = q[order], j[order], e[order]
         return q, j, e
 
@@ -159,8 +160,9 @@ def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedd
         return pairs.join(rows.select("row", "vec_id", "v"), "row").join(asked.select("query_id", F.col("v").alias("w")), "query_id").select("query_id", "vec_id", product.alias("score"))
 
     best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "row")
-    first = meet(asked.withColumn("floor", F.lit(0.0)), largest).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
-    floors = exact(first.select("query_id", "row")).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).select("query_id", F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    first = meet(asked.withColumn("floor", F.lit(0.0)), largest).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= 4 * k)
+    scores = F.sort_array(F.collect_list("score"), asc=False)  # 4 k numbers at most
+    floors = exact(first.select("query_id", "row")).groupBy("query_id").agg(F.coalesce(F.get(scores, F.lit(k - 1)), F.lit(float("-inf"))).alias("floor"))
     near = meet(asked.join(written(floors, "floors"), "query_id"), reaching)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = exact(written(near.select("query_id", "row"), "near")).withColumn("rank", F.row_number().over(order)).withColumn("reranked", F.count("*").over(Window.partitionBy("query_id")))
