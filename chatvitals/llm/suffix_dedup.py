@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, free_names, mix, near_rows, powers, prefix_hash, range_hash, text_blocks, written
+from .common import drop_written, free_names, mix, near_rows, powers, prefix_hash, range_hash, text_blocks, trim, written
 
 RUNS = "uid long, first long, last long, lead long, gram long, span long"
 _NAMES = ["uid", "first", "last", "lead", "gram", "span"]
@@ -98,6 +98,7 @@ def _suffixes(docs: DataFrame, k: int, length: int, asked: bool) -> DataFrame:
                 first, last, lead, gram, span = runs(blob, wanted, k, length)
                 of = np.searchsorted(bounds[1:], first, "right")
                 yield pa.RecordBatch.from_arrays([pa.array(uid[row + of]), pa.array(first - bounds[of]), pa.array(last - bounds[of]), pa.array(lead), pa.array(gram), pa.array(span)], _NAMES)
+        trim()
 
     return docs.mapInArrow(run, RUNS)
 
@@ -156,6 +157,7 @@ def compared(table: DataFrame, bucket: int = 2_000_000) -> DataFrame:
         for at in range(0, len(kept), 50_000):
             k = kept[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (uid, first, last, lead, gram, span, state)), pa.array(np.full(len(k), place)), pa.array(edge[k])], [*_NAMES, "state", "place", "edge"])
+        trim()
 
     found = written(table.repartitionByRange(buckets, "lead", "gram", "span", "uid", "first").mapInArrow(run, NEIGHBOURS), "neighbours")
     # the first and last row of each bucket, against the buckets beside it: two rows a bucket
@@ -217,6 +219,7 @@ def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
                 kept.append(b"".join(left))
                 texts.append("".join([x.decode("utf-8", "ignore") for x in left]))  # only the ends of a stretch can be broken
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.large_binary()), pa.array(texts, pa.large_string())], [*cols, "n_bytes", "spans", "kept", "kept_text"])
+        trim()
 
     return clean.unionByName(hit.mapInArrow(cut, schema))
 

@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score the base rate and stay; repeated rows go or stay together."""
     labels = toxicity.train_labels(read(spark, sf_dir, "labels"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    (row,) = free_names(docs.columns, "whole_row")
-    scored = toxicity.score(docs.select("text", F.struct(*docs.columns).alias(row)), model)
-    return scored.filter("predicted = 0").select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    rest = [c for c in docs.columns if c != "text"]
+    scored = toxicity.score(docs.select("text", F.struct(*rest).alias("rest")), model)
+    return scored.filter("predicted = 0").select(*(F.col("rest")[c].alias(c) if c in rest else c for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_BYTES bytes or more that start elsewhere too are cut out of the texts, with the rest of a character that a cut
     goes through; n_chars follows.  Texts without such passages, null ones among them, stay as they are; repeated rows are each other's copies."""
-    (row,) = free_names([*docs.columns, "n_bytes", "spans", "kept", "kept_text"], "whole_row")
-    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias(row)), PASSAGE_BYTES)
-    whole, cut = F.size("spans") == 0, {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return done.select(*(F.when(whole, F.col(row)[c]).otherwise(cut[c]).alias(c) if c in cut else F.col(row)[c].alias(c) for c in docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")), PASSAGE_BYTES)
+    whole = F.size("spans") == 0
+    made = {"doc_id": F.col("doc_id"), "text": F.when(whole, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(whole, F.col("rest")["n_chars"]).otherwise(F.length("kept_text").cast("long"))}
+    return done.select(*(made.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
