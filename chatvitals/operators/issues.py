@@ -31,25 +31,29 @@ def gate(metrics: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
 
 
 def extract(texts: DataFrame, make_extractor: Callable[[], Callable[[str], str]], key: str = "group_key") -> DataFrame:
-    """(group, reply): the extractor is made once per worker and called once per group; failures give a null reply.  Persist the result before using it twice."""
+    """(group, reply, failure): the extractor is made once per worker and called once per group; one that raises gives a null reply and the
+    text of its error.  Persist the result before using it twice."""
 
     def run(frames):
         call = make_extractor()
         for frame in frames:
-            replies = []
+            replies, failures = [], []
             for t in frame["transcript"]:
+                reply = failure = None
                 try:
-                    replies.append(call(t))
-                except Exception:  # noqa: BLE001 - one group's failure leaves the others alone
-                    replies.append(None)
-            yield frame[[key]].assign(reply=replies)
+                    reply = call(t)
+                except Exception as e:  # noqa: BLE001 - one group's failure leaves the others alone
+                    failure = f"{type(e).__name__}: {e}"
+                replies.append(reply)
+                failures.append(failure)
+            yield frame[[key]].assign(reply=replies, failure=failures)
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "transcript").mapInPandas(run, f"{key} {kind}, reply string")
+    return texts.select(key, "transcript").mapInPandas(run, f"{key} {kind}, reply string, failure string")
 
 
 def parse_replies(replies: DataFrame, key: str = "group_key") -> tuple[DataFrame, DataFrame]:
-    """(issues, status): issues with their order; status per group with error if the reply cannot be used (its group then keeps its numbers)."""
+    """(issues, status): issues with their order; status per group with error if the reply cannot be used (its group then keeps its numbers): the extractor's failure, if replies have it."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 
     def read(c: Column) -> Column:
@@ -67,7 +71,8 @@ def parse_replies(replies: DataFrame, key: str = "group_key") -> tuple[DataFrame
     # an open issue whose time is null spoils the reply
     spoiled = issues.filter(is_open() & F.col("raised_at").isNull()).select(key).distinct().withColumn("_spoiled", F.lit(True))
     issues = issues.join(spoiled, key, "left_anti")
-    status = rows.join(spoiled, key, "left").select(key, F.when(F.col("_broken") | F.coalesce("_spoiled", F.lit(False)), "unusable reply").alias("error"))
+    failure = F.col("failure") if "failure" in replies.columns else F.lit(None).cast("string")
+    status = rows.join(spoiled, key, "left").select(key, F.when(F.col("_broken") | F.coalesce("_spoiled", F.lit(False)), F.coalesce(failure, F.lit("unusable reply"))).alias("error"))
     return issues, status
 
 

@@ -7,6 +7,7 @@ import sys
 from datetime import datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..operators import issues
@@ -27,7 +28,8 @@ def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make
         metrics = metrics.cache()
         texts = issues.transcripts(messages).join(issues.gate(metrics, cfg).select("group_key"), "group_key", "left_semi")
         replies = issues.extract(texts, make_extractor).checkpoint()  # calls may cost: never repeated
-        found, _ = issues.parse_replies(replies)
+        found, answered = issues.parse_replies(replies)
+        status = status.join(answered.select("group_key", F.col("error").alias("reply_error")), "group_key", "left")
         metrics = analysis.with_issues(metrics, found, at, cfg)
     return analysis.ranked(metrics, "file_ord"), messages, status, found
 
@@ -59,6 +61,9 @@ def main(argv: list[str] | None = None) -> int:
     ranked = ranked.cache()
     for r in report.file_status(status, ranked).orderBy("source_file").toLocalIterator():
         print(f"[{r['status']}] {r['source_file']}" + (f": {r['error']}" if r["error"] else f" composite={r['composite']:.3f} tripwire={r['n_tripwire']}"))
+    if found is not None:
+        for r in status.filter("reply_error is not null").orderBy("group_key").toLocalIterator():
+            print(f"[ISSUES] {r['group_key']}: {r['reply_error']}", file=sys.stderr)
     print(report.text_report(ranked, found=found))
     if a.report:
         print(report.write_html(report.report_blocks(messages, ranked, found), report.report_name(a.report_dir, datetime.now())))

@@ -389,6 +389,13 @@ def i3_reply_status(spark, sf_dir):
     return status.select(_g(), F.col("error").cast("string").alias("error"))
 
 
+@query(f"""{_E} SELECT g, row_number() OVER (PARTITION BY g ORDER BY seq) - 1 AS issue_ord, ts AS raised, text AS summary, '問題' AS kind FROM e WHERE role = 'customer' AND NOT is_sticker AND contains(text, '？') AND NOT contains(text, chr(13))""")
+def i3_extracted(spark, sf_dir):
+    replies = analysis.once(issues.extract(issues.transcripts(_merged(spark, sf_dir)), adapters.asking_lines))
+    found, _ = issues.parse_replies(replies)
+    return found.select(_g(), F.col("issue_ord").cast("long").alias("issue_ord"), issues.raised(F.col("raised_at")).alias("raised"), "summary", labels.issue_type(F.col("type")).alias("kind"))
+
+
 _FULL = f"""{_METRICS.replace(" metrics AS", " before_issues AS").replace("metrics AS (", "before_issues AS (")}, {_ISSUE_ROWS}, {_OLDEST},
 metrics AS (SELECT x.*, coalesce(s3, 0.0) AS s3, coalesce(age3, 0.0) AS age3, coalesce(open3, 0) AS open3,
  CASE WHEN trip THEN greatest(0.35 * s1 + 0.2 * s2 + 0.15 * coalesce(s3, 0.0) + 0.3 * s4, 0.95) ELSE 0.35 * s1 + 0.2 * s2 + 0.15 * coalesce(s3, 0.0) + 0.3 * s4 END::DOUBLE AS score FROM x LEFT JOIN i3 ON i3.g = x.g),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +103,16 @@ def canned_replies(messages: DataFrame) -> DataFrame:
     body = F.concat(F.lit('{"issues": ['), issue(1, "unresolved", at1), F.lit(", "), issue(2, "resolved", at2), F.lit(", "), issue(3, "unclear", at2), F.lit("]}"))
     reply = F.when(k % 7 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" done"))).when(k % 7 == 2, "nothing found").when(k % 7 == 3, "{broken}").when(k % 7 == 4, F.concat(F.lit("["), issue(1, "unclear", at1), F.lit("]"))).when(k % 7 == 5, '{"issues": []}').otherwise(body)
     return messages.select("group_key").distinct().select("group_key", reply.alias("reply"))
+
+
+LINE = re.compile(r"\[(\S+)\] \[customer\] \[\S+\] [^:]*: (.*？.*)")
+
+
+def asking_lines():
+    """An extractor without a model: every customer line with a question mark is an open issue."""
+
+    def call(transcript: str) -> str:
+        found = [LINE.fullmatch(x) for x in transcript.split("\n")]
+        return json.dumps({"issues": [{"type": "question", "status": "unresolved", "raised_at": m[1], "summary": m[2]} for m in found if m]}, ensure_ascii=False)
+
+    return call

@@ -6,7 +6,9 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from chatvitals.functions.text import bigram_bits
 from chatvitals.operators import entropy, indicators, issues
 from chatvitals.operators.merge import merge_fragments
 from chatvitals.plans import analysis
@@ -157,4 +159,37 @@ def test_extractor_runs_once_per_group(spark):
 
         return call
 
-    assert {r["group_key"]: r["reply"] for r in issues.extract(texts, make).collect()} == {1: "A", 2: None}
+    replies = issues.extract(texts, make).cache()
+    assert {r["group_key"]: (r["reply"], r["failure"]) for r in replies.collect()} == {1: ("A", None), 2: (None, "RuntimeError: boom")}
+    _, status = issues.parse_replies(replies)
+    assert {r["group_key"]: r["error"] for r in status.collect()} == {1: None, 2: "RuntimeError: boom"}
+
+
+def _merged(rows, limit=60):
+    """(seq, text) by a plain loop; rows: (seq, sender, seconds, text, special)."""
+    out, last = [], None
+    for seq, sender, at, text, special in rows:
+        if last and not special and not last[3] and sender == last[1] and at - last[2] <= limit:
+            out[-1] = (out[-1][0], out[-1][1] + " " + text)
+        else:
+            out.append((seq, text))
+            last = (seq, sender, at, special)
+        last = (last[0], sender, last[2], special)
+    return out
+
+
+def test_merge_of_long_bursts(spark):
+    rnd, rows, at = random.Random(3), [], 0
+    for seq in range(1500):
+        at += rnd.choice([-70, -5, 0, 1, 20, 20, 30, 59, 61, 200])
+        rows.append((seq, "a" if rnd.random() < 0.95 else "b", at, f"t{seq}", rnd.random() < 0.02))
+    df = spark.createDataFrame([(1, s, who, NOW + timedelta(seconds=at), t, special, False) for s, who, at, t, special in rows], "group_key int, seq long, sender string, ts timestamp_ntz, text string, is_sticker boolean, is_image boolean")
+    got = sorted((r["seq"], r["text"]) for r in merge_fragments(df).collect())
+    assert got == _merged(rows)
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "aaaa", "abab", "好的好的嗎", "mississippi mississippi"])
+def test_bits_inside_a_row(spark, text):
+    n = Counter(text[i : i + 2] for i in range(len(text) - 1))
+    want = -sum(c / n.total() * math.log2(c / n.total()) for c in n.values()) if n else 0.0
+    assert spark.createDataFrame([(text,)], "t string").select(bigram_bits(F.col("t")).alias("b")).first()["b"] == pytest.approx(want)
