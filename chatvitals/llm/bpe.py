@@ -7,10 +7,10 @@ its last token, and may emit a token whenever those two conditions hold, has one
 string.  `Transducer` determinises it on demand: a state is the set of unfinished tokens that live runs
 hold, made by subset construction when it is first reached, with the tokens that may end there.
 A register of the last token of each run (one per byte, no further back than the longest token) decides which of
-them does.  Tokens that all live runs share are settled and emitted; a run dies at the latest after the longest
-token's length, which bounds the lookahead.
+them does.  A run dies at the latest after the longest token's length, which bounds the lookahead: each time `window` bytes (twice that length)
+have been read, the tokens that all live runs share are emitted, so a piece of any length needs a buffer of about that size.
 
-Rows: null text counts as empty (no ids).  Repeated rows give repeated results; other columns pass
+Rows: null text counts as empty (no ids).  Empty tables give no rows.  Repeated rows give repeated results; other columns pass
 through `encode` and `decode` untouched, and only the named output column is added (a column
 of that name is replaced).
 """
@@ -40,6 +40,7 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
+        self.window = 2 * max(map(len, self.ranks))
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.apart: dict[int, bool] = {}
         self.own: dict[bytes, tuple | None] = {}
@@ -128,7 +129,7 @@ class Transducer:
             return [whole]
         out: list[int] = []
         ends: list[int] = []  # the token that ends at each byte, in the one run that has nothing unfinished there
-        apart, state, n = self.apart, self.start, 0
+        apart, state, n, limit = self.apart, self.start, 0, self.window
         for byte in piece:
             move = state[0].get(byte)
             if move is None:
@@ -148,9 +149,10 @@ class Transducer:
                     break
             ends.append(token)
             n += 1
-            if n > 4096:
+            if n > limit:
                 self._settle(ends, out, state[1])
                 n = len(ends)
+                limit = n + self.window
         tail: list[int] = []
         while n > 0:
             tail.append(ends[n - 1])

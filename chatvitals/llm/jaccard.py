@@ -17,7 +17,8 @@ A key or cluster with more nodes than `crowd` is dealt in blocks, each pair of b
 
 Words are runs of bytes other than space and \\t to \\r, A-Z lower-cased; fewer than n words are one n-gram, no words an
 empty set that links with nothing.  Null text counts as empty.  Null ids keep their rows (component: null if
-alone or smallest among ids that are not null).  Rows that repeat an id are separate documents.
+alone or smallest among ids that are not null).  Rows that repeat an id are separate documents.  Empty tables give no rows.  Other columns
+are dropped.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ archives are not written again when it is read twice.
 
 Null html counts as an empty payload, null URLs as empty; control characters in URLs are percent-encoded.  Rows
 that repeat the smallest page_id are all responses; rows without page_id are responses unless their payload
-has a page_id elsewhere.  Other columns are dropped.
+has a page_id elsewhere.  A payload of any length is one record, and is read in one range of its own if it is longer than `most`.  Empty tables give
+an empty index and no records.  Other columns are dropped.
 """
 
 from __future__ import annotations

@@ -163,6 +163,8 @@ def test_warc(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
     assert bytes(got[1]["payload"]) == b"x" * 5000
+    long = spark.range(3).selectExpr("id as page_id", "'u' as url", "repeat(concat('page ', cast(id as string)), 3000000) as html", "id as first", "id as shared")
+    assert {r["page_id"]: r["payload_bytes"] for r in warc.read_records(warc.write_archives(long)).collect()} == {i: 18_000_000 for i in range(3)}
     few = warc.read_records(index.filter("page_id = 3")).collect()
     assert [r["page_id"] for r in few] == [3]
     assert {r["record_type"] for r in warc.read_records(warc.write_archives(df, least=5)).collect()} == {"response"}
