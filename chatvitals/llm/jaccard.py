@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, MIX2, drop_written, mix, near_rows, prefix_hash, range_hash, text_blocks, words, written
+from .common import BASE, MIX2, drop_written, mix, near_rows, prefix_hash, range_hash, text_blocks, trim, words, written
 
 LEAF, FAN = 16, 8
 
@@ -281,6 +281,7 @@ class Join:
                     offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                     lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
                     yield pa.RecordBatch.from_arrays([ids.slice(first, rows), marks.slice(first, rows), pa.array(names, pa.int64()), pa.array(np.diff(bounds)), lists, pa.array(maps, pa.large_binary())], ["doc_id", "row", "node", "size", "keys", "map"])
+            trim()
 
         return self.docs.mapInArrow(run, "doc_id long, row long, node long, size long, keys array<long>, map binary")
 
@@ -332,6 +333,7 @@ class Join:
                             new |= links.join(i, j)
                     if new:
                         yield stars(links, t.column("node").to_numpy())
+            trim()
 
         return _dealt(rows, self.crowd).select("key", "s", "t", "node", "label", "size", "pos", "map").mapInArrow(run, LINKS)
 
@@ -351,6 +353,7 @@ class Join:
                         new |= links.join(i, j)
                 if new:
                     yield stars(links, nodes)
+            trim()
 
         return _dealt(rows, self.crowd).select("key", "s", "t", "node", "text").mapInArrow(run, LINKS)
 

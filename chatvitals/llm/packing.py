@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, prefix_hash, range_hash, text_blocks, words, written
+from .common import free_names, prefix_hash, range_hash, text_blocks, trim, words, written
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-MOST_STRETCHES = 750_000
-BLOCK = 4 << 20
+MOST_STRETCHES = 500_000
+BLOCK = 1 << 20
 _MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b",.;:!?")] = True
 _PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -151,6 +151,7 @@ def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 binary = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
                 names = batch.column("doc_id").slice(row, rows).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays([names, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), binary], PIECES.fieldNames())
+        trim()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 

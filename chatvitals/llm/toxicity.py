@@ -321,6 +321,8 @@ def _cover(forms: list[str], rows: list[tuple[bool, list[int]]], least: int) ->
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5 on)."""
+    from .common import trim
+
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches):
@@ -329,6 +331,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 batch = whole.slice(at, 1024)
                 values = [model.score(t or "") for t in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], [*kept, "score", "predicted"])
+        trim()
 
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
