@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python's white space (str.isspace) and line boundaries (str.splitlines), as Java regex classes.
 SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -48,5 +50,20 @@ def bits_of(values: Column, total: Column) -> Column:
 
 
 def bigram_bits(c: Column) -> Column:
-    """Entropy of the bigrams of one text; 0 if it has none."""
+    """Entropy of the bigrams of one short text; 0 if it has none."""
     return bits_of(bigrams(c), F.greatest(F.length(c) - 1, F.lit(0)))
+
+
+@F.pandas_udf(T.DoubleType())
+def long_text_bits(texts: pd.Series) -> pd.Series:
+    """The same for texts of any length: code points are paired and counted as numbers, in Arrow batches, as arrays of strings are slow."""
+    import numpy as np
+
+    def bits(text: str) -> float:
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        if len(points) < 2:
+            return 0.0
+        n = np.unique(points[:-1] << np.uint64(32) | points[1:], return_counts=True)[1]
+        return max(0.0, float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()))
+
+    return texts.map(bits, na_action="ignore").astype(float)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Vitals
-from ..functions.text import bigram_bits, bigrams, bits_of
+from ..functions.text import bigrams, bits_of, long_text_bits
 
 
 def bigram_counts(texts: DataFrame, *keys: str) -> DataFrame:
@@ -27,7 +27,7 @@ def bigram_entropy(texts: DataFrame, *keys: str) -> DataFrame:
 
 def text_entropy(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, entropy) of each text: counted inside its row, so nothing is exploded or shuffled; texts without bigrams have none here."""
-    return texts.filter(F.length("text") >= 2).select(*keys, bigram_bits(F.col("text")).alias("entropy"))
+    return texts.filter(F.length("text") >= 2).select(*keys, long_text_bits(F.col("text")).alias("entropy"))
 
 
 def text_messages(messages: DataFrame, key: str = "group_key") -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chatvitals.functions.text import bigram_bits
+from chatvitals.functions.text import bigram_bits, long_text_bits
 from chatvitals.operators import entropy, indicators, issues
 from chatvitals.operators.merge import merge_fragments
 from chatvitals.plans import analysis
@@ -192,4 +192,4 @@ def test_merge_of_long_bursts(spark):
 def test_bits_inside_a_row(spark, text):
     n = Counter(text[i : i + 2] for i in range(len(text) - 1))
     want = -sum(c / n.total() * math.log2(c / n.total()) for c in n.values()) if n else 0.0
-    assert spark.createDataFrame([(text,)], "t string").select(bigram_bits(F.col("t")).alias("b")).first()["b"] == pytest.approx(want)
+    assert spark.createDataFrame([(text,)], "t string").select(bigram_bits(F.col("t")).alias("b"), long_text_bits(F.col("t")).alias("l")).first() == (pytest.approx(want), pytest.approx(want))
