@@ -99,7 +99,7 @@ def estimates(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, own: n
         yield at, (turned @ signs.T) * (length[part] / own[part]), length[part] * np.sqrt(np.maximum(1 - own[part] ** 2, 0) / (own[part] ** 2 * (bits - 1)))
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", bits: int = 512, block: int = 32_768, query_block: int = 4096, sureness: float = 3.0) -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", bits: int = 768, block: int = 32_768, query_block: int = 4096, sureness: float = 3.5) -> DataFrame:
     """(query_id, rank, vec_id, score, reranked): the k rows of largest inner product for every row that is_query (a condition on vec_id) picks;
     reranked: how many rows the bounds left for the query."""
     rows = written(usable(df, vec_id, embedding), "vectors")
