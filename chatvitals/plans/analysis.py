@@ -27,9 +27,11 @@ def clock(now: datetime) -> Column:
 
 def once(df: DataFrame) -> DataFrame:
     """df, computed once: as a checkpoint where the session has a folder for them, else cached (on disk where memory is short)."""
-    if df.is_cached:
+    if df.is_cached or getattr(df, "_held", False):
         return df
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    out = df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    out._held = True
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
