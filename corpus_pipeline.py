@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chatvitals.llm import jaccard, packing, suffix_dedup, toxicity
 from chatvitals.llm.common import free_names, read, written
 
-#: Bytes of a repeated passage: fifty words are longer in any of the languages.
+#: Bytes of a repeated passage: fifty words of prose are longer in any of the languages.
 PASSAGE_BYTES = 200
 
 
