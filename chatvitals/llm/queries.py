@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, merkle, packing, rotated_codes, suffix_dedup, suffix_lm, toxicity, warc
+from . import bpe, chat, hard_negatives, jaccard, manifest, merkle, packing, rotated_codes, secret_scan, suffix_dedup, suffix_lm, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
@@ -15,11 +15,70 @@ QUERIES = {
     "op8_warc": warc.op8,
     "op9_jaccard": jaccard.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_manifest": manifest.op11,
+    "op12_secrets": secret_scan.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 
+#: crc32 of a number's digits, bit by bit
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
+def _manifest_sql(levels: int = 8, tops: int = 6) -> str:
+    """Trees of 16 ** levels rows a group and 16 ** tops groups, level by level."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""docs AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_CRC.format("doc_id")} % 5 = 0 THEN {leaf(lower)} END AS changed FROM documents)""",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM docs)",
+        "s0 AS (SELECT source AS g, p, n, leaf AS h FROM l)",
+    ]
+
+    def grow(name: str, most: int) -> None:
+        for k in range(most):
+            parts.append(f"{name}r{k} AS (SELECT g, p // 16 AS p, n, array_agg(h ORDER BY p) AS hs FROM {name}{k} GROUP BY g, p // 16, n)")
+            parts.append(f"{name}{k + 1} AS (SELECT g, p, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})")
+
+    def climb(name: str, tree: str, most: int) -> None:
+        for k in range(most):
+            before, after = "array_to_string(hs[1:f.p % 16], '')", "array_to_string(hs[f.p % 16 + 2:], '')"
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT f.* EXCLUDE (p, h, around), f.p // 16 AS p, CASE WHEN r.n = 1 THEN f.h ELSE sha256({before} || f.h || {after}) END AS h, CASE WHEN r.n = 1 THEN around ELSE around || {before} || {after} END AS around
+ FROM {name}{k} f JOIN {tree}r{k} r ON r.g IS NOT DISTINCT FROM f.g AND r.p = f.p // 16)"""
+            )
+
+    grow("s", levels)
+    parts.append(f"t0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS n, h, g AS source FROM s{levels})")
+    grow("t", tops)
+    parts.append("f0 AS (SELECT doc_id, leaf, source AS g, p, coalesce(changed, leaf) AS h, '' AS around FROM l)")
+    climb("f", "s", levels)
+    parts.append(f"u0 AS (SELECT f.doc_id, f.leaf, f.h, f.around, t0.h AS subroot, 0 AS g, t0.p FROM f{levels} f JOIN t0 ON t0.source IS NOT DISTINCT FROM f.g)")
+    climb("u", "t", tops)
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, t.h AS root, sha256(around) AS proof_sha256, u.h AS folded_root, u.h = t.h AS verified FROM u{tops} u JOIN t{tops} t ON t.g = u.g"
+
+
+def _secrets_sql() -> str:
+    """Every rule over every text, without an index; letters in either case are written out."""
+    parts, spans = [r"docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents)"], []
+    for i, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern
+        if r.fold:
+            words, rest = pattern.split(")", 1)
+            pattern = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words) + ")" + rest
+        e = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"m{i} AS (SELECT row, unnest(regexp_extract_all(text, {e})) AS m, unnest(regexp_extract_all(text, {e}, {r.group})) AS tested, unnest(string_split_regex(text, {e})[:-2]) AS gap, generate_subscripts(regexp_extract_all(text, {e}), 1) AS k FROM docs WHERE regexp_matches(text, {e}))")
+        spans.append(f"SELECT row, {i} AS ord, '{r.name}' AS kind, z - length(m) AS a, z FROM (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY k)::BIGINT AS z FROM m{i}) WHERE length(tested) >= {r.least}")
+    joined = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord)"
+    counts = ", ".join(f"count(*) FILTER (ord = {i}) AS n_{r.name}" for i, r in enumerate(secret_scan.BASE))
+    parts += [f"spans AS ({' UNION ALL '.join(spans)})", f"f AS (SELECT row, {counts}, {joined} FILTER (ord < {len(secret_scan.BASE)}) AS base, {joined} AS spans FROM spans GROUP BY row)"]
+    out = ", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secret_scan.BASE)
+    return f"WITH {', '.join(parts)} SELECT doc_id, {out}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN f USING (row)"
+
+
 #: op1, op5: tokenizers; op3, op10: learned models; op4: blake2b trees; all five are tested against brute force or libraries instead.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": rf"""
@@ -77,4 +136,17 @@ ORACLE_SQL: dict[str, str] = {
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reached AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reached r JOIN edges e ON e.a = r.node)
         SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reached LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node""",
+    "op11_manifest": _manifest_sql(),
+    "op12_secrets": _secrets_sql(),
+    "op13_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w ::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM near JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
 }
