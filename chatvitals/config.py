@@ -61,6 +61,7 @@ class Vitals:
     """Everything that tunes an analysis; the defaults are the compatible ones."""
 
     merge_seconds: int = 60
+    lane_rows: int = 200_000  # groups of more rows are cut into lanes of about as many; changes the work, not the result
     entropy_window: int = 5
     service_open: int = 9
     service_close: int = 18

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..functions.text import bigrams, bits_of, long_text_bits
+from .lanes import LANE, Scan, running
 
 
 def bigram_counts(texts: DataFrame, *keys: str) -> DataFrame:
@@ -32,19 +33,28 @@ def text_entropy(texts: DataFrame, *keys: str) -> DataFrame:
 
 def text_messages(messages: DataFrame, key: str = "group_key") -> DataFrame:
     """Messages with text, their position and how many there are."""
-    w = Window.partitionBy(key).orderBy("seq")
     found = messages.filter((F.col("text") != "") & ~F.col("is_sticker"))
-    return found.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("n_text", F.count("*").over(Window.partitionBy(key)).cast("int"))
+    found = running(found, {"pos": Scan("sum", F.lit(1).cast("long"))}, key).withColumn("pos", F.col("pos").cast("int"))
+    if LANE not in messages.columns:
+        return found.withColumn("n_text", F.count("*").over(Window.partitionBy(key)).cast("int"))
+    return found.join(found.groupBy(key).agg(F.count("*").cast("int").alias("n_text")), key)
 
 
 def entropy_series(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """(group, pos, ts, entropy) over the last few text messages; groups with less than two have none.
 
-    A window over the group's order holds the bigrams of the last messages, and they are counted inside the row: no shuffle beside the group's."""
+    A window over the group's order holds the bigrams of the last messages, and they are counted inside the row: no shuffle beside the group's.
+    Giant groups are dealt out by position, in stretches that begin with the last few messages of the stretch before."""
     texts = text_messages(messages, key).filter("n_text >= 2")
-    last = Window.partitionBy(key).orderBy("seq").rowsBetween(1 - cfg.entropy_window, 0)
+    cut, first = [key], F.lit(True)
+    if LANE in messages.columns:
+        stretch = F.floor(F.col("pos") / cfg.lane_rows).cast("int")
+        ahead = F.col("pos") % cfg.lane_rows >= cfg.lane_rows - (cfg.entropy_window - 1)
+        texts = texts.withColumn("_own", stretch).withColumn("_stretch", F.explode(F.when(ahead, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+        cut, first = [key, "_stretch"], F.col("_own") == F.col("_stretch")
+    last = Window.partitionBy(*cut).orderBy("pos").rowsBetween(1 - cfg.entropy_window, 0)
     held = F.collect_list(F.struct(bigrams(F.col("text")).alias("b"))).over(last)
-    rows = texts.select(key, "pos", "ts", "n_text", held.alias("_held"), F.sum(F.greatest(F.length("text") - 1, F.lit(0))).over(last).alias("_total"))
+    rows = texts.withColumns({"_held": held, "_total": F.sum(F.greatest(F.length("text") - 1, F.lit(0))).over(last)}).filter(first)
     return rows.select(key, "pos", "ts", "n_text", bits_of(F.flatten(F.col("_held.b")), F.col("_total")).alias("entropy"))
 
 

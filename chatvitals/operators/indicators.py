@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..functions.service_time import age_to_severity, ratio_severity, service_minutes, wall_minutes
+from .lanes import Scan, running
 from .replies import is_ask, with_replies, within_cap
 
 
 def unanswered(messages: DataFrame, now: Column, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """Customer asks after which no staff message comes, with age and severity."""
-    last = F.max(F.when(F.col("role") == "staff", F.col("seq"))).over(Window.partitionBy(key))
-    open_ = messages.withColumn("_last", last).filter(is_ask() & (F.col("_last").isNull() | (F.col("seq") > F.col("_last")))).drop("_last")
+    staff = Scan("max", F.when(F.col("role") == "staff", F.col("seq")))
+    open_ = running(messages, {"_staff_after": staff}, key, backwards=True).filter(is_ask() & F.col("_staff_after").isNull()).drop("_staff_after")
     open_ = open_.withColumn("age_min", service_minutes(F.col("ts"), now, cfg))
     return open_.withColumn("severity", age_to_severity(F.col("age_min"), cfg.i1_warn, cfg.i1_crit))
 
@@ -29,10 +30,15 @@ def latencies(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key
 
 
 def i2(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
-    """Nearest rank: of n sorted latencies the one with int(0.9 n) before it."""
-    ranked = Window.partitionBy(key).orderBy("latency_min", "seq")
-    rows = latencies(messages, cfg, key).withColumn("_k", F.row_number().over(ranked) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    p90 = rows.filter(F.col("_k") == F.least(F.floor(F.col("_n") * 9 / 10), F.col("_n") - 1))
+    """Nearest rank: of n sorted latencies the one with int(0.9 n) before it.
+
+    Selected from counts: latencies are whole minutes below the cap, so a group has few different ones however many replies it has, and counts
+    are made before the shuffle; the rank falls on the first value whose running count passes it."""
+    counts = latencies(messages, cfg, key).groupBy(key, "latency_min").agg(F.count("*").alias("_c"))
+    values = Window.partitionBy(key).orderBy("latency_min").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumn("_upto", F.sum("_c").over(values)).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+    place = F.least(F.floor(F.col("_n") * 9 / 10), F.col("_n") - 1)
+    p90 = rows.filter((F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place))
     return p90.select(key, F.col("latency_min").alias("i2_p90_min"), age_to_severity(F.col("latency_min"), cfg.i2_warn, cfg.i2_crit).alias("i2_severity"), F.col("_n").cast("int").alias("i2_replies"))
 
 
@@ -53,7 +59,7 @@ def tripwire_events(messages: DataFrame, key: str = "group_key") -> DataFrame:
 
 
 def negative_examples(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key", most: int = 3) -> DataFrame:
-    """The first few negative customer messages of each group."""
+    """The first few negative customer messages of each group (only as many leave each task)."""
     w = Window.partitionBy(key).orderBy("seq")
     found = messages.filter((F.col("role") == "customer") & (F.coalesce("sentiment", F.lit(0.0)) < cfg.negative_below) & ~F.col("is_sticker"))
     return found.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= most).select(key, "ord", "ts", F.substring("text", 1, 80).alias("text"))

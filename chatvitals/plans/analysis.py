@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..functions.rules import enrich
-from ..operators import entropy, indicators, issues
+from ..held import once, spread  # noqa: F401
+from ..operators import entropy, indicators, issues, lanes
 from ..operators.merge import merge_fragments
 
 DEFAULTS = {
@@ -25,24 +26,9 @@ def clock(now: datetime) -> Column:
     return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df, computed once: as a checkpoint where the session has a folder for them, else cached (on disk where memory is short)."""
-    if df.is_cached or getattr(df, "_held", False):
-        return df
-    out = df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    out._held = True
-    return out
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out if its files are too few for the cluster; tables of many files are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def prepare(messages: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
-    """Merged, enriched messages."""
-    return enrich(merge_fragments(messages, cfg), cfg)
+    """Merged, enriched messages; giant groups come in lanes."""
+    return enrich(merge_fragments(lanes.assign(messages, cfg.lane_rows), cfg), cfg)
 
 
 def composite(cfg: Vitals = Vitals()) -> Column:
@@ -82,18 +68,29 @@ def with_issues(metrics: DataFrame, found: DataFrame, now: Column, cfg: Vitals =
     return metrics.drop("i3_severity", "i3_oldest_age_min", "i3_open_issues").join(issues.i3(found, now, cfg, key), key, "left").fillna({"i3_severity": 0.0, "i3_oldest_age_min": 0.0, "i3_open_issues": 0}).withColumn("composite", composite(cfg))
 
 
+#: Ranges of a ranking, and rows of the sample that splits them.
+RANGES, SAMPLE = 128, 4096
+
+
 def ranked(metrics: DataFrame, order: str = "group_key", key: str = "group_key") -> DataFrame:
     """Adds rank: tripwire groups first, then by score; ties by `order`.
 
-    Slim rows are sorted by range; a row's rank is its place in its range after the rows of the ranges before, of which there are as many as
-    partitions.  No task sees all groups."""
+    A row's rank is its place in its range after the rows of the ranges before.  Ranges lie between splitters, which a sample of about SAMPLE rows
+    gives; the sample bears on their sizes only.  A row's range follows from the row and the splitters alone, so a part that is computed again has
+    the same ranges and ranks.  No task sees all groups."""
     metrics = once(metrics)
-    by = (F.desc("tripwire"), F.desc("composite"), F.asc(order))
-    slim = once(metrics.select(*dict.fromkeys((key, "tripwire", "composite", order))).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    slim = metrics.select(*dict.fromkeys((key, "tripwire", "composite", order)))
+    place = F.struct((~F.col("tripwire")).alias("calm"), (-F.col("composite")).alias("score"), F.col(order).alias("tie"))
+    step = max(1, slim.count() // SAMPLE)
+    sample = slim.filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(place.alias("p")).orderBy("p").collect()
+    cuts = [r.p for r in sample[:: max(1, len(sample) // RANGES)]][1:]
+    kind = slim.select(place.alias("p")).schema["p"].dataType.simpleString()
+    splitters = F.array(*(F.struct(F.lit(c.calm).alias("calm"), F.lit(c.score).alias("score"), F.lit(c.tie).alias("tie")) for c in cuts)).cast(f"array<{kind}>")
+    slim = slim.withColumn("_range", F.size(F.filter(splitters, lambda c: c <= place)))
     sizes = slim.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
-    ranks = slim.withColumn("_place", place).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("tripwire"), F.desc("composite"), F.asc(order)))
+    ranks = slim.withColumn("_place", inside).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
     return metrics.join(ranks.select(key, (F.col("_before") + F.col("_place")).cast("int").alias("rank")), key)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .. import held
 from ..config import Vitals
 from ..operators import issues
 from ..sources import exports
@@ -19,13 +21,14 @@ def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make
     """(ranked, messages, file status, issues or None)"""
     at = analysis.clock(now)
     files = exports.scan_conversations(spark, conversations)
-    raw, status = exports.parse(files, exports.load_staff(spark, staff), cfg)
-    messages = analysis.prepare(raw, cfg).cache()
+    longest = files.agg(F.max(F.length("content"))).first()[0] or 0
+    raw, status = exports.parse(files, exports.load_staff(spark, staff), cfg, long_files=longest > cfg.lane_rows * 16)
+    messages = analysis.once(analysis.prepare(raw, cfg))
     groups = status.filter("error is null").select("group_key", "group_id", "file_ord")
     metrics = analysis.group_metrics(messages, at, groups, cfg)
     found = None
     if make_extractor is not None:
-        metrics = metrics.cache()
+        metrics = analysis.once(metrics)
         texts = issues.transcripts(messages).join(issues.gate(metrics, cfg).select("group_key"), "group_key", "left_semi")
         replies = issues.extract(texts, make_extractor).checkpoint()  # calls may cost: never repeated
         found, answered = issues.parse_replies(replies)
@@ -51,23 +54,26 @@ def main(argv: list[str] | None = None) -> int:
 
         module, _, name = a.llm.partition(":")
         make = getattr(importlib.import_module(module), name)
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(f"{a.report_dir}/checkpoints")
-    try:
-        ranked, messages, status, found = run(spark, a.conversations, a.employees, a.now or datetime.now().replace(microsecond=0), make, Vitals(gate=a.llm_threshold))
-    except FileNotFoundError as e:
-        print(e, file=sys.stderr)
-        return 1
-    ranked = ranked.cache()
-    for r in report.file_status(status, ranked).orderBy("source_file").toLocalIterator():
-        print(f"[{r['status']}] {r['source_file']}" + (f": {r['error']}" if r["error"] else f" composite={r['composite']:.3f} tripwire={r['n_tripwire']}"))
-    if found is not None:
-        for r in status.filter("reply_error is not null").orderBy("group_key").toLocalIterator():
-            print(f"[ISSUES] {r['group_key']}: {r['reply_error']}", file=sys.stderr)
-    print(report.text_report(ranked, found=found))
-    if a.report:
-        print(report.write_html(report.report_blocks(messages, ranked, found), report.report_name(a.report_dir, datetime.now())))
-    return 0
+        if not spark.sparkContext.getCheckpointDir():  # replies are kept there
+            if not spark.sparkContext.master.startswith("local["):
+                p.error("--llm needs spark.checkpoint.dir, a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chatvitals-"))
+    with held.scope():
+        try:
+            ranked, messages, status, found = run(spark, a.conversations, a.employees, a.now or datetime.now().replace(microsecond=0), make, Vitals(gate=a.llm_threshold))
+        except FileNotFoundError as e:
+            print(e, file=sys.stderr)
+            return 1
+        ranked = analysis.once(ranked)
+        for r in report.file_status(status, ranked).orderBy("source_file").toLocalIterator():
+            print(f"[{r['status']}] {r['source_file']}" + (f": {r['error']}" if r["error"] else f" composite={r['composite']:.3f} tripwire={r['n_tripwire']}"))
+        if found is not None:
+            for r in status.filter("reply_error is not null").orderBy("group_key").toLocalIterator():
+                print(f"[ISSUES] {r['group_key']}: {r['reply_error']}", file=sys.stderr)
+        print(report.text_report(ranked, found=found))
+        if a.report:
+            print(report.write_html(report.report_blocks(messages, ranked, found), report.report_name(a.report_dir, datetime.now())))
+        return 0
 
 
 if __name__ == "__main__":

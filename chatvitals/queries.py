@@ -7,11 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import ACK, CHIT_CHAT, COMPLAINT, ESCALATION, IMAGE, NEGATIVE, POSITIVE, QUESTION, REQUEST, STICKER
+from .config import ACK, CHIT_CHAT, COMPLAINT, ESCALATION, IMAGE, NEGATIVE, POSITIVE, QUESTION, REQUEST, STICKER, Vitals
 from .functions import labels
 from .functions.rules import enrich
 from .functions.service_time import age_to_severity, in_service, service_minutes
-from .operators import entropy, indicators, issues
+from .operators import entropy, indicators, issues, lanes
 from .operators.merge import merge_fragments
 from .operators.replies import is_ask, with_replies, within_cap
 from .plans import analysis, report
@@ -87,6 +87,7 @@ def _enriched(source: str) -> str:
     return f"""e AS (SELECT *, {act} AS act, CASE WHEN {pos} + {neg} = 0 THEN 0.0::DOUBLE ELSE ({pos} - {neg})::DOUBLE / ({pos} + {neg}) END AS sentiment, {' OR '.join(f"contains(text, '{w}')" for w in ESCALATION)} AS esc FROM {source})"""
 
 
+_CROWD = "crowd AS (SELECT * REPLACE (CASE WHEN g % 10 < 9 THEN 0 ELSE g END AS g, g * 10000000 + seq AS seq) FROM m)"
 _E = f"WITH RECURSIVE {_MERGED}, {_enriched('mm')}"
 _ASK = "role = 'customer' AND act IN ('question', 'request')"
 _EVENTS = """WITH e AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'purchase' THEN 'staff' ELSE 'customer' END AS role, ts,
@@ -148,6 +149,19 @@ def _g():
     return F.col("group_key").alias("g")
 
 
+#: Few rows a lane, so that the giant group has many lanes on any table.
+_LANES = Vitals(lane_rows=100)
+
+
+def _crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.prepare(adapters.crowd_messages(spark, sf_dir), _LANES)
+
+
+def _crowded(sql: str) -> str:
+    """SQL over the giant group in place of the conversations."""
+    return sql.replace("n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY seq) AS rn FROM m)", f"{_CROWD}, n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY seq) AS rn FROM crowd)")
+
+
 # ---- queries -------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +173,15 @@ def parse_exports(spark, sf_dir):
     return messages.select("group_id", F.substring_index("msg_id", "_", -1).cast("long").alias("msg_no"), "sender", "role", "ts", "text", "is_sticker", "is_image")
 
 
+@query(f"WITH {_CHAT}, {_CROWD} SELECT 'group ' || g AS group_id, row_number() OVER (PARTITION BY g ORDER BY seq) AS msg_no, sender, role, ts, text, is_sticker, is_image FROM crowd")
+def parse_exports_crowd(spark, sf_dir):
+    """One file has nine tenths of all lines; it is read in lanes."""
+    raw = adapters.crowd_messages(spark, sf_dir)
+    staff = raw.filter("role = 'staff'").select("sender").distinct()
+    messages, _ = exports.parse(adapters.export_files(raw), staff, _LANES, long_files=True)
+    return messages.select("group_id", F.substring_index("msg_id", "_", -1).cast("long").alias("msg_no"), "sender", "role", "ts", "text", "is_sticker", "is_image")
+
+
 @query(f"WITH {_CHAT} SELECT 'group ' || g AS group_id, NULL::VARCHAR AS error, count(*) AS n FROM m GROUP BY g")
 def parse_status(spark, sf_dir):
     raw = _raw(spark, sf_dir)
@@ -178,6 +201,13 @@ def merge_messages(spark, sf_dir):
     return merge_fragments(_raw(spark, sf_dir)).select(_g(), "seq", "msg_id", "sender", "role", "ts", "text", "is_sticker", "is_image")
 
 
+@query(_crowded(f"WITH RECURSIVE {_MERGED} SELECT g, seq, sender, role, ts, text, is_sticker, is_image FROM mm"))
+def merge_messages_crowd(spark, sf_dir):
+    """One group has nine tenths of all rows; it is merged in lanes."""
+    found = merge_fragments(lanes.assign(adapters.crowd_messages(spark, sf_dir), _LANES.lane_rows), _LANES)
+    return found.select(_g(), "seq", "sender", "role", "ts", "text", "is_sticker", "is_image")
+
+
 @query(f"WITH {_CHAT}, {_enriched('m')} SELECT g, seq, act AS dialogue_act, round(sentiment, 6) AS sentiment, esc AS is_escalation_marker FROM e")
 def enrich_messages(spark, sf_dir):
     return enrich(_raw(spark, sf_dir)).select(_g(), "seq", "dialogue_act", r6("sentiment").alias("sentiment"), "is_escalation_marker")
@@ -206,6 +236,11 @@ def i2_first_reply(spark, sf_dir):
     return indicators.latencies(_merged(spark, sf_dir)).select(_g(), "seq", "reply_seq", "reply_ts", "latency_min")
 
 
+@query(_crowded(f"{_E}, {_PAIRS} SELECT g, seq, rseq AS reply_seq, rts AS reply_ts, lat AS latency_min FROM capped"))
+def i2_first_reply_crowd(spark, sf_dir):
+    return indicators.latencies(_crowd(spark, sf_dir), _LANES).select(_g(), "seq", "reply_seq", "reply_ts", "latency_min")
+
+
 @query(f"{_E}, {_PAIRS}, {_I2} SELECT g, i2_p90_min, replies, round({_severity('i2_p90_min', 120.0, 480.0)}, 6)::DOUBLE AS i2_severity FROM two")
 def i2_latency_p90(spark, sf_dir):
     return indicators.i2(_merged(spark, sf_dir)).select(_g(), "i2_p90_min", F.col("i2_replies").cast("long").alias("replies"), r6("i2_severity").alias("i2_severity"))
@@ -277,12 +312,26 @@ def chart_points(spark, sf_dir):
     return entropy.chart_points(entropy.entropy_series(_merged(spark, sf_dir))).select(_g(), F.col("pos").cast("long").alias("pos"), r6("x").alias("x"), (F.round("y", 5) + 0.0).alias("y"))
 
 
-@query(f"""{_METRICS} SELECT g, round(s1, 6)::DOUBLE AS i1_severity, open1 AS i1_open_questions, age1 AS i1_oldest_age_min, round(s2, 6)::DOUBLE AS i2_severity, p90 AS i2_p90_min, round(r4, 6)::DOUBLE AS i4_neg_ratio, round(s4, 6)::DOUBLE AS i4_severity, i5 AS i5_msg_count_24h,
- trip AS tripwire, round(mean, 6) + 0.0 AS i6_mean_entropy, round(slope, 6) + 0.0 AS i6_entropy_slope, round(peak, 6) + 0.0 AS i6_peak_entropy_frac, round(score, 6)::DOUBLE AS composite FROM metrics""")
-def compute_metrics(spark, sf_dir):
+_METRICS_SQL = f"""{_METRICS} SELECT g, round(s1, 6)::DOUBLE AS i1_severity, open1 AS i1_open_questions, age1 AS i1_oldest_age_min, round(s2, 6)::DOUBLE AS i2_severity, p90 AS i2_p90_min, round(r4, 6)::DOUBLE AS i4_neg_ratio, round(s4, 6)::DOUBLE AS i4_severity, i5 AS i5_msg_count_24h,
+ trip AS tripwire, round(mean, 6) + 0.0 AS i6_mean_entropy, round(slope, 6) + 0.0 AS i6_entropy_slope, round(peak, 6) + 0.0 AS i6_peak_entropy_frac, round(score, 6)::DOUBLE AS composite FROM metrics"""
+
+
+def _metric_columns(metrics: DataFrame) -> DataFrame:
     double = ("i1_severity", "i2_severity", "i4_neg_ratio", "i4_severity", "i6_mean_entropy", "i6_entropy_slope", "i6_peak_entropy_frac", "composite")
     long = ("i1_open_questions", "i5_msg_count_24h")
-    return _metrics(spark, sf_dir).select(_g(), "tripwire", "i1_oldest_age_min", "i2_p90_min", *(r6(c).alias(c) for c in double), *(F.col(c).cast("long").alias(c) for c in long))
+    return metrics.select(_g(), "tripwire", "i1_oldest_age_min", "i2_p90_min", *(r6(c).alias(c) for c in double), *(F.col(c).cast("long").alias(c) for c in long))
+
+
+@query(_METRICS_SQL)
+def compute_metrics(spark, sf_dir):
+    return _metric_columns(_metrics(spark, sf_dir))
+
+
+@query(_crowded(_METRICS_SQL))
+def compute_metrics_crowd(spark, sf_dir):
+    """One group has nine tenths of all rows; every indicator of it is computed in lanes."""
+    messages = _crowd(spark, sf_dir)
+    return _metric_columns(analysis.group_metrics(messages, _chat_now(), messages.select("group_key", "group_id").distinct(), _LANES))
 
 
 @query(f"{_METRICS} SELECT row_number() OVER (ORDER BY trip DESC, score DESC, g) AS rank, g, round(score, 6)::DOUBLE AS composite, CASE WHEN trip THEN '紅旗' WHEN score >= 0.15 THEN '關注' ELSE '正常' END AS status FROM metrics")

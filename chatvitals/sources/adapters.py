@@ -65,6 +65,13 @@ def chat_messages(spark: SparkSession, sf_dir: str, cfg: Vitals = Vitals()) -> D
     )
 
 
+def crowd_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages, those of nine conversations in ten as one giant group, one conversation after the other."""
+    g = F.col("group_key")
+    crowd = F.when(g % 10 < 9, 0).otherwise(g)
+    return chat_messages(spark, sf_dir).withColumns({"seq": g * 10_000_000 + F.col("seq"), "group_key": crowd, "group_id": crowd.cast("string")})
+
+
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as enriched messages: errors ask, purchases answer, the rest is talk."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..functions.text import SPACE, lines, rstrip, strip
+from ..operators import lanes
 
 DATE = r"^(\d{4})\.(\d{2})\.(\d{2})" + SPACE + "+星期"
 MESSAGE = r"^(\d{2}):(\d{2})\t(.+?)\t(.+)$"
@@ -41,8 +42,8 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def parsed_lines(files: DataFrame) -> DataFrame:
-    """One row per line with its date, time and fields, and whether it spoils its file."""
+def parsed_lines(files: DataFrame, lane_rows: int | None = None) -> DataFrame:
+    """One row per line with its date, time and fields, and whether it spoils its file; with lane_rows in lanes of as many lines."""
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     base = files.select("source_file", "file_ord", valid.alias("valid"), F.when(valid, lines(text)).otherwise(F.array().cast("array<string>")).alias("lines"))
@@ -53,8 +54,10 @@ def parsed_lines(files: DataFrame) -> DataFrame:
     day = F.try_make_timestamp_ntz(*(part(DATE, i).try_cast("int") for i in (1, 2, 3)), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
     rows = rows.withColumn("is_date", F.coalesce(is_date, F.lit(False))).withColumn("day", F.when(F.col("is_date") & (part(DATE, 1) != "0000"), day))
     rows = rows.withColumn("is_message", F.coalesce(~F.col("is_date") & F.col("line").rlike(MESSAGE), F.lit(False)))
-    w = Window.partitionBy("source_file").orderBy("line_no")
-    rows = rows.withColumn("current", F.last("day", ignorenulls=True).over(w))
+    if lane_rows:
+        rows = rows.withColumn(lanes.LANE, F.floor(F.col("line_no") / lane_rows).cast("int")).repartition("source_file", lanes.LANE)
+    rows = lanes.running(rows, {"_day": lanes.Scan("last", F.col("day"))}, "source_file", "line_no")
+    rows = rows.withColumn("current", F.coalesce("day", "_day"))
     hour, minute = part(MESSAGE, 1).try_cast("int"), part(MESSAGE, 2).try_cast("int")
     at = F.when((hour < 24) & (minute < 60), F.timestamp_add("MINUTE", hour * 60 + minute, F.col("current")))
     rows = rows.withColumn("ts", F.when(F.col("is_message"), at)).withColumn("sender", strip(part(MESSAGE, 3))).withColumn("body", strip(part(MESSAGE, 4)))
@@ -62,27 +65,34 @@ def parsed_lines(files: DataFrame) -> DataFrame:
     return rows.withColumn("spoiled", ~F.col("valid") | F.coalesce(spoiled, F.lit(False)))
 
 
-def parse(files: DataFrame, staff: DataFrame, cfg: Vitals = Vitals()) -> tuple[DataFrame, DataFrame]:
-    """(messages, status): messages of sound files, and for every file its group and error (null: none).  Rows are keyed by group_key, the file."""
-    rows = parsed_lines(files)
+def parse(files: DataFrame, staff: DataFrame, cfg: Vitals = Vitals(), long_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(messages, status): messages of sound files, and for every file its group and error (null: none).  Rows are keyed by group_key, the file.
+
+    long_files: files of more than cfg.lane_rows lines come in lanes of as many lines, so dates and numbers are carried over lanes."""
+    rows = parsed_lines(files, cfg.lane_rows if long_files else None)
     status = rows.groupBy("source_file").agg(F.min("file_ord").alias("file_ord"), F.min("group_id").alias("group_id"), F.when(~F.bool_and("valid"), "not UTF-8").when(F.bool_or("spoiled"), "impossible date or time").alias("error"))
     status = status.withColumnRenamed("source_file", "group_key")
-    w = Window.partitionBy("source_file")
-    good = rows.withColumn("_bad", F.max(F.col("spoiled").cast("int")).over(w)).filter("_bad = 0 and is_message and current is not null").filter(~F.col("sender").isin(*cfg.system_senders))
+    if long_files:
+        bad = rows.filter("spoiled").select("source_file").distinct()
+        good = rows.join(bad, "source_file", "left_anti")
+    else:
+        good = rows.withColumn("_bad", F.max(F.col("spoiled").cast("int")).over(Window.partitionBy("source_file"))).filter("_bad = 0")
+    good = good.filter("is_message and current is not null").filter(~F.col("sender").isin(*cfg.system_senders))
     # the staff list is joined, not collected: Spark broadcasts it if it measures small
     good = good.join(staff.select(F.col("sender").alias("_staff")), F.col("sender") == F.col("_staff"), "left")
-    counter = F.row_number().over(w.orderBy("line_no"))
+    good = lanes.running(good, {"_before": lanes.Scan("sum", F.lit(1).cast("long"))}, "source_file", "line_no")
     sticker, image = F.col("body").isin(*cfg.sticker), F.col("body").isin(*cfg.image)
     messages = good.select(
         F.col("source_file").alias("group_key"),
         "group_id",
         F.col("line_no").cast("long").alias("seq"),
-        F.format_string("%s_%05d", F.col("group_id"), counter).alias("msg_id"),
+        F.format_string("%s_%05d", F.col("group_id"), F.col("_before") + 1).alias("msg_id"),
         "sender",
         F.when(F.col("_staff").isNotNull(), "staff").otherwise("customer").alias("role"),
         "ts",
         F.when(sticker | image, "").otherwise(F.col("body")).alias("text"),
         sticker.alias("is_sticker"),
         image.alias("is_image"),
+        *([lanes.LANE] if long_files else []),
     )
     return messages, status

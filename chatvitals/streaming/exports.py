@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import held
 from ..config import Vitals
 from ..plans import analysis
 from ..sources import exports
@@ -20,11 +21,10 @@ def watch(spark: SparkSession, directory: str, staff_path: str, now: Callable[[]
 
     def batch(frame: DataFrame, number: int) -> None:
         files = frame.select(F.try_url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("source_file"), F.lit(0).alias("file_ord"), "content")
-        raw, status = exports.parse(files, exports.load_staff(frame.sparkSession, staff_path), cfg)
-        groups = status.filter("error is null").select("group_key", "group_id")
-        messages = analysis.once(analysis.prepare(raw, cfg))
-        sink(analysis.group_metrics(messages, analysis.clock(now()), groups, cfg), number)
-        messages.unpersist()
+        with held.scope():
+            raw, status = exports.parse(files, exports.load_staff(frame.sparkSession, staff_path), cfg)
+            groups = status.filter("error is null").select("group_key", "group_id")
+            sink(analysis.group_metrics(analysis.prepare(raw, cfg), analysis.clock(now()), groups, cfg), number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
