@@ -2,17 +2,17 @@
 
 Paragraphs are a text's lines with their line feeds; a section ends with the blank lines after it.  Leaves are a paragraph's sentences,
 long ones cut after words that a hash picks, so that an edit moves the bounds near it only; together they are the text.  Inner
-nodes digest their children's digests.
+nodes digest their children's digests, a lone child's too, each level by a hash of its own.
 
 The fingerprint is text: the root's digest, then the tree: `/` before a section and `,` before a paragraph, each with eight
-hex digits of its digest and `=` if it has several children (else it goes by its child's), and for each leaf eight hex digits, `.`, its length as a
+hex digits of its digest and `=` if it has several children (else it is shown as its child is), and for each leaf eight hex digits, `.`, its length as a
 base-36 number and `;`.  Equal texts have equal fingerprints; roots test equality (128 bits).
 
 `differing` walks both trees down branches whose digests differ, aligned by digest, and names the leaves that only one has.
 `likeness` is twice the characters of leaves that both trees hold, wherever they stand, over all characters (0 to 1; two empty texts: 1): branches
 with equal digests count whole, and only what is left of the others is entered.
 
-Null text counts as empty, the tree without sections.  Rows are not merged; ties and repeated rows give equal fingerprints.  Empty tables
+Null text counts as empty, the tree without sections; very long texts are trees of more nodes, in time linear in their length.  Rows are not merged; ties and repeated rows give equal fingerprints.  Empty tables
 give no rows.  Columns of the input stay in `fingerprints`, but for one of the target's name; `against_next` drops others.
 """
 
@@ -34,8 +34,9 @@ LINE = re.compile(r"[^\n]*\n|[^\n]+")
 LONG = 160
 
 
-def _digest(data: bytes, size: int = 16) -> bytes:
-    return hashlib.blake2b(data, digest_size=size).digest()
+def _digest(data: bytes, level: bytes) -> bytes:
+    """128 bits; each level has its own hash, so no text is the digest of another level's node."""
+    return hashlib.blake2b(data, digest_size=16, person=level).digest()
 
 
 def leaves(paragraph: str) -> list[str]:
@@ -76,9 +77,9 @@ class Node(NamedTuple):
     below: tuple
 
 
-def _inner(children: list[Node], digests: list[bytes]) -> tuple[Node, bytes]:
-    whole = _digest(b"".join(digests)) if len(children) > 1 else digests[0]
-    return Node(whole[:4].hex(), sum(c.size for c in children), tuple(children)), whole
+def _inner(children: list[Node], digests: list[bytes], level: bytes) -> tuple[Node, bytes]:
+    whole = _digest(b"".join(digests), level)
+    return Node(whole[:4].hex() if len(children) > 1 else children[0].digest, sum(c.size for c in children), tuple(children)), whole
 
 
 def build(text: str) -> tuple[str, tuple[Node, ...]]:
@@ -86,7 +87,7 @@ def build(text: str) -> tuple[str, tuple[Node, ...]]:
     sections, roots, here, digests, blank = [], [], [], [], False
 
     def close():
-        node, whole = _inner(here, digests)
+        node, whole = _inner(here, digests, b"section")
         sections.append(node)
         roots.append(whole)
         here.clear()
@@ -98,15 +99,15 @@ def build(text: str) -> tuple[str, tuple[Node, ...]]:
         blank = line.isspace()
         below, found = [], []
         for leaf in leaves(line):
-            d = _digest(leaf.encode())
+            d = _digest(leaf.encode(), b"leaf")
             found.append(d)
             below.append(Node(d[:4].hex(), len(leaf), ()))
-        node, whole = _inner(below, found)
+        node, whole = _inner(below, found, b"paragraph")
         here.append(node)
         digests.append(whole)
     if here:
         close()
-    return _digest(b"".join(roots)).hex() + ":" + "".join(map(_shown, sections)), tuple(sections)
+    return _digest(b"".join(roots), b"text").hex() + ":" + "".join(map(_shown, sections)), tuple(sections)
 
 
 def _shown(section: Node) -> str:
