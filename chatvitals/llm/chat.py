@@ -3,7 +3,7 @@
 A conversation is rows (conversation, turn, role, text) or, instead of text, typed `parts`.  `format_turns`
 writes each turn as one segment of the conversation's output; the segments in order are the output, so a
 conversation of any length streams through its task (rows are sorted by Spark, which spills) and nothing holds
-it whole.  A visitor flattens the parts: text is escaped, other kinds become placeholders in order, with
+it whole.  A visitor flattens the parts: neighbouring texts are escaped as one, other kinds become placeholders in order, with
 the attachment's reference and the tokens it will take recorded.
 
 Template: `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`.  In texts, `<`, any backslashes, `|` gets one more backslash, so
@@ -65,6 +65,7 @@ class Visitor:
     def __init__(self, patch: int = 14, audio_rate: int = 25, page_tokens: int = 1024):
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
         self.out: list[str] = []
+        self.said: list[str] = []  # texts since the last placeholder: escaped as one, so that no control string stands across parts
         self.attachments: list[dict] = []
 
     def visit(self, part: dict | None) -> None:
@@ -73,7 +74,7 @@ class Visitor:
             handler(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part["text"] or ""))
+        self.said.append(part["text"] or "")
 
     def visit_image(self, part: dict) -> None:
         side = lambda n: -(-(n or 0) // self.patch)
@@ -86,9 +87,19 @@ class Visitor:
         self._attach(part, (part["pages"] or 0) * self.page_tokens)
 
     def _attach(self, part: dict, tokens: int) -> None:
+        self._flush()
         self.attachments.append({"kind": part["kind"], "ref": part["ref"], "place": len(self.attachments), "tokens": tokens})
         self.out.append(f"<|{part['kind']}|>")
 
+    def _flush(self) -> None:
+        self.out.append(escape("".join(self.said)))
+        self.said = []
+
+    def content(self) -> str:
+        """All that was visited, in order."""
+        self._flush()
+        return "".join(self.out)
+
 
 def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, loss_role: str = "assistant") -> DataFrame:
     """One row per turn: its segment, the segment's start in the output, and the bounds of the loss mask inside the segment (null: none), in code points."""
@@ -109,7 +120,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                 visitor = Visitor()
                 for part in row["parts"] if row["parts"] is not None else [{"kind": "text", "text": row["text"]}]:
                     visitor.visit(part)
-                head, content = f"{START}{escape_role(row['role'])}\n", "".join(visitor.out)
+                head, content = f"{START}{escape_role(row['role'])}\n", visitor.content()
                 segment = f"{head}{content}{END}\n"
                 masked = row["role"] == loss_role
                 out.append({"conv_id": at, "position": position, "segment": segment, "start": start, "loss_start": len(head) if masked else None, "loss_end": len(head) + len(content) if masked else None, "attachments": visitor.attachments})
