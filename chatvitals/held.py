@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _scopes: list[list[DataFrame]] = []
 
@@ -38,6 +40,16 @@ def scope() -> Iterator[None]:
             f.unpersist()
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return f"{path.rstrip('/')}/held-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="chatvitals-")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out if its files are too few for the cluster; tables of many files are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -7,15 +7,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import held
 from .config import ACK, CHIT_CHAT, COMPLAINT, ESCALATION, IMAGE, NEGATIVE, POSITIVE, QUESTION, REQUEST, STICKER, Vitals
 from .functions import labels
 from .functions.rules import enrich
 from .functions.service_time import age_to_severity, in_service, service_minutes
+from .functions.text import lines
 from .operators import entropy, indicators, issues, lanes
 from .operators.merge import merge_fragments
 from .operators.replies import is_ask, with_replies, within_cap
 from .plans import analysis, report
 from .sources import adapters, exports
+from .streaming import groups
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -327,6 +330,18 @@ def compute_metrics(spark, sf_dir):
     return _metric_columns(_metrics(spark, sf_dir))
 
 
+@query(_METRICS_SQL)
+def compute_metrics_streamed(spark, sf_dir):
+    """The conversations as exports that come in three pieces, by a stream with state for each group."""
+    raw = adapters.chat_messages(spark, sf_dir)
+    rows = adapters.export_files(raw).select(F.replace("source_file", F.lit(".txt"), F.lit("")).alias("group_key"), lines(F.col("content").cast("string")).alias("lines"))
+    rows = rows.select("group_key", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "raw"))
+    rows = held.once(rows.select("group_key", F.floor(F.col("line_no") * 3 / F.col("n")).cast("int").alias("piece"), "line_no", "raw"))
+    staff = held.once(raw.filter("role = 'staff'").select("sender").distinct())
+    found = groups.replay(rows, staff, datetime.fromisoformat(adapters.CHAT_NOW), 3, held.folder(spark))
+    return _metric_columns(found.withColumn("group_key", F.col("group_key").cast("long")))
+
+
 @query(_crowded(_METRICS_SQL))
 def compute_metrics_crowd(spark, sf_dir):
     """One group has nine tenths of all rows; every indicator of it is computed in lanes."""

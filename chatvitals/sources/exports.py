@@ -42,25 +42,30 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def line_fields(rows: DataFrame) -> DataFrame:
+    """Adds what a line (raw) alone tells: is_date and day (null: impossible), is_message, minute of the day (null: impossible), sender, body."""
+    rows = rows.withColumn("line", rstrip(F.col("raw")))
+    part = lambda p, i: F.regexp_extract("line", p, i)
+    day = F.try_make_timestamp_ntz(*(part(DATE, i).try_cast("int") for i in (1, 2, 3)), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+    rows = rows.withColumn("is_date", F.coalesce(F.col("line").rlike(DATE), F.lit(False))).withColumn("day", F.when(F.col("is_date") & (part(DATE, 1) != "0000"), day))
+    rows = rows.withColumn("is_message", F.coalesce(~F.col("is_date") & F.col("line").rlike(MESSAGE), F.lit(False)))
+    hour, minute = part(MESSAGE, 1).try_cast("int"), part(MESSAGE, 2).try_cast("int")
+    return rows.withColumns({"minute": F.when((hour < 24) & (minute < 60), hour * 60 + minute), "sender": strip(part(MESSAGE, 3)), "body": strip(part(MESSAGE, 4))})
+
+
 def parsed_lines(files: DataFrame, lane_rows: int | None = None) -> DataFrame:
     """One row per line with its date, time and fields, and whether it spoils its file; with lane_rows in lanes of as many lines."""
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     base = files.select("source_file", "file_ord", valid.alias("valid"), F.when(valid, lines(text)).otherwise(F.array().cast("array<string>")).alias("lines"))
     name = F.when(F.element_at(F.when(F.size("lines") > 0, F.col("lines")), 1).startswith(TAG), strip(F.replace(F.element_at(F.when(F.size("lines") > 0, F.col("lines")), 1), F.lit(TAG), F.lit("")))).otherwise(_stem(F.col("source_file")))
-    rows = base.select("source_file", "file_ord", "valid", F.coalesce(name, _stem(F.col("source_file"))).alias("group_id"), F.posexplode_outer("lines").alias("line_no", "raw")).withColumn("line", rstrip(F.col("raw")))
-    part = lambda p, i: F.regexp_extract("line", p, i)
-    is_date = F.col("line").rlike(DATE)
-    day = F.try_make_timestamp_ntz(*(part(DATE, i).try_cast("int") for i in (1, 2, 3)), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
-    rows = rows.withColumn("is_date", F.coalesce(is_date, F.lit(False))).withColumn("day", F.when(F.col("is_date") & (part(DATE, 1) != "0000"), day))
-    rows = rows.withColumn("is_message", F.coalesce(~F.col("is_date") & F.col("line").rlike(MESSAGE), F.lit(False)))
+    rows = line_fields(base.select("source_file", "file_ord", "valid", F.coalesce(name, _stem(F.col("source_file"))).alias("group_id"), F.posexplode_outer("lines").alias("line_no", "raw")))
     if lane_rows:
         rows = rows.withColumn(lanes.LANE, F.floor(F.col("line_no") / lane_rows).cast("int")).repartition("source_file", lanes.LANE)
     rows = lanes.running(rows, {"_day": lanes.Scan("last", F.col("day"))}, "source_file", "line_no")
     rows = rows.withColumn("current", F.coalesce("day", "_day"))
-    hour, minute = part(MESSAGE, 1).try_cast("int"), part(MESSAGE, 2).try_cast("int")
-    at = F.when((hour < 24) & (minute < 60), F.timestamp_add("MINUTE", hour * 60 + minute, F.col("current")))
-    rows = rows.withColumn("ts", F.when(F.col("is_message"), at)).withColumn("sender", strip(part(MESSAGE, 3))).withColumn("body", strip(part(MESSAGE, 4)))
+    at = F.when(F.col("minute").isNotNull(), F.timestamp_add("MINUTE", F.col("minute"), F.col("current")))
+    rows = rows.withColumn("ts", F.when(F.col("is_message"), at))
     spoiled = (F.col("is_date") & F.col("day").isNull()) | (F.col("is_message") & F.col("current").isNotNull() & F.col("ts").isNull())
     return rows.withColumn("spoiled", ~F.col("valid") | F.coalesce(spoiled, F.lit(False)))
 
