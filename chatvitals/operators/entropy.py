@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Vitals
-from ..functions.text import bigrams, bits_of, long_text_bits
+from ..functions.text import bigrams, long_text_bits
 from .lanes import LANE, Scan, running
 
 
@@ -40,11 +46,69 @@ def text_messages(messages: DataFrame, key: str = "group_key") -> DataFrame:
     return found.join(found.groupBy(key).agg(F.count("*").cast("int").alias("n_text")), key)
 
 
+class Multiset:
+    """Bigrams of the last few texts: counts go up and down as texts come and go, and how many bigrams have each count, which is all that entropy asks."""
+
+    def __init__(self):
+        self.counts: dict[int, int] = {}
+        self.having: dict[int, int] = {}
+        self.total = 0
+
+    @staticmethod
+    def of(text: str) -> list[tuple[int, int]]:
+        """Bigrams of code points as numbers, with their counts."""
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        pairs, n = np.unique(points[:-1] << np.uint64(32) | points[1:], return_counts=True)
+        return list(zip(pairs.tolist(), n.tolist()))
+
+    def move(self, bigrams: list[tuple[int, int]], sign: int) -> None:
+        counts, having = self.counts, self.having
+        for pair, n in bigrams:
+            old = counts.get(pair, 0)
+            new = old + sign * n
+            if old:
+                having[old] -= 1
+                if not having[old]:
+                    del having[old]
+            if new:
+                counts[pair] = new
+                having[new] = having.get(new, 0) + 1
+            else:
+                del counts[pair]
+            self.total += sign * n
+
+    def bits(self) -> float:
+        """Shannon entropy; 0 without bigrams.  Summed from the counts each time, so nothing drifts."""
+        if not self.total:
+            return 0.0
+        return max(0.0, math.log2(self.total) - sum(m * n * math.log2(n) for n, m in sorted(self.having.items())) / self.total)
+
+
+def _sliding(keys: list[str], window: int, out: list[str]):
+    """Entropy of the last `window` texts of sorted rows."""
+
+    def run(batches):
+        at, held, last = None, Multiset(), deque()
+        for batch in batches:
+            bits = []
+            for *key, text in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("text").to_pylist()):
+                if key != at:
+                    at, held, last = key, Multiset(), deque()
+                if len(last) == window:
+                    held.move(last.popleft(), -1)
+                last.append(Multiset.of(text))
+                held.move(last[-1], 1)
+                bits.append(held.bits())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(bits, pa.float64())], schema=pa.schema([*(batch.schema.field(c) for c in out), pa.field("entropy", pa.float64())]))
+
+    return run
+
+
 def entropy_series(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
     """(group, pos, ts, entropy) over the last few text messages; groups with less than two have none.
 
-    A window over the group's order holds the bigrams of the last messages, and they are counted inside the row: no shuffle beside the group's.
-    Giant groups are dealt out by position, in stretches that begin with the last few messages of the stretch before."""
+    A sorted pass with a sliding multiset: each bigram comes and goes once, however long the window.  Giant groups are dealt out by position, in
+    stretches that begin with the last few messages of the stretch before."""
     texts = text_messages(messages, key).filter("n_text >= 2")
     cut, first = [key], F.lit(True)
     if LANE in messages.columns:
@@ -52,10 +116,10 @@ def entropy_series(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "grou
         ahead = F.col("pos") % cfg.lane_rows >= cfg.lane_rows - (cfg.entropy_window - 1)
         texts = texts.withColumn("_own", stretch).withColumn("_stretch", F.explode(F.when(ahead, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
         cut, first = [key, "_stretch"], F.col("_own") == F.col("_stretch")
-    last = Window.partitionBy(*cut).orderBy("pos").rowsBetween(1 - cfg.entropy_window, 0)
-    held = F.collect_list(F.struct(bigrams(F.col("text")).alias("b"))).over(last)
-    rows = texts.withColumns({"_held": held, "_total": F.sum(F.greatest(F.length("text") - 1, F.lit(0))).over(last)}).filter(first)
-    return rows.select(key, "pos", "ts", "n_text", bits_of(F.flatten(F.col("_held.b")), F.col("_total")).alias("entropy"))
+    out = [key, "pos", "ts", "n_text", *(["_own", "_stretch"] if len(cut) > 1 else [])]
+    rows = texts.select(*out, "text").repartition(*cut).sortWithinPartitions(*cut, "pos")
+    kinds = T.StructType([*(rows.schema[c] for c in out), T.StructField("entropy", T.DoubleType())])
+    return rows.mapInArrow(_sliding(cut, cfg.entropy_window, out), kinds).filter(first).select(key, "pos", "ts", "n_text", "entropy")
 
 
 def chart_stats(series: DataFrame, key: str = "group_key") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..config import Vitals
 from ..functions.text import strip
 from ..held import once
-from .lanes import LANE, SPLITS, by
+from .lanes import LANE, by
 
 
 def _fields(batch: pa.RecordBatch, keys: list[str], extra: tuple = ()) -> tuple[np.ndarray, ...]:
@@ -202,7 +202,7 @@ def open_anchors(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_
     # the first later lane with a row beyond the limit, before the lane that decides for itself
     table = lanes.select(*keys).join(open_lanes, keys, "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(LANE).alias("lane"), "top"))).alias("_lanes"))
     after = F.filter("_lanes", lambda x: x["lane"] > F.col(LANE))
-    stop = F.coalesce(F.get(F.filter(after, lambda x: x["top"].isNull()), F.lit(0))["lane"], F.lit(SPLITS))
+    stop = F.coalesce(F.get(F.filter(after, lambda x: x["top"].isNull()), F.lit(0))["lane"], F.lit((1 << 31) - 1))
     reach = F.get(F.filter(after, lambda x: (x["lane"] < stop) & (x["top"] > F.col("node_ts") + limit)), F.lit(0))["lane"]
     every = known.unionByName(through.select(*keys, "node_seq", "node_ts")).distinct()
     probes = every.join(F.broadcast(table), key).withColumn("to", reach).filter("to is not null").select(key, F.col(LANE).alias("from"), "node_seq", "node_ts", "to")
@@ -211,7 +211,7 @@ def open_anchors(messages: DataFrame, cfg: Vitals = Vitals(), key: str = "group_
     later = Window.partitionBy(*keys).orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     jump = met.withColumn("end", F.last("end", ignorenulls=True).over(later)).filter("kind = 0")
     jump = once(jump.select(F.col(key).alias("group"), F.col("probe.from").alias("from"), F.col("probe.node_seq").alias("from_seq"), F.col(LANE).alias("to"), F.col("end.seq").alias("to_seq"), F.col("end.ts").alias("to_ts")))
-    reached, rounds = known, int(lanes.agg(F.max(LANE)).first()[0] or 0).bit_length()
+    reached, rounds = known, int(lanes.groupBy(key).count().agg(F.max("count")).first()[0] or 0).bit_length()
     for _ in range(rounds):
         step = reached.join(jump, (F.col(key) == F.col("group")) & (F.col(LANE) == F.col("from")) & (F.col("node_seq") == F.col("from_seq")))
         reached = once(reached.unionByName(step.select(key, F.col("to").alias(LANE), F.col("to_seq").alias("node_seq"), F.col("to_ts").alias("node_ts"))).distinct())

@@ -17,12 +17,19 @@ from ..sources import exports
 from . import analysis, report
 
 
+#: Bytes of a file from which on files are read in splits.
+LARGE = 64 << 20
+
+
 def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make_extractor=None, cfg: Vitals = Vitals()):
     """(ranked, messages, file status, issues or None)"""
     at = analysis.clock(now)
-    files = exports.scan_conversations(spark, conversations)
-    longest = files.agg(F.max(F.length("content"))).first()[0] or 0
-    raw, status = exports.parse(files, exports.load_staff(spark, staff), cfg, long_files=longest > cfg.lane_rows * 16)
+    listed, rows = exports.scan_lines(spark, conversations)
+    known = exports.load_staff(spark, staff)
+    if (listed.agg(F.max("bytes")).first()[0] or 0) > LARGE:
+        raw, status = exports.parse_splits(listed, rows, known, cfg)
+    else:
+        raw, status = exports.parse(exports.scan_conversations(spark, conversations), known, cfg)
     messages = analysis.once(analysis.prepare(raw, cfg))
     groups = status.filter("error is null").select("group_key", "group_id", "file_ord")
     metrics = analysis.group_metrics(messages, at, groups, cfg)

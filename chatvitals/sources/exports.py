@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Vitals
 from ..functions.text import SPACE, lines, rstrip, strip
+from ..held import once
 from ..operators import lanes
 
 DATE = r"^(\d{4})\.(\d{2})\.(\d{2})" + SPACE + "+星期"
@@ -19,17 +20,24 @@ TAG = "[LINE]"
 
 def scan_conversations(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
     """(source_file, file_ord, content) of the directory's files, sorted by name; raises FileNotFoundError if there are none."""
+    files = _listed(spark, directory, pattern)
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    return files.join(contents.select(_file_name(F.col("path")).alias("source_file"), "content"), "source_file", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+
+
+def _file_name(path: Column) -> Column:
+    return F.try_url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
+def _listed(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """(source_file, file_ord, bytes) of the directory's files, sorted by name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, pattern)) or []
-    names = sorted(s.getPath().getName() for s in found if s.isFile())
-    if not names:
+    sizes = sorted((s.getPath().getName(), s.getLen()) for s in found if s.isFile())
+    if not sizes:
         raise FileNotFoundError(f"no {pattern} in {directory}")
-    files = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "source_file string, file_ord int")
-    contents = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    contents = contents.select(F.element_at(F.split("path", "/"), -1).alias("encoded"), "content")
-    contents = contents.select(F.try_url_decode(F.replace("encoded", F.lit("+"), F.lit("%2B"))).alias("source_file"), "content")
-    return files.join(contents, "source_file", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+    return spark.createDataFrame([(n, i, size) for i, (n, size) in enumerate(sizes)], "source_file string, file_ord int, bytes long")
 
 
 def load_staff(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +61,29 @@ def line_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"minute": F.when((hour < 24) & (minute < 60), hour * 60 + minute), "sender": strip(part(MESSAGE, 3)), "body": strip(part(MESSAGE, 4))})
 
 
+def scan_lines(spark: SparkSession, directory: str, pattern: str = "*.txt") -> tuple[DataFrame, DataFrame]:
+    """(files, lines) for exports of any size: files as scan_conversations lists them, without contents; lines (source_file, LANE, valid, at, raw) from Spark's
+    text reader, which cuts files into splits at line ends.  A split is a lane; `at` is a line's place in it.
+
+    Unlike contents, lines lose a byte order mark at the start of a file."""
+    text = spark.read.option("pathGlobFilter", pattern).text(directory)
+    row = text.select("value", _file_name(F.col("_metadata.file_path")).alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lane = F.shiftright("block", 6).cast("int")  # splits are longer than 64 bytes
+    parts = F.when(F.col("value") == "", F.array(F.lit(""))).otherwise(lines(F.col("value")))
+    rows = row.select("source_file", lane.alias(lanes.LANE), F.is_valid_utf8("value").alias("valid"), "row", F.posexplode(parts).alias("part", "raw"))
+    return _listed(spark, directory, pattern), rows.select("source_file", lanes.LANE, "valid", F.struct("row", "part").alias("at"), "raw")
+
+
+def parsed_splits(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """parsed_lines for what scan_lines gives: numbers and dates are carried over splits."""
+    rows = lanes.running(rows, {"line_no": lanes.Scan("sum", F.lit(1).cast("long"))}, "source_file", "at")
+    rows = once(rows.drop("at"))
+    head = rows.filter((F.col("line_no") == 0) & F.col("raw").startswith(TAG)).select("source_file", strip(F.replace("raw", F.lit(TAG), F.lit(""))).alias("_name"))
+    named = files.join(head, "source_file", "left").select("source_file", "file_ord", F.coalesce("_name", _stem(F.col("source_file"))).alias("group_id"))
+    rows = line_fields(rows)
+    return _dated(named.join(rows, "source_file", "left").withColumns({"valid": F.coalesce("valid", F.lit(True)), lanes.LANE: F.coalesce(lanes.LANE, F.lit(0)), "line_no": F.coalesce("line_no", F.lit(0)), "is_date": F.coalesce("is_date", F.lit(False)), "is_message": F.coalesce("is_message", F.lit(False))}))
+
+
 def parsed_lines(files: DataFrame, lane_rows: int | None = None) -> DataFrame:
     """One row per line with its date, time and fields, and whether it spoils its file; with lane_rows in lanes of as many lines."""
     text = F.col("content").cast("string")
@@ -62,6 +93,11 @@ def parsed_lines(files: DataFrame, lane_rows: int | None = None) -> DataFrame:
     rows = line_fields(base.select("source_file", "file_ord", "valid", F.coalesce(name, _stem(F.col("source_file"))).alias("group_id"), F.posexplode_outer("lines").alias("line_no", "raw")))
     if lane_rows:
         rows = rows.withColumn(lanes.LANE, F.floor(F.col("line_no") / lane_rows).cast("int")).repartition("source_file", lanes.LANE)
+    return _dated(rows)
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    """Adds current (the date that holds), ts and spoiled."""
     rows = lanes.running(rows, {"_day": lanes.Scan("last", F.col("day"))}, "source_file", "line_no")
     rows = rows.withColumn("current", F.coalesce("day", "_day"))
     at = F.when(F.col("minute").isNotNull(), F.timestamp_add("MINUTE", F.col("minute"), F.col("current")))
@@ -74,7 +110,16 @@ def parse(files: DataFrame, staff: DataFrame, cfg: Vitals = Vitals(), long_files
     """(messages, status): messages of sound files, and for every file its group and error (null: none).  Rows are keyed by group_key, the file.
 
     long_files: files of more than cfg.lane_rows lines come in lanes of as many lines, so dates and numbers are carried over lanes."""
-    rows = parsed_lines(files, cfg.lane_rows if long_files else None)
+    return _messages(parsed_lines(files, cfg.lane_rows if long_files else None), staff, cfg)
+
+
+def parse_splits(files: DataFrame, rows: DataFrame, staff: DataFrame, cfg: Vitals = Vitals()) -> tuple[DataFrame, DataFrame]:
+    """parse for what scan_lines gives: a file of any size is parsed by as many tasks as it has splits."""
+    return _messages(parsed_splits(files, rows), staff, cfg)
+
+
+def _messages(rows: DataFrame, staff: DataFrame, cfg: Vitals) -> tuple[DataFrame, DataFrame]:
+    long_files = lanes.LANE in rows.columns
     status = rows.groupBy("source_file").agg(F.min("file_ord").alias("file_ord"), F.min("group_id").alias("group_id"), F.when(~F.bool_and("valid"), "not UTF-8").when(F.bool_or("spoiled"), "impossible date or time").alias("error"))
     status = status.withColumnRenamed("source_file", "group_key")
     if long_files:

@@ -15,9 +15,7 @@ from __future__ import annotations
 
 import copy
 import json
-import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -29,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..config import Vitals
 from ..functions.service_time import age_to_severity, ratio_severity
 from ..functions.text import lines
+from ..operators.entropy import Multiset
 from ..plans.analysis import composite
 from ..sources import exports
 
@@ -71,12 +70,6 @@ def tags(text: str, special: bool, cfg: Vitals) -> tuple[str, float, bool]:
     return act, (pos - neg) / (pos + neg) if pos + neg else 0.0, any(w in text for w in cfg.escalation)
 
 
-def entropy(texts: list[str]) -> float:
-    n = Counter(t[i : i + 2] for t in texts for i in range(len(t) - 1))
-    total = n.total()
-    return max(0.0, math.log2(total) - sum(c * math.log2(c) for c in n.values()) / total) if total else 0.0
-
-
 class Group:
     """What is known of a group; `slim` is kept as a value, the rest in maps and lists of their own."""
 
@@ -135,7 +128,10 @@ class Group:
             self.new_reasons.append(f"升級詞觸發 (msg_id={m['id']}): {text[:30]}")
         if text and not m["sticker"]:
             s["window"] = (s["window"] + [text])[-cfg.entropy_window :]
-            bits = entropy(s["window"])
+            held = Multiset()
+            for t in s["window"]:
+                held.move(Multiset.of(t), 1)
+            bits = held.bits()
             s["sum"] += bits
             if s["peak"] is None or round(bits, 9) > s["peak"]:
                 s["peak"], s["peak_at"] = round(bits, 9), s["texts"]

@@ -1,3 +1,5 @@
+import os
+import shutil
 from datetime import datetime
 
 import pytest
@@ -47,6 +49,30 @@ def test_parse(spark, folder):
     assert errors == {"a.txt": ("群組 A", None), "b empty+.txt": ("b empty+", None), "c.txt": ("c", "impossible date or time"), "d.txt": ("d", "not UTF-8"), "e.txt": ("e", None), "f.txt": ("f", "impossible date or time")}
 
 
+@pytest.mark.parametrize("size", ["64b", "1000b"])
+def test_splits_parse_as_whole_files(spark, folder, tmp_path, size):
+    long = "[LINE] long\r\n" + "".join(f"2025.{m:02d}.{d:02d} 星期一\n" + "".join(f"{h:02d}:{d:02d}\t{'Bob' if h % 3 else 'Amy é'}\tline {m} {d}\x0b09:00\tAmy\ttail\r" for h in range(9, 9 + d % 9)) for m in range(1, 4) for d in range(1, 29))
+    for name in os.listdir(folder):
+        shutil.copy(f"{folder}/{name}", tmp_path / name)
+    (tmp_path / "long.txt").write_bytes(long.encode())
+    staff = exports.load_staff(spark, folder + "/staff.list")
+    whole, states = exports.parse(exports.scan_conversations(spark, str(tmp_path)), staff)
+    rows = lambda df: sorted((tuple(r[c] for c in whole.columns) for r in df.collect()), key=repr)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        listed, lines = exports.scan_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 8
+        messages, status = exports.parse_splits(listed, lines, staff)
+        assert rows(messages) == rows(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert whole.filter("group_id = 'long'").count() > 500
+    assert {tuple(r[c] for c in states.columns) for r in status.select(*states.columns).collect()} == {tuple(r) for r in states.collect()}
+
+
 def test_end_to_end(spark, folder, tmp_path):
     ranked, messages, status, _ = cli.run(spark, folder, folder + "/staff.list", datetime(2025, 9, 5, 17))
     rows = ranked.orderBy("rank").collect()

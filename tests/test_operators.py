@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from chatvitals.config import Vitals
 from chatvitals.functions.text import bigram_bits, long_text_bits
-from chatvitals.operators import entropy, indicators, issues
+from chatvitals.operators import entropy, indicators, issues, lanes
 from chatvitals.operators.merge import merge_fragments
 from chatvitals.plans import analysis
 
@@ -118,6 +119,32 @@ def test_entropy_series(spark):
         assert r["i6_peak_entropy_frac"] == pytest.approx([round(x, 9) for x in v].index(max(round(x, 9) for x in v)) / (len(v) - 1))
 
 
+def test_sliding_multiset():
+    rnd, held, last = random.Random(9), entropy.Multiset(), []
+    for _ in range(400):
+        text = "".join(rnd.choice("ab好😂") for _ in range(rnd.randrange(9)))
+        last.append(text)
+        held.move(entropy.Multiset.of(text), 1)
+        if len(last) > 7:
+            held.move(entropy.Multiset.of(last.pop(0)), -1)
+        n = Counter(t[i : i + 2] for t in last for i in range(len(t) - 1))
+        want = -sum(c / n.total() * math.log2(c / n.total()) for c in n.values()) if n else 0.0
+        assert abs(held.bits() - want) < 1e-12 and held.total == n.total() and len(held.counts) == len(n)
+
+
+def test_long_windows_and_stretches(spark):
+    rnd = random.Random(10)
+    rows = [(1, k, "".join(rnd.choice("abcd ") for _ in range(rnd.randrange(1, 12))), NOW, False) for k in range(300)]
+    df = spark.createDataFrame(rows, "group_key int, seq long, text string, ts timestamp_ntz, is_sticker boolean").repartition(3)
+    cfg = Vitals(entropy_window=50, lane_rows=60)
+    plain = {r["pos"]: r["entropy"] for r in entropy.entropy_series(df, cfg).collect()}
+    laned = {r["pos"]: r["entropy"] for r in entropy.entropy_series(lanes.assign(df, cfg.lane_rows), cfg).collect()}
+    for i in (0, 1, 48, 49, 50, 59, 60, 61, 109, 200, 299):
+        n = Counter(t[k : k + 2] for _, _, t, _, _ in rows[max(0, i - 49) : i + 1] for k in range(len(t) - 1))
+        assert plain[i] == laned[i] and abs(plain[i] - (-sum(c / n.total() * math.log2(c / n.total()) for c in n.values()) if n else 0.0)) < 1e-9
+    assert plain == laned and len(plain) == 300
+
+
 def test_group_without_messages_has_defaults(spark):
     df = spark.createDataFrame(tagged(4), ACTS)
     groups = spark.createDataFrame([(999, "empty")], "group_key long, group_id string")
