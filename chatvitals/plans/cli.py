@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"[ISSUES] {r['group_key']}: {r['reply_error']}", file=sys.stderr)
         print(report.text_report(ranked, found=found))
         if a.report:
-            print(report.write_html(report.report_blocks(messages, ranked, found), report.report_name(a.report_dir, datetime.now())))
+            print(report.write_html(report.report_blocks(messages, ranked, found), report.report_texts(ranked, found), report.report_name(a.report_dir, datetime.now())))
         return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import os
 import re
 from datetime import datetime
@@ -27,6 +28,28 @@ LINES = (
     (7, "    I5 近24h訊息量: %d", ("i5_msg_count_24h",), None),
     (8, "    I6 語義熵: mean=%.2fbits  slope=%+.2f  峰值@對話%d%%  [%s]", ("i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label"), "has_series"),
 )
+# The page's texts of a group, in order; (section, order, text, columns in it, column that has to hold).
+TEXTS = (
+    ("bars", 0, "I1 未回應提問  severity %.2f  |  最老 %.0f 分鐘", ("i1_severity", "i1_oldest_age_min"), None),
+    ("bars", 1, "I2 回應延遲  severity %.2f  |  P90 = %.0f 分鐘", ("i2_severity", "i2_p90_min"), None),
+    ("bars", 2, "I4 負面情緒  severity %.2f  |  負面比 %.1f%%", ("i4_severity", "neg_percent"), None),
+    ("bars", 3, "綜合分數  composite %.3f", ("composite",), None),
+    ("latency", 0, "P90 延遲：%.0f 分鐘（警示線 120 分 / 臨界線 480 分）", ("i2_p90_min",), None),
+    ("latency", 1, "%s", ("latency_insight",), None),
+    ("sentiment", 0, "近 24 小時客戶訊息中，%.1f%% 帶有負面詞彙（severity = %.2f）。", ("neg_percent", "i4_severity"), None),
+    ("sentiment", 1, "%s", ("mood_insight",), None),
+    ("entropy", 0, "字元 bigram Shannon 熵（bits）隨對話進展的變化。  均值 %.2f bits，熵峰值出現於對話 %d%% 處。", ("i6_mean_entropy", "peak_pct"), "drawn"),
+    ("entropy", 1, "%s", ("trend_insight",), "drawn"),
+    ("issues", 0, "共 %d 個議題：%d 個待處理、%d 個已解決。最老未解議題年齡：%.0f 分鐘。", ("n_issues", "n_open", "n_resolved", "i3_oldest_age_min"), "has_issues"),
+    ("issues", 1, "共 %d 項議題尚未定案。建議在下次客戶接觸前整理待確認清單，逐項確認後關閉。", ("n_open",), "has_issues"),
+    ("action", 0, "【今日跟進】%s｜%s，建議今日內主動聯繫客戶確認狀態。", ("group_id", "follow_up_text"), "watched"),
+)
+FOLLOW_UPS = (("i2_severity", 0.5, "回應延遲 P90=%.0f 分", ("i2_p90_min",)), ("i1_severity", 0.3, "未回覆提問 %d 個（最老 %.0f 分）", ("i1_open_questions", "i1_oldest_age_min")), ("i4_severity", 0.3, "負面情緒比 %.0f%%", ("neg_percent",)))
+FOLLOW_UP_ELSE = ("綜合分數 %.2f", ("composite",))
+RED_BOX = "【立即處理】{}｜已觸發升級詞彙（退款／投訴／找主管），請在 1 小時內主管介入確認，評估是否需要電話溝通。"
+OK_BOX = "【維持現狀】{}｜指標正常，按原節奏推進即可。"
+PAGE_HEAD, PAGE_TIME = "LINE 群組健康度 Triage 報告", "產生時間：{:%Y-%m-%d %H:%M}"
+AXIS = ("對話開始", "對話結尾")
 ISSUE_LINE, REASON_LINE = (5, "       %s [%s] %s"), (9, "    ⚠️  %s")
 TITLE, BAR = "  LINE 群組健康度 Triage 報表  |  {:%Y-%m-%d %H:%M}", "=" * 60
 
@@ -61,6 +84,20 @@ def labelled(ranked: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:
     })
 
 
+def report_texts(ranked: DataFrame, found: DataFrame | None = None, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:
+    """(rank, section, ord, text): what the page says of each group, from ranked metrics and issues."""
+    shown = insights(labelled(ranked, cfg)).withColumns({"drawn": F.col("i6_points") >= 5, "watched": ~F.col("tripwire") & (F.col("composite") >= cfg.watch)})
+    if found is None:
+        shown = shown.withColumns({"n_issues": F.lit(0), "n_open": F.lit(0), "n_resolved": F.lit(0)})
+    else:
+        counts = found.groupBy(key).agg(F.count("*").alias("n_issues"), F.count_if(issues.is_open()).alias("n_open"), F.count_if(F.col("status") == "resolved").alias("n_resolved"))
+        shown = shown.join(counts, key, "left").fillna(0, ["n_issues", "n_open", "n_resolved"])
+    flags = F.array_compact(F.array(*(F.when(F.col(c) >= least, _line(text, columns)) for c, least, text, columns in FOLLOW_UPS)))
+    shown = shown.withColumns({"has_issues": F.col("n_issues") > 0, "follow_up_text": F.when(F.size(flags) > 0, F.array_join(flags, "、")).otherwise(_line(*FOLLOW_UP_ELSE))})
+    texts = F.array(*(F.struct(F.lit(section).alias("section"), F.lit(o).alias("ord"), (F.when(F.col(when), _line(text, columns)) if when else _line(text, columns)).alias("text")) for section, o, text, columns, when in TEXTS))
+    return shown.select("rank", F.explode(texts).alias("t")).select("rank", "t.*").filter("text is not null")
+
+
 def text_report(ranked: DataFrame, rendered_at: datetime | None = None, found: DataFrame | None = None, cfg: Vitals = Vitals()) -> str:
     """The whole report; its lines stream through the driver in order."""
     rows = report_lines(ranked, found, cfg).orderBy("rank", "ord", "sub").toLocalIterator()
@@ -75,6 +112,7 @@ def report_blocks(messages: DataFrame, ranked: DataFrame, found: DataFrame | Non
     ranked = shown
     to_json = lambda *c: F.to_json(F.struct(*c))
     place = shown.select(key, "rank")
+    series = once(entropy.entropy_series(messages, cfg, key).filter("n_text >= 5"))
     blocks = [
         overview(ranked, cfg).select(F.lit(0).alias("rank"), F.lit("cards").alias("section"), F.lit(0).alias("ord"), F.lit("overview").alias("kind"), to_json("total", "red", "watch", "ok").alias("payload")),
         shown.select(F.lit(0).alias("rank"), F.lit("ranking").alias("section"), F.col("rank").alias("ord"), F.lit("row").alias("kind"), to_json("group_id", "composite", "i1_severity", "i2_severity", "i4_severity", "status", "color").alias("payload")),
@@ -87,8 +125,8 @@ def report_blocks(messages: DataFrame, ranked: DataFrame, found: DataFrame | Non
         shown.select("rank", F.lit("e-sentiment").alias("section"), F.lit(99).alias("ord"), F.lit("insight").alias("kind"), to_json("mood_insight").alias("payload")),
         indicators.latency_example(messages, key).join(place, key).select("rank", F.lit("d-latency").alias("section"), F.lit(0).alias("ord"), F.lit("example").alias("kind"), to_json("ts", "text", "reply_ts", "reply_text", "minutes").alias("payload")),
         indicators.negative_examples(messages, cfg, key).join(place, key).select("rank", F.lit("e-sentiment").alias("section"), "ord", F.lit("example").alias("kind"), to_json("ts", "text").alias("payload")),
-        entropy.chart_points(entropy.entropy_series(messages, cfg, key).filter("n_text >= 5"), key).join(place, key).select("rank", F.lit("f-entropy").alias("section"), F.col("pos").alias("ord"), F.lit("point").alias("kind"), to_json("x", "y").alias("payload")),
-        shown.filter("i6_points >= 5").select("rank", F.lit("f-entropy").alias("section"), F.lit(-1).alias("ord"), F.lit("trend").alias("kind"), to_json("i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label", "trend_color", "trend_insight", "i6_escalation_fracs", correlated().alias("correlated")).alias("payload")),
+        entropy.chart_points(series, key).join(place, key).select("rank", F.lit("f-entropy").alias("section"), F.col("pos").alias("ord"), F.lit("point").alias("kind"), to_json("x", "y").alias("payload")),
+        shown.filter("i6_points >= 5").join(entropy.chart_stats(series, key), key).select("rank", F.lit("f-entropy").alias("section"), F.lit(-1).alias("ord"), F.lit("trend").alias("kind"), to_json("e_min", "e_max", "i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label", "trend_color", "trend_insight", "i6_escalation_fracs", correlated().alias("correlated")).alias("payload")),
     ]
     if found is not None:
         meta = issues.issue_order(found).join(place, key).withColumns({"type_label": labels.issue_type(F.col("type")), "tag": labels.issue_tag(F.col("status")), "raised": F.substring("raised_at", 1, 10), "evidence": F.substring("resolution_evidence", 1, 40)})
@@ -116,36 +154,80 @@ def correlated():
     return F.coalesce((F.col("i6_peak_entropy_frac") > 0) & (F.abs(F.col("i6_peak_entropy_frac") - mean) < 0.2), F.lit(False))
 
 
-def write_html(blocks: DataFrame, path: str, title: str = "群組健康度報告") -> str:
-    """One page; blocks stream through the driver in order."""
+COLORS = {"red": "#c0392b", "amber": "#d68910", "green": "#1e8449", "blue": "#2e6da4"}
+
+
+def _chart(points: list[tuple[float, float]], escalations: list[float], low: float, high: float, mean: float) -> str:
+    """The entropy line with its mean (gray, dashed), escalations (red, dashed), and what its ends and heights stand for."""
+    y = lambda v: 8 + (1 - v) * 72
+    line = " ".join(f"{6 + x * 588:.1f},{y(v):.1f}" for x, v in points)
+    middle = y((mean - low) / max(high - low, 0.5))
+    marks = "".join(f"<line class='escalation' x1='{6 + x * 588:.1f}' x2='{6 + x * 588:.1f}' y1='8' y2='80' stroke='{COLORS['red']}' stroke-dasharray='2 2'/>" for x in escalations)
+    small = "font-size='9' fill='#777'"
+    return (
+        f"<svg width='660' height='98'><rect x='6' y='8' width='588' height='72' fill='#fff' stroke='#ccc'/><line x1='6' x2='594' y1='{middle:.1f}' y2='{middle:.1f}' stroke='#999' stroke-dasharray='3 3'/>{marks}"
+        f"<polyline fill='none' stroke='{COLORS['blue']}' stroke-width='1.5' points='{line}'/><text x='6' y='93' {small}>{AXIS[0]}</text><text x='558' y='93' {small}>{AXIS[1]}</text>"
+        f"<text x='598' y='80' {small}>{low:.1f}</text><text x='598' y='16' {small}>{high:.1f} bits</text></svg>"
+    )
+
+
+def _bar(text: str, value: float) -> str:
+    color = COLORS["red" if value >= 0.7 else "amber" if value >= 0.35 else "green"]
+    return f"<p><svg class='bar' width='270' height='8'><rect width='270' height='8' fill='#ddd'/><rect width='{270 * min(1.0, max(0.0, value)):.1f}' height='8' fill='{color}'/></svg> <span style='color:{color}'>{html.escape(text)}</span></p>"
+
+
+def page_rows(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rank, place, kind, payload): blocks and texts in the order in which a page shows them."""
+    sections = ("cards", "ranking", "actions", "actions-watch", "actions-ok", "a-header", "b-tripwire", "c-metrics", "bars", "latency", "d-latency", "sentiment", "e-sentiment", "entropy", "f-entropy", "issues", "g-issues")
+    place = F.create_map(*(x for i, section in enumerate(sections) for x in (F.lit(section), F.lit(i))))
+    shown = blocks.filter(~((F.col("kind") == "insight") | (F.col("section") == "actions-watch"))).select("rank", "section", F.col("ord").cast("long").alias("ord"), "kind", "payload")
+    said = texts.select(F.when(F.col("section") == "action", 0).otherwise(F.col("rank")).alias("rank"), F.when(F.col("section") == "action", "actions-watch").otherwise(F.col("section")).alias("section"), F.when(F.col("section") == "action", F.col("rank")).otherwise(F.col("ord")).cast("long").alias("ord"), F.when(F.col("section") == "bars", "bar").otherwise("text").alias("kind"), F.col("text").alias("payload"))
+    return shown.unionByName(said).select("rank", F.element_at(place, F.col("section")).alias("place"), "section", "ord", "kind", "payload")
+
+
+def write_html(blocks: DataFrame, texts: DataFrame, path: str, title: str = "群組健康度報告", at: datetime | None = None) -> str:
+    """One page; its rows stream through the driver in order, and only a group's chart is held."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    at = None
+    where, values, trend, names = None, {}, None, None
     points: list[tuple[float, float]] = []
-    import json
-
+    shown = lambda v: html.escape(f"{v:.3f}" if isinstance(v, float) else str(v))
     with open(path, "w", encoding="utf-8") as out:
-        out.write(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><body style='font-family:sans-serif;max-width:60em;margin:auto'>")
-
-        def chart():
-            if len(points) > 1:
-                line = " ".join(f"{x * 600:.1f},{80 - y * 80:.1f}" for x, y in points)
-                out.write(f"<svg width='600' height='84'><polyline fill='none' stroke='#36c' points='{line}'/></svg>")
+        out.write(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><body style='font-family:sans-serif;max-width:60em;margin:auto'><header>{PAGE_HEAD}　{PAGE_TIME.format(at or datetime.now())}</header>")
+
+        def close():
+            nonlocal names
+            if names:
+                out.write((RED_BOX if names == "red" else OK_BOX).split("{}")[1] + "</p>")
+                names = None
+            if len(points) > 1 and trend:
+                out.write(_chart(points, trend["i6_escalation_fracs"], trend["e_min"], trend["e_max"], trend["i6_mean_entropy"]))
             points.clear()
 
-        for b in blocks.orderBy("rank", "section", "ord").toLocalIterator():
-            payload = json.loads(b["payload"])
-            if (b["rank"], b["section"]) != at:
-                chart()
-                if at is None or b["rank"] != at[0]:
+        for b in page_rows(blocks, texts).orderBy("rank", "place", "ord").toLocalIterator():
+            payload = b["payload"] if b["kind"] in ("text", "bar") else json.loads(b["payload"])
+            if (b["rank"], b["section"]) != where:
+                close()
+                if where is None or b["rank"] != where[0]:
                     out.write("<hr>")
-                at = (b["rank"], b["section"])
+                where = (b["rank"], b["section"])
                 out.write(f"<h3>{html.escape(b['section'])}</h3>")
             if b["kind"] == "point":
                 points.append((payload["x"], payload["y"]))
+            elif b["kind"] == "bar":
+                out.write(_bar(payload, values.get(("i1_severity", "i2_severity", "i4_severity", "composite")[b["ord"]], 0.0)))
+            elif b["kind"] == "text":
+                out.write(f"<p>{html.escape(payload)}</p>")
+            elif b["kind"] in ("red", "ok"):  # names of one box, written as they come
+                out.write("、" if names else "<p>" + (RED_BOX if b["kind"] == "red" else OK_BOX).split("{}")[0])
+                out.write(html.escape(payload["name"]))
+                names = b["kind"]
             else:
-                out.write("<p>" + "　".join(f"{html.escape(k)}: <b>{html.escape(f'{v:.3f}' if isinstance(v, float) else str(v))}</b>" for k, v in payload.items()) + "</p>")
-        chart()
-        out.write("</body>")
+                if b["kind"] in ("header", "cards"):
+                    values |= payload
+                trend = payload if b["kind"] == "trend" else trend
+                out.write("<p>" + "　".join(f"{html.escape(k)}: <b>{shown(v)}</b>" for k, v in payload.items()) + "</p>")
+        close()
+        out.write("<footer>第 1 頁</footer></body>")
     return path
 
 

@@ -480,6 +480,45 @@ def metrics_with_issues(spark, sf_dir):
     return ranked.select(F.col("rank").cast("long").alias("rank"), _g(), r6("i3_severity").alias("i3_severity"), "i3_oldest_age_min", F.col("i3_open_issues").cast("long").alias("i3_open_issues"), r6("composite").alias("composite"))
 
 
+_SAID = """printf('%.0f', p90)"""
+_LATENCY = f"""'回應延遲 P90 反映業務時間內團隊對客戶提問的回應速度。P90 越低代表 90% 的問題能在更短時間內被接收到回應。目前 P90 = ' || {_SAID} || ' 分鐘，' || CASE WHEN s2 < 0.35 THEN '屬於優良水準，無需特別關注。' ELSE '已超過警示線，建議提升值班頻率。' END"""
+_MOOD = "'負面情緒指標擷取客戶近 24 小時訊息中的負面語氣詞彙比例。' || CASE WHEN s4 >= 0.35 THEN '目前比例偏高，建議主動關懷客戶，確認核心訴求是否已被理解。' ELSE '目前情緒正常，持續維持良好溝通即可。' END"
+_TREND = """CASE WHEN o.slope > 0.5 THEN '語義熵在對話後段明顯上升（slope=' || printf('%+.2f', o.slope) || '），對話主題持續擴散或情緒複雜化。' WHEN o.slope > 0.1 THEN '語義熵略有上升（slope=' || printf('%+.2f', o.slope) || '），對話內容輕微多元化，可持續觀察。'
+  WHEN o.slope >= -0.1 THEN '語義熵維持穩定（slope=' || printf('%+.2f', o.slope) || '），對話聚焦、話題一致。' ELSE '語義熵在後段下降（slope=' || printf('%+.2f', o.slope) || '），對話收斂至特定主題。' END
+  || CASE WHEN places IS NOT NULL THEN '  升級詞出現於對話 ' || places || ' 處（圖中紅色虛線）。' ELSE '' END
+  || CASE WHEN o.peak > 0 AND abs(o.peak - mean_frac) < 0.2 THEN '  熵峰值與升級事件高度吻合，顯示升級前後對話出現明顯語義擴散。' ELSE '' END"""
+
+
+@query(f"""{_FULL}, fracs AS (SELECT g, avg(pos / (n - 1)) AS mean_frac, string_agg(trunc(pos / (n - 1) * 100)::BIGINT || '%', '、' ORDER BY pos) AS places FROM t WHERE esc AND n > 1 GROUP BY g),
+state AS (SELECT g, count(*) AS n, count(*) FILTER (status <> 'resolved') AS still, count(*) FILTER (status = 'resolved') AS done FROM issues GROUP BY g)
+SELECT rank, 'bars' AS section, 0::BIGINT AS ord, printf('I1 未回應提問  severity %.2f  |  最老 %.0f 分鐘', s1::DOUBLE, age1) AS text FROM o
+UNION ALL SELECT rank, 'bars', 1, printf('I2 回應延遲  severity %.2f  |  P90 = %.0f 分鐘', s2::DOUBLE, p90) FROM o
+UNION ALL SELECT rank, 'bars', 2, printf('I4 負面情緒  severity %.2f  |  負面比 %.1f%%', s4::DOUBLE, r4 * 100) FROM o
+UNION ALL SELECT rank, 'bars', 3, printf('綜合分數  composite %.3f', score) FROM o
+UNION ALL SELECT rank, 'latency', 0, printf('P90 延遲：%.0f 分鐘（警示線 120 分 / 臨界線 480 分）', p90) FROM o
+UNION ALL SELECT rank, 'latency', 1, {_LATENCY} FROM o
+UNION ALL SELECT rank, 'sentiment', 0, printf('近 24 小時客戶訊息中，%.1f%% 帶有負面詞彙（severity = %.2f）。', r4 * 100, s4::DOUBLE) FROM o
+UNION ALL SELECT rank, 'sentiment', 1, {_MOOD} FROM o
+UNION ALL SELECT rank, 'entropy', 0, printf('字元 bigram Shannon 熵（bits）隨對話進展的變化。  均值 %.2f bits，熵峰值出現於對話 %d%% 處。', o.mean, trunc(o.peak * 100)::BIGINT) FROM o JOIN six ON six.g = o.g WHERE six.n >= 5
+UNION ALL SELECT rank, 'entropy', 1, {_TREND} FROM o JOIN six ON six.g = o.g LEFT JOIN fracs ON fracs.g = o.g WHERE six.n >= 5
+UNION ALL SELECT rank, 'issues', 0, printf('共 %d 個議題：%d 個待處理、%d 個已解決。最老未解議題年齡：%.0f 分鐘。', state.n, still, done, age3::DOUBLE) FROM o JOIN state ON state.g = o.g
+UNION ALL SELECT rank, 'issues', 1, printf('共 %d 項議題尚未定案。建議在下次客戶接觸前整理待確認清單，逐項確認後關閉。', still) FROM o JOIN state ON state.g = o.g
+UNION ALL SELECT rank, 'action', 0, '【今日跟進】' || g || '｜' || coalesce(nullif(concat_ws('、', CASE WHEN s2 >= 0.5 THEN printf('回應延遲 P90=%.0f 分', p90) END, CASE WHEN s1 >= 0.3 THEN printf('未回覆提問 %d 個（最老 %.0f 分）', open1, age1) END,
+  CASE WHEN s4 >= 0.3 THEN printf('負面情緒比 %.0f%%', r4 * 100) END), ''), printf('綜合分數 %.2f', score)) || '，建議今日內主動聯繫客戶確認狀態。' FROM o WHERE NOT trip AND score >= 0.15""")
+def report_texts(spark, sf_dir):
+    """Every sentence of the page, issues included."""
+    _, ranked, found = _with_issues(spark, sf_dir)
+    return report.report_texts(ranked, found).select(F.col("rank").cast("long").alias("rank"), "section", F.col("ord").cast("long").alias("ord"), "text")
+
+
+@query(f"""{_FULL} SELECT rank, 4::BIGINT AS ord, 0::BIGINT AS sub, printf('    I3 最老未解議題: severity=%.2f  開放=%d個  最老=%.0f分', s3, open3, age3::DOUBLE) AS line FROM o WHERE g IN (SELECT g FROM issues)
+UNION ALL SELECT rank, 5, issue_ord, '       ' || CASE WHEN status = 'resolved' THEN '✅' ELSE '🔴' END || ' [request] s ' || o.g FROM issues JOIN o ON o.g = issues.g""")
+def report_lines_issues(spark, sf_dir):
+    """The lines on issues in the text report."""
+    _, ranked, found = _with_issues(spark, sf_dir)
+    return report.report_lines(ranked, found).filter(F.col("ord").isin(4, 5)).select(*(F.col(c).cast("long").alias(c) for c in ("rank", "ord", "sub")), "line")
+
+
 @query(f"""{_FULL}, one_each AS (SELECT rank, unnest([('a-header', 'header'), ('c-metrics', 'cards'), ('d-latency', 'insight'), ('e-sentiment', 'insight')]) AS b FROM o),
 reasons AS (SELECT g FROM e WHERE esc UNION ALL SELECT g FROM one WHERE i1_oldest_age_min >= 480),
 all_blocks AS (SELECT 0 AS rank, 'cards' AS section, 'overview' AS kind UNION ALL SELECT 0, 'ranking', 'row' FROM o

@@ -80,12 +80,23 @@ def test_end_to_end(spark, folder, tmp_path):
     assert rows[0]["tripwire"] and rows[0]["composite"] >= 0.95
     text = report.text_report(ranked, datetime(2025, 9, 5, 18))
     assert "#1  群組 A  🚨 [TRIPWIRE]" in text and "升級詞觸發 (msg_id=群組 A_00003)" in text
-    page = report.write_html(report.report_blocks(messages, ranked), str(tmp_path / "out" / "r.html"))
-    assert "群組 A" in open(page, encoding="utf-8").read()
+    page = report.write_html(report.report_blocks(messages, ranked), report.report_texts(ranked), str(tmp_path / "out" / "r.html"))
+    shown = open(page, encoding="utf-8").read()
+    assert "群組 A" in shown and shown.count("class='bar'") == 12 and "【立即處理】群組 A｜已觸發" in shown and "【維持現狀】b empty+、e｜指標正常" in shown and "警示線 120 分 / 臨界線 480 分" in shown and "產生時間：" in shown
     log = {r["source_file"]: r["status"] for r in report.file_status(status, ranked).collect()}
     assert log["c.txt"] == "ERROR" and log["a.txt"] == "OK"
 
 
+def test_page_draws_escalations(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    said = ["請問這週可以完工嗎？", "麻煩傳一下報價", "我要退款，太誇張", "hello there", "品質不太好", "覺得還不錯", "我要投訴"]
+    (tmp_path / "in" / "a.txt").write_text("2025.09.05 星期五\n" + "".join(f"{9 + k:02d}:00\tAmy\t{t}\n" for k, t in enumerate(said)), encoding="utf-8")
+    (tmp_path / "staff").write_text("Bob\n")
+    ranked, messages, _, _ = cli.run(spark, str(tmp_path / "in"), str(tmp_path / "staff"), datetime(2025, 9, 5, 17))
+    shown = open(report.write_html(report.report_blocks(messages, ranked), report.report_texts(ranked), str(tmp_path / "r.html")), encoding="utf-8").read()
+    assert shown.count("class='escalation'") == 2 and "stroke-dasharray='3 3'" in shown and " bits</text>" in shown and "對話開始" in shown and shown.count("<polyline") == 1
+
+
 def test_no_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         exports.scan_conversations(spark, str(tmp_path))
