@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table, dealt out if its files are too few for the cluster; tables of many files are not shuffled."""
+def read(spark: SparkSession, sf_dir: str, table: str, columns: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """A table (or some columns), dealt out if its files are too few for the cluster; tables of many files are not shuffled.
+
+    ordered: dealt rows, which come in any order, are sorted by a hash of all columns, so that a task that runs again sees the same order."""
     df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    df = df.select(*columns) if columns else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores).sortWithinPartitions(F.xxhash64(*df.columns), *df.columns[:1]) if ordered else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:

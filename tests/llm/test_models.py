@@ -185,6 +185,18 @@ def test_suffix_lm_query(spark, sf):
     assert gain(held) > 0.02 and gain(set(rows) - held) > gain(held)
 
 
+def test_dealt_rows_come_in_one_order(spark, sf):
+    """However the blocks of a shuffle arrive, a task sees its rows in the same order."""
+    from chatvitals.llm.common import read
+
+    docs = read(spark, sf, "documents", ("doc_id", "text"), ordered=True)
+    held = docs.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.xxhash64("doc_id", "text").alias("h"), "doc_id").collect()
+    assert len({r["p"] for r in held}) > 1
+    for p in {r["p"] for r in held}:
+        mine = [(r["h"], r["doc_id"]) for r in sorted(held, key=lambda r: r["i"]) if r["p"] == p]
+        assert mine == sorted(mine)
+
+
 def test_suffix_lm_grows_with_its_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("c"))
     held = docs.filter("c % 7 = 2").select("text")
