@@ -9,16 +9,18 @@ buckets are compared across boundaries:
 
 * all tokens equal to a neighbour's: every window of the run starts elsewhere too;
 * the k-gram equal, the whole not: both runs are cut finer, by a longer k (half the length, then all but a fortieth, then
-  all of it, where a run is one window); equal runs leave one of them at least for that;
+  all of it, where a run is one window); of equal runs, the first is cut finer for all of them;
 * neither: no window of the run repeats.
 
 So suffixes are in byte order by their first eight bytes only; beyond, equal strings stand together, which is all that a comparison of
 neighbours at a given length needs.  Ties are broken by document and place, so a suffix that is very frequent spreads over buckets, and each
 row only looks at its neighbours: no group is ever gathered.  Hashes have 64 bits (two must agree).
 
-Documents are known by a 64-bit hash of id and text.  Null text counts as empty.  Rows that repeat an id with
-the same text are separate occurrences (each is removed, if long enough).  Matches never cross documents.  Empty tables give no rows.
-Columns of the input stay; n_bytes, spans, kept and kept_text are added and replace columns of those names.
+Documents are known by 128 bits: the id (a hash of ids that are no whole numbers) and a hash of id and text.  Null text counts as empty.
+Rows that repeat an id with the same text are separate occurrences (each is removed, if long enough).  With `keep_first` the first copy of
+each repeat, by id (null last), then hash, then place, stays whole, and the others go, but for bytes that a first copy of another repeat
+covers too; rows that repeat an id with the same text are then one document and stay alike.  Matches never cross documents.  Empty tables give no
+rows.  Texts of any length are taken in whole (a text of many megabytes is a block of its own).  Columns of the input stay; n_bytes, spans, kept and kept_text are added and replace columns of those names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ from pyspark.sql import types as T
 
 from .common import drop_written, free_names, mix, near_rows, powers, prefix_hash, range_hash, text_blocks, trim, written
 
-RUNS = "uid long, first long, last long, lead long, gram long, span long"
-_NAMES = ["uid", "first", "last", "lead", "gram", "span"]
+RUNS = "ord long, uid long, first long, last long, lead long, gram long, span long"
+_NAMES = ["ord", "uid", "first", "last", "lead", "gram", "span"]
+
+#: Bits of a k-gram's key that hold its place in the block; the same in all blocks, so that equal windows choose alike.
+PLACE_BITS = np.uint64(32)
 
 
 def runs(blob: np.ndarray, wanted: np.ndarray, k: int, length: int):
@@ -47,13 +52,12 @@ def runs(blob: np.ndarray, wanted: np.ndarray, k: int, length: int):
     prefix = prefix_hash(blob)
     grams = n - k + 1
     hashes = mix((prefix[k:] - prefix[:-k]) * powers(grams))
-    bits = np.uint64(int(n).bit_length())
-    keys = hashes >> bits << bits | np.arange(grams, dtype=np.uint64)
+    keys = hashes >> PLACE_BITS << PLACE_BITS | np.arange(grams, dtype=np.uint64)
     # sliding minimum from the minima before and after block bounds
     blocks = np.concatenate([keys, np.full(-grams % w, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, w)
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:count]
     before = np.minimum.accumulate(blocks, axis=1).ravel()[w - 1 : w - 1 + count]
-    place = (np.minimum(after, before) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = (np.minimum(after, before) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     wanted = wanted[:count]
     begins = np.ones(count, bool)
     begins[1:] = (place[1:] != place[:-1]) | ~wanted[:-1]
@@ -80,11 +84,11 @@ def _starts(bounds: np.ndarray, length: int) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, k: int, length: int, asked: bool) -> DataFrame:
-    """RUNS of docs (uid, text and, if asked, the window ranges to cut finer)."""
+    """RUNS of docs (ord, uid, text and, if asked, the window ranges to cut finer)."""
 
     def run(batches):
         for batch in batches:
-            uid = batch.column("uid").to_numpy()
+            number, uid = batch.column("ord").to_numpy(), batch.column("uid").to_numpy()
             for row, blob, bounds in text_blocks(batch.column("text"), 1 << 20):
                 wanted = _starts(bounds, length) if bounds[-1] else np.zeros(0, bool)
                 if asked:
@@ -97,7 +101,7 @@ def _suffixes(docs: DataFrame, k: int, length: int, asked: bool) -> DataFrame:
                     wanted &= np.cumsum(steps[:-1]) > 0
                 first, last, lead, gram, span = runs(blob, wanted, k, length)
                 of = np.searchsorted(bounds[1:], first, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(uid[row + of]), pa.array(first - bounds[of]), pa.array(last - bounds[of]), pa.array(lead), pa.array(gram), pa.array(span)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(number[row + of]), pa.array(uid[row + of]), pa.array(first - bounds[of]), pa.array(last - bounds[of]), pa.array(lead), pa.array(gram), pa.array(span)], _NAMES)
         trim()
 
     return docs.mapInArrow(run, RUNS)
@@ -126,11 +130,41 @@ def multikey_quicksort(columns: list[np.ndarray], small: int = 2048) -> np.ndarr
 
 NEIGHBOURS = f"{RUNS}, state int, place long, edge int"
 
+#: Bits of a run's state: its k-gram also stands in other surroundings (set for the first of equal runs), all of it equals a neighbour, it is
+#: the first of equal runs in its bucket.
+FINER, EQUAL, HEAD = 1, 2, 4
+
+
+def marked(names: list[np.ndarray], gram: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """States of the sorted runs of one bucket; names: what tells runs apart.
+
+    The buckets around may go on with the first and the last of its runs, so the first of those are cut finer in any case."""
+    n = len(gram)
+    new_gram, new_span = np.ones(n, bool), np.ones(n, bool)
+    new_gram[1:] = gram[1:] != gram[:-1]
+    new_span[1:] = new_gram[1:] | (span[1:] != span[:-1])
+    state = np.zeros(n, np.int32)
+    state[1:][~new_span[1:]] |= EQUAL
+    state[:-1][~new_span[1:]] |= EQUAL
+    heads = np.flatnonzero(new_span)
+    head = np.repeat(heads, np.diff(np.append(heads, n)))
+    first = np.ones(n, bool)
+    for name in names:
+        first &= name == name[head]
+    state[first] |= HEAD
+    group = np.cumsum(new_gram) - 1
+    several = np.bincount(group[heads]) > 1
+    finer = several[group[heads]]
+    finer[[0, -1]] = True
+    state[heads[finer]] |= FINER
+    return state
+
 
 def compared(table: DataFrame, bucket: int = 2_000_000) -> DataFrame:
-    """(uid, first, last, state) of runs: bit 2 is set if a neighbour has both tokens, bit 1 if a neighbour has the first only; table: RUNS, written.
+    """(ord, uid, first, last, state) of runs that are EQUAL to others or to be cut FINER; table: RUNS, written.
 
-    Of equal runs, one at least gets bit 1 if their k-gram also stands in other surroundings, for the finer cut to meet it."""
+    A run may come twice, with the state that it has in its bucket and with what a comparison across a boundary adds; a run with EQUAL and
+    without HEAD in one of them is not the first of equal runs."""
     buckets = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // bucket))
 
     def run(batches):
@@ -140,63 +174,94 @@ def compared(table: DataFrame, bucket: int = 2_000_000) -> DataFrame:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        uid, first, last, lead, gram, span = (np.concatenate(x) for x in zip(*parts))
+        number, uid, first, last, lead, gram, span = (np.concatenate(x) for x in zip(*parts))
         del parts
-        order = multikey_quicksort([lead, gram, span, uid, first])
-        uid, first, last, lead, gram, span = (x[order] for x in (uid, first, last, lead, gram, span))
-        same = gram[1:] == gram[:-1]
-        whole = same & (span[1:] == span[:-1])
-        bits = np.where(whole, 2, np.where(same, 1, 0)).astype(np.int32)
-        state = np.zeros(len(uid), np.int32)
-        state[1:] |= bits
-        state[:-1] |= bits
+        order = multikey_quicksort([lead, gram, span, number, uid, first])
+        number, uid, first, last, lead, gram, span = (x[order] for x in (number, uid, first, last, lead, gram, span))
+        state = marked([number, uid, first], gram, span)
         edge = np.zeros(len(uid), np.int32)
         edge[0] |= 1
         edge[-1] |= 2
-        kept = np.flatnonzero((state > 0) | (edge > 0))
+        kept = np.flatnonzero((state & (EQUAL | FINER) > 0) | (edge > 0))
         for at in range(0, len(kept), 50_000):
             k = kept[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (uid, first, last, lead, gram, span, state)), pa.array(np.full(len(k), place)), pa.array(edge[k])], [*_NAMES, "state", "place", "edge"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (number, uid, first, last, lead, gram, span, state)), pa.array(np.full(len(k), place)), pa.array(edge[k])], [*_NAMES, "state", "place", "edge"])
         trim()
 
-    found = written(table.repartitionByRange(buckets, "lead", "gram", "span", "uid", "first").mapInArrow(run, NEIGHBOURS), "neighbours")
-    # the first and last row of each bucket, against the buckets beside it: two rows a bucket
-    ends = [r.asDict() for r in found.filter("edge > 0").collect()]
-    ends.sort(key=lambda r: (r["place"], r["edge"]))
-    for a, b in zip(ends, ends[1:]):
-        if a["place"] != b["place"] and a["gram"] == b["gram"]:
-            both = 2 if a["span"] == b["span"] else 1
-            a["state"], b["state"] = a["state"] | both, b["state"] | both
-    edges = [(r["uid"], r["first"], r["last"], r["state"]) for r in ends if r["state"]]
-    inner = found.filter("edge = 0").select("uid", "first", "last", "state")
-    return inner.unionByName(table.sparkSession.createDataFrame(edges, "uid long, first long, last long, state int")) if edges else inner
-
-
-def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    found = written(table.repartitionByRange(buckets, "lead", "gram", "span", "ord", "uid", "first").mapInArrow(run, NEIGHBOURS), "neighbours")
+    # the last row of each bucket against the first of the next one; a splitter is a row of the bucket that it ends, so only the last can be empty
+    side = lambda bit, step: found.filter(F.col("edge").bitwiseAND(bit) > 0).select((F.col("place") + step).alias("next"), "gram", "span", F.struct("ord", "uid", "first", "last", "state").alias(f"at{bit}"))
+    met = side(2, 1).join(side(1, 0), ["next", "gram", "span"])
+    own = lambda at, state: F.struct(*(F.col(at)[c].alias(c) for c in ("ord", "uid", "first", "last")), state.cast("int").alias("state"))
+    across = met.select(F.explode(F.array(own("at2", F.col("at2.state").bitwiseAND(HEAD).bitwiseOR(EQUAL)), own("at1", F.lit(EQUAL)))).alias("r")).select("r.*")
+    return found.select("ord", "uid", "first", "last", "state").unionByName(across)
+
+
+def _merged(ranges) -> list[tuple[int, int]]:
+    """The union of ranges (start, end), in order; those that touch are one."""
+    out = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def _without(ranges, others) -> list[tuple[int, int]]:
+    """Merged ranges without what merged others cover."""
+    out, i = [], 0
+    for start, end in ranges:
+        while i < len(others) and others[i][1] <= start:
+            i += 1
+        j = i
+        while j < len(others) and others[j][0] < end:
+            if others[j][0] > start:
+                out.append((start, others[j][0]))
+            start = max(start, others[j][1])
+            j += 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
+def removed(found, length: int) -> list[tuple[int, int]]:
+    """The bytes to cut, from found window ranges (first, last, whether these are first copies that stay)."""
+    copies = _merged((r["first"], r["last"] + 1) for r in found if not r["stays"])
+    firsts = _without(_merged((r["first"], r["last"] + 1) for r in found if r["stays"]), copies)
+    cover = lambda windows: _merged((a, b - 1 + length) for a, b in windows)
+    return _without(cover(copies), cover(firsts))
+
+
+def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep_first: bool = False) -> DataFrame:
     """df with n_bytes, spans (removed runs: start and end in bytes), kept (the bytes left) and kept_text (the same without parts of
-    characters that a cut leaves)."""
+    characters that a cut leaves).  keep_first: one copy of each repeat stays."""
     cols = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", "kept_text")]
-    own, hits = free_names(cols, "uid", "found")
-    docs = df.select(*cols).withColumn(own, F.xxhash64(F.col(doc_id), F.col(text)))
-    slim = docs.select(F.col(own).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    number, own, hits = free_names(cols, "ord", "uid", "found")
+    whole_number = isinstance(df.schema[doc_id].dataType, T.IntegralType)
+    name = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)) if whole_number else F.xxhash64(F.col(doc_id), F.lit(1))
+    docs = df.select(*cols).withColumn(number, name).withColumn(own, F.xxhash64(F.col(doc_id), F.col(text)))
+    slim = docs.select(F.col(number).alias("ord"), F.col(own).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.filter(F.octet_length("text") >= length)
     covered, asked = None, None
     for k in (max(1, length // 2), length - max(1, length // 40), length):
         source = slim
         if asked is not None:
-            ranges = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
-            source = near_rows(slim, asked, "uid").join(ranges, "uid")
+            ranges = asked.groupBy("ord", "uid").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+            source = near_rows(slim, asked, "uid").join(ranges, ["ord", "uid"])
         table = written(_suffixes(source, k, length, asked is not None), "suffixes")
         found = compared(table)
         drop_written(table)
-        here = found.filter("state & 2 = 2")
+        has = lambda bit: F.col("state").bitwiseAND(bit) > 0
+        stays = has(HEAD) if keep_first else F.lit(False)
+        here = found.filter(has(EQUAL)).select("ord", "uid", "first", "last", stays.alias("stays"))
         covered = here if covered is None else covered.unionByName(here)
-        asked = found.filter("state & 1 = 1").select("uid", "first", "last")
-    covered = covered.select(F.col("uid").alias(own), F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    ranges = covered.groupBy(own).agg(F.collect_list(F.struct("start", "end")).alias(hits))
+        asked = found.filter(has(FINER)).select("ord", "uid", "first", "last")
+    covered = covered.select(F.col("ord").alias(number), F.col("uid").alias(own), "first", "last", "stays")
+    ranges = covered.groupBy(number, own).agg(F.collect_list(F.struct("first", "last", "stays")).alias(hits))
     span, whole = "array<struct<start:long,end:long>>", F.coalesce(F.col(text), F.lit(""))
     clean = near_rows(docs, covered, own, "left_anti").select(*cols, F.octet_length(whole).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), whole.cast("binary").alias("kept"), whole.alias("kept_text"))
-    hit = near_rows(docs, covered, own).join(ranges, own, "left").select(*cols, hits)
+    hit = near_rows(docs, covered, own).join(ranges, [number, own], "left").select(*cols, hits)
     schema = T.StructType([*(df.schema[c] for c in cols), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T._parse_datatype_string(span)), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -204,18 +269,13 @@ def repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             sizes, spans, kept, texts = [], [], [], []
             for t, found in zip(batch.column(text).to_pylist(), batch.column(hits).to_pylist()):
-                data, mine, left, at = (t or "").encode(), [], [], 0
-                for r in sorted((r["start"], r["end"]) for r in found or ()):
-                    if mine and r[0] <= mine[-1]["end"]:
-                        mine[-1]["end"] = max(mine[-1]["end"], r[1])
-                    else:
-                        mine.append({"start": r[0], "end": r[1]})
-                for r in mine:
-                    left.append(data[at : r["start"]])
-                    at = r["end"]
+                data, mine, left, at = (t or "").encode(), removed(found or (), length), [], 0
+                for start, end in mine:
+                    left.append(data[at:start])
+                    at = end
                 left.append(data[at:])
                 sizes.append(len(data))
-                spans.append(mine)
+                spans.append([{"start": start, "end": end} for start, end in mine])
                 kept.append(b"".join(left))
                 texts.append("".join([x.decode("utf-8", "ignore") for x in left]))  # only the ends of a stretch can be broken
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.large_binary()), pa.array(texts, pa.large_string())], [*cols, "n_bytes", "spans", "kept", "kept_text"])

@@ -47,6 +47,55 @@ def test_repeats(spark, length):
     assert suffix_dedup.repeats(df.filter("false"), length).count() == 0
 
 
+def _first_copies(rows, length):
+    """Bytes left of (doc_id, text) rows where the first of equal windows stays, window by window."""
+    order = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda r: r[:2])
+    seen, count = {}, Counter()
+    for n, (*_, t) in enumerate(order):
+        b = t.encode()
+        for k in range(len(b) - length + 1):
+            count[b[k : k + length]] += 1
+            seen.setdefault(b[k : k + length], (n, k))
+    out = {}
+    for n, (null, i, t) in enumerate(order):
+        b = t.encode()
+        gone, firm = bytearray(len(b)), bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            if count[w] > 1:
+                (firm if seen[w] == (n, k) else gone)[k : k + length] = b"\1" * length
+        out[None if null else i] = bytes(x for x, g, f in zip(b, gone, firm) if f or not g)
+    return out
+
+
+@pytest.mark.parametrize("length, bucket", [(12, 2_000_000), (40, 2_000_000), (12, 200)])
+def test_first_copies_stay(spark, monkeypatch, length, bucket):
+    compared = suffix_dedup.compared
+    monkeypatch.setattr(suffix_dedup, "compared", lambda table: compared(table, bucket))
+    texts = _texts(length + 1)
+    rows = [(i * 7919 % 1009 - 3, t) for i, t in enumerate(texts)] + [(None, "xyz " + texts[3]), (-3, texts[0])]
+    got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length, keep_first=True).collect()
+    left = _first_copies(rows, length)
+    assert len(got) == len(rows) and all(bytes(r["kept"]) == left[r["doc_id"]] for r in got)
+    kept = b"\0".join(bytes(r["kept"]) for r in got)
+    data = [t.encode() for _, t in set(rows) if t]
+    count = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))
+    assert all(w in kept for w, n in count.items() if n > 1)  # every repeated string stays once at least
+
+
+def test_pipeline_keeps_one_copy_of_a_passage(spark, sf):
+    passage = " ".join(f"word{i}" for i in range(60))
+    other = _words("o", 70)
+    rows = [(9, _words("a") + " " + passage), (4, passage + " " + _words("b")), (6, passage), (2, other), (None, other + " end"), (5, _words("c")), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "s", None) for i, t in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+    done = corpus_pipeline.cut_repeats(spark, df, sf)
+    got = {r["doc_id"]: r for r in done.collect()}
+    assert done.columns == df.columns and len(got) == len(rows)
+    texts = {i: r["text"] for i, r in got.items()}
+    assert [i for i, t in texts.items() if t and passage in t] == [4] and texts[2] == other and texts[4] == rows[1][1] and texts[6] == ""
+    assert texts[9] == rows[0][1][: -len(passage)] and texts[None] == " end" and (texts[5], texts[7], texts[8]) == (rows[5][1], None, "")
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 3, 20000), rng.integers(0, 50, 20000), rng.integers(-9, 9, 20000), rng.permutation(20000)]
@@ -144,9 +193,9 @@ def test_pipeline_stages(spark, sf):
     assert cut.keys() == rows.keys()
     size = corpus_pipeline.PASSAGE_BYTES
     data = {i: (r["text"] or "").encode() for i, r in rows.items()}
-    count = Counter(b[k : k + size] for b in data.values() for k in range(len(b) - size + 1))
+    left = _first_copies([(i, r["text"]) for i, r in rows.items()], size)
     for i, b in data.items():
-        if not any(count[b[k : k + size]] > 1 for k in range(len(b) - size + 1)):
+        if left[i] == b:
             assert cut[i] == rows[i]
         else:
             assert len(cut[i]["text"].encode()) < len(b) and cut[i]["n_chars"] == len(cut[i]["text"])
@@ -221,13 +270,14 @@ def test_stages_keep_clashing_columns_and_marks(spark, sf):
             assert len(got) == len(rows) - (2 if stage is corpus_pipeline.drop_near_copies else 0)
         else:
             assert len(got) == len(rows)
-            data, gone = _gone([r["text"] for r in rows.values()], corpus_pipeline.PASSAGE_BYTES)
-            for r, b, g in zip(rows.values(), data, gone):
+            left = _first_copies([(r["doc_id"], r["text"]) for r in rows.values()], corpus_pipeline.PASSAGE_BYTES)
+            assert sum(passage in (r["text"] or "") for r in got) == 1
+            for r in rows.values():
                 new = next(x for x in got if (x["doc_id"], x["mine"]) == (r["doc_id"], r["mine"]))
-                if not any(g):
+                if left[r["doc_id"]] == (r["text"] or "").encode():
                     assert tuple(new) == tuple(r)
                 else:
-                    assert new["n_chars"] == len(new["text"]) and new["text"].count("�") == r["text"].count("�") and passage not in new["text"]
+                    assert new["n_chars"] == len(new["text"]) and new["text"].count("�") == r["text"].count("�")
         assert stage(spark, docs.filter("false"), sf).count() == 0
     assert corpus_pipeline.pack(spark, docs.filter("false"), sf).count() == 0
     assert corpus_pipeline.pack(spark, docs, sf).select(F.sum("length")).first()[0] > len(rows)
