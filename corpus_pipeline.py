@@ -34,15 +34,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     (row,) = free_names(docs.columns, "row_key")
     kept = jaccard.groups(docs.select("doc_id", "text"), labels_too=True).filter("n_shingles > 0").groupBy("label").agg(first).select(F.col("first.row").alias(row))
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    stay = docs.filter(~wordless).withColumn(row, jaccard.row_key("doc_id", "text")).join(kept, row, "left_semi").dropDuplicates([row])
+    stay = docs.filter(~wordless).withColumn(row, jaccard.row_key("doc_id", "text")).join(kept, row, "left_semi").dropDuplicates([row, "doc_id", "text"])  # two documents may share a key
     return stay.select(*docs.columns).unionByName(docs.filter(wordless))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_BYTES bytes or more that start elsewhere too are cut out of the texts, with the rest of a character that a cut
-    goes through; n_chars follows.  Texts without such passages, null ones among them, stay as they are; repeated rows are each other's copies."""
+    """Of passages of PASSAGE_BYTES bytes or more that stand in several places the first, by doc_id (null last) and place, stays whole; the
+    others are cut out of the texts, with the rest of a character that a cut goes through; n_chars follows.  Texts without such passages, null ones
+    among them, stay as they are; so do passages that only repeated rows share (the stage before leaves one row of those).  Very long texts are
+    taken whole."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")), PASSAGE_BYTES)
+    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")), PASSAGE_BYTES, keep_first=True)
     whole = F.size("spans") == 0
     made = {"doc_id": F.col("doc_id"), "text": F.when(whole, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(whole, F.col("rest")["n_chars"]).otherwise(F.length("kept_text").cast("long"))}
     return done.select(*(made.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
