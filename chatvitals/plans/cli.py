@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--llm-threshold", type=float, default=0.3)
     p.add_argument("--report", action="store_true")
     p.add_argument("--report-dir", default="reports")
+    p.add_argument("--pages", action="store_true", help="with --report: a folder with an index and a page for each group, written by the tasks")
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     make = None
@@ -78,7 +79,9 @@ def main(argv: list[str] | None = None) -> int:
             for r in status.filter("reply_error is not null").orderBy("group_key").toLocalIterator():
                 print(f"[ISSUES] {r['group_key']}: {r['reply_error']}", file=sys.stderr)
         print(report.text_report(ranked, found=found))
-        if a.report:
+        if a.report and a.pages:
+            print(report.write_pages(messages, ranked, report.report_name(a.report_dir, datetime.now(), ""), found))
+        elif a.report:
             print(report.write_html(report.report_blocks(messages, ranked, found), report.report_texts(ranked, found), report.report_name(a.report_dir, datetime.now())))
         return 0
 

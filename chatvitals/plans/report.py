@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Vitals
 from ..functions import labels
 from ..operators import entropy, indicators, issues
+from ..sources import named_files
 from .analysis import once, overview, overview_names
 
 
@@ -49,6 +50,7 @@ FOLLOW_UP_ELSE = ("綜合分數 %.2f", ("composite",))
 RED_BOX = "【立即處理】{}｜已觸發升級詞彙（退款／投訴／找主管），請在 1 小時內主管介入確認，評估是否需要電話溝通。"
 OK_BOX = "【維持現狀】{}｜指標正常，按原節奏推進即可。"
 PAGE_HEAD, PAGE_TIME = "LINE 群組健康度 Triage 報告", "產生時間：{:%Y-%m-%d %H:%M}"
+PAGE_NUMBER, INDEX = "第 {} 頁", "總覽"
 AXIS = ("對話開始", "對話結尾")
 ISSUE_LINE, REASON_LINE = (5, "       %s [%s] %s"), (9, "    ⚠️  %s")
 TITLE, BAR = "  LINE 群組健康度 Triage 報表  |  {:%Y-%m-%d %H:%M}", "=" * 60
@@ -185,54 +187,123 @@ def page_rows(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     return shown.unionByName(said).select("rank", F.element_at(place, F.col("section")).alias("place"), "section", "ord", "kind", "payload")
 
 
+class Page:
+    """HTML of page rows that come in order; holds the chart of one group at most.  The next page's rows follow `end`."""
+
+    def __init__(self, title: str, at: datetime, number: int = 1, links: bool = False):
+        self.title, self.at, self.number, self.links = title, at, number, links
+        self.where, self.values, self.trend, self.names, self.points = None, {}, None, None, []
+
+    def head(self) -> str:
+        return f"<!doctype html><meta charset='utf-8'><title>{html.escape(self.title)}</title><body style='font-family:sans-serif;max-width:60em;margin:auto'><header>{PAGE_HEAD}　{PAGE_TIME.format(self.at)}</header>"
+
+    def row(self, b) -> str:
+        """b: (rank, section, ord, kind, payload)"""
+        payload = b.payload if b.kind in ("text", "bar") else json.loads(b.payload)
+        out = ""
+        if (b.rank, b.section) != self.where:
+            out += self._close() + ("<hr>" if self.where is None or b.rank != self.where[0] else "") + f"<h3>{html.escape(b.section)}</h3>"
+            if self.where is not None and b.rank != self.where[0]:
+                self.trend = None
+            self.where = (b.rank, b.section)
+        if b.kind == "point":
+            self.points.append((payload["x"], payload["y"]))
+            return out
+        if b.kind == "bar":
+            return out + _bar(payload, self.values.get(("i1_severity", "i2_severity", "i4_severity", "composite")[b.ord], 0.0))
+        if b.kind == "text":
+            return out + f"<p>{html.escape(payload)}</p>"
+        if b.kind in ("red", "ok"):  # names of one box, written as they come
+            out += "、" if self.names else "<p>" + (RED_BOX if b.kind == "red" else OK_BOX).split("{}")[0]
+            self.names = b.kind
+            return out + html.escape(payload["name"])
+        if b.kind in ("header", "cards"):
+            self.values |= payload
+        self.trend = payload if b.kind == "trend" else self.trend
+        shown = lambda v: html.escape(f"{v:.3f}" if isinstance(v, float) else str(v))
+        link = f"<a href='{group_page(b.ord)}'>#{b.ord}</a> " if self.links and b.kind == "row" else ""
+        return out + "<p>" + link + "　".join(f"{html.escape(k)}: <b>{shown(v)}</b>" for k, v in payload.items()) + "</p>"
+
+    def _close(self) -> str:
+        out = ""
+        if self.names:
+            out = (RED_BOX if self.names == "red" else OK_BOX).split("{}")[1] + "</p>"
+            self.names = None
+        if len(self.points) > 1 and self.trend:
+            t = self.trend
+            out += _chart(self.points, t["i6_escalation_fracs"], t["e_min"], t["e_max"], t["i6_mean_entropy"])
+        self.points = []
+        return out
+
+    def end(self) -> str:
+        return self._close() + f"<footer>{PAGE_NUMBER.format(self.number)}</footer></body>"
+
+
 def write_html(blocks: DataFrame, texts: DataFrame, path: str, title: str = "群組健康度報告", at: datetime | None = None) -> str:
-    """One page; its rows stream through the driver in order, and only a group's chart is held."""
+    """One page; its rows stream through the driver in order, and only a group's chart is held.  `write_pages` is for many groups."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    where, values, trend, names = None, {}, None, None
-    points: list[tuple[float, float]] = []
-    shown = lambda v: html.escape(f"{v:.3f}" if isinstance(v, float) else str(v))
+    page = Page(title, at or datetime.now())
     with open(path, "w", encoding="utf-8") as out:
-        out.write(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><body style='font-family:sans-serif;max-width:60em;margin:auto'><header>{PAGE_HEAD}　{PAGE_TIME.format(at or datetime.now())}</header>")
+        out.write(page.head())
+        for b in page_rows(blocks, texts).orderBy("rank", "place", "ord").toLocalIterator():
+            out.write(page.row(b))
+        out.write(page.end())
+    return path
+
+
+def group_page(rank: int) -> str:
+    return f"group-{rank:09d}.html"
+
+
+def index_page(number: int) -> str:
+    return f"index-{number:06d}.html" if number else "index.html"
+
+
+def page_texts(blocks: DataFrame, texts: DataFrame, groups: int, title: str = "群組健康度報告", at: datetime | None = None, per_index: int = 1000) -> DataFrame:
+    """(file, data): a page for each group and index pages of per_index groups each, rendered where their rows are; clustered as the sink wants it.
+
+    Pages have numbers through the whole report, index pages first; boxes of names are cut as the index is.  `groups` is their number."""
+    at, n_index = at or datetime.now(), max(1, -(-groups // per_index))
+    rows = page_rows(blocks, texts)
+    of_index = F.when(F.col("section") == "cards", 0).otherwise(F.floor((F.col("ord") - 1) / per_index)).cast("int")
+    rows = rows.withColumn("number", F.when(F.col("rank") == 0, of_index).otherwise(F.col("rank") + n_index - 1).cast("int"))
+    rows = rows.repartition("number").sortWithinPartitions("number", "rank", "place", "ord").select("number", "rank", "section", "ord", "kind", "payload")
+
+    def render(frames):
+        import pandas as pd
+
+        page = None
 
         def close():
-            nonlocal names
-            if names:
-                out.write((RED_BOX if names == "red" else OK_BOX).split("{}")[1] + "</p>")
-                names = None
-            if len(points) > 1 and trend:
-                out.write(_chart(points, trend["i6_escalation_fracs"], trend["e_min"], trend["e_max"], trend["i6_mean_entropy"]))
-            points.clear()
+            links = "".join(f" <a href='{index_page(i)}'>{PAGE_NUMBER.format(i + 1)}</a>" for i in (page.number - 2, page.number) if 0 <= i < n_index) if page.links else f" <a href='{index_page((page.number - n_index - 1) // per_index)}'>{INDEX}</a>"
+            return page.end().replace("</footer>", links + "</footer>")
 
-        for b in page_rows(blocks, texts).orderBy("rank", "place", "ord").toLocalIterator():
-            payload = b["payload"] if b["kind"] in ("text", "bar") else json.loads(b["payload"])
-            if (b["rank"], b["section"]) != where:
-                close()
-                if where is None or b["rank"] != where[0]:
-                    out.write("<hr>")
-                where = (b["rank"], b["section"])
-                out.write(f"<h3>{html.escape(b['section'])}</h3>")
-            if b["kind"] == "point":
-                points.append((payload["x"], payload["y"]))
-            elif b["kind"] == "bar":
-                out.write(_bar(payload, values.get(("i1_severity", "i2_severity", "i4_severity", "composite")[b["ord"]], 0.0)))
-            elif b["kind"] == "text":
-                out.write(f"<p>{html.escape(payload)}</p>")
-            elif b["kind"] in ("red", "ok"):  # names of one box, written as they come
-                out.write("、" if names else "<p>" + (RED_BOX if b["kind"] == "red" else OK_BOX).split("{}")[0])
-                out.write(html.escape(payload["name"]))
-                names = b["kind"]
-            else:
-                if b["kind"] in ("header", "cards"):
-                    values |= payload
-                trend = payload if b["kind"] == "trend" else trend
-                out.write("<p>" + "　".join(f"{html.escape(k)}: <b>{shown(v)}</b>" for k, v in payload.items()) + "</p>")
-        close()
-        out.write("<footer>第 1 頁</footer></body>")
-    return path
+        name = lambda p: index_page(p.number - 1) if p.links else group_page(p.number - n_index)
+        for frame in frames:
+            out: list[tuple[str, bytes]] = []
+            for b in frame.itertuples(index=False):
+                if page is None or b.number + 1 != page.number:
+                    if page is not None:
+                        out.append((name(page), close().encode()))
+                    page = Page(title, at, b.number + 1, b.number < n_index)
+                    out.append((name(page), page.head().encode()))
+                out.append((name(page), page.row(b).encode()))
+            yield pd.DataFrame(out, columns=["file", "data"])
+        if page is not None:
+            yield pd.DataFrame([(name(page), close().encode())], columns=["file", "data"])
+
+    return rows.mapInPandas(render, named_files.SCHEMA)
+
+
+def write_pages(messages: DataFrame, ranked: DataFrame, folder: str, found: DataFrame | None = None, cfg: Vitals = Vitals(), title: str = "群組健康度報告", at: datetime | None = None, per_index: int = 1000) -> str:
+    """The report as a folder of pages: index.html and its followers by rank, and a page for each group.  Tasks render and write them; none passes the driver."""
+    ranked = once(ranked)
+    groups = ranked.agg(F.max("rank")).first()[0] or 0
+    return named_files.write(page_texts(report_blocks(messages, ranked, found, cfg), report_texts(ranked, found, cfg), groups, title, at, per_index), folder)
 
 
 def report_name(folder: str, at: datetime, suffix: str = "html") -> str:
-    return os.path.join(folder, f"triage_report_{at:%Y%m%d_%H%M%S}.{suffix}")
+    return os.path.join(folder, f"triage_report_{at:%Y%m%d_%H%M%S}{'.' if suffix else ''}{suffix}")
 
 
 def file_status(status: DataFrame, ranked: DataFrame) -> DataFrame:

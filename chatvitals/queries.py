@@ -16,7 +16,7 @@ from .functions.text import lines
 from .operators import entropy, indicators, issues, lanes
 from .operators.merge import merge_fragments
 from .operators.replies import is_ask, with_replies, within_cap
-from .plans import analysis, report
+from .plans import analysis, cli, report
 from .sources import adapters, exports
 from .streaming import groups
 
@@ -540,6 +540,38 @@ def report_blocks(spark, sf_dir):
     return report.report_blocks(*_with_issues(spark, sf_dir))
 
 
+@query(f"""{_RANKED}, reasons AS (SELECT g FROM e WHERE esc UNION ALL SELECT g FROM one WHERE i1_oldest_age_min >= 480), why AS (SELECT g, count(*) AS k FROM reasons GROUP BY g)
+SELECT o.g || '.txt' AS source_file, 'OK' AS status, NULL::VARCHAR AS error, coalesce(k, 0) AS n_tripwire, round(score, 6)::DOUBLE AS composite FROM o LEFT JOIN why ON why.g = o.g
+UNION ALL SELECT 'x' || g || '.txt', 'ERROR', 'impossible date or time', NULL, NULL FROM o WHERE g % 10 = 9 UNION ALL SELECT 'y' || g || '.txt', 'ERROR', 'not UTF-8', NULL, NULL FROM o WHERE g % 10 = 9""")
+def export_folder(spark, sf_dir):
+    """The whole way over files: exports and staff list written, listed, parsed, ranked; the log has every file, spoiled ones too."""
+    chats, staff = adapters.write_exports(_raw(spark, sf_dir), held.folder(spark))
+    ranked, _, status, _ = cli.run(spark, chats, staff, datetime.fromisoformat(adapters.CHAT_NOW))
+    return report.file_status(status, ranked).select("source_file", "status", "error", F.col("n_tripwire").cast("long").alias("n_tripwire"), r6("composite").alias("composite"))
+
+
+@query(f"""{_FULL}, esc AS (SELECT g, count(*) AS n FROM t WHERE esc AND n > 1 GROUP BY g), points AS (SELECT g, count(*) AS n FROM series WHERE n >= 5 GROUP BY g), state AS (SELECT g, count(*) AS n FROM issues GROUP BY g),
+reasons AS (SELECT g, count(*) AS n FROM (SELECT g FROM e WHERE esc UNION ALL SELECT g FROM one WHERE i1_oldest_age_min >= 480) GROUP BY g)
+SELECT rank, o.g::VARCHAR AS name, 4::BIGINT AS n_bars, coalesce(reasons.n, 0) AS n_reasons, coalesce(state.n, 0) AS n_issues, coalesce(points.n, 0) AS n_points, CASE WHEN points.n IS NULL THEN 0 ELSE coalesce(esc.n, 0) END AS n_escalations
+FROM o LEFT JOIN reasons ON reasons.g = o.g LEFT JOIN state ON state.g = o.g LEFT JOIN points ON points.g = o.g LEFT JOIN esc ON esc.g = o.g""")
+def report_pages(spark, sf_dir):
+    """What the groups' pages show, read back from the files that tasks wrote."""
+    messages, ranked, found = _with_issues(spark, sf_dir)
+    folder = report.write_pages(messages, ranked, held.folder(spark), found, at=datetime.fromisoformat(adapters.CHAT_NOW))
+    page = F.col("value")
+    count = lambda mark: F.regexp_count(page, F.lit(mark)).cast("long")
+    line = F.regexp_extract(page, " points='([^']*)'", 1)
+    return spark.read.option("pathGlobFilter", "group-*.html").text(folder, wholetext=True).select(
+        F.regexp_extract("_metadata.file_name", r"group-(\d+)", 1).cast("long").alias("rank"),
+        F.regexp_extract(page, "group_id: <b>([^<]*)</b>", 1).alias("name"),
+        count("class='bar'").alias("n_bars"),
+        count("<p>reason: <b>").alias("n_reasons"),
+        count("<p>summary: <b>").alias("n_issues"),
+        F.when(line == "", F.lit(0).cast("long")).otherwise(F.size(F.split(line, " ")).cast("long")).alias("n_points"),
+        count("class='escalation'").alias("n_escalations"),
+    )
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

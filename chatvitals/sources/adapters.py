@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Vitals
+from . import named_files
 
 GAPS = (0, 1, 1, 7, 45, 200, 700, 6000)
 PHRASES = (
@@ -88,19 +89,48 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def export_files(messages: DataFrame) -> DataFrame:
-    """(source_file, file_ord, content): messages written as export text, with the lines a parser must drop."""
+def export_rows(messages: DataFrame) -> DataFrame:
+    """(group_key, seq, line): messages as lines of export text, each date before its first message, with lines a parser must drop."""
     w = Window.partitionBy("group_key").orderBy("seq")
     day = F.date_format("ts", "yyyy.MM.dd")
     body = F.when(F.col("is_sticker"), "貼圖").when(F.col("is_image"), "圖片").otherwise(F.col("text"))
     line = F.concat(F.date_format("ts", "HH:mm"), F.lit("\t"), F.col("sender"), F.lit("\t"), body)
     head = F.when(F.coalesce(F.lag(day).over(w) != day, F.lit(True)), F.concat(day, F.lit(" 星期一\n09:00\t系統訊息\tjoined\nnot a message\n"))).otherwise("")
-    rows = messages.select("group_key", "seq", F.concat(head, line).alias("line"))
+    return messages.select("group_key", "seq", F.concat(head, line).alias("line"))
+
+
+def export_head() -> Column:
+    """What an export begins with."""
+    return F.concat(F.lit("[LINE] group "), F.col("group_key").cast("string"), F.lit("\nsaved today\n08:00\tnobody\tbefore any date\n"))
+
+
+def export_files(messages: DataFrame) -> DataFrame:
+    """(source_file, file_ord, content): a file per group."""
+    rows = export_rows(messages)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]), "\n")
-    content = F.concat(F.lit("[LINE] group "), F.col("group_key").cast("string"), F.lit("\nsaved today\n08:00\tnobody\tbefore any date\n"), F.col("text"), F.lit("\n"))
+    content = F.concat(export_head(), F.col("text"), F.lit("\n"))
     return rows.groupBy("group_key").agg(text.alias("text")).select(F.concat(F.col("group_key").cast("string"), F.lit(".txt")).alias("source_file"), F.col("group_key").cast("int").alias("file_ord"), content.cast("binary").alias("content"))
 
 
+def write_exports(messages: DataFrame, folder: str) -> tuple[str, str]:
+    """Writes the groups' exports and the staff list into the folder, a line a row, so that no export is held whole; returns their places.
+
+    Every tenth group has two more files, of which one has an impossible date and one is not UTF-8."""
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("group_key").cast("string"), F.lit(".txt")).alias("file")
+    rows = export_rows(messages).select(named(""), F.lit(1).alias("part"), "seq", F.concat("line", F.lit("\n")).cast("binary").alias("data"))
+    keys = messages.select("group_key").distinct()
+    heads = keys.select(named(""), F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), export_head().cast("binary").alias("data"))
+    tenth = keys.filter("group_key % 10 = 9")
+    spoiled = [tenth.select(named(prefix), F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(data).alias("data")) for prefix, data in (("x", "2025.13.05 星期五\n09:00\tAmy\thi\n".encode()), ("y", b"\xff\xfe"))]
+    chats = named_files.write(named_files.clustered(heads.unionByName(rows).unionByName(spoiled[0]).unionByName(spoiled[1]), "part", "seq"), f"{folder}/chats")
+    # staff is listed once a group, so most names repeat
+    names = messages.filter("role = 'staff'").select("group_key", "sender").distinct().select(F.lit("staff.list").alias("file"), F.concat(F.lit("  "), "sender", F.lit(" \n\n# ")).cast("binary").alias("data"), "group_key", "sender")
+    first = messages.sparkSession.range(1).select(F.lit("staff.list").alias("file"), F.lit(b"# staff\n").alias("data"))
+    names = first.withColumns({"group_key": F.lit(None).cast("long"), "sender": F.lit("")}).unionByName(names.withColumn("data", F.concat("data", F.lit(b"once a group\n"))), allowMissingColumns=True)
+    staff = named_files.write(named_files.clustered(names, "group_key", "sender"), f"{folder}/staff")
+    return chats, f"{staff}/staff.list"
+
+
 def canned_replies(messages: DataFrame) -> DataFrame:
     """(group_key, reply): extractor replies made from the groups' keys: clean, wrapped in prose, without JSON, broken, a bare list."""
     k = F.col("group_key")
