@@ -53,7 +53,7 @@ def extract(texts: DataFrame, make_extractor: Callable[[], Callable[[str], str]]
 
 
 def parse_replies(replies: DataFrame, key: str = "group_key") -> tuple[DataFrame, DataFrame]:
-    """(issues, status): issues with their order; status per group with error if the reply cannot be used (its group then keeps its numbers): the extractor's failure, if replies have it."""
+    """(issues, status): issues with their order and, as a VARIANT, all fields of the reply; status per group with error if the reply cannot be used (its group then keeps its numbers): the extractor's failure, if replies have it."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 
     def read(c: Column) -> Column:
@@ -67,7 +67,8 @@ def parse_replies(replies: DataFrame, key: str = "group_key") -> tuple[DataFrame
     rows = replies.withColumn("_text", chosen).withColumn("_read", F.when(F.col("_text") != "", read(F.col("_text"))))
     broken = F.col("reply").isNull() | ((F.col("_text") != "") & (F.col("_read").isNull() | F.col("_read._bad").isNotNull() | ~(has_list(F.col("_text")) | absent(F.col("_text"))))) | F.trim("reply").rlike(r"^\[")
     rows = rows.withColumn("_broken", F.coalesce(broken, F.lit(True)))
-    issues = rows.filter("not _broken").select(key, F.posexplode(F.coalesce("_read.issues", F.array().cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in ISSUE.split(', '))}>>"))).alias("issue_ord", "i")).select(key, "issue_ord", "i.*")
+    every = F.try_variant_get(F.try_parse_json("_text"), "$.issues", "array<variant>")
+    issues = rows.filter("not _broken").select(key, every.alias("_every"), F.posexplode(F.coalesce("_read.issues", F.array().cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in ISSUE.split(', '))}>>"))).alias("issue_ord", "i")).select(key, "issue_ord", "i.*", F.get("_every", F.col("issue_ord")).alias("fields"))
     # an open issue whose time is null spoils the reply
     spoiled = issues.filter(is_open() & F.col("raised_at").isNull()).select(key).distinct().withColumn("_spoiled", F.lit(True))
     issues = issues.join(spoiled, key, "left_anti")
@@ -76,6 +77,13 @@ def parse_replies(replies: DataFrame, key: str = "group_key") -> tuple[DataFrame
     return issues, status
 
 
+def other_fields() -> Column:
+    """The fields of an issue that have no column, as a JSON object in the order of their names; null if there is none."""
+    known = [f.split(" ")[0] for f in ISSUE.split(", ")]
+    rest = F.map_filter(F.try_variant_get("fields", "$", "map<string,variant>"), lambda k, v: ~k.isin(known))
+    return F.when(F.size(rest) > 0, F.to_json(rest))
+
+
 def is_open() -> Column:
     return F.coalesce(F.col("status").isin("unresolved", "unclear"), F.lit(False))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import held
 from ..config import Vitals
-from ..operators import issues
+from ..operators import issues, ledger
 from ..sources import exports
 from . import analysis, report
 
@@ -21,8 +21,8 @@ from . import analysis, report
 LARGE = 64 << 20
 
 
-def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make_extractor=None, cfg: Vitals = Vitals()):
-    """(ranked, messages, file status, issues or None)"""
+def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make_extractor=None, cfg: Vitals = Vitals(), book: str | None = None, model: str = "", per_minute: float | None = None):
+    """(ranked, messages, file status, issues or None); with a folder `book` calls of the extractor are kept there and never repeated."""
     at = analysis.clock(now)
     listed, rows = exports.scan_lines(spark, conversations)
     known = exports.load_staff(spark, staff)
@@ -37,7 +37,8 @@ def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make
     if make_extractor is not None:
         metrics = analysis.once(metrics)
         texts = issues.transcripts(messages).join(issues.gate(metrics, cfg).select("group_key"), "group_key", "left_semi")
-        replies = issues.extract(texts, make_extractor).checkpoint()  # calls may cost: never repeated
+        # calls may cost: never repeated
+        replies = analysis.once(ledger.extract(texts, make_extractor, book, model, per_minute)) if book else issues.extract(texts, make_extractor).checkpoint()
         found, answered = issues.parse_replies(replies)
         status = status.join(answered.select("group_key", F.col("error").alias("reply_error")), "group_key", "left")
         metrics = analysis.with_issues(metrics, found, at, cfg)
@@ -51,6 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--now", type=datetime.fromisoformat, default=None)
     p.add_argument("--llm", help="module:function that makes an extractor (text to JSON)")
     p.add_argument("--llm-threshold", type=float, default=0.3)
+    p.add_argument("--llm-ledger", help="a folder that the driver and all executors share: replies are kept there, and no call is made twice")
+    p.add_argument("--llm-per-minute", type=float, help="with --llm-ledger: the most calls a minute")
     p.add_argument("--report", action="store_true")
     p.add_argument("--report-dir", default="reports")
     p.add_argument("--pages", action="store_true", help="with --report: a folder with an index and a page for each group, written by the tasks")
@@ -62,13 +65,13 @@ def main(argv: list[str] | None = None) -> int:
 
         module, _, name = a.llm.partition(":")
         make = getattr(importlib.import_module(module), name)
-        if not spark.sparkContext.getCheckpointDir():  # replies are kept there
+        if not a.llm_ledger and not spark.sparkContext.getCheckpointDir():  # replies are kept there
             if not spark.sparkContext.master.startswith("local["):
                 p.error("--llm needs spark.checkpoint.dir, a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chatvitals-"))
     with held.scope():
         try:
-            ranked, messages, status, found = run(spark, a.conversations, a.employees, a.now or datetime.now().replace(microsecond=0), make, Vitals(gate=a.llm_threshold))
+            ranked, messages, status, found = run(spark, a.conversations, a.employees, a.now or datetime.now().replace(microsecond=0), make, Vitals(gate=a.llm_threshold), a.llm_ledger, a.llm or "", a.llm_per_minute)
         except FileNotFoundError as e:
             print(e, file=sys.stderr)
             return 1

@@ -131,8 +131,8 @@ def report_blocks(messages: DataFrame, ranked: DataFrame, found: DataFrame | Non
         shown.filter("i6_points >= 5").join(entropy.chart_stats(series, key), key).select("rank", F.lit("f-entropy").alias("section"), F.lit(-1).alias("ord"), F.lit("trend").alias("kind"), to_json("e_min", "e_max", "i6_mean_entropy", "i6_entropy_slope", "peak_pct", "slope_label", "trend_color", "trend_insight", "i6_escalation_fracs", correlated().alias("correlated")).alias("payload")),
     ]
     if found is not None:
-        meta = issues.issue_order(found).join(place, key).withColumns({"type_label": labels.issue_type(F.col("type")), "tag": labels.issue_tag(F.col("status")), "raised": F.substring("raised_at", 1, 10), "evidence": F.substring("resolution_evidence", 1, 40)})
-        blocks.append(meta.select("rank", F.lit("g-issues").alias("section"), (F.col("shown_ord") * (1 << 20) + F.col("issue_ord")).alias("ord"), F.lit("issue").alias("kind"), to_json(F.coalesce("summary", F.lit("（無摘要）")).alias("summary"), "type_label", "tag", "raised", "evidence").alias("payload")))
+        meta = issues.issue_order(found).join(place, key).withColumns({"type_label": labels.issue_type(F.col("type")), "tag": labels.issue_tag(F.col("status")), "raised": F.substring("raised_at", 1, 10), "evidence": F.substring("resolution_evidence", 1, 40), "other": issues.other_fields() if "fields" in found.columns else F.lit(None).cast("string")})
+        blocks.append(meta.select("rank", F.lit("g-issues").alias("section"), (F.col("shown_ord") * (1 << 20) + F.col("issue_ord")).alias("ord"), F.lit("issue").alias("kind"), to_json(F.coalesce("summary", F.lit("（無摘要）")).alias("summary"), "type_label", "tag", "raised", "evidence", "other").alias("payload")))
     out = blocks[0]
     for b in blocks[1:]:
         out = out.unionByName(b)

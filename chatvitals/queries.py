@@ -13,7 +13,7 @@ from .functions import labels
 from .functions.rules import enrich
 from .functions.service_time import age_to_severity, in_service, service_minutes
 from .functions.text import lines
-from .operators import entropy, indicators, issues, lanes
+from .operators import entropy, indicators, issues, lanes, ledger
 from .operators.merge import merge_fragments
 from .operators.replies import is_ask, with_replies, within_cap
 from .plans import analysis, cli, report
@@ -460,6 +460,33 @@ def i3_extracted(spark, sf_dir):
     return found.select(_g(), F.col("issue_ord").cast("long").alias("issue_ord"), issues.raised(F.col("raised_at")).alias("raised"), "summary", labels.issue_type(F.col("type")).alias("kind"))
 
 
+@query(f"""{_E}, said AS (SELECT g, string_agg('[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || role || '] [' || msg_id || '] ' || sender || ': ' || {_BODY}, chr(10) ORDER BY seq) AS transcript,
+ count(*) FILTER (role = 'customer' AND NOT is_sticker AND contains(text, '？') AND NOT contains(text, chr(13))) AS n FROM e GROUP BY g)
+SELECT g, sha256('12:asking-lines' || transcript) AS digest, n AS n_issues FROM said""")
+def i3_ledger(spark, sf_dir):
+    """Issues by way of the ledger: the first run pays for every transcript, the second finds all replies and would fail if it had to call."""
+    texts, book = analysis.once(issues.transcripts(_merged(spark, sf_dir))), held.folder(spark)
+    ledger.extract(texts, adapters.asking_lines, book, "asking-lines").write.format("noop").mode("overwrite").save()
+
+    def never():
+        raise RuntimeError("a call is made twice")
+
+    again = analysis.once(ledger.extract(texts, never, book, "asking-lines"))
+    found, status = issues.parse_replies(again)
+    counts = found.groupBy("group_key").agg(F.count("*").alias("n_issues"))
+    digests = texts.select("group_key", ledger.digest("asking-lines", F.col("transcript")).alias("digest"))
+    kept = ledger.entries(spark, book).select("digest")
+    good = status.filter("error is null").join(digests, "group_key").join(kept, "digest", "left_semi")
+    return good.join(counts, "group_key", "left").select(_g(), "digest", F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
+
+
+@query(f"""{_ISSUES} SELECT g, issue_ord, '{{"cost":17,"owner":{{"floors":[1,2.5],"team":"blue"}}}}' AS other FROM issues WHERE status = 'resolved'""")
+def i3_other_fields(spark, sf_dir):
+    """Fields that an extractor adds on its own are kept."""
+    found, _ = issues.parse_replies(adapters.canned_replies(_raw(spark, sf_dir)))
+    return found.select(_g(), F.col("issue_ord").cast("long").alias("issue_ord"), issues.other_fields().alias("other")).filter("other is not null")
+
+
 _FULL = f"""{_METRICS.replace(" metrics AS", " before_issues AS").replace("metrics AS (", "before_issues AS (")}, {_ISSUE_ROWS}, {_OLDEST},
 metrics AS (SELECT x.*, coalesce(s3, 0.0) AS s3, coalesce(age3, 0.0) AS age3, coalesce(open3, 0) AS open3,
  CASE WHEN trip THEN greatest(0.35 * s1 + 0.2 * s2 + 0.15 * coalesce(s3, 0.0) + 0.3 * s4, 0.95) ELSE 0.35 * s1 + 0.2 * s2 + 0.15 * coalesce(s3, 0.0) + 0.3 * s4 END::DOUBLE AS score FROM x LEFT JOIN i3 ON i3.g = x.g),

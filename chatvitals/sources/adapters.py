@@ -134,10 +134,10 @@ def write_exports(messages: DataFrame, folder: str) -> tuple[str, str]:
 def canned_replies(messages: DataFrame) -> DataFrame:
     """(group_key, reply): extractor replies made from the groups' keys: clean, wrapped in prose, without JSON, broken, a bare list."""
     k = F.col("group_key")
-    issue = lambda n, status, at: F.format_string(f'{{"issue_id": "%d-{n}", "type": "request", "status": "{status}", "summary": "s %d", "raised_at": "%s"}}', k, k, at)
+    issue = lambda n, status, at, more="": F.format_string(f'{{"issue_id": "%d-{n}", "type": "request", "status": "{status}", "summary": "s %d", "raised_at": "%s"{more}}}', k, k, at)
     at1 = F.concat(F.lit("2025-09-0"), (k % 5 + 1).cast("string"), F.lit("T10:00:00"))
     at2 = F.concat(F.lit("2025-09-0"), (k % 4 + 1).cast("string"), F.lit("T08:30:00Z"))
-    body = F.concat(F.lit('{"issues": ['), issue(1, "unresolved", at1), F.lit(", "), issue(2, "resolved", at2), F.lit(", "), issue(3, "unclear", at2), F.lit("]}"))
+    body = F.concat(F.lit('{"issues": ['), issue(1, "unresolved", at1), F.lit(", "), issue(2, "resolved", at2, ', "owner": {"team": "blue", "floors": [1, 2.5]}, "cost": 17'), F.lit(", "), issue(3, "unclear", at2), F.lit("]}"))
     reply = F.when(k % 7 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" done"))).when(k % 7 == 2, "nothing found").when(k % 7 == 3, "{broken}").when(k % 7 == 4, F.concat(F.lit("["), issue(1, "unclear", at1), F.lit("]"))).when(k % 7 == 5, '{"issues": []}').otherwise(body)
     return messages.select("group_key").distinct().select("group_key", reply.alias("reply"))
 

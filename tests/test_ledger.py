@@ -144,3 +144,29 @@ def test_a_killed_worker(tmp_path):
     assert sorted(called) == sorted([f"t{i}" for i in range(40)] + ["t17"])
     assert (tmp_path / "died again").exists()
     assert {n: (tmp_path / "out" / n).read_text() for n in os.listdir(tmp_path / "out")} == {"_SUCCESS": ""} | {f"f{i}": f"t{i}" for i in range(40)}
+
+
+def test_command_line_keeps_a_ledger(spark, tmp_path, capsys):
+    from chatvitals.plans import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("2025.09.05 星期五\n09:00\tAmy\t我要退款，可以嗎？\n", encoding="utf-8")
+    (tmp_path / "in" / "b.txt").write_text("2025.09.05 星期五\n09:00\tAmy\t早安\n", encoding="utf-8")
+    (tmp_path / "staff").write_text("Bob\n")
+    shown = []
+    for make in ("chatvitals.sources.adapters:asking_lines", "chatvitals.sources.adapters:asking_lines"):
+        assert cli.main(["--conversations", str(tmp_path / "in"), "--employees", str(tmp_path / "staff"), "--now", "2025-09-05T17:00", "--llm", make, "--llm-ledger", str(tmp_path / "book"), "--llm-per-minute", "6000"]) == 0
+        shown.append(capsys.readouterr().out.split("\n", 5)[5])
+    assert "[question] 我要退款，可以嗎？" in shown[0] and shown[0] == shown[1]
+    # b is not gated, so it was never sent
+    assert [r.model for r in ledger.entries(spark, str(tmp_path / "book")).collect()] == ["chatvitals.sources.adapters:asking_lines"]
+
+
+def test_unknown_fields_are_kept(spark):
+    from chatvitals.operators import issues
+
+    replies = ['{"issues": [{"summary": "s", "z": null, "a": {"b": [1, "x"]}}, {"summary": "t"}], "more": 1}', 'so: {"issues": [{"status": "resolved", "é": 0.5}]}', "{broken}", '{"issues": []}', None]
+    found, status = issues.parse_replies(spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "group_key long, reply string"))
+    got = sorted((r.group_key, r.issue_ord, r.other) for r in found.withColumn("other", issues.other_fields()).collect())
+    assert [(k, o, json.loads(x) if x else None) for k, o, x in got] == [(0, 0, {"a": {"b": [1, "x"]}, "z": None}), (0, 1, None), (1, 0, {"é": 0.5})]
+    assert sorted(r.group_key for r in status.filter("error is not null").collect()) == [2, 4]
