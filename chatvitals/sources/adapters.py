@@ -122,13 +122,15 @@ def write_exports(messages: DataFrame, folder: str) -> tuple[str, str]:
     heads = keys.select(named(""), F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), export_head().cast("binary").alias("data"))
     tenth = keys.filter("group_key % 10 = 9")
     spoiled = [tenth.select(named(prefix), F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(data).alias("data")) for prefix, data in (("x", "2025.13.05 星期五\n09:00\tAmy\thi\n".encode()), ("y", b"\xff\xfe"))]
-    chats = named_files.write(named_files.clustered(heads.unionByName(rows).unionByName(spoiled[0]).unionByName(spoiled[1]), "part", "seq"), f"{folder}/chats")
     # staff is listed once a group, so most names repeat
-    names = messages.filter("role = 'staff'").select("group_key", "sender").distinct().select(F.lit("staff.list").alias("file"), F.concat(F.lit("  "), "sender", F.lit(" \n\n# ")).cast("binary").alias("data"), "group_key", "sender")
-    first = messages.sparkSession.range(1).select(F.lit("staff.list").alias("file"), F.lit(b"# staff\n").alias("data"))
-    names = first.withColumns({"group_key": F.lit(None).cast("long"), "sender": F.lit("")}).unionByName(names.withColumn("data", F.concat("data", F.lit(b"once a group\n"))), allowMissingColumns=True)
-    staff = named_files.write(named_files.clustered(names, "group_key", "sender"), f"{folder}/staff")
-    return chats, f"{staff}/staff.list"
+    staff = messages.filter("role = 'staff'").select("group_key", "sender").distinct()
+    staff = staff.select(F.lit("staff.list").alias("file"), F.lit(1).alias("part"), F.col("group_key").cast("long").alias("seq"), F.concat(F.lit("  "), "sender", F.lit(" \n\n# once a group\n")).cast("binary").alias("data"))
+    first = messages.sparkSession.range(1).select(F.lit("staff.list").alias("file"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(b"# staff\n").alias("data"))
+    every = heads
+    for part in (rows, *spoiled, first, staff):
+        every = every.unionByName(part)
+    where = named_files.write(named_files.clustered(every, "part", "seq"), folder)
+    return where, f"{where}/staff.list"
 
 
 def canned_replies(messages: DataFrame) -> DataFrame:

@@ -18,9 +18,12 @@ MESSAGE = r"^(\d{2}):(\d{2})\t(.+?)\t(.+)$"
 TAG = "[LINE]"
 
 
-def scan_conversations(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
-    """(source_file, file_ord, content) of the directory's files, sorted by name; raises FileNotFoundError if there are none."""
-    files = _listed(spark, directory, pattern)
+def scan_conversations(spark: SparkSession, directory: str, pattern: str = "*.txt", files: DataFrame | None = None) -> DataFrame:
+    """(source_file, file_ord, content) of the directory's files, sorted by name; raises FileNotFoundError if there are none.
+
+    files: the listing that scan_lines gave, so that the directory is not listed again."""
+    files = _listed(spark, directory, pattern) if files is None else files
+    files = files.select("source_file", "file_ord")
     contents = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
     return files.join(contents.select(_file_name(F.col("path")).alias("source_file"), "content"), "source_file", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
 
