@@ -18,9 +18,20 @@ def slope(value: Column) -> Column:
     return F.when(value > 0.5, "↑ 上升（對話趨複雜）").when(value > 0.1, "↗ 緩升").when(value >= -0.1, "→ 穩定").otherwise("↘ 收斂（對話趨專一）")
 
 
+def printed(value: Column, digits: int) -> Column:
+    """A number as C's printf shows it with so many digits: its binary value decides, not its shortest decimals; true ties go to the even digit, and what
+    rounds to zero from below keeps its sign."""
+    unit, size = float(10**digits), F.abs(value.cast("double"))
+    head = size.cast("float").cast("double")  # products of either half with the unit are exact
+    down = F.floor(size * unit).cast("double")
+    over = (head * unit - (down + 0.5)) + (size - head) * unit
+    up = F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1.0).otherwise(0.0)
+    return F.when(size < 2.0**40, F.signum(value.cast("double")) * ((down + up) / unit)).otherwise(value.cast("double"))
+
+
 def _number(form: str, value: Column, digits: int = 0) -> Column:
-    """A number in a text; ties go to the even digit."""
-    return F.format_string(form, F.bround(value, digits))
+    """A number in a text."""
+    return F.format_string(form, printed(value, digits))
 
 
 # The report's texts.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatvitals.config import NEGATIVE, POSITIVE, Vitals
-from chatvitals.functions import rules, service_time, text
+from chatvitals.functions import labels, rules, service_time, text
 from chatvitals.sources.adapters import PHRASES
 
 ACTS = ["question", "request", "answer", "ack", "ack", "report", "chit_chat", "ack", "ack", "question", "answer", "chit_chat", "request", "ack", "ack"]
@@ -74,3 +74,16 @@ def test_text_helpers_match_python(spark):
 def test_hours_can_be_set(spark):
     df = spark.createDataFrame([(datetime(2025, 9, 1, 8), datetime(2025, 9, 1, 9))], "a timestamp_ntz, b timestamp_ntz")
     assert df.select(service_time.service_minutes(F.col("a"), F.col("b"), Vitals(service_open=8))).first()[0] == 60
+
+
+def test_printed_numbers_are_those_of_printf(spark):
+    """The binary value decides (0.155 is below its decimals), ties go to the even digit, and what rounds to zero from below keeps its sign."""
+    r = random.Random(7)
+    values = [0.155, 0.145, 0.125, 0.375, 2.675, 1.005, -0.003, -0.0, 0.0, -0.005, 0.995, 99.95, 0.5, 1.5, 2.5, -2.5, 1e-9, -1e-320, 123456789.125]
+    values += [r.randrange(-2000, 2000) / 1000 for _ in range(300)] + [r.uniform(-3, 3) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in range(4):
+        form = f"%+.{digits}f"
+        got = df.select(F.format_string(form, labels.printed(F.col("v"), digits)).alias("x")).collect()
+        assert [x[0] for x in got] == [form % v for v in values]
+    assert df.select(labels.trend_text(F.lit(-0.003)).alias("x")).first()[0] == "語義熵維持穩定（slope=-0.00），對話聚焦、話題一致。"
