@@ -57,9 +57,9 @@ TITLE, BAR = "  LINE 群組健康度 Triage 報表  |  {:%Y-%m-%d %H:%M}", "=" *
 
 
 def _line(text: str, columns) -> Column:
-    """A line with numbers in it; ties go to the even digit."""
+    """A line with numbers in it, as C's printf shows them."""
     digits = [int(d) if d else None for d in re.findall(r"%(?:\+?\.(\d)f|[ds])", text)]
-    return F.format_string(text, *(F.bround(c, d) if d is not None else F.col(c) for c, d in zip(columns, digits)))
+    return F.format_string(text, *(labels.printed(F.col(c), d) if d is not None else F.col(c) for c, d in zip(columns, digits)))
 
 
 def report_lines(ranked: DataFrame, found: DataFrame | None = None, cfg: Vitals = Vitals(), key: str = "group_key") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatvitals.config import NEGATIVE, POSITIVE, Vitals
 from chatvitals.functions import labels, rules, service_time, text
+from chatvitals.plans import report
 from chatvitals.sources.adapters import PHRASES
 
 ACTS = ["question", "request", "answer", "ack", "ack", "report", "chit_chat", "ack", "ack", "question", "answer", "chit_chat", "request", "ack", "ack"]
@@ -87,3 +88,9 @@ def test_printed_numbers_are_those_of_printf(spark):
         got = df.select(F.format_string(form, labels.printed(F.col("v"), digits)).alias("x")).collect()
         assert [x[0] for x in got] == [form % v for v in values]
     assert df.select(labels.trend_text(F.lit(-0.003)).alias("x")).first()[0] == "語義熵維持穩定（slope=-0.00），對話聚焦、話題一致。"
+
+
+def test_report_lines_show_the_sign_of_what_rounds_to_zero(spark):
+    df = spark.createDataFrame([(6.475, -0.003, 57, "s")], "i6_mean_entropy double, i6_entropy_slope double, peak_pct int, slope_label string")
+    (line,) = (report._line(text, columns) for o, text, columns, _ in report.LINES if o == 8)
+    assert df.select(line).first()[0] == "    I6 語義熵: mean=%.2fbits  slope=%+.2f  峰值@對話57%%  [s]" % (6.475, -0.003)
