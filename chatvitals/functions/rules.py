@@ -1,7 +1,8 @@
-"""Dialogue act, sentiment and escalation of a message, as expressions that stay in generated code."""
+"""Dialogue act, sentiment and escalation of a message, as expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,11 @@ def dialogue_act(text: Column, sticker: Column, image: Column, cfg: Vitals = Vit
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a filter pulls in what a column is made of, and would compute it again wherever the column stands, in a loop each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hits(text: Column, words) -> Column:
     # a loop over a constant array: as a sum of tests it outgrows a generated method where a filter repeats it
     return F.size(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)))
@@ -33,12 +39,13 @@ def _hits(text: Column, words) -> Column:
 
 def sentiment(text: Column, cfg: Vitals = Vitals()) -> Column:
     """(positive - negative) / (positive + negative) over list entries that occur; 0 if none does.  An entry listed twice counts twice."""
-    neg, pos = _hits(text, cfg.negative), _hits(text, cfg.positive)
-    return F.coalesce(F.try_divide((pos - neg).cast("double"), (pos + neg).cast("double")), F.lit(0.0))
+    hits = _bound(text, lambda t: F.struct(_hits(t, cfg.negative).alias("neg"), _hits(t, cfg.positive).alias("pos")))
+    ratio = lambda h: F.try_divide((h["pos"] - h["neg"]).cast("double"), (h["pos"] + h["neg"]).cast("double"))
+    return F.coalesce(_bound(hits, ratio), F.lit(0.0))
 
 
 def escalation(text: Column, cfg: Vitals = Vitals()) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in cfg.escalation), F.lit(False))
+    return _bound(text, lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in cfg.escalation), F.lit(False)))
 
 
 def enrich(messages: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:

@@ -94,3 +94,12 @@ def test_report_lines_show_the_sign_of_what_rounds_to_zero(spark):
     df = spark.createDataFrame([(6.475, -0.003, 57, "s")], "i6_mean_entropy double, i6_entropy_slope double, peak_pct int, slope_label string")
     (line,) = (report._line(text, columns) for o, text, columns, _ in report.LINES if o == 8)
     assert df.select(line).first()[0] == "    I6 語義熵: mean=%.2fbits  slope=%+.2f  峰值@對話57%%  [s]" % (6.475, -0.003)
+
+
+def test_a_filter_computes_the_text_once(spark):
+    """A filter on sentiment or escalation pulls in what the text is made of; a loop over words must not compute it for each word."""
+    df = spark.createDataFrame([(" 不合理 ", False, False), (None, False, False)], "raw string, is_sticker boolean, is_image boolean").withColumn("text", text.strip(F.col("raw")))
+    for condition in ("sentiment < -0.1", "is_escalation_marker"):
+        plan = rules.enrich(df).filter(condition).select("is_sticker")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == 1
+    assert [r["raw"] for r in rules.enrich(df).filter("sentiment < -0.1").collect()] == [" 不合理 "]
