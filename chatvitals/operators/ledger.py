@@ -3,8 +3,9 @@
 The ledger is a folder that all executors share, with a file for each reply, named by a digest of the extractor's name and the transcript.  A task
 looks there before it calls and leaves the reply there before it goes on, so a task that runs again, a later run, or a group with the same
 transcript finds it.  A call is claimed first, so attempts that run side by side (speculation) make it once: claims older by the store's clock
-come first, and an attempt waits `settle` seconds before it looks at them, which has to be longer than the steps of that clock.  A claim without a reply
-is void after `patience` seconds, longer than any call; so at most the call during which an executor was lost is made again, that much later.
+come first, and an attempt waits `settle` seconds before it looks at them, which has to be longer than the steps of that clock; it claims many calls
+at a time and waits once for all.  A claim without a reply is void after `patience` seconds, longer than any call, and those that a claim may wait
+for its call (HOLD); so at most the call during which an executor was lost is made again, that much later.
 
 Errors are not kept: the next run asks again.  A null transcript is no call and gives a null reply and no failure."""
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ..sources import named_files
 
 ENTRY = "digest string, model string, reply string"
+#: Calls that a task claims together, and seconds that a claim may wait for its call to begin.
+AHEAD, HOLD = 256, 10.0
 
 
 class Bucket:
@@ -46,7 +49,7 @@ class Ledger:
 
     def __init__(self, folder: str, model: str, settle: float = 0.05, patience: float = 300.0, sleep=time.sleep):
         self.fs, self.root = named_files.opened(folder)
-        self.model, self.settle, self.patience, self.sleep = model, settle, patience, sleep
+        self.model, self.settle, self.patience, self.hold, self.sleep = model, settle, patience, min(HOLD, patience), sleep
 
     def _shelf(self, digest: str) -> str:
         return f"{self.root}/{digest[:3]}"
@@ -77,34 +80,76 @@ class Ledger:
         found = self.fs.get_file_info(FileSelector(f"{self._shelf(digest)}/_claims-{digest}", allow_not_found=True))
         return sorted((f.mtime_ns or 0, f.base_name) for f in found)
 
+    def _before(self, digest: str, me: str, seen: dict[tuple[str, str], float]) -> list[str]:
+        """Claims older than ours that are not void; seen: when we first met them, on our own clock."""
+        now, out = time.monotonic(), []
+        for _, name in self._claims(digest):
+            if name == me:
+                break
+            if now - seen.setdefault((digest, name), now) < self.patience + self.hold:
+                out.append(name)
+        return out
+
+    def each(self, digests: Iterable[str], me: str, call: Callable[[str], str | None]) -> Iterator[tuple[str, str | None, Exception | None]]:
+        """(digest, reply, error) of different digests: the ledger's reply, or that of the call, which is kept.  `me` names the attempt.
+
+        Up to AHEAD calls are claimed together, so `settle` is waited once for all of them.  No call begins later than `hold` seconds after
+        its claim: what is left by then is claimed anew, in smaller lots.  Lots go by digest, so no two attempts wait for each other."""
+        rest, seen, ahead = sorted(set(digests)), {}, AHEAD
+        while rest:
+            lot, rest, began, mine, done = rest[:ahead], rest[ahead:], time.monotonic(), [], 0
+            try:
+                for digest in lot:
+                    try:
+                        if (found := self.find(digest)) is None:
+                            self.fs.create_dir(f"{self._shelf(digest)}/_claims-{digest}", recursive=True)
+                            self._put(f"{self._shelf(digest)}/_claims-{digest}/{me}", b"")
+                            mine.append(digest)
+                            continue
+                    except Exception as e:  # noqa: BLE001 - one call's failure leaves the others alone
+                        yield digest, None, e
+                    else:
+                        yield digest, found["reply"], None
+                if mine:
+                    self.sleep(self.settle)
+                before = {digest: self._before(digest, me, seen) for digest in mine}
+                for digest in list(mine):
+                    reply = error = None
+                    try:
+                        # claims first, replies then: whoever has left its claim has left its reply before
+                        while (found := self.find(digest)) is None and before[digest]:
+                            self.sleep(self.settle)
+                            before[digest] = self._before(digest, me, seen)
+                        if found is None and time.monotonic() - began > self.hold:
+                            rest = mine + rest
+                            break
+                        if found is None:
+                            reply = call(digest)
+                            self.keep(digest, reply, me)
+                        else:
+                            reply = found["reply"]
+                    except Exception as e:  # noqa: BLE001
+                        reply, error = None, e
+                    self._leave(digest, me)
+                    mine.remove(digest)
+                    done += 1
+                    yield digest, reply, error
+                else:
+                    done = AHEAD
+            finally:
+                for digest in mine:
+                    self._leave(digest, me)
+            ahead = min(AHEAD, 2 * ahead, max(1, 2 * done))
+
+    def _leave(self, digest: str, me: str) -> None:
+        self.fs.delete_file(f"{self._shelf(digest)}/_claims-{digest}/{me}")
+
     def once(self, digest: str, me: str, call: Callable[[], str | None]) -> str | None:
-        """The ledger's reply, or that of the call, which is kept.  `me` names the attempt."""
-        claims = f"{self._shelf(digest)}/_claims-{digest}"
-        if (found := self.find(digest)) is not None:
-            return found["reply"]
-        self.fs.create_dir(claims, recursive=True)
-        self._put(f"{claims}/{me}", b"")
-        try:
-            self.sleep(self.settle)
-            waited = {}  # claim: since when we wait for it, on our own clock
-            while True:
-                if (found := self.find(digest)) is not None:
-                    return found["reply"]
-                now = time.monotonic()
-                before = []
-                for _, name in self._claims(digest):
-                    if name == me:
-                        break
-                    if now - waited.setdefault(name, now) < self.patience:
-                        before.append(name)
-                if not before:
-                    break
-                self.sleep(self.settle)
-            reply = call()
-            self.keep(digest, reply, me)
-            return reply
-        finally:
-            self.fs.delete_file(f"{claims}/{me}")
+        """`each` for one call."""
+        ((_, reply, error),) = self.each([digest], me, lambda _: call())
+        if error is not None:
+            raise error
+        return reply
 
 
 def digest(model: str, transcript: Column) -> Column:
@@ -131,20 +176,15 @@ def extract(texts: DataFrame, make_extractor: Callable[[], Callable[[str], str]]
             return call(text)
 
         for frame in frames:
-            replies, failures = [], []
-            for name, text in zip(frame["_digest"], frame["transcript"]):
-                reply = failure = None
-                if text is not None:
-                    try:
-                        reply = ledger.once(name, me, lambda: paid(text))  # noqa: B023 - called at once
-                    except Exception as e:  # noqa: BLE001 - one group's failure leaves the others alone
-                        failure = f"{type(e).__name__}: {e}"
-                replies.append(reply)
-                failures.append(failure)
-            yield frame[[key]].assign(reply=replies, failure=failures)
+            text = {name: t for name, t in zip(frame["_digest"], frame["transcript"]) if t is not None}
+            answers = {name: (reply, error and f"{type(error).__name__}: {error}") for name, reply, error in ledger.each(text, me, lambda name: paid(text[name]))}  # noqa: B023 - used up at once
+            found = [answers.get(name, (None, None)) for name in frame["_digest"]]
+            yield frame[[key]].assign(reply=[reply for reply, _ in found], failure=[failure for _, failure in found])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "transcript", digest(model, F.col("transcript")).alias("_digest")).mapInPandas(run, f"{key} {kind}, reply string, failure string")
+    # calls take long and texts are small: more tasks than blocks of bytes would give
+    tasks = max(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return texts.select(key, "transcript", digest(model, F.col("transcript")).alias("_digest")).repartition(tasks).mapInPandas(run, f"{key} {kind}, reply string, failure string")
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -70,6 +70,48 @@ def test_attempts_side_by_side(tmp_path):
     assert got == ["reply"] * 6 and len(made) == 1
 
 
+def test_a_lot_of_calls_settles_once(tmp_path):
+    slept, names = [], [f"{i:04d}" for i in range(300)]
+    book = ledger.Ledger(f"file://{tmp_path}", "m", sleep=slept.append)
+    got = {d: reply for d, reply, error in book.each(names, "me", lambda d: d + "!")}
+    assert got == {d: d + "!" for d in names} and slept == [0.05] * 2  # 300 with a call each
+    # replies that are there are not claimed, and one call's failure leaves the others alone
+    got = {d: (reply, str(error)) for d, reply, error in book.each([*names, "b1", "b2"], "you", lambda d: 1 / 0 if d == "b1" else "new")}
+    assert got["0007"] == ("0007!", "None") and got["b1"] == (None, "division by zero") and got["b2"] == ("new", "None") and len(slept) == 3
+
+
+def test_slow_calls_are_claimed_anew(tmp_path):
+    """No call begins later than `hold` after its claim, so a waiting attempt never takes a live one for lost."""
+    book, made, begun = ledger.Ledger(f"file://{tmp_path}", "m", patience=0.2, settle=0.01), [], {}
+    put = book._put
+    book._put = lambda path, data: (begun.__setitem__(path.split("_claims-")[1].split("/")[0], time.monotonic()) if "_claims-" in path else None, put(path, data))
+
+    def call(d):
+        made.append((d, time.monotonic() - begun[d]))
+        time.sleep(0.08)
+        return d
+
+    assert [d for d, reply, _ in book.each([f"{i:04d}" for i in range(20)], "me", call) if d == reply] == [d for d, _ in made]
+    assert len(made) == 20 and max(waited for _, waited in made) <= 0.25
+
+
+def test_lots_side_by_side(tmp_path):
+    made, got = [], []
+
+    def attempt(me, names):
+        book = ledger.Ledger(f"file://{tmp_path}", "m")
+        got.append({d: r for d, r, _ in book.each(names, me, lambda d: made.append(d) or time.sleep(0.01) or d)})
+
+    names = [f"{i:04d}" for i in range(60)]
+    threads = [threading.Thread(target=attempt, args=(f"t{i}", names[:: 1 if i % 2 else -1])) for i in range(4)]
+    began = time.monotonic()
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(60)
+    assert got == [{d: d for d in names}] * 4 and sorted(made) == names and time.monotonic() - began < 40
+
+
 def test_claim_of_a_lost_executor(tmp_path):
     (tmp_path / "abc" / "_claims-abcd").mkdir(parents=True)
     (tmp_path / "abc" / "_claims-abcd" / "lost").touch()
