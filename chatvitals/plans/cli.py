@@ -29,7 +29,7 @@ def run(spark: SparkSession, conversations: str, staff: str, now: datetime, make
     if (listed.agg(F.max("bytes")).first()[0] or 0) > LARGE:
         raw, status = exports.parse_splits(listed, rows, known, cfg)
     else:
-        raw, status = exports.parse(exports.scan_conversations(spark, conversations, files=listed), known, cfg)
+        raw, status = exports.parse(exports.scan_conversations(spark, conversations, files=listed), known, cfg, keep=True)
     messages = analysis.once(analysis.prepare(raw, cfg))
     groups = status.filter("error is null").select("group_key", "group_id", "file_ord")
     metrics = analysis.group_metrics(messages, at, groups, cfg)

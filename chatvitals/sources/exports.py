@@ -33,14 +33,31 @@ def _file_name(path: Column) -> Column:
 
 
 def _listed(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    """(source_file, file_ord, bytes) of the directory's files, sorted by name."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    """(source_file, file_ord, bytes) of the directory's files, sorted by name.
+
+    Names come from the driver's file system in one piece, sizes from Spark's listing; only what that leaves out (empty and hidden files,
+    directories) is asked for one by one."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(directory)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, pattern)) or []
-    sizes = sorted((s.getPath().getName(), s.getLen()) for s in found if s.isFile())
-    if not sizes:
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, pattern))
+    names = []
+    if found is not None and len(found):
+        parent = found[0].getPath().getParent()
+        top = f"{parent.toString().rstrip('/')}/"
+        said = jvm.org.apache.commons.lang3.ArrayUtils.toString(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))
+        names = sorted(said[1:-1].removeprefix(top).split(f",{top}"))  # no name has a slash
+    if not names:
+        raise FileNotFoundError(f"no {pattern} in {directory}")
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select(_file_name(F.col("path")).alias("source_file"), F.col("length").alias("bytes"))
+    sizes = once(sizes)
+    every = spark.createDataFrame([(n,) for n in names], "source_file string")
+    others = {r[0]: fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(parent, jvm.org.apache.hadoop.fs.Path(None, None, f"./{r[0]}"))) for r in every.join(sizes, "source_file", "left_anti").toLocalIterator()}
+    names = [n for n in names if n not in others or others[n].isFile()]
+    if not names:
         raise FileNotFoundError(f"no {pattern} in {directory}")
-    return spark.createDataFrame([(n, i, size) for i, (n, size) in enumerate(sizes)], "source_file string, file_ord int, bytes long")
+    listed = spark.createDataFrame([(n, i, others[n].getLen() if n in others else None) for i, n in enumerate(names)], "source_file string, file_ord int, _bytes long")
+    return listed.join(sizes, "source_file", "left").select("source_file", "file_ord", F.coalesce("_bytes", "bytes").alias("bytes"))
 
 
 def load_staff(spark: SparkSession, path: str) -> DataFrame:
@@ -109,11 +126,13 @@ def _dated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("spoiled", ~F.col("valid") | F.coalesce(spoiled, F.lit(False)))
 
 
-def parse(files: DataFrame, staff: DataFrame, cfg: Vitals = Vitals(), long_files: bool = False) -> tuple[DataFrame, DataFrame]:
+def parse(files: DataFrame, staff: DataFrame, cfg: Vitals = Vitals(), long_files: bool = False, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(messages, status): messages of sound files, and for every file its group and error (null: none).  Rows are keyed by group_key, the file.
 
-    long_files: files of more than cfg.lane_rows lines come in lanes of as many lines, so dates and numbers are carried over lanes."""
-    return _messages(parsed_lines(files, cfg.lane_rows if long_files else None), staff, cfg)
+    long_files: files of more than cfg.lane_rows lines come in lanes of as many lines, so dates and numbers are carried over lanes.
+    keep: files are read and parsed once, however often messages and status are used."""
+    rows = parsed_lines(files, cfg.lane_rows if long_files else None)
+    return _messages(once(rows) if keep else rows, staff, cfg)
 
 
 def parse_splits(files: DataFrame, rows: DataFrame, staff: DataFrame, cfg: Vitals = Vitals()) -> tuple[DataFrame, DataFrame]:

@@ -100,3 +100,22 @@ def test_page_draws_escalations(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         exports.scan_conversations(spark, str(tmp_path))
+
+
+def test_listing_asks_for_names_at_once(spark, tmp_path, monkeypatch):
+    """The driver's calls do not grow with the files; empty and hidden files are listed, directories are not."""
+    names = [f"{i:03d}.txt" for i in range(150)] + ["a, b.txt", "c+d %41 é.txt", "[g].txt"]
+    for n in names:
+        (tmp_path / n).write_text("x" * (len(n) + 1))
+    for n in ("empty.txt", "_hidden.txt"):
+        (tmp_path / n).write_text("")
+    (tmp_path / "folder.txt").mkdir()
+    (tmp_path / "other.md").write_text("no")
+    client, calls = type(spark._sc._gateway._gateway_client), [0]
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda self, *a, **k: (calls.__setitem__(0, calls[0] + 1), send(self, *a, **k))[1])
+    listed = exports._listed(spark, str(tmp_path), "*.txt")
+    monkeypatch.undo()
+    got = [(r.source_file, r.file_ord, r.bytes) for r in listed.orderBy("file_ord").collect()]
+    assert got == [(n, i, 0 if n in ("empty.txt", "_hidden.txt") else len(n) + 1) for i, n in enumerate(sorted([*names, "empty.txt", "_hidden.txt"]))]
+    assert calls[0] < 450  # 150 files took four each
