@@ -5,8 +5,8 @@ one stateful operator per group carries the date, the open message, the asks wit
 texts of the entropy window and the running sums of the entropy series.  After any number of pieces the metrics are those of the batch analysis of
 the lines so far; how they were cut does not matter.
 
-State grows with a group's open asks, different latencies (bounded by the cap), times of the last days, and one number per text message, which is only
-read at two places.  With `refresh` a timer scores a group again although nothing came, as asks grow older.
+State grows with a group's open asks, different latencies (bounded by the cap), times of the last days, and one number per text message, kept in blocks, as
+it is only read at two places.  With `refresh` a timer scores a group again although nothing came, as asks grow older.
 
 A piece that is not UTF-8, an impossible date or time, or a piece out of order fails its group, as a file fails as a whole in the batch
 analysis."""
@@ -19,8 +19,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -34,6 +33,8 @@ from ..sources import exports
 MINUTE, DAY = 60_000_000, 86_400_000_000
 #: The first Monday of Unix time.
 MONDAY = 4 * DAY
+#: Running sums that are kept together.
+BLOCK = 256
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -71,12 +72,14 @@ def tags(text: str, special: bool, cfg: Vitals) -> tuple[str, float, bool]:
 
 
 class Group:
-    """What is known of a group; `slim` is kept as a value, the rest in maps and lists of their own."""
+    """What is known of a group; running sums but the last few, reasons and escalations are kept apart from the rest."""
 
     def __init__(self, cfg: Vitals, slim: dict | None, latencies: dict[int, int], recent: dict[int, list[int]], sums: Callable[[int], float]):
         self.cfg, self.sums, self.latencies, self.recent = cfg, sums, latencies, recent
         # waiting: asks without a reply as [latest time since, [times of asks]], latest times falling
         self.slim = slim or {"name": None, "piece": -1, "day": None, "error": None, "number": 0, "open": None, "waiting": [], "asks": 0, "oldest": None, "texts": 0, "window": [], "peak": None, "peak_at": 0, "sum": 0.0}
+        self.first, self.tail, self.lists = 0, [], [False, False]
+        self.bigrams, self.grams = None, []  # of the window, made when a text comes
         self.new_sums: dict[int, float] = {}
         self.new_reasons: list[str] = []
         self.new_escalations: list[int] = []
@@ -127,11 +130,16 @@ class Group:
         if escalates:
             self.new_reasons.append(f"升級詞觸發 (msg_id={m['id']}): {text[:30]}")
         if text and not m["sticker"]:
-            s["window"] = (s["window"] + [text])[-cfg.entropy_window :]
-            held = Multiset()
-            for t in s["window"]:
-                held.move(Multiset.of(t), 1)
-            bits = held.bits()
+            if self.bigrams is None:
+                self.bigrams, self.grams = Multiset(), [Multiset.of(t) for t in s["window"]]
+                for found in self.grams:
+                    self.bigrams.move(found, 1)
+            s["window"], self.grams = [*s["window"], text], [*self.grams, Multiset.of(text)]
+            self.bigrams.move(self.grams[-1], 1)
+            while len(self.grams) > cfg.entropy_window:
+                self.bigrams.move(self.grams.pop(0), -1)
+                s["window"].pop(0)
+            bits = self.bigrams.bits()
             s["sum"] += bits
             if s["peak"] is None or round(bits, 9) > s["peak"]:
                 s["peak"], s["peak_at"] = round(bits, 9), s["texts"]
@@ -143,6 +151,7 @@ class Group:
     def score(self, now: int) -> dict:
         """The indicators at a time, the open message included."""
         g = copy.copy(self)
+        g.bigrams, g.grams = copy.deepcopy(self.bigrams), list(self.grams)
         g.slim, g.latencies, g.recent = copy.deepcopy(self.slim), dict(self.latencies), {t: list(c) for t, c in self.recent.items()}
         g.new_sums, g.new_reasons, g.new_escalations = dict(self.new_sums), list(self.new_reasons), list(self.new_escalations)
         g.close()
@@ -180,31 +189,45 @@ class Scorer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.slim = handle.getValueState("slim", "json string")
-        self.latencies = handle.getMapState("latencies", "minutes int", "n int")
-        self.recent = handle.getMapState("recent", "ts long", "total int, said int, negative int")
-        self.sums = handle.getMapState("sums", "texts int", "bits double")
+        self.sums = handle.getMapState("sums", "block int", "json string")
         self.reasons = handle.getListState("reasons", "reason string")
         self.escalations = handle.getListState("escalations", "pos int")
 
     def _load(self) -> Group:
-        slim = json.loads(self.slim.get()[0]) if self.slim.exists() else None
-        pairs = lambda state: list(state.iterator()) if state.exists() else []
-        return Group(self.cfg, slim, {k[0]: v[0] for k, v in pairs(self.latencies)}, {k[0]: list(v) for k, v in pairs(self.recent)}, lambda k: self.sums.getValue((k,))[0])
-
-    def _scored(self, key, g: Group, now: datetime) -> pd.DataFrame:
+        kept = self.slim.get()
+        slim = json.loads(kept[0]) if kept is not None else {}
+        latencies, recent, tail = ({k: v for k, v in slim.pop("latencies", ())}, {t: c for t, c in slim.pop("recent", ())}, slim.pop("tail", []))
+        lists = slim.pop("lists", [False, False])
+        block = lambda i: json.loads(self.sums.getValue((i,))[0])
+        # whole blocks of sums are kept apart, the rest with the value
+        g = Group(self.cfg, slim or None, latencies, recent, lambda k: block((k - 1) // BLOCK)[(k - 1) % BLOCK] if k <= g.first else g.tail[k - 1 - g.first])
+        g.tail, g.lists, g.first = tail, lists, g.slim["texts"] - len(tail)
+        return g
+
+    def _keep(self, g: Group, oldest: int) -> None:
+        """One value for most groups: each call of the state store costs as much as some lines."""
+        tail = g.tail + [g.new_sums[k] for k in sorted(g.new_sums)]
+        while len(tail) >= BLOCK:
+            self.sums.updateValue((g.first // BLOCK,), (json.dumps(tail[:BLOCK]),))
+            tail, g.first = tail[BLOCK:], g.first + BLOCK
+        for state, new in ((self.reasons, g.new_reasons), (self.escalations, g.new_escalations)):
+            if new:
+                state.appendList([(x,) for x in new])
+        more = {"latencies": list(g.latencies.items()), "recent": [(t, c) for t, c in g.recent.items() if t >= oldest], "tail": tail, "lists": [g.lists[0] or bool(g.new_reasons), g.lists[1] or bool(g.new_escalations)]}
+        self.slim.update((json.dumps(g.slim | more, ensure_ascii=False),))
+
+    def _scored(self, key, g: Group, now: datetime) -> Row:
         us = int((now - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
         row = g.score(us)
-        places = [*((x[0] for x in self.escalations.get()) if self.escalations.exists() else ()), *row.pop("escalations")]
-        said = [*((x[0] for x in self.reasons.get()) if self.reasons.exists() else ()), *row.pop("reasons")]
+        places = [*((x[0] for x in self.escalations.get()) if g.lists[1] else ()), *row.pop("escalations")]
+        said = [*((x[0] for x in self.reasons.get()) if g.lists[0] else ()), *row.pop("reasons")]
         n = row.pop("texts")
-        return pd.DataFrame([{"group_key": key[0], **row, "i6_escalation_fracs": [p / (n - 1) for p in places] if n > 1 else [], "reasons": said, "computed_at_us": us}])
+        return Row(group_key=key[0], **row, i6_escalation_fracs=[p / (n - 1) for p in places] if n > 1 else [], reasons=said, computed_at_us=us)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         g, now = self._load(), self.now()
-        s, known = g.slim, set(g.recent)
-        before = {t: list(c) for t, c in g.recent.items()}
-        counted = dict(g.latencies)
-        for r in pd.concat(list(rows)).sort_values(["piece", "line_no"], kind="stable").itertuples(index=False):
+        s = g.slim
+        for r in sorted(rows, key=lambda r: (r.piece, r.line_no)):
             if r.line_no == 0 and r.piece <= s["piece"] or r.line_no > 0 and r.piece < s["piece"]:
                 s["error"] = s["error"] or "piece out of order"
             if s["name"] is None:
@@ -218,21 +241,7 @@ class Scorer(StatefulProcessor):
                 g.line(r)
         oldest = int((now - datetime(1970, 1, 1)).total_seconds() * 1_000_000) - max(self.cfg.i4_hours, self.cfg.i5_hours) * 60 * MINUTE
         yield self._scored(key, g, now)
-        for t in known - {t for t in g.recent if t >= oldest}:
-            self.recent.removeKey((t,))
-        for t, c in g.recent.items():
-            if t >= oldest and before.get(t) != c:
-                self.recent.updateValue((t,), tuple(c))
-        for minutes, n in g.latencies.items():
-            if counted.get(minutes) != n:
-                self.latencies.updateValue((minutes,), (n,))
-        for k, v in g.new_sums.items():
-            self.sums.updateValue((k,), (v,))
-        if g.new_reasons:
-            self.reasons.appendList([(x,) for x in g.new_reasons])
-        if g.new_escalations:
-            self.escalations.appendList([(x,) for x in g.new_escalations])
-        self.slim.update((json.dumps(s, ensure_ascii=False),))
+        self._keep(g, oldest)
         if self.refresh:
             self._again(timerValues.getCurrentProcessingTimeInMs())
 
@@ -241,7 +250,7 @@ class Scorer(StatefulProcessor):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.handle.registerTimer(ms + self.refresh * 60_000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield self._scored(key, self._load(), self.now())
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.refresh * 60_000)
 
@@ -269,7 +278,7 @@ def score(rows: DataFrame, staff: DataFrame, now: Callable[[], datetime], cfg: V
     events = rows.select("group_key", "piece", "line_no", "valid", F.coalesce(head, "group_key").alias("name"), "is_date", "is_message", F.coalesce(F.unix_date(F.col("day").cast("date")), F.lit(0)).alias("day"), F.coalesce("minute", F.lit(0)).alias("minute"),
         ((F.col("is_date") & F.col("day").isNull()) | (F.col("is_message") & F.col("minute").isNull())).alias("spoiled"), "sender", F.col("sender").isin(*cfg.system_senders).alias("system"), F.col("_staff").isNotNull().alias("staff"),
         F.when(sticker | image, "").otherwise(F.col("body")).alias("text"), sticker.alias("is_sticker"), image.alias("is_image"))
-    return finished(events.groupBy("group_key").transformWithStateInPandas(scorer(cfg, now, refresh), OUT, "Update", "ProcessingTime" if refresh else "None"), cfg)
+    return finished(events.groupBy("group_key").transformWithState(scorer(cfg, now, refresh), OUT, "Update", "ProcessingTime" if refresh else "None"), cfg)
 
 
 def finished(scored: DataFrame, cfg: Vitals = Vitals()) -> DataFrame:

@@ -123,3 +123,38 @@ def test_helpers_agree_with_the_expressions(spark):
     ts = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     for r in spark.createDataFrame(rows, "a long, b long").select("a", "b", service_minutes(ts("a"), ts("b")).alias("m")).collect():
         assert groups.service_minutes(r["a"], r["b"], cfg) == r["m"]
+
+
+class _Store:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.list, self.calls = None, {}, [], 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "get": lambda: iter(self.list) if self.list else self.value, "update": lambda x: setattr(self, "value", x), "appendList": self.list.extend,
+            "getValue": lambda k: self.map.get(k), "updateValue": self.map.__setitem__,
+        }[name]
+
+
+def test_state_takes_few_calls_and_keeps_sums_in_blocks():
+    """However many lines come, a group's state is read and written by a few calls; a long group's sums are found in their blocks."""
+    from pyspark.sql import Row
+
+    def scorer():
+        s = groups.Scorer(groups.Vitals(), lambda: datetime(2025, 9, 5, 17))
+        s.slim, s.sums, s.reasons, s.escalations = (_Store() for _ in range(4))
+        return s
+
+    line = lambda i, piece: Row(piece=piece, line_no=i, valid=True, name="g", is_date=i == 0, is_message=i > 0, day=20336, minute=2 * (i % 700), spoiled=False, sender=f"s{i % 2}", system=False, staff=i % 2 == 0, text=f"我要退款 {i * i}" if i % 300 == 7 else f"text {i} {i * 7919 % 1000}", is_sticker=False, is_image=False)
+    whole, cut = scorer(), scorer()
+    (want,) = whole.handleInputRows(("g",), iter([line(i, 0) for i in range(1200)]), None)
+    bounds, calls = [0, 3, 150, 700, 1199, 1200], []
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        before = sum(x.calls for x in (cut.slim, cut.sums, cut.reasons, cut.escalations))
+        (got,) = cut.handleInputRows(("g",), iter([line(i, k) for i in range(a, b)][::-1]), None)
+        calls.append(sum(x.calls for x in (cut.slim, cut.sums, cut.reasons, cut.escalations)) - before)
+    assert got == want and want.i6_points == 1199 and len(want.i6_escalation_fracs) == len(want.reasons) == 4
+    assert len(cut.sums.map) == 1198 // groups.BLOCK and max(calls) <= 10
