@@ -40,11 +40,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of passages of PASSAGE_BYTES bytes or more that stand in several places the first, by doc_id (null last) and place, stays whole; the
-    others are cut out of the texts, with the rest of a character that a cut goes through; n_chars follows.  Texts without such passages, null ones
+    others are cut out of the texts, with the rest of a character that a cut goes through; n_chars follows.  Where the first copy of one overlaps a
+copy of another, the longer has its way, so what two texts share by chance beside a passage does not keep it twice.  Texts without such passages, null ones
     among them, stay as they are; so do passages that only repeated rows share (the stage before leaves one row of those).  Very long texts are
     taken whole."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")), PASSAGE_BYTES, keep_first=True)
+    done = suffix_dedup.repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")), PASSAGE_BYTES, keep_first=True, longer_wins=True)
     whole = F.size("spans") == 0
     made = {"doc_id": F.col("doc_id"), "text": F.when(whole, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(whole, F.col("rest")["n_chars"]).otherwise(F.length("kept_text").cast("long"))}
     return done.select(*(made.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))

@@ -1,6 +1,7 @@
 """Suffix dedup, Jaccard groups and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -96,6 +97,57 @@ def test_pipeline_keeps_one_copy_of_a_passage(spark, sf):
     assert texts[9] == rows[0][1][: -len(passage)] and texts[None] == " end" and (texts[5], texts[7], texts[8]) == (rows[5][1], None, "")
 
 
+def test_chance_neighbours_do_not_keep_a_copy(spark, sf):
+    """Copies that share a byte on either side with each other, but not with the first copy, still go; so do all but one of them."""
+    passage = " ".join(f"word{i}" for i in range(45))
+    own = lambda c: c + "".join(f"{k}{c}" for k in range(70))
+    rows = [(1, own("a") + "<" + passage + ">" + own("b"))] + [(i, own(c) + "(" + passage + ")" + own(d)) for i, c, d in ((2, "c", "d"), (3, "e", "f"), (4, "g", "h"))]
+    df = spark.createDataFrame([(i, t, "s", None) for i, t in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+    assert 200 < len(passage) < 398
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, df, sf).collect()}
+    assert got[1] == rows[0][1]
+    assert got[2] == rows[1][1].replace(passage, "") and [got[i] for i in (3, 4)] == [own("e") + own("f"), own("g") + own("h")]
+
+
+def _weighed(rows, length):
+    """Bytes left of (doc_id, text) rows where the longest run of windows over a byte decides (a first copy at a tie)."""
+    seen, count = {}, Counter()
+    data = {i: (t or "").encode() for i, t in sorted(rows)}
+    for i, b in data.items():
+        for k in range(len(b) - length + 1):
+            count[b[k : k + length]] += 1
+            seen.setdefault(b[k : k + length], (i, k))
+    out = {}
+    for i, b in data.items():
+        kinds = ["" if count[b[k : k + length]] < 2 else "f" if seen[b[k : k + length]] == (i, k) else "g" for k in range(len(b) - length + 1)]
+        runs, at = [], 0
+        for kind, run in itertools.groupby(kinds):
+            n = len(list(run))
+            runs.append((kind, at, at + n))
+            at += n
+        left = []
+        for k, x in enumerate(b):
+            over = [(s, e) for kind, s, e in runs if kind == "g" and s <= k < e + length - 1]
+            firm = [(s, e) for kind, s, e in runs if kind == "f" and s <= k < e + length - 1]
+            loses = lambda g: not any(e - s >= g[1] - g[0] or (e == g[0] and seen[b[e : e + length]][0] == i and s <= seen[b[e : e + length]][1] < e) for s, e in firm)  # noqa: B023, E731
+            if not any(loses(g) for g in over):
+                left.append(x)
+        out[i] = bytes(left)
+    return out
+
+
+@pytest.mark.parametrize("length", [12, 40])
+def test_longer_runs_win(spark, length):
+    rows = list(enumerate(_texts(length + 2)))
+    got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length, keep_first=True, longer_wins=True).collect()
+    want = _weighed(rows, length)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == want
+    assert want[len(rows) - 1][:length] == b"a" * length  # a text that repeats itself keeps its first window
+    kept = {w for b in want.values() for w in b}
+    assert kept == {w for _, t in rows for w in (t or "").encode()}
+    assert want != _first_copies(rows, length)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 3, 20000), rng.integers(0, 50, 20000), rng.integers(-9, 9, 20000), rng.permutation(20000)]
